@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quantiles import quantiles
+from .quantiles import multi_quantiles
 
 # Fixed model feature order: 13 numeric then 7 categorical (Credit_History last).
 NUMERIC_FEATURES = ["ApplicantIncome", "CoapplicantIncome", "LoanAmount", "Loan_Amount_Term",
@@ -48,9 +48,9 @@ def with_train_features(apps: DataFrame) -> DataFrame:
 def global_stats(feat: DataFrame, accuracy: int = 10000) -> DataFrame:
     """One row: max income (F6) and the 90th percentiles used by the risk score (F8)."""
     mx = feat.agg(F.max("total_income").alias("max_income"))
-    qr = quantiles(feat, "income_to_emi_ratio", [0.9], accuracy=accuracy, names=["q_ratio"])
-    qb = quantiles(feat, "bank_balance", [0.9], accuracy=accuracy, names=["q_bal"])
-    return mx.crossJoin(qr).crossJoin(qb)  # 1 x 1 x 1 rows
+    q = multi_quantiles(feat, [("income_to_emi_ratio", 0.9, "q_ratio"), ("bank_balance", 0.9, "q_bal")],
+                        accuracy=accuracy)
+    return mx.crossJoin(q)  # 1 x 1 rows
 
 
 CIBIL_TRAIN = ("(0.35e0 * transaction_stability_score + 0.25e0 * mobile_usage_score"

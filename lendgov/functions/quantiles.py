@@ -36,57 +36,72 @@ def _qname(prefix: str, p: float) -> str:
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], keys: Sequence[str] = (),
               accuracy: int = 10000, names: Sequence[str] | None = None,
               method: str = "exact") -> DataFrame:
-    """Quantiles of ``col`` per ``keys`` group; one output column per prob.
+    """Quantiles of one column per ``keys`` group; one output column per prob."""
+    names = list(names) if names else [_qname(col, p) for p in probs]
+    return multi_quantiles(df, [(col, float(p), n) for p, n in zip(probs, names)], keys,
+                           accuracy=accuracy, method=method)
+
+
+def multi_quantiles(df: DataFrame, specs: Sequence[tuple[str, float, str]], keys: Sequence[str] = (),
+                    accuracy: int = 10000, method: str = "exact") -> DataFrame:
+    """Several (column, prob, output name) quantiles per ``keys`` group in two passes.
 
-    Nulls are skipped. ``method="approx"`` returns the sketch answer directly.
-    Returns ``keys + names`` (default names ``<col>_q<pct>``).
+    Nulls are skipped per column. ``method="approx"`` returns the sketch
+    answer directly (one pass). Returns ``keys + names``; a group appears if
+    any of its columns has a value.
     """
     keys = list(keys)
-    probs = [float(p) for p in probs]
-    names = list(names) if names else [_qname(col, p) for p in probs]
-    base = df.select(*keys, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    specs = [(c, float(p), n) for c, p, n in specs]
+    cols = list(dict.fromkeys(c for c, _, _ in specs))
+    cidx = {c: i for i, c in enumerate(cols)}
+    base = df.select(*keys, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
 
     if method == "approx":
-        ap = F.percentile_approx("_x", F.array(*[F.lit(p) for p in probs]), accuracy)
-        out = base.groupBy(*keys).agg(ap.alias("_ap"))
-        return out.select(*keys, *[F.col("_ap")[i].alias(n) for i, n in enumerate(names)])
+        aggs = [F.percentile_approx(f"_x{cidx[c]}", F.lit(p), accuracy).alias(n) for c, p, n in specs]
+        return base.groupBy(*keys).agg(*aggs)
 
-    k = len(probs)
+    k = len(specs)
     margin = 2.0 / accuracy + 1e-12
-    edges = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
-    st = base.groupBy(*keys).agg(
-        F.count("_x").alias("_n"),
-        F.percentile_approx("_x", F.array(*[F.lit(e) for e in edges]), accuracy).alias("_ap"))
+    aggs = []
+    for i, c in enumerate(cols):
+        mine = [(j, p) for j, (cc, p, _) in enumerate(specs) if cc == c]
+        edges = [max(p - margin, 0.0) for _, p in mine] + [min(p + margin, 1.0) for _, p in mine]
+        aggs += [F.count(f"_x{i}").alias(f"_n{i}"),
+                 F.percentile_approx(f"_x{i}", F.array(*[F.lit(e) for e in edges]), accuracy).alias(f"_a{i}")]
+    st = base.groupBy(*keys).agg(*aggs)
+    # Per spec j: its column's count, and its lower / upper bracket values.
+    spec_cols = []
+    for j, (c, p, _) in enumerate(specs):
+        i = cidx[c]
+        mine = [jj for jj, (cc, _, _) in enumerate(specs) if cc == c]
+        pos = mine.index(j)
+        spec_cols.append(F.struct(
+            F.lit(j).alias("j"), F.col(f"_x{i}").alias("x"), F.col(f"_n{i}").alias("n"),
+            F.col(f"_a{i}")[pos].alias("lo"), F.col(f"_a{i}")[pos + len(mine)].alias("hi")))
     if keys:
         joined = base.join(st, keys, "inner")
     else:
         joined = base.crossJoin(F.broadcast(st))  # one row: size bound proven
-
-    # Every value lands in each prob's bracket, or in that prob's "below" sentinel.
-    tagged = joined.select(
-        *keys, "_n",
-        F.explode(F.expr(
-            f"transform(sequence(0, {k - 1}), i -> named_struct('i', i, 'v', "
-            f"CASE WHEN _x < _ap[i] THEN double('-Infinity') "
-            f"WHEN _x <= _ap[i + {k}] THEN _x END))")).alias("_t"))
-    tagged = tagged.select(*keys, "_n", F.col("_t.i").alias("_i"), F.col("_t.v").alias("_v")) \
-        .where(F.col("_v").isNotNull())
-    counts = tagged.groupBy(*keys, "_n", "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    tagged = joined.select(*keys, F.explode(F.array(*spec_cols)).alias("_s")).select(
+        *keys, F.col("_s.j").alias("_j"), F.col("_s.n").alias("_n"),
+        F.when(F.col("_s.x") < F.col("_s.lo"), F.lit(float("-inf")))
+         .when(F.col("_s.x") <= F.col("_s.hi"), F.col("_s.x")).alias("_v"))
+    tagged = tagged.where(F.col("_v").isNotNull())
+    counts = tagged.groupBy(*keys, "_j", "_n", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys, "_j").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.withColumn("_cum", F.sum("_c").over(w))
-
-    prob_arr = F.array(*[F.lit(p) for p in probs])
-    counts = counts.withColumn("_pos", F.element_at(prob_arr, F.col("_i") + 1) * (F.col("_n") - 1))
+    prob_arr = F.array(*[F.lit(p) for _, p, _ in specs])
+    counts = counts.withColumn("_pos", F.element_at(prob_arr, F.col("_j") + 1) * (F.col("_n") - 1))
     counts = counts.withColumn("_rlo", F.floor("_pos")).withColumn("_rhi", F.ceil("_pos"))
     real = F.col("_v") > F.lit(float("-inf"))
-    per = counts.groupBy(*keys, "_i").agg(
+    per = counts.groupBy(*keys, "_j").agg(
         F.first("_pos").alias("_pos"), F.first("_rlo").alias("_rlo"),
         F.min(F.when(real & (F.col("_cum") > F.col("_rlo")), F.col("_v"))).alias("_vlo"),
         F.min(F.when(real & (F.col("_cum") > F.col("_rhi")), F.col("_v"))).alias("_vhi"),
         F.coalesce(F.max(F.when(~real, F.col("_cum"))), F.lit(0)).alias("_below"))
     ok = (F.col("_below") <= F.col("_rlo")) & F.col("_vlo").isNotNull() & F.col("_vhi").isNotNull()
     val = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_pos") - F.col("_rlo"))
-    per = per.select(*keys, "_i", F.when(ok, val).otherwise(
+    per = per.select(*keys, "_j", F.when(ok, val).otherwise(
         F.raise_error(F.lit("quantile bracket missed its rank; raise accuracy"))).cast("double").alias("_q"))
     return per.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
+        *[F.max(F.when(F.col("_j") == j, F.col("_q"))).alias(n) for j, (_, _, n) in enumerate(specs)])
