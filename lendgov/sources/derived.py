@@ -100,11 +100,15 @@ class Views:
         """applications + training-time engineered features (F1-F5), no global stats."""
         return FX.with_train_features(self.applications)
 
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Every application column + engineered features, risk score, probability, decision, label."""
+        return FX.with_risk(self.features, accuracy=self.quantile_accuracy)
+
     @cached_property
     def risk(self) -> DataFrame:
         """features + cibil proxy (F6), risk score (F8), probability (F9), decision, label."""
-        scored = FX.with_risk(self.features, accuracy=self.quantile_accuracy)
-        return scored.select(*RISK_COLUMNS)
+        return self.scored.select(*RISK_COLUMNS)
 
     @cached_property
     def consent_events(self) -> DataFrame:
