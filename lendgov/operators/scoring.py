@@ -62,20 +62,31 @@ def score(df: DataFrame, meds: DataFrame, allowed: dict | None = None) -> DataFr
     return j.select(*df.columns, sigmoid(margin(inputs)).alias("p_approve"))
 
 
-def attribution(df: DataFrame, keys: Sequence[str] = ("application_id",)) -> DataFrame:
-    """E3 (centred): per row and input, w * (x - mean(x)) on the capped inputs, long form.
+def attribution_rows(df: DataFrame, keys: Sequence[str] = ("application_id",),
+                     extra: Sequence[str] = ()) -> DataFrame:
+    """E3 (centred) per row: ``attr`` = array of (feature_idx, feature, value, shap) + ``p_approve``.
 
-    For a linear margin under feature independence this is the exact SHAP value.
-    Means are one global row broadcast back; nulls take the median first.
+    shap = w * (x - mean(x)) on the capped inputs (nulls take the median), which
+    for this linear margin under feature independence is the exact SHAP value.
+    Medians and means are one-row aggregates broadcast back.
     """
     meds = medians(df)
     filled = df.crossJoin(F.broadcast(meds)).select(
-        *keys, *[capped(c, F.coalesce(F.col(c).cast("double"), F.col(f"med_{c}"))).alias(c)
-                 for c, _, _ in TERMS])
+        *keys, *extra, *[capped(c, F.coalesce(F.col(c).cast("double"), F.col(f"med_{c}"))).alias(c)
+                         for c, _, _ in TERMS])
     means = filled.agg(*[F.avg(c).alias(f"mean_{c}") for c, _, _ in TERMS])
     j = filled.crossJoin(F.broadcast(means))
     recs = [F.struct(F.lit(FEATURE_INDEX[c]).alias("feature_idx"), F.lit(c).alias("feature"),
                      F.col(c).alias("value"),
                      (F.lit(w) * (F.col(c) - F.col(f"mean_{c}"))).alias("shap"))
             for c, w, _ in TERMS]
-    return j.select(*keys, F.explode(F.array(*recs)).alias("r")).select(*keys, "r.*")
+    z = F.lit(INTERCEPT)
+    for c, w, _ in TERMS:
+        z = z + F.lit(w) * F.col(c)
+    return j.select(*keys, *extra, F.array(*recs).alias("attr"), sigmoid(z).alias("p_approve"))
+
+
+def attribution(df: DataFrame, keys: Sequence[str] = ("application_id",)) -> DataFrame:
+    """E3 in long form: one row per (row, input)."""
+    rows = attribution_rows(df, keys)
+    return rows.select(*keys, F.explode("attr").alias("r")).select(*keys, "r.*")
