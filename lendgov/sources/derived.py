@@ -77,16 +77,33 @@ def _case_map(col: str, mapping: dict, default: str):
     return expr.otherwise(F.lit(default))
 
 
+APPLICATION_COLUMNS = ["application_id", "applicant_id", "submitted_at"] + RAW_FEATURES
+
+
 class Views:
-    """The derived views over one table set. All lazy."""
+    """The derived views over one table set.
+
+    With ``materialize=True`` (default) the scored loan dataset is written once
+    per input version to the shared folder and every view over applications
+    reads it; with ``False`` everything is one lazy plan from the raw tables.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, quantile_accuracy: int = 10000):
+    def __init__(self, spark: SparkSession, sf_dir: str, quantile_accuracy: int = 10000,
+                 materialize: bool = True):
         self.spark = spark
+        self.sf_dir = sf_dir
         self.t = TableSet(spark, sf_dir)
         self.quantile_accuracy = quantile_accuracy
+        self.materialize = materialize
 
     @cached_property
     def applications(self) -> DataFrame:
+        if self.materialize:
+            return self.scored.select(*APPLICATION_COLUMNS)
+        return self.applications_from_raw
+
+    @cached_property
+    def applications_from_raw(self) -> DataFrame:
         o = self.t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice",
                                  "o_orderpriority")
         c = self.t.customer.select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment")
@@ -98,12 +115,27 @@ class Views:
     @cached_property
     def features(self) -> DataFrame:
         """applications + training-time engineered features (F1-F5), no global stats."""
-        return FX.with_train_features(self.applications)
+        if self.materialize:
+            return self.scored.drop("max_income", "q_ratio", "q_bal", "cibil_proxy_score", "risk_score",
+                                    "mn", "mx", "probability", "decision", "Approved")
+        return FX.with_train_features(self.applications_from_raw)
+
+    def build_scored(self) -> DataFrame:
+        """The scored loan dataset from the raw tables (one lazy plan)."""
+        return FX.with_risk(FX.with_train_features(self.applications_from_raw), accuracy=self.quantile_accuracy)
 
     @cached_property
     def scored(self) -> DataFrame:
         """Every application column + engineered features, risk score, probability, decision, label."""
-        return FX.with_risk(self.features, accuracy=self.quantile_accuracy)
+        if not self.materialize:
+            return self.build_scored()
+        import os as _os
+        from . import materialize as M
+        from ..functions import features as _fx, quantiles as _q
+        code = [__file__, _fx.__file__, _q.__file__]
+        inputs = [_os.path.join(self.sf_dir, f"{n}.parquet") for n in ("orders", "customer")]
+        return M.materialized(self.spark, "scored", inputs, code, self.build_scored,
+                              extra=f"acc={self.quantile_accuracy}")
 
     @cached_property
     def risk(self) -> DataFrame:
