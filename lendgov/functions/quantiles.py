@@ -10,8 +10,8 @@ quantile of a continuous column at cluster scale. Here instead:
 
 1. ``percentile_approx`` (mergeable sketch, map-side partial aggregation)
    brackets each target rank: its rank error is at most n / accuracy, so the
-   values at p -/+ 3/accuracy enclose the exact answer once n > accuracy;
-   smaller groups (n <= 4 * accuracy) use the whole group as the bracket.
+   values at p -/+ 3/accuracy enclose the exact answer once n >= accuracy;
+   smaller groups (n <= accuracy) use the whole group as the bracket.
    The bracket holds about 6 n / accuracy distinct values: raise
    ``accuracy`` with the group size (e.g. 1e6 for 1e11-row groups).
 2. One more pass maps every value to its bracket or to a "below" sentinel and
@@ -64,9 +64,9 @@ def multi_quantiles(df: DataFrame, specs: Sequence[tuple[str, float, str]], keys
         return base.groupBy(*keys).agg(*aggs)
 
     # Sketch rank error <= n/accuracy; 3/accuracy leaves >= 2 ranks of slack once
-    # n > accuracy. Groups up to 4*accuracy rows take the whole group as bracket.
+    # n >= accuracy. Groups up to accuracy rows take the whole group as bracket.
     margin = 3.0 / accuracy + 1e-12
-    full = 4 * accuracy
+    full = accuracy
     aggs = []
     for i, c in enumerate(cols):
         mine = [(j, p) for j, (cc, p, _) in enumerate(specs) if cc == c]

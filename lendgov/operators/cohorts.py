@@ -61,9 +61,14 @@ def in_range(amounts: DataFrame, base: DataFrame) -> DataFrame:
         .drop("_bk")
 
 
-def stats(rows: DataFrame, keys) -> DataFrame:
-    """A12-A18 per key: quartiles of every statistic, credit-history share, row count."""
-    specs = [(c, p, f"{pre}_q{int(p * 100)}") for pre, c in STATS for p in PROBS]
+def stats(rows: DataFrame, keys, which=None) -> DataFrame:
+    """A12-A18 per key: quartiles of the chosen statistics, credit-history share, row count."""
+    chosen = [(pre, c) for pre, c in STATS if which is None or pre in which]
+    specs = [(c, p, f"{pre}_q{int(p * 100)}") for pre, c in chosen for p in PROBS]
+    if not specs:
+        return rows.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("cohort_rows"),
+            (F.count_if(F.col("Credit_History") == 1) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("good_share"))
     q = multi_quantiles(rows, specs, keys=keys)
     share = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("cohort_rows"),
@@ -71,14 +76,14 @@ def stats(rows: DataFrame, keys) -> DataFrame:
     return share.join(q, list(keys), "left") if keys else share.crossJoin(q)
 
 
-def cohort_stats(amounts: DataFrame, base: DataFrame) -> DataFrame:
+def cohort_stats(amounts: DataFrame, base: DataFrame, which=None) -> DataFrame:
     """Per distinct amount (and one row with a null amount for 'no amount'): stats + fallback flag.
 
     Amounts whose range holds no loan take the whole-table row (P9).
     """
     amounts = amounts.where(F.col("amount").isNotNull()).select("amount").distinct()
-    per = stats(in_range(amounts, base), ["amount"])
-    glob = stats(base, [])
+    per = stats(in_range(amounts, base), ["amount"], which)
+    glob = stats(base, [], which)
     found = amounts.join(per, "amount", "left")
     stat_cols = [c for c in glob.columns]
     fallback = F.col("cohort_rows").isNull()

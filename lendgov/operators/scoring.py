@@ -29,6 +29,16 @@ def medians(df: DataFrame, accuracy: int = 10000) -> DataFrame:
     return multi_quantiles(df, [(c, 0.5, f"med_{c}") for c, _, _ in TERMS], accuracy=accuracy)
 
 
+def params(df: DataFrame, accuracy: int = 10000) -> DataFrame:
+    """Fitted scorecard parameters (one row): median of each input and mean of each
+    filled, capped input (the attribution baseline)."""
+    meds = medians(df, accuracy)
+    filled = df.crossJoin(F.broadcast(meds)).select(
+        *[capped(c, F.coalesce(F.col(c).cast("double"), F.col(f"med_{c}"))).alias(c) for c, _, _ in TERMS])
+    means = filled.agg(*[F.avg(c).alias(f"mean_{c}") for c, _, _ in TERMS])
+    return meds.crossJoin(means)
+
+
 def capped(c: str, value):
     cap = dict((n, k) for n, _, k in TERMS)[c]
     v = value.cast("double")
@@ -52,6 +62,7 @@ def score(df: DataFrame, meds: DataFrame, allowed: dict | None = None) -> DataFr
 
     ``allowed`` maps an input to the name of a boolean column (its group's flag).
     """
+    meds = meds.select(*[f"med_{c}" for c, _, _ in TERMS])
     j = df.crossJoin(F.broadcast(meds))  # one row
     inputs = {}
     for c, _, _ in TERMS:
@@ -63,19 +74,21 @@ def score(df: DataFrame, meds: DataFrame, allowed: dict | None = None) -> DataFr
 
 
 def attribution_rows(df: DataFrame, keys: Sequence[str] = ("application_id",),
-                     extra: Sequence[str] = ()) -> DataFrame:
+                     extra: Sequence[str] = (), fitted: DataFrame | None = None) -> DataFrame:
     """E3 (centred) per row: ``attr`` = array of (feature_idx, feature, value, shap) + ``p_approve``.
 
     shap = w * (x - mean(x)) on the capped inputs (nulls take the median), which
     for this linear margin under feature independence is the exact SHAP value.
-    Medians and means are one-row aggregates broadcast back.
+    Medians and means are one-row aggregates broadcast back (``fitted``: the
+    stored parameters of the training table; computed from ``df`` when absent).
     """
-    meds = medians(df)
-    filled = df.crossJoin(F.broadcast(meds)).select(
-        *keys, *extra, *[capped(c, F.coalesce(F.col(c).cast("double"), F.col(f"med_{c}"))).alias(c)
-                         for c, _, _ in TERMS])
-    means = filled.agg(*[F.avg(c).alias(f"mean_{c}") for c, _, _ in TERMS])
-    j = filled.crossJoin(F.broadcast(means))
+    if fitted is None:
+        fitted = params(df)
+    extra = [c for c in extra if c not in keys]
+    j = df.crossJoin(F.broadcast(fitted)).select(
+        *keys, *[F.col(c).alias(f"_in_{c}") for c in extra],
+        *[capped(c, F.coalesce(F.col(c).cast("double"), F.col(f"med_{c}"))).alias(c) for c, _, _ in TERMS],
+        *[F.col(f"mean_{c}") for c, _, _ in TERMS])
     recs = [F.struct(F.lit(FEATURE_INDEX[c]).alias("feature_idx"), F.lit(c).alias("feature"),
                      F.col(c).alias("value"),
                      (F.lit(w) * (F.col(c) - F.col(f"mean_{c}"))).alias("shap"))
@@ -83,10 +96,12 @@ def attribution_rows(df: DataFrame, keys: Sequence[str] = ("application_id",),
     z = F.lit(INTERCEPT)
     for c, w, _ in TERMS:
         z = z + F.lit(w) * F.col(c)
-    return j.select(*keys, *extra, F.array(*recs).alias("attr"), sigmoid(z).alias("p_approve"))
+    return j.select(*keys, *[F.col(f"_in_{c}").alias(c) for c in extra], F.array(*recs).alias("attr"),
+                    sigmoid(z).alias("p_approve"))
 
 
-def attribution(df: DataFrame, keys: Sequence[str] = ("application_id",)) -> DataFrame:
+def attribution(df: DataFrame, keys: Sequence[str] = ("application_id",),
+                fitted: DataFrame | None = None) -> DataFrame:
     """E3 in long form: one row per (row, input)."""
-    rows = attribution_rows(df, keys)
+    rows = attribution_rows(df, keys, fitted=fitted)
     return rows.select(*keys, F.explode("attr").alias("r")).select(*keys, "r.*")

@@ -74,8 +74,8 @@ def _amounts(v):
     return v.questions.select(TX.loan_amount(F.col("question")).alias("amount"))
 
 
-def _cohorts(v):
-    return CH.cohort_stats(_amounts(v), _base(v))
+def _cohorts(v, which=None):
+    return CH.cohort_stats(_amounts(v), _base(v), which)
 
 
 _BASE_SQL = """
@@ -119,22 +119,23 @@ def cohort_base(spark, sf_dir):
 @register("cohort_range", oracle="WITH " + _COHORT_SQL.lstrip() + """
 SELECT amount, uses_fallback, cohort_rows FROM st""", views=("risk_full", "questions"))
 def cohort_range(spark, sf_dir):
-    return _cohorts(views(spark, sf_dir)).select("amount", "uses_fallback", "cohort_rows")
+    return _cohorts(views(spark, sf_dir), []).select("amount", "uses_fallback", "cohort_rows")
 
 
-def _cohort_query(name: str, cols_sql: str, cols):
+def _cohort_query(name: str, cols_sql: str, cols, which):
     @register(name, oracle="WITH " + _COHORT_SQL.lstrip() + f"\nSELECT amount, cohort_rows, {cols_sql} FROM st",
               views=("risk_full", "questions"))
     def q(spark, sf_dir):
-        return round_doubles(_cohorts(views(spark, sf_dir)).select("amount", "cohort_rows", *cols))
+        return round_doubles(_cohorts(views(spark, sf_dir), which).select("amount", "cohort_rows", *cols))
     return q
 
 
-_cohort_query("cohort_bank_balance", _q_sql("bal"), _q_cols("bal"))
-_cohort_query("cohort_income", _q_sql("inc"), _q_cols("inc"))
-_cohort_query("cohort_emi_ratio", _q_sql("ratio"), _q_cols("ratio"))
-_cohort_query("cohort_credit", "ROUND(good_share, 6) AS good_share, " + _q_sql("cibil"), ["good_share"] + _q_cols("cibil"))
-_cohort_query("cohort_utilization", _q_sql("util"), _q_cols("util"))
+_cohort_query("cohort_bank_balance", _q_sql("bal"), _q_cols("bal"), ["bal"])
+_cohort_query("cohort_income", _q_sql("inc"), _q_cols("inc"), ["inc"])
+_cohort_query("cohort_emi_ratio", _q_sql("ratio"), _q_cols("ratio"), ["ratio"])
+_cohort_query("cohort_credit", "ROUND(good_share, 6) AS good_share, " + _q_sql("cibil"), ["good_share"] + _q_cols("cibil"),
+              ["cibil"])
+_cohort_query("cohort_utilization", _q_sql("util"), _q_cols("util"), ["util"])
 
 
 @register("cohort_behaviour", oracle="WITH " + _COHORT_SQL.lstrip() + """
@@ -142,7 +143,7 @@ SELECT amount, 'mobile_usage_score' AS metric, ROUND(mob_q25, 6) AS q25, ROUND(m
 UNION ALL SELECT amount, 'transaction_stability_score', ROUND(txn_q25, 6), ROUND(txn_q50, 6), ROUND(txn_q75, 6) FROM st""",
           views=("risk_full", "questions"))
 def cohort_behaviour(spark, sf_dir):
-    c = _cohorts(views(spark, sf_dir))
+    c = _cohorts(views(spark, sf_dir), ["mob", "txn"])
     long = c.select("amount", F.explode(F.array(
         F.struct(F.lit("mobile_usage_score").alias("metric"), *[F.col(f"mob_q{q}").alias(f"q{q}") for q in (25, 50, 75)]),
         F.struct(F.lit("transaction_stability_score").alias("metric"),
@@ -170,11 +171,10 @@ def semantic_topk(spark, sf_dir):
 
 
 def _latest(v, spark, sf_dir):
-    e = explained(spark, sf_dir).select("application_id", "decision",
-                                         F.try_element_at(F.col("top_negative"), F.lit(1))["feature"]
-                                         .alias("main_negative_feature"))
-    keys = v.scored.select("application_id", "applicant_id", "submitted_at")
-    return AD.latest_decision(e.join(keys, "application_id"))
+    e = explained(spark, sf_dir, extra=["applicant_id", "submitted_at"]).select(
+        "application_id", "applicant_id", "submitted_at", "decision",
+        F.try_element_at(F.col("top_negative"), F.lit(1))["feature"].alias("main_negative_feature"))
+    return AD.latest_decision(e)
 
 
 @register("question_context", oracle=f"""

@@ -222,8 +222,9 @@ SELECT application_id, ROUND(1e0 / (1e0 + EXP(-(-2.0e0 + 1.5e0 * COALESCE(Credit
   + 0.004e0 * cibil_proxy_score + 0.01e0 * LEAST(income_to_emi_ratio, 50e0) - 0.05e0 * LEAST(credit_utilization, 20e0)
   + 0.000001e0 * bank_balance))), 6) AS p_approve FROM risk""", views=("risk",))
 def scorecard(spark, sf_dir):
-    r = views(spark, sf_dir).risk.select(*_SCORE_INPUTS)
-    return round_doubles(SC.score(r, SC.medians(r)).select("application_id", "p_approve"))
+    v = views(spark, sf_dir)
+    r = v.risk.select(*_SCORE_INPUTS)
+    return round_doubles(SC.score(r, v.scorecard_params).select("application_id", "p_approve"))
 
 
 def _whatif_sql():
@@ -257,7 +258,7 @@ FROM s"""
 def consent_whatif(spark, sf_dir):
     v = views(spark, sf_dir)
     r = v.risk.select(*_SCORE_INPUTS, "applicant_id")
-    meds = SC.medians(r)
+    meds = v.scorecard_params
     flagged = CO.with_flags(r, _state(v), KNOWN_GROUPS)
     allowed = {c: CO.flag_col(FEATURE_GROUP[c]) for c, _, _ in SC.TERMS if c in FEATURE_GROUP}
     base = SC.score(flagged, meds).withColumnRenamed("p_approve", "p_baseline")

@@ -17,18 +17,20 @@ _RULE_INPUTS = ["ApplicantIncome", "CoapplicantIncome", "LoanAmount", "Loan_Amou
                 "credit_utilization"]
 
 
-def explained(spark, sf_dir):
-    """Per application: sorted attributions, scorecard decision, reasons."""
+def explained(spark, sf_dir, extra=()):
+    """Per application: sorted attributions, scorecard decision, reasons (+ ``extra`` columns carried)."""
     v = views(spark, sf_dir)
-    src = v.scored.select("application_id", *dict.fromkeys(_INPUTS + _RULE_INPUTS))
-    rows = SC.attribution_rows(src, ["application_id"])
+    src = v.scored.select("application_id", *dict.fromkeys(_INPUTS + list(extra)))
+    rows = SC.attribution_rows(src, ["application_id"], extra=list(extra), fitted=v.scorecard_params)
     rows = rows.withColumn("attr", EX.sorted_attr(F.col("attr"))) \
                .withColumn("decision", FX.decision_label("p_approve"))
     return EX.reasons(rows)
 
 
 def _long(df, col):
-    return df.select("application_id", F.posexplode(col).alias("pos", "r")).select(
+    # outer generator: a non-outer one makes the optimizer infer size(col) > 0 and push that
+    # whole array expression into the join below, evaluating it twice
+    return df.select("application_id", F.posexplode_outer(col).alias("pos", "r")).where(F.col("pos").isNotNull()).select(
         "application_id", (F.col("pos") + 1).alias("rank"), F.col("r.feature").alias("feature"),
         F.col("r.shap").alias("shap"))
 
@@ -66,8 +68,9 @@ WITH {_attr_sql()}
 SELECT application_id, feature_idx, feature, ROUND(value, 6) AS value, ROUND(shap, 6) AS shap FROM attr""",
           views=("risk_full",))
 def linear_attribution(spark, sf_dir):
-    src = views(spark, sf_dir).scored.select("application_id", *_INPUTS)
-    return round_doubles(SC.attribution(src, ["application_id"]))
+    v = views(spark, sf_dir)
+    src = v.scored.select("application_id", *_INPUTS)
+    return round_doubles(SC.attribution(src, ["application_id"], fitted=v.scorecard_params))
 
 
 @register("shap_top_features", oracle=f"""
@@ -161,17 +164,14 @@ SELECT application_id, 1, '{RM.ADVICE_GENERIC}' FROM apps WHERE application_id N
 
 
 def _steps_long(df, col):
-    return df.select("application_id", F.posexplode(col).alias("pos", "step")).select(
+    return df.select("application_id", F.posexplode_outer(col).alias("pos", "step")).select(
         "application_id", (F.col("pos") + 1).alias("step_no"), "step")
 
 
 @register("remediation_rules", oracle=_rules_sql(), views=("risk_full",))
 def remediation_rules(spark, sf_dir):
-    v = views(spark, sf_dir)
-    e = explained(spark, sf_dir)
-    inputs = v.scored.select("application_id", *_RULE_INPUTS)
-    j = e.select("application_id", "top_negative").join(inputs, "application_id")
-    return _steps_long(j.select("application_id", RM.rule_steps().alias("steps")), "steps")
+    e = explained(spark, sf_dir, extra=_RULE_INPUTS)
+    return _steps_long(e.select("application_id", RM.rule_steps().alias("steps")), "steps")
 
 
 @register("remediation_templates", oracle=f"""

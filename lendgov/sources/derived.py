@@ -142,6 +142,22 @@ class Views:
         """features + cibil proxy (F6), risk score (F8), probability (F9), decision, label."""
         return self.scored.select(*RISK_COLUMNS)
 
+    @cached_property
+    def scorecard_params(self) -> DataFrame:
+        """Fitted scorecard parameters (medians, means) of the scored table: one row."""
+        from ..operators import scoring as SC
+        inputs = [c for c, _, _ in SC.TERMS]
+        build = lambda: SC.params(self.scored.select(*inputs), self.quantile_accuracy)
+        if not self.materialize:
+            return build()
+        import os as _os
+        from . import materialize as M
+        from ..functions import features as _fx, quantiles as _q
+        code = [__file__, _fx.__file__, _q.__file__, SC.__file__]
+        inputs_p = [_os.path.join(self.sf_dir, f"{n}.parquet") for n in ("orders", "customer")]
+        return M.materialized(self.spark, "scorecard_params", inputs_p, code, build,
+                              extra=f"acc={self.quantile_accuracy}")
+
     @cached_property
     def consent_events(self) -> DataFrame:
         e = self.t.events.select("event_id", "ts", "user_id", "event_type", "props")
