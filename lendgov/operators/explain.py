@@ -32,6 +32,14 @@ def sorted_attr(arr):
     return F.transform(F.sort_array(keyed), lambda x: x["a"])
 
 
+def zero_attribution(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ("application_id",)) -> DataFrame:
+    """Every feature contributes 0 (last-resort explanation), as an ``attr`` array."""
+    recs = [F.struct(F.lit(i).alias("feature_idx"), F.lit(f).alias("feature"),
+                     F.col(f).cast("double").alias("value"), F.lit(0.0).alias("shap"))
+            for i, f in enumerate(features)]
+    return df.select(*keys, F.array(*recs).alias("attr"))
+
+
 def reasons(df: DataFrame, attr_col: str = "attr", k: int = TOP_K) -> DataFrame:
     """Adds top_features, top_negative, top_positive (each at most k)."""
     a = F.col(attr_col)

@@ -107,3 +107,26 @@ def alert_snapshot(rates: DataFrame, disp: DataFrame, alerts: DataFrame) -> Data
         x["threshold"].alias("threshold"))).alias("alerts")))
     return j.select("sensitive_feature", F.lit("bias-alert").alias("event_type"),
                     snapshot.alias("fairness_snapshot"), details.alias("details"))
+
+
+def label_from_class(col: str = "class", positive: str = "good"):
+    """Text target -> 0/1 label."""
+    return (F.col(col) == F.lit(positive)).cast("int")
+
+
+def dataset_fairness(df: DataFrame, score, target: str = "class", threshold: float = 0.5,
+                     candidates: Sequence[str] = SENSITIVE_CANDIDATES) -> tuple[dict, DataFrame | None]:
+    """Fairness of a scored dataset with a text target (credit-g flow: S14, P4, P5, A5-A7).
+
+    ``score`` is a Column with the positive-class probability. Returns
+    ({available, reason, sensitive_feature}, selection-rate DataFrame or None);
+    all checks are on the schema, so nothing runs until the rates are used.
+    """
+    if target not in df.columns:
+        return {"available": False, "reason": f"No '{target}' column in dataset"}, None
+    attr = pick_sensitive(df, candidates)
+    if attr is None:
+        return {"available": False, "reason": "No suitable sensitive attribute found"}, None
+    pred = df.select(label_from_class(target).alias("y_true"),
+                     (score >= threshold).cast("int").alias("y_pred"), F.col(attr))
+    return {"available": True, "reason": None, "sensitive_feature": attr}, selection_rates(pred, [attr], "y_pred")

@@ -79,25 +79,25 @@ def kernel_shap(rows: DataFrame, background: DataFrame, id_col: str, features: S
     bg = background.select(*features).collect()  # n_background rows (bounded by construction)
     nb = len(bg)
     c_full = len(z)
-    # (coalition, background) grid as literals: masks, P columns, background values.
-    grid = []
+    # (coalition, background) grid: masks, background values and the P column of the
+    # coalition; at most (C + 1) * B rows, so broadcasting it is bounded by the budget.
+    grid_rows = []
     for c in range(c_full + 1):
         mask = [True] * m if c == c_full else [bool(v) for v in z[c]]
-        for bi, b in enumerate(bg):
-            grid.append(F.struct(
-                F.lit(c).alias("c"),
-                *[F.lit(mask[j]).alias(f"m{j}") for j in range(m)],
-                *[F.lit(float(b[j]) if b[j] is not None else None).cast("double").alias(f"b{j}")
-                  for j in range(m)]))
+        pc = [0.0] * (m - 1) if c == c_full else [float(p[j, c]) for j in range(m - 1)]
+        for b in bg:
+            grid_rows.append((c == c_full, *mask, *[float(v) if v is not None else None for v in b], *pc))
+    schema = ("full boolean, " + ", ".join(f"m{j} boolean" for j in range(m)) + ", " +
+              ", ".join(f"b{j} double" for j in range(m)) +
+              ("" if m == 1 else ", " + ", ".join(f"p{j} double" for j in range(m - 1))))
+    grid = rows.sparkSession.createDataFrame(grid_rows, schema)
     x = rows.select(id_col, *[F.col(f).cast("double").alias(f"x{j}") for j, f in enumerate(features)])
-    mixed = x.select(id_col, *[f"x{j}" for j in range(m)], F.explode(F.array(*grid)).alias("g"))
-    vals = {f: F.when(F.col(f"g.m{j}"), F.col(f"x{j}")).otherwise(F.col(f"g.b{j}"))
-            for j, f in enumerate(features)}
+    mixed = x.crossJoin(F.broadcast(grid))
+    vals = {f: F.when(F.col(f"m{j}"), F.col(f"x{j}")).otherwise(F.col(f"b{j}")) for j, f in enumerate(features)}
     out = model(vals)
-    per = mixed.select(id_col, F.col("g.c").alias("_c"), out.alias("_o")).groupBy(id_col).agg(
-        (F.sum(F.when(F.col("_c") == c_full, F.col("_o"))) / nb).alias("_fx"),
-        *[(F.sum(F.element_at(F.array(*[F.lit(float(v)) for v in p[j]] + [F.lit(0.0)]), F.col("_c") + 1)
-                 * F.col("_o")) / nb).alias(f"_a{j}") for j in range(m - 1)])
+    per = mixed.select(id_col, "full", *[f"p{j}" for j in range(m - 1)], out.alias("_o")).groupBy(id_col).agg(
+        (F.sum(F.when(F.col("full"), F.col("_o"))) / nb).alias("_fx"),
+        *[(F.sum(F.col(f"p{j}") * F.col("_o")) / nb).alias(f"_a{j}") for j in range(m - 1)])
     # E[f] over the background, from the same model expression on literals.
     ef_terms = [model({f: F.lit(float(b[j]) if b[j] is not None else None).cast("double")
                        for j, f in enumerate(features)}) for b in bg]

@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from ..functions.quantiles import multi_quantiles
 
 
+def split_by_dtype(df: DataFrame, exclude: Sequence[str] = ()) -> tuple[list[str], list[str]]:
+    """Numeric and categorical column names from the schema (no job)."""
+    from pyspark.sql.types import NumericType
+    num = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in exclude]
+    cat = [f.name for f in df.schema.fields if not isinstance(f.dataType, NumericType) and f.name not in exclude]
+    return num, cat
+
+
 def medians(df: DataFrame, cols: Sequence[str], accuracy: int = 10000) -> DataFrame:
     """One row of exact medians, ``med_<c>``."""
     return multi_quantiles(df, [(c, 0.5, f"med_{c}") for c in cols], accuracy=accuracy)
