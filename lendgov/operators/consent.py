@@ -97,11 +97,20 @@ def flag_col(group: str) -> str:
     return "ok_" + "".join(ch if ch.isalnum() else "_" for ch in group)
 
 
-def with_flags(df: DataFrame, state: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Attach per-group allowed flags to rows keyed by applicant_id (missing -> allowed)."""
-    flags = consent_flags(state, groups)
-    for g in groups:
-        flags = flags.withColumnRenamed(g, flag_col(g))
+def flags_from_events(events: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """One row per applicant with events: latest allowed flag per group (null: no event).
+
+    One partial aggregate (max_by skips rows whose ordering is null), no grid.
+    """
+    order = F.struct("ts", "event_id")
+    return events.groupBy("applicant_id").agg(*[
+        F.max_by(F.when(F.col("group_name") == g, F.col("allowed")),
+                 F.when(F.col("group_name") == g, order)).alias(flag_col(g)) for g in groups])
+
+
+def with_flags(df: DataFrame, events: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Attach per-group allowed flags to rows keyed by applicant_id (no event -> allowed)."""
+    flags = flags_from_events(events, groups)
     j = df.join(flags, "applicant_id", "left")
     return j.select(*df.columns, *[F.coalesce(F.col(flag_col(g)), F.lit(True)).alias(flag_col(g)) for g in groups])
 

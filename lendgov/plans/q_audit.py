@@ -38,8 +38,9 @@ def _decision_links(v):
 
 
 def _gov_stored(v):
-    g = v.governance_events
-    return g.select("chain_id", "seq", "ts", "event_type",
+    """Governance events as stored rows; ordered by (ts, event_id) within a chain by the fold."""
+    g = v.governance_events_unsequenced
+    return g.select("chain_id", "event_id", "ts", "event_type",
                     F.coalesce("model_version", F.lit("unknown")).alias("model_version"),
                     F.lit("{}").alias("input_features"), F.lit("{}").alias("output_decision"),
                     F.lit("{}").alias("fairness_snapshot"), F.coalesce("details", F.lit("{}")).alias("details"))
@@ -51,7 +52,7 @@ def _gov_payload():
 
 def _gov_links(v):
     g = _gov_stored(v).withColumn("payload", _gov_payload())
-    links = AU.chain_links(g.withColumnRenamed("seq", "event_seq"), "chain_id", ["event_seq"], "payload",
+    links = AU.chain_links(g, "chain_id", ["ts", "event_id"], "payload",
                            ["ts", "event_type", "model_version", "input_features", "output_decision",
                             "fairness_snapshot", "details"])
     return links
@@ -136,7 +137,7 @@ def audit_log(spark, sf_dir):
     v = views(spark, sf_dir)
     links = _decision_links(v)
     from .q_consent import _state
-    flagged = CO.with_flags(links.withColumnRenamed("chain_id", "applicant_id"), _state(v), KNOWN_GROUPS)
+    flagged = CO.with_flags(links.withColumnRenamed("chain_id", "applicant_id"), v.consent_events, KNOWN_GROUPS)
     return flagged.select(F.col("application_id").alias("id"), F.col("submitted_at").alias("timestamp"),
                           "input_hash", "output_hash", "previous_hash",
                           _consent_json_spark().alias("consent_state"),

@@ -29,7 +29,7 @@ def _served_with_flags(v):
     apps = v.applications
     served = FX.with_serve_features(apps).select("application_id", "applicant_id", "submitted_at",
                                                  *SERVE_FEATURES)
-    return CO.with_flags(served, _state(v), KNOWN_GROUPS)
+    return CO.with_flags(served, v.consent_events, KNOWN_GROUPS)
 
 
 # ---- oracle building blocks -------------------------------------------------
@@ -259,7 +259,7 @@ def consent_whatif(spark, sf_dir):
     v = views(spark, sf_dir)
     r = v.risk.select(*_SCORE_INPUTS, "applicant_id")
     meds = v.scorecard_params
-    flagged = CO.with_flags(r, _state(v), KNOWN_GROUPS)
+    flagged = CO.with_flags(r, v.consent_events, KNOWN_GROUPS)
     allowed = {c: CO.flag_col(FEATURE_GROUP[c]) for c, _, _ in SC.TERMS if c in FEATURE_GROUP}
     base = SC.score(flagged, meds).withColumnRenamed("p_approve", "p_baseline")
     both = SC.score(base, meds, allowed).withColumnRenamed("p_approve", "p_consent")

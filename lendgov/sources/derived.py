@@ -112,29 +112,38 @@ class Views:
         j = o.join(c, o.o_custkey == c.c_custkey, "inner")
         return j.selectExpr(*_APPLICATION_EXPRS)
 
+    def _code_files(self, *extra_modules):
+        from ..functions import features as _fx, quantiles as _q
+        return [__file__, _fx.__file__, _q.__file__, *[m.__file__ for m in extra_modules]]
+
+    def _inputs(self):
+        import os as _os
+        return [_os.path.join(self.sf_dir, f"{n}.parquet") for n in ("orders", "customer")]
+
     @cached_property
     def features(self) -> DataFrame:
-        """applications + training-time engineered features (F1-F5), no global stats."""
-        if self.materialize:
-            return self.scored.drop("max_income", "q_ratio", "q_bal", "cibil_proxy_score", "risk_score",
-                                    "mn", "mx", "probability", "decision", "Approved")
-        return FX.with_train_features(self.applications_from_raw)
+        """applications + training-time engineered features (F1-F5), no global stats.
+
+        Materialized first: the statistics passes of the scored table then scan
+        three columns of this table instead of recomputing the join.
+        """
+        build = lambda: FX.with_train_features(self.applications_from_raw)
+        if not self.materialize:
+            return build()
+        from . import materialize as M
+        return M.materialized(self.spark, "features", self._inputs(), self._code_files(), build)
 
     def build_scored(self) -> DataFrame:
-        """The scored loan dataset from the raw tables (one lazy plan)."""
-        return FX.with_risk(FX.with_train_features(self.applications_from_raw), accuracy=self.quantile_accuracy)
+        """The scored loan dataset from the features table."""
+        return FX.with_risk(self.features, accuracy=self.quantile_accuracy)
 
     @cached_property
     def scored(self) -> DataFrame:
         """Every application column + engineered features, risk score, probability, decision, label."""
         if not self.materialize:
             return self.build_scored()
-        import os as _os
         from . import materialize as M
-        from ..functions import features as _fx, quantiles as _q
-        code = [__file__, _fx.__file__, _q.__file__]
-        inputs = [_os.path.join(self.sf_dir, f"{n}.parquet") for n in ("orders", "customer")]
-        return M.materialized(self.spark, "scored", inputs, code, self.build_scored,
+        return M.materialized(self.spark, "scored", self._inputs(), self._code_files(), self.build_scored,
                               extra=f"acc={self.quantile_accuracy}")
 
     @cached_property
@@ -150,12 +159,8 @@ class Views:
         build = lambda: SC.params(self.scored.select(*inputs), self.quantile_accuracy)
         if not self.materialize:
             return build()
-        import os as _os
         from . import materialize as M
-        from ..functions import features as _fx, quantiles as _q
-        code = [__file__, _fx.__file__, _q.__file__, SC.__file__]
-        inputs_p = [_os.path.join(self.sf_dir, f"{n}.parquet") for n in ("orders", "customer")]
-        return M.materialized(self.spark, "scorecard_params", inputs_p, code, build,
+        return M.materialized(self.spark, "scorecard_params", self._inputs(), self._code_files(SC), build,
                               extra=f"acc={self.quantile_accuracy}")
 
     @cached_property
@@ -166,6 +171,17 @@ class Views:
             _case_map("event_type", CONSENT_GROUP_OF_EVENT, CONSENT_GROUP_DEFAULT).alias("group_name"),
             (F.get_json_object("props", "$.k").cast("int") % 3 != 0).alias("allowed"))
 
+    @cached_property
+    def governance_events_unsequenced(self) -> DataFrame:
+        """Governance events without the per-chain sequence number (chain folds number them)."""
+        e = self.t.events.select("event_id", "ts", "user_id", "event_type", "props")
+        return e.select(
+            F.col("user_id").alias("chain_id"), "event_id", "ts",
+            _case_map("event_type", GOVERNANCE_TYPE_OF_EVENT, GOVERNANCE_TYPE_DEFAULT).alias("event_type"),
+            F.when(F.col("event_id") % 11 == 0, F.lit(None).cast("string"))
+             .otherwise(F.lit("indian_v1")).alias("model_version"),
+            F.col("props").alias("details"))
+
     @cached_property
     def governance_events(self) -> DataFrame:
         from pyspark.sql import Window

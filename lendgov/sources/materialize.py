@@ -25,10 +25,55 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ensure_checkpoint_dir
 
 
+class _LocalFS:
+    """Local-folder stand-in for the Hadoop FileSystem calls used here (no JVM access)."""
+
+    class _St:
+        def __init__(self, path):
+            self.path = path
+
+        def getPath(self):
+            return self.path
+
+        def getLen(self):
+            return os.path.getsize(self.path)
+
+        def getModificationTime(self):
+            return int(os.path.getmtime(self.path) * 1000)
+
+        def isDirectory(self):
+            return os.path.isdir(self.path)
+
+    def exists(self, p):
+        return os.path.exists(p)
+
+    def getFileStatus(self, p):
+        return self._St(p)
+
+    def listStatus(self, p):
+        return [self._St(os.path.join(p, n)) for n in sorted(os.listdir(p))]
+
+    def rename(self, a, b):
+        try:
+            os.rename(a, b)
+            return True
+        except OSError:
+            return False
+
+    def delete(self, p, recursive):
+        import shutil
+        shutil.rmtree(p, ignore_errors=True)
+        return True
+
+
 def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: local paths only
+        local = path[len("file:"):] if path.startswith("file:") else path
+        return _LocalFS(), local
 
 
 def _signature(spark: SparkSession, inputs: Sequence[str], code_files: Sequence[str], extra: str) -> str:
@@ -51,7 +96,7 @@ def materialized(spark: SparkSession, name: str, inputs: Sequence[str], code_fil
     root = os.path.join(ensure_checkpoint_dir(spark), "tables")
     path = os.path.join(root, f"{name}-{_signature(spark, inputs, code_files, extra)}")
     fs, p = _fs(spark, path)
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    _, done = _fs(spark, path + "/_SUCCESS")
     if rebuild or not fs.exists(done):
         tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
         build().write.mode("overwrite").parquet(tmp)
