@@ -10,8 +10,7 @@ def _frame(spark, events):
     apps = spark.createDataFrame([(1, 1, 1000, "Male", 5), (2, 2, 2000, "Female", 6)],
                                  "application_id long, applicant_id long, LoanAmount long, Gender string, bank_balance long")
     ev = spark.createDataFrame(events, "event_id long, ts timestamp, applicant_id long, group_name string, allowed boolean")
-    state = CO.consent_state(apps.select("applicant_id").distinct(), ev, GROUPS)
-    return CO.with_flags(apps, state, GROUPS)
+    return CO.with_flags(apps, ev, GROUPS)
 
 
 def test_drop_mask_denied_group_and_ungrouped(spark):
