@@ -45,6 +45,19 @@ def topk_inner_product(queries: DataFrame, docs: DataFrame, k: int = 3, exclude_
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def centroids(df: DataFrame, key: str = "label", vec: str = "embedding") -> DataFrame:
+    """Mean vector per key, L2-normalised: (query_id, unit).
+
+    Element-wise means via (key, position) partial aggregates, so the work is
+    one pass over the table and what is regrouped is keys x dimensions.
+    """
+    pos = df.select(F.col(key).alias("query_id"), F.posexplode(as_double(F.col(vec))).alias("i", "x"))
+    means = pos.groupBy("query_id", "i").agg(F.avg("x").alias("m"))
+    arr = means.groupBy("query_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("embedding"))
+    return normalized(arr, "embedding", "unit").select("query_id", "unit")
+
+
 # The guidance corpus, in document order.
 GUIDANCE = [
     "To improve loan approval chances, maintain a strong history of on-time repayments.",

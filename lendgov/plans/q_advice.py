@@ -155,18 +155,21 @@ _UNIT = "CAST({e} AS DOUBLE[])"
 
 
 @register("semantic_topk", oracle="""
-WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qe FROM embeddings WHERE vec_id < 20),
+WITH ex AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT label, i, AVG(x) AS m FROM ex GROUP BY 1, 2),
+q AS (SELECT label AS query_id, list(m ORDER BY i) AS qe FROM m GROUP BY 1),
 d AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS de FROM embeddings),
 s AS (SELECT query_id, doc_id,
         list_dot_product(qe, de) / (sqrt(list_dot_product(qe, qe)) * sqrt(list_dot_product(de, de))) AS score
-      FROM q CROSS JOIN d WHERE doc_id <> query_id)
-SELECT query_id, rank, doc_id, ROUND(score, 6) AS score FROM (
+      FROM q CROSS JOIN d)
+SELECT CAST(query_id AS BIGINT) AS query_id, rank, doc_id, ROUND(score, 6) AS score FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) x WHERE rank <= 3""")
 def semantic_topk(spark, sf_dir):
-    e = RT.normalized(views(spark, sf_dir).t.embeddings.select("vec_id", "embedding"))
-    docs = e.select(F.col("vec_id").alias("doc_id"), "unit")
-    queries = e.where(F.col("vec_id") < 20).select(F.col("vec_id").alias("query_id"), "unit")
-    top = RT.topk_inner_product(queries, docs, k=3)
+    """J9 + W8: top-3 documents for each label's centroid, over every embedding."""
+    e = views(spark, sf_dir).t.embeddings.select("vec_id", "embedding", "label")
+    docs = RT.normalized(e).select(F.col("vec_id").alias("doc_id"), "unit")
+    queries = RT.centroids(e).select(F.col("query_id").cast("bigint").alias("query_id"), "unit")
+    top = RT.topk_inner_product(queries, docs, k=3, exclude_self=False)
     return round_doubles(top.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "score"))
 
 
