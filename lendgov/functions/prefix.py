@@ -54,3 +54,31 @@ def roc_auc(scored: DataFrame, label: str = "label", score: str = "score") -> Da
     return u.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n")))
                     .otherwise(F.lit(0.0)).alias("auc"),
                     F.col("p").alias("n_pos"), F.col("n").alias("n_neg"))
+
+
+def distributed_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, default,
+                    out: str = "prev", num_ranges: int | None = None) -> DataFrame:
+    """``lag(value, 1, default)`` over (partition by keys order by order) without a per-key task.
+
+    Rows are range-partitioned on (keys, order), so one key may span several
+    ranges; the lag is taken inside each range, and the first row of a range
+    takes the last row of the previous range when it has the same key (a
+    table of one row per range, broadcast). A hot key is spread over ranges
+    instead of landing in one task. (keys, order) must be unique per row.
+    """
+    from ..session import ensure_checkpoint_dir
+    n = num_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(df.sparkSession)
+    sort_cols = list(keys) + list(order)
+    ranged = df.repartitionByRange(n, *sort_cols).withColumn("_rid", F.spark_partition_id()) \
+        .checkpoint(eager=True)
+    w = Window.partitionBy("_rid", *keys).orderBy(*order)
+    local = ranged.select("*", F.lag(value, 1).over(w).alias("_lag"),
+                          F.row_number().over(w).alias("_rn"))
+    key_struct = F.struct(*[F.col(k) for k in keys])
+    last = ranged.groupBy("_rid").agg(F.max_by(F.struct(key_struct.alias("k"), F.col(value).alias("v")),
+                                               F.struct(*sort_cols)).alias("_last"))
+    prev_last = last.select((F.col("_rid") + 1).alias("_rid"), F.col("_last"))
+    j = local.join(F.broadcast(prev_last), "_rid", "left")  # one row per range
+    carried = F.when((F.col("_rn") == 1) & (F.col("_last.k") == key_struct), F.col("_last.v"))
+    return j.select(*df.columns, F.coalesce(F.col("_lag"), carried, F.lit(default)).alias(out))

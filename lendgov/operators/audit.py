@@ -110,3 +110,52 @@ def recent_events(log: DataFrame, limit: int = 100, json_schema: str = "k INT")
     return top.select("chain_id", "seq", F.concat(iso_text("ts"), F.lit("Z")).alias("timestamp"),
                       "event_type", "model_version", "previous_hash", "output_hash",
                       parsed.alias("details_parsed"))
+
+
+def segmented_chain(df: DataFrame, chain_col: str, segment_col: str, order_cols: Sequence[str],
+                    payload_col: str, carry_cols: Sequence[str],
+                    num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Hash chains split into (chain, segment) pieces folded in parallel, plus an anchor chain.
+
+    A single chain is one sequential fold; when one chain holds a large share of
+    all rows, cut it into segments (e.g. the day): each segment is its own chain
+    (first previous_hash null), and an anchor chain per chain hashes the segment
+    tips in segment order, so changing, deleting or reordering any link still
+    breaks a recomputed hash. Returns (links, anchors).
+    """
+    from ..functions.hashing import canonical
+    key = F.concat_ws("|", F.col(chain_col).cast("string"), F.col(segment_col).cast("string"))
+    d = df.withColumn("_seg_chain", key)
+    carry = [chain_col, segment_col] + [c for c in carry_cols if c not in (chain_col, segment_col)]
+    links = chain_links(d, "_seg_chain", order_cols, payload_col, carry, num_partitions)
+    tips = links.groupBy(chain_col, segment_col).agg(
+        F.max_by("output_hash", "seq").alias("tip_hash"), F.count(F.lit(1)).alias("n_links"))
+    tips = tips.withColumn("payload", canonical([("n_links", F.col("n_links")), ("segment", F.col(segment_col)),
+                                                 ("tip_hash", F.col("tip_hash"))]))
+    anchors = chain_links(tips, chain_col, [segment_col], "payload",
+                          [segment_col, "tip_hash", "n_links"], num_partitions)
+    return links.drop("_seg_chain"), anchors
+
+
+def verify_segmented(links: DataFrame, anchors: DataFrame, payload: Column, chain_col: str,
+                     segment_col: str) -> DataFrame:
+    """Per chain: link and anchor checks; the anchor's tips must equal the segments' recomputed tips."""
+    from ..functions.hashing import canonical
+    seg_key = F.concat_ws("|", F.col(chain_col).cast("string"), F.col(segment_col).cast("string"))
+    seg_checks = verify(links.withColumn("_sc", seg_key), payload, chain_col="_sc")
+    seg_bad = seg_checks.join(links.withColumn("_sc", seg_key).select("_sc", chain_col).distinct(), "_sc") \
+        .groupBy(chain_col).agg(F.count_if(~(F.col("content_ok") & F.col("link_ok"))).alias("segment_violations"))
+    tips = links.groupBy(chain_col, segment_col).agg(F.max_by("output_hash", "seq").alias("tip_now"),
+                                                      F.count(F.lit(1)).alias("n_now"))
+    a = anchors.join(tips, [chain_col, segment_col], "full_outer")
+    tip_bad = a.groupBy(chain_col).agg(F.count_if(
+        ~F.coalesce((F.col("tip_hash") == F.col("tip_now")) & (F.col("n_links") == F.col("n_now")), F.lit(False)))
+        .alias("tip_mismatches"))
+    anchor_payload = canonical([("n_links", F.col("n_links")), ("segment", F.col(segment_col)),
+                                ("tip_hash", F.col("tip_hash"))])
+    anc = verify(anchors, anchor_payload, chain_col=chain_col).groupBy(chain_col).agg(
+        F.count_if(~(F.col("content_ok") & F.col("link_ok"))).alias("anchor_violations"))
+    out = seg_bad.join(tip_bad, chain_col, "full_outer").join(anc, chain_col, "full_outer")
+    return out.select(chain_col, *[F.coalesce(F.col(c), F.lit(0)).alias(c)
+                                   for c in ("segment_violations", "tip_mismatches", "anchor_violations")]) \
+        .withColumn("valid", (F.col("segment_violations") + F.col("tip_mismatches") + F.col("anchor_violations")) == 0)

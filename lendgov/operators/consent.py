@@ -180,11 +180,15 @@ def last_access_local(log: DataFrame, tz: str = "Asia/Kolkata", suffix: str = "I
 
 
 def consent_changes(events: DataFrame) -> DataFrame:
-    """Each event that flips a group's state (previous state defaults to allowed)."""
-    w = Window.partitionBy("applicant_id", "group_name").orderBy("ts", "event_id")
-    prev = F.lag("allowed", 1, True).over(w)
-    return events.select("applicant_id", "group_name", "event_id", "ts", "allowed", prev.alias("_prev")) \
-        .where(F.col("allowed") != F.col("_prev")) \
+    """Each event that flips a group's state (previous state defaults to allowed).
+
+    The previous state comes from a distributed lag over (applicant, group), so
+    an applicant with a huge event history is split across tasks.
+    """
+    from ..functions.prefix import distributed_lag
+    ev = events.select("applicant_id", "group_name", "event_id", "ts", "allowed")
+    lagged = distributed_lag(ev, ["applicant_id", "group_name"], ["ts", "event_id"], "allowed", True, "_prev")
+    return lagged.where(F.col("allowed") != F.col("_prev")) \
         .select("applicant_id", "group_name", "event_id", "ts",
                 F.when(F.col("allowed"), F.lit("enabled")).otherwise(F.lit("disabled")).alias("change"))
 

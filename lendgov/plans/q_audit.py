@@ -199,3 +199,21 @@ def recent_governance(spark, sf_dir):
     ev = AU.recent_events(_gov_links(views(spark, sf_dir)), 100)
     return ev.select("chain_id", "seq", "timestamp", "event_type", "model_version", "previous_hash",
                      "output_hash", F.col("details_parsed.k").alias("details_k"))
+
+
+@register("decision_chain_segmented")
+def decision_chain_segmented(spark, sf_dir):
+    """H3 with hot-chain splitting: per (applicant, decision day) links + per-applicant anchor chain.
+
+    Returns the anchor rows (one per applicant and day); the links are the
+    same fold as ``decision_chain`` restricted to each day.
+    """
+    v = views(spark, sf_dir)
+    s = v.scored.select("application_id", "applicant_id", "submitted_at", "decision", "probability",
+                        *RAW_FEATURES)
+    s = s.select("application_id", F.col("applicant_id").alias("chain_id"), "submitted_at", "decision",
+                 "probability", F.to_date("submitted_at").alias("day"), _input_hash_col().alias("input_hash"))
+    s = s.withColumn("payload", _decision_payload())
+    links, anchors = AU.segmented_chain(s, "chain_id", "day", ["submitted_at", "application_id"], "payload",
+                                        ["application_id", "submitted_at", "input_hash"])
+    return anchors.select("chain_id", "day", "seq", "n_links", "tip_hash", "previous_hash", "output_hash")

@@ -90,3 +90,16 @@ def test_training_smoke(spark):
                                                 "model_order int, model string, auc double, f1 double"))
     assert best.collect()[0].model == "l"
     assert F is not None
+
+
+def test_distributed_lag_matches_window(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from lendgov.functions.prefix import distributed_lag
+    # one hot key spanning every range plus many small keys
+    df = spark.range(0, 6000).selectExpr("CASE WHEN id < 4000 THEN 0 ELSE id % 97 + 1 END AS k",
+                                         "id AS t", "CAST((id * 7) % 5 AS INT) AS v")
+    got = distributed_lag(df, ["k"], ["t"], "v", -1, num_ranges=7).toPandas().sort_values(["k", "t"])
+    w = Window.partitionBy("k").orderBy("t")
+    want = df.select("*", F.lag("v", 1, -1).over(w).alias("prev")).toPandas().sort_values(["k", "t"])
+    assert (got.prev.values == want.prev.values).all()
