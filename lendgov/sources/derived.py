@@ -184,6 +184,8 @@ class Views:
 
     @cached_property
     def governance_events(self) -> DataFrame:
+        """The FIXTURES view with its dense per-chain ``seq`` (a window per chain; chain
+        folds number links themselves and read ``governance_events_unsequenced``)."""
         from pyspark.sql import Window
         e = self.t.events.select("event_id", "ts", "user_id", "event_type", "props")
         w = Window.partitionBy("user_id").orderBy("ts", "event_id")
