@@ -52,3 +52,23 @@ def test_summary_empty(spark):
     df = spark.createDataFrame([], "decision string")
     r = MO.summary(df).collect()[0]
     assert (r.total, r.approval_rate) == (0, 0.0)
+
+
+def test_permutation_invariance(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=5, deadline=None)
+    @given(st.lists(st.tuples(st.sampled_from(["M", "F", None]), st.integers(0, 1)), min_size=1, max_size=40),
+           st.randoms())
+    def check(rows, rnd):
+        shuffled = list(rows)
+        rnd.shuffle(shuffled)
+        a = FA.selection_rates(spark.createDataFrame(rows, "g string, y int"), ["g"], "y").collect()
+        b = FA.selection_rates(spark.createDataFrame(shuffled, "g string, y int"), ["g"], "y").collect()
+        assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+        s1 = MO.summary(spark.createDataFrame([("approved" if y else "denied",) for _, y in rows], "decision string"))
+        s2 = MO.summary(spark.createDataFrame([("approved" if y else "denied",) for _, y in shuffled], "decision string"))
+        assert s1.collect() == s2.collect()
+
+    check()

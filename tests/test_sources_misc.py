@@ -60,3 +60,17 @@ def test_split_by_dtype_and_zero_attribution(spark):
     assert PR.split_by_dtype(df, exclude=["a"]) == (["b"], ["c"])
     z = EX.zero_attribution(df.withColumnRenamed("a", "application_id"), ["b"]).collect()[0]
     assert z.attr[0].shap == 0.0
+
+
+def test_registry_file_and_malformed(spark):
+    d = tempfile.mkdtemp(prefix="lendgov-test-")
+    good = os.path.join(d, "good.json")
+    with open(good, "w") as f:
+        f.write('{\n "version": "v9", "dataset": "x.csv",\n "metrics": {"auc": 0.5, "accuracy": 0.6},\n'
+                ' "metadata": {"target": "Approved"}\n}\n')
+    r = FS.read_model_version(spark, good).collect()[0]
+    assert (r.version, r.metrics.auc, r.metadata.target) == ("v9", 0.5, "Approved")
+    bad = os.path.join(d, "bad.json")
+    with open(bad, "w") as f:
+        f.write("{ not json")
+    assert FS.read_model_version(spark, bad).collect()[0].version == "indian_v1"
