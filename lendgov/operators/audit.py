@@ -25,10 +25,14 @@ from .monitoring import iso_text
 
 
 def chain_links(df: DataFrame, chain_col: str, order_cols: Sequence[str], payload_col: str,
-                carry_cols: Sequence[str], num_partitions: int | None = None) -> DataFrame:
+                carry_cols: Sequence[str], num_partitions: int | None = None,
+                seed: DataFrame | None = None) -> DataFrame:
     """Emit every link: carry columns + seq (1-based) + previous_hash + output_hash.
 
     ``payload_col`` is the canonical text of the link without the previous hash.
+    ``seed`` (chain_col, tip_hash, last_seq), e.g. ``chain_tips`` of the stored
+    log, continues existing chains when a new batch is appended; chains absent
+    from it start fresh.
     """
     carry = [c for c in carry_cols if c not in (chain_col,)]
     fields = [df.schema[chain_col]] + [df.schema[c] for c in carry] + [
@@ -36,6 +40,11 @@ def chain_links(df: DataFrame, chain_col: str, order_cols: Sequence[str], payloa
         T.StructField("output_hash", T.StringType())]
     schema = T.StructType(fields)
     d = df.select(chain_col, *order_cols, payload_col, *[c for c in carry if c not in order_cols])
+    if seed is not None:
+        d = d.join(seed.select(chain_col, F.col("tip_hash").alias("_seed_hash"),
+                               F.col("last_seq").cast("long").alias("_seed_seq")), chain_col, "left")
+    else:
+        d = d.withColumn("_seed_hash", F.lit(None).cast("string")).withColumn("_seed_seq", F.lit(0).cast("long"))
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = d.repartition(n, chain_col).sortWithinPartitions(chain_col, *order_cols)
     out_cols = [chain_col] + carry
@@ -44,9 +53,12 @@ def chain_links(df: DataFrame, chain_col: str, order_cols: Sequence[str], payloa
         last_chain, last_hash, seq = object(), None, 0
         for pdf in batches:
             prev, outs, seqs = [], [], []
-            for ch, pl in zip(pdf[chain_col].tolist(), pdf[payload_col].tolist()):
+            for ch, pl, sh, ss in zip(pdf[chain_col].tolist(), pdf[payload_col].tolist(),
+                                      pdf["_seed_hash"].tolist(), pdf["_seed_seq"].tolist()):
                 if ch != last_chain:
-                    last_chain, last_hash, seq = ch, None, 0
+                    last_chain = ch
+                    last_hash = sh if isinstance(sh, str) else None
+                    seq = int(ss) if ss == ss and ss is not None else 0
                 seq += 1
                 text = pl + "|previous_hash=" + (last_hash if last_hash is not None else "null")
                 h = hashlib.sha256(text.encode("utf-8")).hexdigest()

@@ -1,3 +1,14 @@
 """Imports every query module so that registration runs."""
 
-from . import q_advice, q_audit, q_consent, q_explain, q_fairness, q_features, q_models, q_monitoring, q_pipeline, q_streaming  # noqa: F401
+from . import (  # noqa: F401
+    q_advice,
+    q_audit,
+    q_consent,
+    q_explain,
+    q_fairness,
+    q_features,
+    q_models,
+    q_monitoring,
+    q_pipeline,
+    q_streaming,
+)

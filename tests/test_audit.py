@@ -96,3 +96,18 @@ def test_single_segment_equals_plain_chain(spark):
     a = sorted((r.chain_id, r.seq, r.output_hash) for r in links.collect())
     b = sorted((r.chain_id, r.seq, r.output_hash) for r in plain.collect())
     assert a == b
+
+
+def test_append_continues_from_tips(spark):
+    rows = [(c, i, f"e{c}-{i}", "v1") for c in range(3) for i in range(1, 9)]
+    df = spark.createDataFrame(rows, "chain_id long, k long, details string, model_version string")
+    df = df.withColumn("payload", _payload())
+    full = AU.chain_links(df, "chain_id", ["k"], "payload", ["k"], 3)
+    in_first = "chain_id < 2 AND k <= 5"  # chain 2 appears only in the second batch
+    first = AU.chain_links(df.where(in_first), "chain_id", ["k"], "payload", ["k"], 3)
+    second = AU.chain_links(df.where(f"NOT ({in_first})"), "chain_id", ["k"], "payload", ["k"], 3,
+                            seed=AU.chain_tips(first))
+    both = first.unionByName(second)
+    a = sorted((r.chain_id, r.k, r.seq, r.previous_hash, r.output_hash) for r in full.collect())
+    b = sorted((r.chain_id, r.k, r.seq, r.previous_hash, r.output_hash) for r in both.collect())
+    assert a == b
