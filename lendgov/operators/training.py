@@ -29,13 +29,18 @@ def fill_modes(train: DataFrame, df: DataFrame, cats: Sequence[str]) -> DataFram
     return out.na.fill({c: v for c, v in fill.items() if v is not None})
 
 
-def preprocessing(numeric: Sequence[str], cats: Sequence[str]) -> list:
-    """M1 + M2 + M4 + M5 stages."""
+def preprocessing(numeric: Sequence[str], cats: Sequence[str], passthrough: bool = False) -> list:
+    """M1 + M2 + M4 + M5 stages; ``passthrough`` keeps raw numerics (no imputation or scaling)."""
     num_imp = [f"{c}__imp" for c in numeric]
-    stages = [
-        Imputer(strategy="median", inputCols=list(numeric), outputCols=num_imp, relativeError=1e-4),
-        VectorAssembler(inputCols=num_imp, outputCol="num_vec"),
-        StandardScaler(inputCol="num_vec", outputCol="num_std", withMean=True, withStd=True),
+    if passthrough:
+        num_stages = [VectorAssembler(inputCols=list(numeric), outputCol="num_std", handleInvalid="keep")]
+    else:
+        num_stages = [
+            Imputer(strategy="median", inputCols=list(numeric), outputCols=num_imp, relativeError=1e-4),
+            VectorAssembler(inputCols=num_imp, outputCol="num_vec"),
+            StandardScaler(inputCol="num_vec", outputCol="num_std", withMean=True, withStd=True),
+        ]
+    stages = num_stages + [
         StringIndexer(inputCols=list(cats), outputCols=[f"{c}__i" for c in cats], handleInvalid="keep",
                       stringOrderType="alphabetAsc"),
         OneHotEncoder(inputCols=[f"{c}__i" for c in cats], outputCols=[f"{c}__v" for c in cats],
@@ -58,8 +63,27 @@ def forest(num_trees: int = 300, max_depth: int = 8, seed: int = 42) -> RandomFo
                                   checkpointInterval=10)
 
 
-def fit(train: DataFrame, numeric: Sequence[str], cats: Sequence[str], estimator) -> PipelineModel:
-    return Pipeline(stages=preprocessing(numeric, cats) + [estimator]).fit(train)
+def fit(train: DataFrame, numeric: Sequence[str], cats: Sequence[str], estimator,
+        passthrough: bool = False) -> PipelineModel:
+    return Pipeline(stages=preprocessing(numeric, cats, passthrough) + [estimator]).fit(train)
+
+
+def train_credit_g(df: DataFrame, id_col: str, target: str = "class", test_fraction: float = 0.2):
+    """Alternate-dataset model: label from the text target (P4), numeric vs categorical by
+    dtype (P3), raw numerics + one-hot categoricals, logistic regression, stratified split.
+
+    Returns (model, test predictions with label and p).
+    """
+    from .fairness import label_from_class
+    from .prep import split_by_dtype, stratified_split
+    data = df.withColumn("label", label_from_class(target)).drop(target)
+    numeric, cats = split_by_dtype(data, exclude=[id_col, "label"])
+    split = stratified_split(data, id_col, "label", test_fraction)
+    train = split.where(~F.col("is_test")).cache()
+    n = train.count()
+    model = fit(train, numeric, cats, logistic(n), passthrough=True)
+    pred = positive_probability(model, split.where(F.col("is_test")), [id_col, "label"])
+    return model, pred
 
 
 def positive_probability(model: PipelineModel, df: DataFrame, keys: Sequence[str]) -> DataFrame:

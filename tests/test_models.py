@@ -103,3 +103,18 @@ def test_distributed_lag_matches_window(spark):
     w = Window.partitionBy("k").orderBy("t")
     want = df.select("*", F.lag("v", 1, -1).over(w).alias("prev")).toPandas().sort_values(["k", "t"])
     assert (got.prev.values == want.prev.values).all()
+
+
+def test_credit_g_training(spark):
+    from lendgov.operators import training as TR
+    rng = np.random.default_rng(11)
+    n = 300
+    amount = rng.integers(500, 10000, n)
+    status = rng.choice(["<0", "0<=X<200", "no checking"], n)
+    cls = np.where((amount < 5000) | (status == "no checking"), "good", "bad")
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "credit_amount": amount,
+                                             "checking_status": status, "class": cls}))
+    model, pred = TR.train_credit_g(df, "id")
+    m = TR.metrics(pred, "label", "p").collect()[0]
+    assert pred.count() == sum(math.ceil(0.2 * c) for c in pd.Series(cls).value_counts())
+    assert 0.0 <= m.auc <= 1.0 and m.n == pred.count()
