@@ -43,3 +43,27 @@ def test_access_stream_drops_nothing_valid(spark):
     import __spark_entry__ as E
     q = E.queries()
     assert q["stream_access_log"](spark, SF_SMALL).count() == q["access_log"](spark, SF_SMALL).count()
+
+
+def test_daily_volume_late_data_dropped(spark):
+    import datetime as dt
+    import os
+    import uuid
+
+    from lendgov.session import checkpoint_path
+    from lendgov.streaming import jobs as ST
+
+    run = f"late-{uuid.uuid4().hex[:8]}"
+    base = checkpoint_path(spark, os.path.join("tests", run))
+    src, sink = os.path.join(base, "src"), os.path.join(base, "sink")
+    schema = ST.DECISION_SCHEMA
+    day = lambda d, h=12: dt.datetime(2024, 1, d, h)
+    first = [(i, day(1 + i % 5), "approved", 0.9, "Male", 1) for i in range(50)]
+    spark.createDataFrame(first, schema).write.parquet(os.path.join(src, "b=1"))
+    ST.daily_volume(spark, src, sink, run).awaitTermination()
+    # late row for day 1 (watermark is already past it) + a sentinel far ahead closing day 5
+    late = [(999, day(1), "approved", 0.9, "Male", 1), (1000, day(20), "denied", 0.1, "Male", 1)]
+    spark.createDataFrame(late, schema).write.parquet(os.path.join(src, "b=2"))
+    ST.daily_volume(spark, src, sink, run).awaitTermination()
+    got = {r.day.day: r.n for r in spark.read.parquet(sink).collect()}
+    assert got == {1: 10, 2: 10, 3: 10, 4: 10, 5: 10}
