@@ -84,7 +84,10 @@ def multi_quantiles(df: DataFrame, specs: Sequence[tuple[str, float, str]], keys
             F.lit(j).alias("j"), F.col(f"_x{i}").alias("x"), F.col(f"_n{i}").alias("n"),
             F.col(f"_a{i}")[pos].alias("lo"), F.col(f"_a{i}")[pos + len(mine)].alias("hi")))
     if keys:
-        joined = base.join(st, keys, "inner")
+        # null-safe key match: a null key is a group of its own
+        stk = st.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in st.columns if c not in keys])
+        cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+        joined = base.join(stk, cond, "inner").drop(*[f"_k_{k}" for k in keys])
     else:
         joined = base.crossJoin(F.broadcast(st))  # one row: size bound proven
     tagged = joined.select(*keys, F.explode(F.array(*spec_cols)).alias("_s")).select(

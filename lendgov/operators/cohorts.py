@@ -73,7 +73,11 @@ def stats(rows: DataFrame, keys, which=None) -> DataFrame:
     share = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("cohort_rows"),
         (F.count_if(F.col("Credit_History") == 1) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("good_share"))
-    return share.join(q, list(keys), "left") if keys else share.crossJoin(q)
+    if not keys:
+        return share.crossJoin(q)
+    qk = q.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in q.columns if c not in keys])
+    j = share.join(qk, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left")
+    return j.drop(*[f"_k_{k}" for k in keys])
 
 
 def cohort_stats(amounts: DataFrame, base: DataFrame, which=None) -> DataFrame:
@@ -82,8 +86,11 @@ def cohort_stats(amounts: DataFrame, base: DataFrame, which=None) -> DataFrame:
     Amounts whose range holds no loan take the whole-table row (P9).
     """
     amounts = amounts.where(F.col("amount").isNotNull()).select("amount").distinct()
-    per = stats(in_range(amounts, base), ["amount"], which)
-    glob = stats(base, [], which)
+    # one statistics pass: the whole table joins in as the group with a null amount
+    rows = in_range(amounts, base).unionByName(base.withColumn("amount", F.lit(None).cast("double")))
+    both = stats(rows, ["amount"], which)
+    glob = both.where(F.col("amount").isNull()).drop("amount")
+    per = both.where(F.col("amount").isNotNull())
     found = amounts.join(per, "amount", "left")
     stat_cols = [c for c in glob.columns]
     fallback = F.col("cohort_rows").isNull()
