@@ -21,15 +21,24 @@ def attribution_array(long: DataFrame, keys: Sequence[str] = ("application_id",)
     Use only when the long form came from a per-row explode (it regroups on
     the key); per-row producers should build the array directly.
     """
-    return long.groupBy(*keys).agg(sorted_attr(F.collect_list(
-        F.struct("feature_idx", "feature", "value", "shap"))).alias("attr"))
+    return long.groupBy(*keys).agg(sorted_attr(keyed_attr(F.collect_list(
+        F.struct("feature_idx", "feature", "value", "shap")))).alias("attr"))
 
 
 def sorted_attr(arr):
-    """Sort structs (feature_idx, feature, value, shap) by |shap| desc, feature_idx asc."""
-    keyed = F.transform(arr, lambda x: F.struct((-F.abs(x["shap"])).alias("k"), x["feature_idx"].alias("i"),
-                                                x.alias("a")))
-    return F.transform(F.sort_array(keyed), lambda x: x["a"])
+    """Sort attribution structs by |shap| desc, feature_idx asc.
+
+    Structs that lead with (sort_key = -|shap|, feature_idx) sort directly;
+    others get the key added first.
+    """
+    return F.sort_array(arr)
+
+
+def keyed_attr(arr):
+    """Add the leading sort key to (feature_idx, feature, value, shap) structs."""
+    return F.transform(arr, lambda x: F.struct((-F.abs(x["shap"])).alias("sort_key"), x["feature_idx"].alias("feature_idx"),
+                                               x["feature"].alias("feature"), x["value"].alias("value"),
+                                               x["shap"].alias("shap")))
 
 
 def zero_attribution(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ("application_id",)) -> DataFrame:

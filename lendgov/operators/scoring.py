@@ -89,10 +89,12 @@ def attribution_rows(df: DataFrame, keys: Sequence[str] = ("application_id",),
         *keys, *[F.col(c).alias(f"_in_{c}") for c in extra],
         *[capped(c, F.coalesce(F.col(c).cast("double"), F.col(f"med_{c}"))).alias(c) for c, _, _ in TERMS],
         *[F.col(f"mean_{c}") for c, _, _ in TERMS])
-    recs = [F.struct(F.lit(FEATURE_INDEX[c]).alias("feature_idx"), F.lit(c).alias("feature"),
-                     F.col(c).alias("value"),
-                     (F.lit(w) * (F.col(c) - F.col(f"mean_{c}"))).alias("shap"))
-            for c, w, _ in TERMS]
+    def rec(c, w):
+        shap = F.lit(w) * (F.col(c) - F.col(f"mean_{c}"))
+        # sort key first (|shap| descending, then feature order) so the array sorts in place
+        return F.struct((-F.abs(shap)).alias("sort_key"), F.lit(FEATURE_INDEX[c]).alias("feature_idx"),
+                        F.lit(c).alias("feature"), F.col(c).alias("value"), shap.alias("shap"))
+    recs = [rec(c, w) for c, w, _ in TERMS]
     z = F.lit(INTERCEPT)
     for c, w, _ in TERMS:
         z = z + F.lit(w) * F.col(c)
@@ -104,4 +106,5 @@ def attribution(df: DataFrame, keys: Sequence[str] = ("application_id",),
                 fitted: DataFrame | None = None) -> DataFrame:
     """E3 in long form: one row per (row, input)."""
     rows = attribution_rows(df, keys, fitted=fitted)
-    return rows.select(*keys, F.explode("attr").alias("r")).select(*keys, "r.*")
+    return rows.select(*keys, F.explode("attr").alias("r")).select(
+        *keys, "r.feature_idx", "r.feature", "r.value", "r.shap")
