@@ -217,3 +217,27 @@ def profiles(applicants: DataFrame, applications: DataFrame, fields: Sequence[st
         d = F.lit(PROFILE_DEFAULTS[f]).cast(applications.schema[f].dataType)
         cols.append(F.when(has, F.col("p")[f]).otherwise(d).alias(f))
     return j.select("applicant_id", has.alias("has_profile"), *cols)
+
+
+def state_events(states: DataFrame, groups: Sequence[str], ts_col: str = "ts",
+                 first_event_id: int = 0) -> DataFrame:
+    """Save consent: wide per-applicant flags (one boolean column per group) -> appended events.
+
+    Unknown columns are ignored; a group missing from ``states`` is not written
+    (so it keeps its stored value, which defaults to allowed).
+    """
+    present = [g for g in groups if g in states.columns]
+    recs = F.array(*[F.struct(F.lit(i).alias("gi"), F.lit(g).alias("group_name"), F.col(g).cast("boolean").alias("allowed"))
+                     for i, g in enumerate(present)])
+    long = states.select("applicant_id", F.col(ts_col).alias("ts"), F.explode(recs).alias("r")) \
+        .where(F.col("r.allowed").isNotNull())
+    # event ids continue after the stored ones; deterministic per (applicant, group)
+    return long.select((F.lit(first_event_id) + F.col("applicant_id") * len(groups) + F.col("r.gi")).alias("event_id"),
+                       "ts", "applicant_id", F.col("r.group_name").alias("group_name"),
+                       F.col("r.allowed").alias("allowed"))
+
+
+def reset_events(applicants: DataFrame, groups: Sequence[str], ts, first_event_id: int = 0) -> DataFrame:
+    """Reset consent: an all-allowed event for every known group of every applicant."""
+    wide = applicants.select("applicant_id", F.lit(ts).alias("ts"), *[F.lit(True).alias(g) for g in groups])
+    return state_events(wide, groups, "ts", first_event_id)

@@ -72,3 +72,21 @@ def test_profile_defaults_all_or_nothing(spark):
     r = {x.applicant_id: x for x in CO.profiles(people, apps, ["ApplicantIncome"]).collect()}
     assert r[1].has_profile and r[1].ApplicantIncome is None
     assert (not r[2].has_profile) and r[2].ApplicantIncome == 60000
+
+
+def test_save_and_reset_events(spark):
+    import datetime as dt
+    t1, t2 = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
+    ev = spark.createDataFrame([(1, t1, 1, "Financial Data", False)],
+                               "event_id long, ts timestamp, applicant_id long, group_name string, allowed boolean")
+    saved = spark.createDataFrame([(2, t1, False, None, True)],
+                                  "applicant_id long, ts timestamp, `Financial Data` boolean, "
+                                  "`Demographic Data` boolean, `Unknown` boolean")
+    ev2 = ev.unionByName(CO.state_events(saved, GROUPS, first_event_id=100))
+    st = {(r.applicant_id, r.group_name): r.allowed for r in
+          CO.consent_state(spark.createDataFrame([(1,), (2,)], "applicant_id long"), ev2, GROUPS).collect()}
+    assert st == {(1, "Financial Data"): False, (1, "Demographic Data"): True,
+                  (2, "Financial Data"): False, (2, "Demographic Data"): True}
+    reset = CO.reset_events(spark.createDataFrame([(1,), (2,)], "applicant_id long"), GROUPS, t2, first_event_id=1000)
+    st2 = CO.consent_state(spark.createDataFrame([(1,), (2,)], "applicant_id long"), ev2.unionByName(reset), GROUPS)
+    assert all(r.allowed for r in st2.collect())

@@ -118,3 +118,18 @@ def test_credit_g_training(spark):
     m = TR.metrics(pred, "label", "p").collect()[0]
     assert pred.count() == sum(math.ceil(0.2 * c) for c in pd.Series(cls).value_counts())
     assert 0.0 <= m.auc <= 1.0 and m.n == pred.count()
+
+
+def test_probabilities_sum_to_one(spark):
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+    from lendgov.operators import training as TR
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"a": rng.normal(size=200), "c": rng.choice(["u", "v", None], 200)})
+    pdf["label"] = (pdf.a > 0).astype(int)
+    df = spark.createDataFrame(pdf)
+    df = TR.fill_modes(df, df, ["c"])
+    for est in (TR.logistic(200), TR.forest(num_trees=5, max_depth=3)):
+        out = TR.fit(df, ["a"], ["c"], est).transform(df)
+        s = out.select(F.aggregate(vector_to_array("probability"), F.lit(0.0), lambda x, y: x + y).alias("s"))
+        assert all(abs(r.s - 1.0) < 1e-9 for r in s.collect())
