@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..sources.derived import Views
 
-_VIEWS: dict = {}
 
 
 def views(spark, sf_dir: str) -> Views:
