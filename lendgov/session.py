@@ -41,21 +41,36 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+_SCRATCH: dict = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting names a shared folder and is used as is. Only when
-    it is unset (tests, local runs) is a scratch folder created here.
+    On a cluster the setting names a shared folder and is used as is. When it
+    is unset (tests, local runs) the SparkContext's checkpoint folder is used,
+    or else one scratch folder per session is created; ``spark.checkpoint.dir``
+    itself is a static setting and is not modified at run time.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="lendgov-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+    sc = None
     try:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(d)
+        sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - no SparkContext handle (e.g. Spark Connect)
         pass
+    if not d and sc is not None:
+        d = sc.getCheckpointDir()
+    if not d:
+        key = id(spark)
+        d = _SCRATCH.get(key)
+        if d is None:
+            d = _SCRATCH[key] = tempfile.mkdtemp(prefix="lendgov-ckpt-")
+    if sc is not None:
+        try:
+            if sc.getCheckpointDir() is None:
+                sc.setCheckpointDir(d)
+        except Exception:  # noqa: BLE001
+            pass
     return d
 
 

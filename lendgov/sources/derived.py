@@ -116,6 +116,16 @@ class Views:
         from ..functions import features as _fx, quantiles as _q
         return [__file__, _fx.__file__, _q.__file__, *[m.__file__ for m in extra_modules]]
 
+    def _materialized(self, name, code, build, extra):
+        """Read the materialized table; if the shared folder cannot be used, run the lazy plan."""
+        from . import materialize as M
+        try:
+            return M.materialized(self.spark, name, self._inputs(), code, build, extra=extra)
+        except Exception as e:  # noqa: BLE001 - storage problems must not change results
+            import warnings
+            warnings.warn(f"materialization of {name} failed ({type(e).__name__}: {e}); using the lazy plan")
+            return build()
+
     def _inputs(self):
         import os as _os
         return [_os.path.join(self.sf_dir, f"{n}.parquet") for n in ("orders", "customer")]
@@ -130,8 +140,7 @@ class Views:
         build = lambda: FX.with_train_features(self.applications_from_raw)
         if not self.materialize:
             return build()
-        from . import materialize as M
-        return M.materialized(self.spark, "features", self._inputs(), self._code_files(), build)
+        return self._materialized("features", self._code_files(), build, "")
 
     def build_scored(self) -> DataFrame:
         """The scored loan dataset from the features table."""
@@ -142,9 +151,7 @@ class Views:
         """Every application column + engineered features, risk score, probability, decision, label."""
         if not self.materialize:
             return self.build_scored()
-        from . import materialize as M
-        return M.materialized(self.spark, "scored", self._inputs(), self._code_files(), self.build_scored,
-                              extra=f"acc={self.quantile_accuracy}")
+        return self._materialized("scored", self._code_files(), self.build_scored, f"acc={self.quantile_accuracy}")
 
     @cached_property
     def risk(self) -> DataFrame:
@@ -159,9 +166,7 @@ class Views:
         build = lambda: SC.params(self.scored.select(*inputs), self.quantile_accuracy)
         if not self.materialize:
             return build()
-        from . import materialize as M
-        return M.materialized(self.spark, "scorecard_params", self._inputs(), self._code_files(SC), build,
-                              extra=f"acc={self.quantile_accuracy}")
+        return self._materialized("scorecard_params", self._code_files(SC), build, f"acc={self.quantile_accuracy}")
 
     @cached_property
     def consent_events(self) -> DataFrame:

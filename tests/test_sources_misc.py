@@ -74,3 +74,45 @@ def test_registry_file_and_malformed(spark):
     with open(bad, "w") as f:
         f.write("{ not json")
     assert FS.read_model_version(spark, bad).collect()[0].version == "indian_v1"
+
+
+def test_checkpoint_dir_when_unset():
+    from lendgov import session as S
+
+    class Conf:
+        def get(self, k, d=None):
+            return None
+
+        def set(self, k, v):
+            raise RuntimeError("static config")
+
+    class SC:
+        def __init__(self):
+            self.d = None
+
+        def getCheckpointDir(self):
+            return self.d
+
+        def setCheckpointDir(self, d):
+            self.d = d
+
+    class Fake:
+        conf = Conf()
+        sparkContext = SC()
+
+    f = Fake()
+    d1 = S.ensure_checkpoint_dir(f)
+    assert os.path.isdir(d1) and f.sparkContext.d == d1
+    assert S.ensure_checkpoint_dir(f) == d1
+
+
+def test_materialize_failure_falls_back(spark, monkeypatch):
+    from lendgov.sources import materialize as M
+    from lendgov.sources.derived import Views
+
+    def boom(*a, **k):
+        raise OSError("shared folder not writable")
+
+    monkeypatch.setattr(M, "materialized", boom)
+    v = Views(spark, "/root/testdata/sf0.001")
+    assert v.scored.count() == 1500
