@@ -67,3 +67,27 @@ def test_daily_volume_late_data_dropped(spark):
     ST.daily_volume(spark, src, sink, run).awaitTermination()
     got = {r.day.day: r.n for r in spark.read.parquet(sink).collect()}
     assert got == {1: 10, 2: 10, 3: 10, 4: 10, 5: 10}
+
+
+def test_bias_stream_equals_batch(spark):
+    import __spark_entry__ as E
+    from lendgov.operators import fairness as FA
+    from lendgov.plans.common import views
+
+    s = E.queries()["stream_bias_alerts"](spark, SF_SMALL).select(
+        "window_start", "sensitive_feature", "metric", F.round("value", 9).alias("value"))
+    r = views(spark, SF_SMALL).risk.select(F.col("submitted_at").cast("timestamp").alias("ts"), "decision",
+                                           "Gender", "Credit_History")
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), FA.group_label(a).alias("g"))
+                                for a in ("Gender", "Credit_History")]))
+    long = r.select(F.window("ts", "7 days").start.alias("window_start"),
+                    (F.col("decision") == "approved").cast("double").alias("y"), pairs.alias("p"))
+    rates = long.groupBy("window_start", F.col("p.a").alias("sensitive_feature"), F.col("p.g").alias("g")).agg(
+        F.avg("y").alias("rate"))
+    d = rates.groupBy("window_start", "sensitive_feature").agg(F.min("rate").alias("mn"), F.max("rate").alias("mx"))
+    di = d.select("window_start", "sensitive_feature", F.lit("disparate_impact").alias("metric"),
+                  F.round(F.col("mn") / F.col("mx"), 9).alias("value")).where("mx > 0 AND value < 0.8")
+    sp = d.select("window_start", "sensitive_feature", F.lit("statistical_parity_difference").alias("metric"),
+                  F.round(F.col("mx") - F.col("mn"), 9).alias("value")).where("mx > 0 AND mx - mn > 0.2")
+    b = di.unionByName(sp)
+    assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
