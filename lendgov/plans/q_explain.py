@@ -31,7 +31,7 @@ def _long(df, col):
     # outer generator: a non-outer one makes the optimizer infer size(col) > 0 and push that
     # whole array expression into the join below, evaluating it twice
     return df.select("application_id", F.posexplode_outer(col).alias("pos", "r")).where(F.col("pos").isNotNull()).select(
-        "application_id", (F.col("pos") + 1).alias("rank"), F.col("r.feature").alias("feature"),
+        "application_id", (F.col("pos") + 1).cast("bigint").alias("rank"), F.col("r.feature").alias("feature"),
         F.col("r.shap").alias("shap"))
 
 
@@ -165,7 +165,7 @@ SELECT application_id, 1, '{RM.ADVICE_GENERIC}' FROM apps WHERE application_id N
 
 def _steps_long(df, col):
     return df.select("application_id", F.posexplode_outer(col).alias("pos", "step")).select(
-        "application_id", (F.col("pos") + 1).alias("step_no"), "step")
+        "application_id", (F.col("pos") + 1).cast("bigint").alias("step_no"), "step")
 
 
 @register("remediation_rules", oracle=_rules_sql(), views=("risk_full",))
