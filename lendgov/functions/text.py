@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,3 +53,27 @@ def intent(text: Column) -> Column:
 def rupees(x: Column) -> Column:
     """Currency text with thousands separators and no decimals."""
     return F.concat(F.lit("₹"), F.format_number(x, 0))
+
+
+def _fixed_udf(digits: int):
+    @F.pandas_udf("string")
+    def fixed(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if pd.isna(v) else format(float(v), f".{digits}f"))
+
+    return fixed
+
+
+_FIXED = {}
+
+
+def fixed(x: Column, digits: int = 2) -> Column:
+    """Fixed-point text with correct rounding of the exact binary value (half-even on ties).
+
+    This is the rounding of the original's ``f"{x:.2f}"`` and of C/DuckDB
+    ``printf``; Java's formatter (``format_string``) rounds the shortest decimal
+    form half-up instead, which differs on ties such as 100.625. A small
+    Arrow-batched helper, only for display text.
+    """
+    if digits not in _FIXED:
+        _FIXED[digits] = _fixed_udf(digits)
+    return _FIXED[digits](x.cast("double"))

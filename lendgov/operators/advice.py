@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import rupees
+from ..functions.text import fixed, rupees
 from .retrieval import guidance_topk
 
 # Answer texts.
@@ -30,7 +30,8 @@ def latest_decision(decisions: DataFrame) -> DataFrame:
 
 
 def _f(fmt: str, c: str):
-    return F.format_string(fmt, F.col(c))
+    """Fixed decimals with the original's rounding (``"%.1f"`` -> 1 digit)."""
+    return fixed(F.col(c), int(fmt[2:-1]))
 
 
 def cohort_answer():
@@ -62,7 +63,7 @@ def cohort_answer():
               "most situations.")))
     credit_parts = F.concat_ws(" ",
         F.concat(F.lit("A strong credit history is important. In many accepted cases, roughly "),
-                 F.format_string("%.0f", F.col("good_share") * 100),
+                 fixed(F.col("good_share") * 100, 0),
                  F.lit("% had a clean track record with no major defaults.")),
         F.when(F.col("cibil_q50").isNotNull(), F.concat(
             F.lit("As a broad guide, a proxy credit score around "), _f("%.0f", "cibil_q50"),

@@ -58,8 +58,14 @@ def reasons(df: DataFrame, attr_col: str = "attr", k: int = TOP_K) -> DataFrame:
 
 
 def value_text(v):
-    """Display text of a reason value: fixed 2 decimals (canonical in both engines)."""
-    return F.coalesce(F.format_string("%.2f", v.cast("double")), F.lit("None"))
+    """Display text of a reason value: fixed 2 decimals."""
+    from ..functions.text import fixed
+    return F.coalesce(fixed(v, 2), F.lit("None"))
+
+
+def _fixed2(x):
+    from ..functions.text import fixed
+    return fixed(x, 2)
 
 
 def summary(decision, with_number: bool = True):
@@ -71,7 +77,7 @@ def summary(decision, with_number: bool = True):
             .otherwise(F.lit("reduced your approval score"))
         text = F.concat(F.lit("Loan "), decision, F.lit(" because "), main["feature"], F.lit(" ("),
                         value_text(main["value"]), F.lit(") "), direction, F.lit(" by "),
-                        F.format_string("%.2f", main["shap"]), F.lit("."))
+                        _fixed2(main["shap"]), F.lit("."))
         fallback = F.concat(F.lit("Loan "), decision,
                             F.lit(" based on the overall risk profile of your application."))
     else:

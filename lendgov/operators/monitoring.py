@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fixed
+
 # Fixed bucket labels, in display order, with lower probability bounds.
 RISK_BUCKETS = [("Low Risk (High Prob)", 0.7), ("Medium Risk", 0.3), ("High Risk (Low Prob)", None)]
 
@@ -59,7 +61,7 @@ def recent(decisions: DataFrame, limit: int = 10, ts: str = "ts", id_col: str =
         p.alias("probability"), "model_version",
         F.when(F.col("decision") == "approved", F.lit("✅ Approved")).otherwise(F.lit("❌ Denied"))
         .alias("outcome"),
-        F.format_string("%.2f", p).alias("score_text"), F.date_format(ts, "HH:mm").alias("time_text"))
+        fixed(p, 2).alias("score_text"), F.date_format(ts, "HH:mm").alias("time_text"))
 
 
 def risk_bucket(p_text):
