@@ -67,3 +67,21 @@ def test_range_join_matches_bruteforce(spark):
     got = {r.amount: r.n for r in CH.in_range(amounts, base).groupBy("amount").agg(F.count("*").alias("n")).collect()}
     for a in am:
         assert got.get(a, 0) == int(((loans >= 0.7 * a) & (loans <= 1.3 * a)).sum())
+
+
+def test_fixed_rounding_matches_python(spark):
+    vals = [100.625, 0.125, 1.005, 2.675, -0.5, None]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r[0] for r in df.select(TX.fixed(F.col("x"), 2)).collect()]
+    assert got == [None if v is None else format(v, ".2f") for v in vals]
+    assert got[:3] == ["100.62", "0.12", "1.00"]
+
+
+def test_last_access_local_ist(spark):
+    import datetime as dt
+
+    from lendgov.operators import consent as CO
+    log = spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 20, 0, 0)), (1, dt.datetime(2024, 1, 1, 23, 45, 10))],
+                                "applicant_id long, ts timestamp_ntz")
+    r = CO.last_access_local(log).collect()[0]
+    assert r.last_access_local == "2024-01-02 05:15:10 IST"
