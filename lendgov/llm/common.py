@@ -64,36 +64,49 @@ def hash_share(col: Column | str, seed: int) -> Column:
     return F.pmod(h, F.lit(1 << 32)).cast("double") / float(1 << 32)
 
 
-def chunks(texts: Sequence[bytes], overlap: int, target: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _windows(text: bytes, overlap: int, target: int) -> Iterator[bytes]:
+    """Pieces that repeat ``overlap`` bytes: each window of ``overlap + 1`` bytes lies in exactly one."""
+    yield text[:target + overlap]
+    for at in range(target, len(text) - overlap, target):
+        yield text[at:at + target + overlap]
+
+
+def _whole_words(text: bytes, target: int) -> Iterator[bytes]:
+    """Pieces that end at a space."""
+    at = 0
+    while at < len(text) or at == 0:
+        end = text.find(b" ", at + target)
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = max(end, 1)
+
+
+def chunks(texts: Sequence[bytes], overlap: int | None, target: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pack texts into byte arrays of about ``target`` bytes.
 
-    Yields (bytes, owner): ``owner[i]`` is the index of the text that byte i
-    belongs to. Texts are separated by ``overlap`` zero bytes; a longer text is
-    cut into pieces that repeat ``overlap`` bytes, so that each window of
-    ``overlap + 1`` bytes of a text lies in exactly one piece.
+    Yields (bytes, owner): ``owner[i]`` is the index of the text that byte i belongs
+    to. Texts are separated by zero bytes. A longer text is cut into pieces: with an
+    ``overlap`` for windows of ``overlap + 1`` bytes, with None between words.
     """
+    gap = b"\0" * (overlap or 1)
     parts: list[bytes] = []
     owners: list[int] = []
     size = 0
-
-    def flush():
-        lens = np.fromiter((len(p) + overlap for p in parts), np.int64, len(parts))
-        buf = np.frombuffer((b"\0" * overlap).join(parts) + b"\0" * overlap, np.uint8)
-        return buf, np.repeat(np.asarray(owners, np.int64), lens)
-
     for i, t in enumerate(texts):
-        for at in range(0, max(len(t), 1), target):
-            p = t[at:at + target + overlap]
-            if at and len(p) <= overlap:
-                break
+        for p in _whole_words(t, target) if overlap is None else _windows(t, overlap, target):
             parts.append(p)
             owners.append(i)
             size += len(p)
             if size >= target:
-                yield flush()
+                yield _packed(parts, owners, gap)
                 parts, owners, size = [], [], 0
     if parts:
-        yield flush()
+        yield _packed(parts, owners, gap)
+
+
+def _packed(parts: list[bytes], owners: list[int], gap: bytes) -> tuple[np.ndarray, np.ndarray]:
+    lens = np.fromiter((len(p) + len(gap) for p in parts), np.int64, len(parts))
+    return np.frombuffer(gap.join(parts) + gap, np.uint8), np.repeat(np.asarray(owners, np.int64), lens)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

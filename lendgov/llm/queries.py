@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import langid, simhash
+from . import chat, langid, lattice, line_clean, mixing, packing, pii, quality, simhash, toxicity
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -24,6 +24,35 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return C.prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("op1_chat_repair")
+def op1_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair_turns(_table(spark, sf_dir, "conversations"))
+
+
+@query("op2_line_cleaning")
+def op2_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_clean.assess(C.documents(spark, sf_dir))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(C.documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
+@query("op4_quality")
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(C.documents(spark, sf_dir))
+
+
+@query("op8_embedding_dedup")
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.linked(_table(spark, sf_dir, "embeddings"))
+
+
 @query("op7_language_id")
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(C.documents(spark, sf_dir))
@@ -33,3 +62,18 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(C.documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op10_pii")
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(C.documents(spark, sf_dir)))
+
+
+@query("op5_mix_sources")
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(C.documents(spark, sf_dir))
+
+
+@query("op9_best_fit_packing")
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(C.documents(spark, sf_dir)))
