@@ -30,10 +30,9 @@ def running_sums(df: DataFrame, order_col: str, value_cols: Sequence[str],
     w_local = Window.partitionBy("_rid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.select("*", *[F.sum(v).over(w_local).alias(f"_l_{v}") for v in value_cols])
     totals = ranged.groupBy("_rid").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
-    # one row per range: offsets = sum of totals of earlier ranges (self-join, bounded by n)
-    t2 = totals.select(F.col("_rid").alias("_rid2"), *[F.col(f"_t_{v}").alias(f"_u_{v}") for v in value_cols])
-    offs = totals.join(t2, F.col("_rid2") < F.col("_rid"), "left").groupBy("_rid").agg(
-        *[F.coalesce(F.sum(f"_u_{v}"), F.lit(0)).alias(f"_o_{v}") for v in value_cols])
+    # one row per range: offsets = sum of the totals of earlier ranges
+    earlier = Window.orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select("_rid", *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_o_{v}") for v in value_cols])
     out = local.join(F.broadcast(offs), "_rid", "left")
     return out.select(*df.columns, *[(F.col(f"_l_{v}") + F.coalesce(F.col(f"_o_{v}"), F.lit(0))).alias(v + suffix)
                                      for v in value_cols])
@@ -82,3 +81,30 @@ def distributed_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], va
     j = local.join(F.broadcast(prev_last), "_rid", "left")  # one row per range
     carried = F.when((F.col("_rn") == 1) & (F.col("_last.k") == key_struct), F.col("_last.v"))
     return j.select(*df.columns, F.coalesce(F.col("_lag"), carried, F.lit(default)).alias(out))
+
+
+def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str = "last_known",
+               num_ranges: int | None = None) -> DataFrame:
+    """``last(value, ignorenulls)`` over (partition by keys order by order), up to and with the row, without a per-key task.
+
+    As in ``distributed_lag`` a key may span several ranges; a range without a value before
+    a row takes the last value of the nearest earlier range of the same key (one row per range).
+    """
+    from ..session import ensure_checkpoint_dir
+    n = num_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(df.sparkSession)
+    sort_cols = list(keys) + list(order)
+    ranged = df.repartitionByRange(n, *sort_cols).withColumn("_rid", F.spark_partition_id()).checkpoint(eager=True)
+    upto = Window.partitionBy("_rid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.select("*", F.last(value, ignorenulls=True).over(upto).alias("_local"))
+    key = F.struct(*[F.col(k) for k in keys])
+    # per range: its last key, and the last value that key has in it
+    ends = ranged.groupBy("_rid").agg(F.max_by(key, F.struct(*sort_cols)).alias("_k"))
+    values = local.where(F.col(value).isNotNull()).groupBy("_rid", *keys).agg(F.max_by(value, F.struct(*sort_cols)).alias("_v"))
+    tail = ends.select("_rid", "_k").join(values.select(F.col("_rid").alias("_r"), key.alias("_vk"), "_v"),
+                                          (F.col("_rid") == F.col("_r")) & F.col("_k").eqNullSafe(F.col("_vk")), "left")
+    before = Window.partitionBy("_k").orderBy("_rid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carry = tail.select((F.col("_rid") + 1).alias("_next"), "_k", F.last("_v", ignorenulls=True).over(before).alias("_carried"))
+    # a key that fills whole ranges is the last key of each of them, so the range just before carries it
+    j = local.join(F.broadcast(carry), (F.col("_rid") == F.col("_next")) & key.eqNullSafe(F.col("_k")), "left")
+    return j.select(*df.columns, F.coalesce("_local", "_carried").alias(out))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,21 +32,27 @@ def loan_amount(text: Column) -> Column:
     return F.try_element_at(vals, F.lit(1))
 
 
-# Intent names in routing order.
-INTENTS = ["bank_balance", "income", "emi_ratio", "credit", "behaviour", "utilisation"]
+# Intents in routing order, each with the words that route to it (all word groups must hit).
+INTENT_WORDS = [
+    ("bank_balance", [["bank balance", "average balance"]]),
+    ("income", [["income", "salary"]]),
+    ("emi_ratio", [["emi"], ["ratio", "income"]]),
+    ("credit", [["credit history", "cibil", "score"]]),
+    ("behaviour", [["mobile", "digital", "behaviour", "behavior"]]),
+    ("utilisation", [["utilisation", "utilization", "usage"]]),
+]
 
 
 def intent(text: Column) -> Column:
     """First matching handler; 'retrieval' when none matches."""
     q = F.lower(text)
-    c = lambda *ws: any_contains(q, ws)
-    return (F.when(c("bank balance", "average balance"), F.lit("bank_balance"))
-            .when(c("income", "salary"), F.lit("income"))
-            .when(q.contains("emi") & c("ratio", "income"), F.lit("emi_ratio"))
-            .when(c("credit history", "cibil", "score"), F.lit("credit"))
-            .when(c("mobile", "digital", "behaviour", "behavior"), F.lit("behaviour"))
-            .when(c("utilisation", "utilization", "usage"), F.lit("utilisation"))
-            .otherwise(F.lit("retrieval")))
+    routed = None
+    for name, groups in INTENT_WORDS:
+        hit = F.lit(True)
+        for words in groups:
+            hit = hit & any_contains(q, words)
+        routed = F.when(hit, F.lit(name)) if routed is None else routed.when(hit, F.lit(name))
+    return routed.otherwise(F.lit("retrieval"))
 
 
 def rupees(x: Column) -> Column:
@@ -55,25 +60,14 @@ def rupees(x: Column) -> Column:
     return F.concat(F.lit("₹"), F.format_number(x, 0))
 
 
-def _fixed_udf(digits: int):
-    @F.pandas_udf("string")
-    def fixed(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if pd.isna(v) else format(float(v), f".{digits}f"))
-
-    return fixed
-
-
-_FIXED = {}
-
-
 def fixed(x: Column, digits: int = 2) -> Column:
     """Fixed-point text with correct rounding of the exact binary value (half-even on ties).
 
-    This is the rounding of the original's ``f"{x:.2f}"`` and of C/DuckDB
-    ``printf``; Java's formatter (``format_string``) rounds the shortest decimal
-    form half-up instead, which differs on ties such as 100.625. A small
-    Arrow-batched helper, only for display text.
+    This is the rounding of the original's ``f"{x:.2f}"`` and of C/DuckDB ``printf``.
+    ``format_number`` with a pattern rounds the exact value so; ``format_string`` rounds the
+    shortest decimal form half-up instead, which differs on ties such as 100.625.
     """
-    if digits not in _FIXED:
-        _FIXED[digits] = _fixed_udf(digits)
-    return _FIXED[digits](x.cast("double"))
+    v = x.cast("double")
+    text = F.call_function("format_number", v, F.lit("0." + "0" * digits if digits else "0"))
+    return (F.when(F.isnan(v), F.lit("nan")).when(v == float("inf"), F.lit("inf"))
+            .when(v == float("-inf"), F.lit("-inf")).otherwise(text))

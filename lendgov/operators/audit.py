@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import link_text, sha256
+from ..functions.hashing import canonical, link_text, sha256
 from .monitoring import iso_text
 
 
@@ -75,6 +75,24 @@ def chain_links(df: DataFrame, chain_col: str, order_cols: Sequence[str], payloa
     return d.mapInPandas(fold, schema)
 
 
+# The fields of an alert event that its link hashes.
+ALERT_LINK_KEYS = ["details", "event_key", "event_type", "fairness_snapshot", "sensitive_feature"]
+
+
+def append_alerts(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Alert events as links of the governance log, one chain per sensitive attribute.
+
+    ``stored`` is the log so far: events whose ``event_key`` it already holds are
+    left out (a rerun appends nothing) and chains go on from its tips.
+    """
+    if stored is not None:
+        events = events.join(stored.select("event_key").distinct(), "event_key", "left_anti")
+    payload = canonical([(k, F.col(k)) for k in ALERT_LINK_KEYS])
+    seed = chain_tips(stored, "sensitive_feature") if stored is not None else None
+    return chain_links(events.withColumn("payload", payload), "sensitive_feature", ["event_key"], "payload",
+                       ["event_type", "fairness_snapshot", "details", "event_key"], seed=seed)
+
+
 def chain_tips(links: DataFrame, chain_col: str = "chain_id") -> DataFrame:
     """Last hash of each chain (partial max_by: skew-safe)."""
     return links.groupBy(chain_col).agg(F.max("seq").alias("last_seq"),
@@ -135,7 +153,6 @@ def segmented_chain(df: DataFrame, chain_col: str, segment_col: str, order_cols:
     tips in segment order, so changing, deleting or reordering any link still
     breaks a recomputed hash. Returns (links, anchors).
     """
-    from ..functions.hashing import canonical
     key = F.concat_ws("|", F.col(chain_col).cast("string"), F.col(segment_col).cast("string"))
     d = df.withColumn("_seg_chain", key)
     carry = [chain_col, segment_col] + [c for c in carry_cols if c not in (chain_col, segment_col)]
@@ -152,7 +169,6 @@ def segmented_chain(df: DataFrame, chain_col: str, segment_col: str, order_cols:
 def verify_segmented(links: DataFrame, anchors: DataFrame, payload: Column, chain_col: str,
                      segment_col: str) -> DataFrame:
     """Per chain: link and anchor checks; the anchor's tips must equal the segments' recomputed tips."""
-    from ..functions.hashing import canonical
     seg_key = F.concat_ws("|", F.col(chain_col).cast("string"), F.col(segment_col).cast("string"))
     seg_checks = verify(links.withColumn("_sc", seg_key), payload, chain_col="_sc")
     seg_bad = seg_checks.join(links.withColumn("_sc", seg_key).select("_sc", chain_col).distinct(), "_sc") \

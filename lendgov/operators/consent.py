@@ -62,10 +62,24 @@ def feature_groups(dataset: DataFrame) -> DataFrame:
                         "feature", F.col("g.feature_order").alias("feature_order"))
 
 
-def static_feature_groups(spark: SparkSession) -> list[tuple[str, str]]:
-    """(feature, group) pairs of the training dataset's schema; a driver-side constant."""
-    return [(f, g) for g, cols in GROUP_CANDIDATES for f in cols] + \
-        [(f, g) for g, fs in GROUP_ENGINEERED.items() for f in fs]
+def group_map(columns: Sequence[str]) -> dict[str, str]:
+    """feature -> group for a dataset with these columns, by the rules of ``feature_groups`` (schema only)."""
+    out: dict[str, str] = {}
+    for g, cols in GROUP_CANDIDATES:
+        for c in [c for c in cols if c in columns] + GROUP_ENGINEERED.get(g, []):
+            out.setdefault(c, g)
+    return out
+
+
+def known_groups(columns: Sequence[str]) -> list[str]:
+    """Groups that have a feature in the dataset, in display order."""
+    used = set(group_map(columns).values())
+    return [g for g in ALL_GROUPS if g in used]
+
+
+def next_event_id(events: DataFrame) -> int:
+    """An id above every stored event's, for the next save."""
+    return int(events.agg(F.coalesce(F.max("event_id"), F.lit(-1))).first()[0]) + 1
 
 
 def latest_consent(events: DataFrame) -> DataFrame:
@@ -88,11 +102,6 @@ def consent_state(applicants: DataFrame, events: DataFrame, groups: Sequence[str
         F.col("allowed").isNull().alias("is_default"))
 
 
-def consent_flags(state: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """One row per applicant with one boolean column per group (pivot with fixed values)."""
-    return state.groupBy("applicant_id").pivot("group_name", list(groups)).agg(F.first("allowed"))
-
-
 def flag_col(group: str) -> str:
     return "ok_" + "".join(ch if ch.isalnum() else "_" for ch in group)
 
@@ -224,7 +233,8 @@ def state_events(states: DataFrame, groups: Sequence[str], ts_col: str = "ts",
     """Save consent: wide per-applicant flags (one boolean column per group) -> appended events.
 
     Unknown columns are ignored; a group missing from ``states`` is not written
-    (so it keeps its stored value, which defaults to allowed).
+    (so it keeps its stored value, which defaults to allowed). ``first_event_id`` must lie above
+    all stored ids (``next_event_id``): of two saves at one time the later id wins.
     """
     present = [g for g in groups if g in states.columns]
     recs = F.array(*[F.struct(F.lit(i).alias("gi"), F.lit(g).alias("group_name"), F.col(g).cast("boolean").alias("allowed"))

@@ -12,35 +12,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOP_K = 5
-
+from ..functions.text import fixed
 
-def attribution_array(long: DataFrame, keys: Sequence[str] = ("application_id",)) -> DataFrame:
-    """Long (keys, feature_idx, feature, value, shap) -> one sorted array per key.
-
-    Use only when the long form came from a per-row explode (it regroups on
-    the key); per-row producers should build the array directly.
-    """
-    return long.groupBy(*keys).agg(sorted_attr(keyed_attr(F.collect_list(
-        F.struct("feature_idx", "feature", "value", "shap")))).alias("attr"))
+TOP_K = 5
 
 
 def sorted_attr(arr):
-    """Sort attribution structs by |shap| desc, feature_idx asc.
-
-    Structs that lead with (sort_key = -|shap|, feature_idx) sort directly;
-    others get the key added first.
-    """
+    """Sort attribution structs, which lead with (sort_key = -|shap|, feature_idx)."""
     return F.sort_array(arr)
 
 
-def keyed_attr(arr):
-    """Add the leading sort key to (feature_idx, feature, value, shap) structs."""
-    return F.transform(arr, lambda x: F.struct((-F.abs(x["shap"])).alias("sort_key"), x["feature_idx"].alias("feature_idx"),
-                                               x["feature"].alias("feature"), x["value"].alias("value"),
-                                               x["shap"].alias("shap")))
-
-
 def zero_attribution(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ("application_id",)) -> DataFrame:
     """Every feature contributes 0 (last-resort explanation), as an ``attr`` array."""
     recs = [F.struct(F.lit(i).alias("feature_idx"), F.lit(f).alias("feature"),
@@ -58,34 +39,27 @@ def reasons(df: DataFrame, attr_col: str = "attr", k: int = TOP_K) -> DataFrame:
 
 
 def value_text(v):
-    """Display text of a reason value: fixed 2 decimals."""
-    from ..functions.text import fixed
+    """Display text of a reason value: fixed 2 decimals, None where the row has none."""
     return F.coalesce(fixed(v, 2), F.lit("None"))
 
 
-def _fixed2(x):
-    from ..functions.text import fixed
-    return fixed(x, 2)
+# The sentences of a decision, with and without the number.
+SENTENCES = {
+    True: ("supported your approval", "reduced your approval score", " based on the overall risk profile of your application."),
+    False: ("supported your approval", "lowered your score the most", " based on the overall risk profile from your data."),
+}
 
 
 def summary(decision, with_number: bool = True):
     """W4 + X7: sentence from the primary reason (first negative, else first positive)."""
     main = F.coalesce(F.try_element_at(F.col("top_negative"), F.lit(1)),
                       F.try_element_at(F.col("top_positive"), F.lit(1)))
-    if with_number:
-        direction = F.when(decision == "approved", F.lit("supported your approval")) \
-            .otherwise(F.lit("reduced your approval score"))
-        text = F.concat(F.lit("Loan "), decision, F.lit(" because "), main["feature"], F.lit(" ("),
-                        value_text(main["value"]), F.lit(") "), direction, F.lit(" by "),
-                        _fixed2(main["shap"]), F.lit("."))
-        fallback = F.concat(F.lit("Loan "), decision,
-                            F.lit(" based on the overall risk profile of your application."))
-    else:
-        direction = F.when(decision == "approved", F.lit("supported your approval")) \
-            .otherwise(F.lit("lowered your score the most"))
-        text = F.concat(F.lit("Loan "), decision, F.lit(" because "), main["feature"], F.lit(" ("),
-                        value_text(main["value"]), F.lit(") "), direction, F.lit("."))
-        fallback = F.concat(F.lit("Loan "), decision, F.lit(" based on the overall risk profile from your data."))
+    supported, reduced, overall = SENTENCES[with_number]
+    direction = F.when(decision == "approved", F.lit(supported)).otherwise(F.lit(reduced))
+    by = [F.lit(" by "), fixed(main["shap"], 2)] if with_number else []
+    text = F.concat(F.lit("Loan "), decision, F.lit(" because "), main["feature"], F.lit(" ("), value_text(main["value"]), F.lit(") "),
+                    direction, *by, F.lit("."))
+    fallback = F.concat(F.lit("Loan "), decision, F.lit(overall))
     return F.when(main.isNotNull(), text).otherwise(fallback)
 
 

@@ -87,26 +87,35 @@ def bias_alerts(disp: DataFrame, di_threshold: float = DI_THRESHOLD,
         F.col("r.value").alias("value"), F.col("r.threshold").alias("threshold"))
 
 
+def _num(c):
+    """A number as JSON text with six decimals."""
+    return F.coalesce(c.cast("decimal(18,6)").cast("string"), F.lit("null"))
+
+
 def alert_snapshot(rates: DataFrame, disp: DataFrame, alerts: DataFrame) -> DataFrame:
     """A11 payload: per attribute, JSON of the metrics and of the alert reasons.
 
-    Only attributes with at least one alert produce a row (an event).
+    Only attributes with at least one alert produce a row (an event). ``event_key`` is the
+    hash of what the event says: a run that finds the same again has the same key and is not appended twice.
     """
     by_group = rates.groupBy("sensitive_feature").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(
-            F.struct("group_value", "selection_rate")))).alias("by_group"),
+        F.array_sort(F.collect_list(F.struct("group_value", "selection_rate"))).alias("by_group"),
         F.first("overall_selection_rate").alias("overall_selection_rate"))
     reasons = alerts.groupBy("sensitive_feature").agg(
         F.array_sort(F.collect_list(F.struct("alert_order", "metric", "value", "threshold")))
         .alias("_r"))
-    j = reasons.join(by_group, "sensitive_feature").join(disp, "sensitive_feature")
-    snapshot = F.to_json(F.struct(F.lit(True).alias("available"), "sensitive_feature",
-                                  "overall_selection_rate", "by_group"))
-    details = F.to_json(F.struct(F.transform("_r", lambda x: F.struct(
-        x["metric"].alias("metric"), x["value"].alias("value"),
-        x["threshold"].alias("threshold"))).alias("alerts")))
+    j = reasons.join(by_group, "sensitive_feature")
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    groups = F.array_join(F.transform("by_group", lambda g: F.concat(quoted(g["group_value"]), F.lit(":"), _num(g["selection_rate"]))), ",")
+    snapshot = F.concat(F.lit('{"available":true,"sensitive_feature":'), quoted(F.col("sensitive_feature")),
+                        F.lit(',"overall_selection_rate":'), _num(F.col("overall_selection_rate")),
+                        F.lit(',"by_group":{'), groups, F.lit("}}"))
+    details = F.concat(F.lit('{"alerts":['), F.array_join(F.transform("_r", lambda x: F.concat(
+        F.lit('{"metric":'), quoted(x["metric"]), F.lit(',"value":'), _num(x["value"]), F.lit(',"threshold":'), _num(x["threshold"]),
+        F.lit("}"))), ","), F.lit("]}"))
     return j.select("sensitive_feature", F.lit("bias-alert").alias("event_type"),
-                    snapshot.alias("fairness_snapshot"), details.alias("details"))
+                    snapshot.alias("fairness_snapshot"), details.alias("details")) \
+        .withColumn("event_key", F.sha2(F.concat_ws("|", "sensitive_feature", "fairness_snapshot", "details"), 256))
 
 
 def label_from_class(col: str = "class", positive: str = "good"):

@@ -11,7 +11,8 @@ with s_j = sum_c P[j,c], t_j = sum_c P[j,c] z_cM, and v_c(x) the mean model
 output over background rows b of the row mixing x on coalition c with b
 elsewhere. The first term is linear in the model outputs, so all of it is
 one ``groupBy(id)`` sum over the mixed rows (rows x coalitions x background),
-combined map-side; no per-row Python, no collect.
+combined map-side; no per-row Python. ``additive_shap`` is the vectorised form for models
+with additive log-odds, for many features and background rows.
 """
 
 from __future__ import annotations
@@ -21,18 +22,20 @@ import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prep import split_hash
+
 
 def coalitions(m: int, n_samples: int | None = None, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     """Coalition masks (C x M, excluding empty and full) and Shapley kernel weights.
 
-    Exact enumeration when 2^M - 2 <= n_samples (or n_samples is None);
-    otherwise sizes are drawn by their kernel mass and masks uniformly per size.
+    ``n_samples`` None enumerates all of them; a number draws that many, whatever m is: sizes by
+    their kernel mass, members uniformly, each with its complement (which lowers the variance).
     """
-    total = 2 ** m - 2
-    if n_samples is None or total <= n_samples:
+    if n_samples is None:
         masks = [s for k in range(1, m) for s in itertools.combinations(range(m), k)]
         z = np.zeros((len(masks), m))
         for i, s in enumerate(masks):
@@ -44,11 +47,11 @@ def coalitions(m: int, n_samples: int | None = None, seed: int = 42) -> tuple[np
     sizes = np.arange(1, m)
     mass = (m - 1) / (sizes * (m - sizes))
     mass = mass / mass.sum()
-    z = np.zeros((n_samples, m))
-    for i in range(n_samples):
-        k = rng.choice(sizes, p=mass)
-        z[i, rng.choice(m, size=k, replace=False)] = 1
-    return z, np.ones(n_samples) / n_samples
+    half = np.zeros(((n_samples + 1) // 2, m))
+    for row in half:
+        row[rng.choice(m, size=rng.choice(sizes, p=mass), replace=False)] = 1
+    z = np.concatenate((half, 1 - half))[:n_samples] if n_samples > 1 else half
+    return z, np.ones(len(z)) / len(z)
 
 
 def solve_matrix(z: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -58,25 +61,68 @@ def solve_matrix(z: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.linalg.solve(ew @ e, ew)
 
 
-def background_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """Deterministic sample of n rows (hash order); n is the bound that allows broadcast."""
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n)
+#: Background rows that an explanation may use: they are held by every task.
+MAX_BACKGROUND = 1000
+
+
+def background_sample(df: DataFrame, id_col: str, n: int) -> DataFrame:
+    """Deterministic sample of n rows, in the order of a fixed integer hash of the id."""
+    return df.orderBy(split_hash(id_col), id_col).limit(n)
+
+
+def additive_shap(rows: DataFrame, background: DataFrame, id_col: str, features: Sequence[str], bias: float,
+                  n_coalitions: int = 2048, seed: int = 42) -> DataFrame:
+    """E1 for models whose log-odds are a sum of one part for each feature (``parts``: array in feature order).
+
+    The value of a coalition is the mean probability over the background rows. What does not depend on
+    the row (coalitions, their background sums, the solve matrix) is computed once and sent with the tasks; a
+    row costs coalitions x background probabilities in numpy. ``background`` (``parts``) is bounded by ``MAX_BACKGROUND``.
+    Returns (id, fx, expected_value, phi: array in feature order).
+    """
+    m = len(features)
+    bg = np.array([r["parts"] for r in background.select("parts").limit(MAX_BACKGROUND + 1).collect()], float).reshape(-1, m)
+    if not 0 < len(bg) <= MAX_BACKGROUND:
+        raise ValueError(f"the background needs 1 to {MAX_BACKGROUND} rows")
+    z, w = coalitions(m, n_coalitions, seed)
+    p = solve_matrix(z, w)
+    s, t = p.sum(1), p @ z[:, -1]
+    rest = (1 - z) @ bg.T + bias
+
+    def prob(x):
+        return 1.0 / (1.0 + np.exp(-x))
+
+    expected = float(prob(bg.sum(1) + bias).mean())
+
+    @F.arrow_udf("struct<fx: double, phi: array<double>>")
+    def explain(parts: pa.Array) -> pa.Array:
+        x = np.array(parts.to_pylist(), float).reshape(-1, m)
+        fx = prob(x.sum(1) + bias)
+        phi = np.empty((len(x), m))
+        for i, row in enumerate(x):
+            v = prob(rest + (z @ row)[:, None]).mean(1)
+            phi[i, :-1] = p @ v - expected * s - (fx[i] - expected) * t
+        phi[:, -1] = fx - expected - phi[:, :-1].sum(1)
+        return pa.StructArray.from_arrays([pa.array(fx), pa.array(phi.tolist(), pa.list_(pa.float64()))], ["fx", "phi"])
+
+    return rows.select(id_col, explain.asNondeterministic()("parts").alias("r")).select(
+        id_col, "r.fx", F.lit(expected).alias("expected_value"), "r.phi")
 
 
 def kernel_shap(rows: DataFrame, background: DataFrame, id_col: str, features: Sequence[str],
-                model: Callable[[dict], Column], n_coalitions: int | None = 128, seed: int = 42) -> DataFrame:
+                model: Callable[[dict], Column], n_coalitions: int | None = None, seed: int = 42) -> DataFrame:
     """Shapley estimates of ``model`` for every row, long form (id, feature_idx, feature, phi).
 
     ``model`` maps {feature: Column} to the model output Column (JVM expression).
-    ``background`` must be small (it is collected as literals: its size is the
-    caller's bound, e.g. from ``background_sample``).
+    ``background`` has at most ``MAX_BACKGROUND`` rows (e.g. from ``background_sample``).
     """
     m = len(features)
     z, w = coalitions(m, n_coalitions, seed)
     p = solve_matrix(z, w)
     s = p.sum(1)
     t = p @ z[:, -1]
-    bg = background.select(*features).collect()  # n_background rows (bounded by construction)
+    bg = background.select(*features).limit(MAX_BACKGROUND + 1).collect()
+    if not 0 < len(bg) <= MAX_BACKGROUND:
+        raise ValueError(f"the background needs 1 to {MAX_BACKGROUND} rows")
     nb = len(bg)
     c_full = len(z)
     # (coalition, background) grid: masks, background values and the P column of the
@@ -115,23 +161,3 @@ def kernel_shap(rows: DataFrame, background: DataFrame, id_col: str, features: S
             for j, f in enumerate(features)]
     return per.select(id_col, F.col("_fx").alias("fx"), ef.alias("expected_value"),
                       F.explode(F.array(*recs)).alias("r")).select(id_col, "fx", "expected_value", "r.*")
-
-
-def exact_shapley(f: Callable[[np.ndarray], float], x: np.ndarray, background: np.ndarray) -> np.ndarray:
-    """Brute-force interventional Shapley values of one row (test reference, small M)."""
-    m = len(x)
-    phi = np.zeros(m)
-
-    def v(sub):
-        mixed = background.copy()
-        idx = list(sub)
-        mixed[:, idx] = x[idx]
-        return float(np.mean([f(r) for r in mixed]))
-
-    for j in range(m):
-        others = [i for i in range(m) if i != j]
-        for k in range(m):
-            for sub in itertools.combinations(others, k):
-                wgt = math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m)
-                phi[j] += wgt * (v(sub + (j,)) - v(sub))
-    return phi

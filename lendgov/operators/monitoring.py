@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import fixed
 
@@ -64,16 +65,19 @@ def recent(decisions: DataFrame, limit: int = 10, ts: str = "ts", id_col: str =
         fixed(p, 2).alias("score_text"), F.date_format(ts, "HH:mm").alias("time_text"))
 
 
-def risk_bucket(p_text):
-    """A4 bucket index of one probability given as text or number.
+def risk_bucket(p, numeric: bool = False):
+    """A4 bucket index of one probability given as text, or as a number (``numeric``).
 
     Null or empty -> 0.0 (High); unparsable text -> null (skipped); NaN -> High.
     """
-    s = p_text.cast("string")
-    txt = F.trim(s)
-    parsed = F.when(s.isNull() | (s == ""), F.lit(0.0)).otherwise(
-        F.when(F.lower(txt).isin("nan", "+nan", "-nan"), F.lit(float("nan")))
-        .otherwise(txt.try_cast("double")))
+    if numeric:
+        parsed = F.coalesce(p.cast("double"), F.lit(0.0))
+    else:
+        s = p.cast("string")
+        txt = F.trim(s)
+        parsed = F.when(s.isNull() | (s == ""), F.lit(0.0)).otherwise(
+            F.when(F.lower(txt).isin("nan", "+nan", "-nan"), F.lit(float("nan")))
+            .otherwise(txt.try_cast("double")))
     return (F.when(parsed.isNull(), F.lit(None))
             .when(F.isnan(parsed), F.lit(2))
             .when(parsed >= 0.7, F.lit(0))
@@ -81,10 +85,14 @@ def risk_bucket(p_text):
             .otherwise(F.lit(2)))
 
 
+def _bucket_of(decisions: DataFrame, p_col: str):
+    return risk_bucket(F.col(p_col), isinstance(decisions.schema[p_col].dataType, T.NumericType))
+
+
 def risk_distribution(decisions: DataFrame, p_col: str = "probability") -> DataFrame:
     """A4: counts per bucket in fixed order; empty buckets omitted."""
     labels = F.array(*[F.lit(b[0]) for b in RISK_BUCKETS])
-    b = decisions.select(risk_bucket(F.col(p_col)).alias("bucket")).where(F.col("bucket").isNotNull())
+    b = decisions.select(_bucket_of(decisions, p_col).alias("bucket")).where(F.col("bucket").isNotNull())
     g = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     # three rows at most: ordered in one partition
     return g.select(F.col("bucket").alias("bucket_order"),
@@ -98,24 +106,34 @@ def dashboard(decisions: DataFrame, days: int = 7, limit: int = 10,
 
     Columns: section, item, label, n (BIGINT), value (DOUBLE).
     """
-    s = summary(decisions)
     none_s, none_n, none_v = F.lit(None).cast("string"), F.lit(None).cast("bigint"), F.lit(None).cast("double")
+    if as_of is None:
+        as_of = latest_ts(decisions)
+    # one pass: counts per day, risk bucket, decision and side of the window's start
+    inside = F.lit(False) if as_of is None else F.coalesce(F.col("ts") >= F.lit(as_of - dt.timedelta(days=days)), F.lit(False))
+    counts = decisions.groupBy(F.when(inside, F.to_date("ts")).alias("day"), _bucket_of(decisions, "probability").alias("bucket"), "decision") \
+        .agg(F.count(F.lit(1)).alias("n"))
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    of = lambda d: F.coalesce(F.sum(F.when(F.col("decision") == d, F.col("n"))), F.lit(0))
+    s = counts.agg(total.alias("total"), of("approved").alias("approvals"), of("denied").alias("denials"))
+    rate = lambda c: F.when(F.col("total") > 0, F.col(c) * 100.0 / F.col("total")).otherwise(F.lit(0.0))
+    labels = F.array(*[F.lit(b[0]) for b in RISK_BUCKETS])
     parts = [
         s.select(F.explode(F.array(
             *[F.struct(F.lit(k).alias("item"), F.col(k).cast("bigint").alias("n"), none_v.alias("value"))
               for k in ("total", "approvals", "denials")],
-            *[F.struct(F.lit(k).alias("item"), none_n.alias("n"), F.col(k).alias("value"))
-              for k in ("approval_rate", "denial_rate")])).alias("r"))
+            *[F.struct(F.lit(k).alias("item"), none_n.alias("n"), rate(c).alias("value"))
+              for k, c in (("approval_rate", "approvals"), ("denial_rate", "denials"))])).alias("r"))
         .select(F.lit("summary").alias("section"), F.col("r.item").alias("item"),
                 none_s.alias("label"), F.col("r.n").alias("n"), F.col("r.value").alias("value")),
-        daily_volume(decisions, days, as_of).select(
+        counts.where("day is not null").groupBy("day").agg(F.sum("n").alias("n")).select(
             F.lit("volume").alias("section"), F.col("day").cast("string").alias("item"),
             none_s.alias("label"), F.col("n"), none_v.alias("value")),
         recent(decisions, limit).select(
             F.lit("recent").alias("section"), F.col("id").cast("string").alias("item"),
             F.col("decision").alias("label"), none_n.alias("n"), F.col("probability").alias("value")),
-        risk_distribution(decisions).select(
-            F.lit("risk").alias("section"), F.col("category").alias("item"), none_s.alias("label"),
+        counts.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).select(
+            F.lit("risk").alias("section"), F.element_at(labels, F.col("bucket") + 1).alias("item"), none_s.alias("label"),
             F.col("n"), none_v.alias("value")),
     ]
     out = parts[0]

@@ -42,9 +42,10 @@ def standardize(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) ->
 
 
 def _mode_best(counts: DataFrame) -> DataFrame:
-    # ties -> smallest value: rank by count desc then value asc
-    w = Window.partitionBy("column_name").orderBy(F.col("n").desc(), F.col("value").asc())
-    return counts.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    # ties -> smallest value; a partial aggregate, so a column with many distinct values fills no task
+    top = counts.groupBy("column_name").agg(F.max("n").alias("top"))
+    return counts.join(F.broadcast(top), "column_name").where("n = top").groupBy("column_name").agg(
+        F.min("value").alias("value"), F.max("n").alias("n"))
 
 
 def impute_mode(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -61,35 +62,25 @@ def mode_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                                 for c in cols]))
     counts = df.select(pairs.alias("p")).where(F.col("p.v").isNotNull()) \
         .groupBy(F.col("p.k").alias("column_name"), F.col("p.v").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    # one row per (column, distinct value): bounded by the categorical domains
     return _mode_best(counts).select("column_name", F.col("value").alias("mode_value"), "n")
 
 
-def one_hot(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+# The categories of the loan dataset's categorical features, sorted.
+CATEGORY_DOMAINS = {"Gender": ["Female", "Male"], "Married": ["No", "Yes"], "Dependents": ["0", "1", "2", "3+"],
+                    "Education": ["Graduate", "Not Graduate"], "Self_Employed": ["No", "Yes"],
+                    "Property_Area": ["Rural", "Semiurban", "Urban"], "Credit_History": ["0", "1"]}
+
+
+def one_hot(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (),
+            domains: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """M4: one 0/1 column per (feature, category), categories sorted; unseen -> all zero.
 
-    Fitted with StringIndexer(alphabetAsc, keep) + OneHotEncoder(dropLast):
-    the extra "unseen" slot is the dropped one, so every seen category keeps
-    its column. Column names come from the fitted labels (small metadata).
+    The categories are a declared domain (one output column each), so encoding is
+    one projection and no label travels to the driver.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
-    from pyspark.ml.functions import vector_to_array
-
-    src = df.select(*keys, *[F.col(c).cast("string").alias(c) for c in cols])
-    idx = StringIndexer(inputCols=list(cols), outputCols=[f"{c}__i" for c in cols],
-                        handleInvalid="keep", stringOrderType="alphabetAsc")
-    enc = OneHotEncoder(inputCols=[f"{c}__i" for c in cols], outputCols=[f"{c}__v" for c in cols],
-                        dropLast=True, handleInvalid="keep")
-    model = Pipeline(stages=[idx, enc]).fit(src)
-    labels = model.stages[0].labelsArray
-    out = model.transform(src)
-    sel = [F.col(k) for k in keys]
-    for c, labs in zip(cols, labels):
-        arr = vector_to_array(F.col(f"{c}__v"))
-        for i, lab in enumerate(labs):
-            sel.append(arr[i].cast("int").alias(onehot_name(c, lab)))
-    return out.select(*sel)
+    domains = domains or CATEGORY_DOMAINS
+    return df.select(*keys, *[F.when(F.col(c).cast("string") == lab, 1).otherwise(0).alias(onehot_name(c, lab))
+                              for c in cols for lab in domains[c]])
 
 
 def onehot_name(col: str, label: str) -> str:
@@ -102,7 +93,15 @@ SPLIT_MOD = 4294967296
 
 
 def split_hash(id_col: str):
-    return (F.col(id_col) * F.lit(SPLIT_MULT)) % F.lit(SPLIT_MOD)
+    """(id * SPLIT_MULT) mod 2^32, multiplied in two halves so that no id overflows 64 bits."""
+    low = F.pmod(F.col(id_col), F.lit(SPLIT_MOD))
+    high = F.shiftright(low, 16) * F.lit(SPLIT_MULT) % F.lit(1 << 16) * F.lit(1 << 16)
+    return (high + low.bitwiseAND(F.lit((1 << 16) - 1)) * F.lit(SPLIT_MULT)) % F.lit(SPLIT_MOD)
+
+
+def split_hash_sql(id_col: str) -> str:
+    low = f"(({id_col} % {SPLIT_MOD} + {SPLIT_MOD}) % {SPLIT_MOD})"
+    return f"(({low} // 65536 * {SPLIT_MULT} % 65536 * 65536 + {low} % 65536 * {SPLIT_MULT}) % {SPLIT_MOD})"
 
 
 def stratified_split(df: DataFrame, id_col: str, label: str, test_fraction: float = 0.2,

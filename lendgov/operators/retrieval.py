@@ -3,7 +3,7 @@
 Top-k per query uses ``row_number() <= k`` over a window by query: Spark
 plans a partial WindowGroupLimit before the shuffle, so each map task keeps
 at most k candidates per query and a hot query never gathers all documents
-in one task. The query side is broadcast only after its size is checked.
+in one task.
 """
 
 from __future__ import annotations
@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_QUERIES = 10000
-
 
 def as_double(arr):
     return F.transform(arr, lambda x: x.cast("double"))
@@ -29,22 +27,32 @@ def normalized(df: DataFrame, vec: str = "embedding", out: str = "unit") -> Data
     return df.withColumn(out, F.transform(v, lambda x: x / n))
 
 
+#: Queries that stand together in one row of the query table.
+QUERY_BLOCK = 64
+
+
 def topk_inner_product(queries: DataFrame, docs: DataFrame, k: int = 3, exclude_self: bool = True) -> DataFrame:
     """Top-k documents per query by cosine similarity (inner product of unit vectors).
 
-    queries: (query_id, unit); docs: (doc_id, unit). Ties -> smaller doc_id.
+    queries: (query_id, unit); docs: (doc_id, unit). Ties -> smaller doc_id. A stated query set against
+    all documents: queries are packed ``QUERY_BLOCK`` to a row and written once, each block meets every document once, and
+    ``row_number() <= k`` keeps at most k documents of each query and map task (WindowGroupLimit) before the shuffle.
     """
-    n_q = queries.count()
-    q = F.broadcast(queries) if n_q <= BROADCAST_MAX_QUERIES else queries
-    pairs = docs.select("doc_id", F.col("unit").alias("d")).crossJoin(
-        q.select("query_id", F.col("unit").alias("qv")))
+    pairs = docs.select("doc_id", F.col("unit").alias("d")).crossJoin(_blocks(queries))
+    each = pairs.select("doc_id", "d", F.explode("block").alias("q"))
     if exclude_self:
-        pairs = pairs.where(F.col("doc_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "doc_id", dot(F.col("qv"), F.col("d")).alias("score"))
+        each = each.where(F.col("doc_id") != F.col("q.query_id"))
+    scored = each.select(F.col("q.query_id").alias("query_id"), "doc_id", dot(F.col("q.unit"), F.col("d")).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc())
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _blocks(queries: DataFrame) -> DataFrame:
+    """Queries in rows of ``QUERY_BLOCK``, cut from their lineage so that they are computed once."""
+    numbered = queries.withColumn("_b", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / QUERY_BLOCK))
+    return numbered.groupBy("_b").agg(F.collect_list(F.struct("query_id", "unit")).alias("block")).drop("_b").checkpoint()
+
+
 def centroids(df: DataFrame, key: str = "label", vec: str = "embedding") -> DataFrame:
     """Mean vector per key, L2-normalised: (query_id, unit).
 

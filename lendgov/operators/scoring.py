@@ -79,6 +79,7 @@ def attribution_rows(df: DataFrame, keys: Sequence[str] = ("application_id",),
 
     shap = w * (x - mean(x)) on the capped inputs (nulls take the median), which
     for this linear margin under feature independence is the exact SHAP value.
+    ``value`` is what the row itself holds: null where it is missing or denied, and not capped.
     Medians and means are one-row aggregates broadcast back (``fitted``: the
     stored parameters of the training table; computed from ``df`` when absent).
     """
@@ -87,13 +88,16 @@ def attribution_rows(df: DataFrame, keys: Sequence[str] = ("application_id",),
     extra = [c for c in extra if c not in keys]
     j = df.crossJoin(F.broadcast(fitted)).select(
         *keys, *[F.col(c).alias(f"_in_{c}") for c in extra],
+        *[F.col(c).cast("double").alias(f"own_{c}") for c, _, _ in TERMS],
         *[capped(c, F.coalesce(F.col(c).cast("double"), F.col(f"med_{c}"))).alias(c) for c, _, _ in TERMS],
         *[F.col(f"mean_{c}") for c, _, _ in TERMS])
+
     def rec(c, w):
         shap = F.lit(w) * (F.col(c) - F.col(f"mean_{c}"))
         # sort key first (|shap| descending, then feature order) so the array sorts in place
         return F.struct((-F.abs(shap)).alias("sort_key"), F.lit(FEATURE_INDEX[c]).alias("feature_idx"),
-                        F.lit(c).alias("feature"), F.col(c).alias("value"), shap.alias("shap"))
+                        F.lit(c).alias("feature"), F.col(f"own_{c}").alias("value"), shap.alias("shap"))
+
     recs = [rec(c, w) for c, w, _ in TERMS]
     z = F.lit(INTERCEPT)
     for c, w, _ in TERMS:

@@ -1,7 +1,7 @@
 """Model training, evaluation, selection and batch scoring.
 
-Spark ML pipelines: median Imputer -> StandardScaler, mode fill ->
-StringIndexer/OneHotEncoder, VectorAssembler, then a classifier. Fitting is
+Exact median and mode fills, then Spark ML pipelines: StandardScaler,
+StringIndexer/OneHotEncoder, VectorAssembler and a classifier. Fitting is
 distributed; models persist as PipelineModel folders under the shared
 checkpoint folder.
 """
@@ -12,42 +12,54 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (ElementwiseProduct, OneHotEncoder, StandardScaler, StandardScalerModel, StringIndexer,
+                                StringIndexerModel, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.prefix import roc_auc
-from .prep import mode_table
-
-
-def fill_modes(train: DataFrame, df: DataFrame, cats: Sequence[str]) -> DataFrame:
-    """M3 inside the pipeline: categorical nulls take the training mode (ties -> smallest)."""
-    m = mode_table(train, cats).collect()  # one row per column: bounded
-    fill = {r["column_name"]: r["mode_value"] for r in m}
-    out = df.select(*[F.col(c).cast("string").alias(c) if c in cats else F.col(c) for c in df.columns])
-    return out.na.fill({c: v for c, v in fill.items() if v is not None})
-
-
-def preprocessing(numeric: Sequence[str], cats: Sequence[str], passthrough: bool = False) -> list:
-    """M1 + M2 + M4 + M5 stages; ``passthrough`` keeps raw numerics (no imputation or scaling)."""
-    num_imp = [f"{c}__imp" for c in numeric]
-    if passthrough:
-        num_stages = [VectorAssembler(inputCols=list(numeric), outputCol="num_std", handleInvalid="keep")]
-    else:
-        num_stages = [
-            Imputer(strategy="median", inputCols=list(numeric), outputCols=num_imp, relativeError=1e-4),
-            VectorAssembler(inputCols=num_imp, outputCol="num_vec"),
-            StandardScaler(inputCol="num_vec", outputCol="num_std", withMean=True, withStd=True),
-        ]
-    stages = num_stages + [
+from .prep import medians, mode_table
+
+
+def fill_values(train: DataFrame, numeric: Sequence[str], cats: Sequence[str]) -> dict:
+    """M1 + M3 of the training rows: exact median of each numeric, mode of each categorical (ties -> smallest).
+
+    One value per column reaches the driver; a column without values has none.
+    """
+    med = medians(train, numeric).first() if numeric else None
+    fill = {c: med[f"med_{c}"] for c in numeric}
+    if cats:
+        fill.update({r["column_name"]: r["mode_value"] for r in mode_table(train, cats).collect()})
+    return {c: v for c, v in fill.items() if v is not None}
+
+
+def filled(df: DataFrame, fill: dict, cats: Sequence[str]) -> DataFrame:
+    """Numeric features as doubles, categorical ones as text, nulls replaced by the training values."""
+    return df.select(*[F.coalesce(F.col(c).cast("string" if c in cats else "double"), F.lit(fill[c])).alias(c) if c in fill
+                       else F.col(c).cast("string").alias(c) if c in cats else F.col(c) for c in df.columns])
+
+
+def preprocessing(numeric: Sequence[str], cats: Sequence[str], passthrough: bool = False, n_train: int | None = None) -> list:
+    """M2 + M4 + M5 stages over filled columns; ``passthrough`` keeps raw numerics (no scaling).
+
+    StandardScaler divides by the sample deviation; with ``n_train`` the columns are rescaled to the population's.
+    """
+    raw = VectorAssembler(inputCols=list(numeric), outputCol="num_std" if passthrough else "num_vec", handleInvalid="keep")
+    num_stages = [raw]
+    if not passthrough:
+        to_population = (n_train / (n_train - 1)) ** 0.5 if n_train and n_train > 1 else 1.0
+        num_stages += [StandardScaler(inputCol="num_vec", outputCol="num_sample_std", withMean=True, withStd=True),
+                       ElementwiseProduct(scalingVec=Vectors.dense([to_population] * len(numeric)), inputCol="num_sample_std",
+                                          outputCol="num_std")]
+    return num_stages + [
         StringIndexer(inputCols=list(cats), outputCols=[f"{c}__i" for c in cats], handleInvalid="keep",
                       stringOrderType="alphabetAsc"),
         OneHotEncoder(inputCols=[f"{c}__i" for c in cats], outputCols=[f"{c}__v" for c in cats],
                       dropLast=True, handleInvalid="keep"),
         VectorAssembler(inputCols=["num_std"] + [f"{c}__v" for c in cats], outputCol="features"),
     ]
-    return stages
 
 
 def logistic(n_train: int) -> LogisticRegression:
@@ -64,8 +76,10 @@ def forest(num_trees: int = 300, max_depth: int = 8, seed: int = 42) -> RandomFo
 
 
 def fit(train: DataFrame, numeric: Sequence[str], cats: Sequence[str], estimator,
-        passthrough: bool = False) -> PipelineModel:
-    return Pipeline(stages=preprocessing(numeric, cats, passthrough) + [estimator]).fit(train)
+        passthrough: bool = False, n_train: int | None = None) -> PipelineModel:
+    """Fit on filled rows (``filled``); ``n_train`` is their number, counted here where it is not given."""
+    n = n_train if n_train is not None or passthrough else train.count()
+    return Pipeline(stages=preprocessing(numeric, cats, passthrough, n) + [estimator]).fit(train)
 
 
 def train_credit_g(df: DataFrame, id_col: str, target: str = "class", test_fraction: float = 0.2):
@@ -79,9 +93,8 @@ def train_credit_g(df: DataFrame, id_col: str, target: str = "class", test_fract
     data = df.withColumn("label", label_from_class(target)).drop(target)
     numeric, cats = split_by_dtype(data, exclude=[id_col, "label"])
     split = stratified_split(data, id_col, "label", test_fraction)
-    train = split.where(~F.col("is_test")).cache()
-    n = train.count()
-    model = fit(train, numeric, cats, logistic(n), passthrough=True)
+    train = split.where(~F.col("is_test"))
+    model = fit(train, numeric, cats, logistic(train.count()), passthrough=True)
     pred = positive_probability(model, split.where(F.col("is_test")), [id_col, "label"])
     return model, pred
 
@@ -92,6 +105,33 @@ def positive_probability(model: PipelineModel, df: DataFrame, keys: Sequence[str
     return out.select(*keys, vector_to_array("probability")[1].alias("p"))
 
 
+def logit_parts(model: PipelineModel, numeric: Sequence[str], cats: Sequence[str]) -> tuple[list[Column], float]:
+    """The fitted logistic regression's log-odds as one expression for each feature (numeric first), and the intercept.
+
+    Works on filled columns; an unseen category adds nothing, like its dropped dummy.
+    """
+    lr = model.stages[-1]
+    weight = [float(x) for x in lr.coefficients]
+    scaler = next((st for st in model.stages if isinstance(st, StandardScalerModel)), None)
+    by_population = next((float(st.getScalingVec()[0]) for st in model.stages if isinstance(st, ElementwiseProduct)), 1.0)
+    parts = []
+    for i, c in enumerate(numeric):
+        x = F.col(c).cast("double")
+        if scaler is not None:
+            sd = float(scaler.std[i])
+            x = (x - F.lit(float(scaler.mean[i]))) * F.lit(by_population / sd if sd else 0.0)
+        parts.append(x * F.lit(weight[i]))
+    at = len(numeric)
+    labels = next(st for st in model.stages if isinstance(st, StringIndexerModel)).labelsArray if cats else []
+    for c, labs in zip(cats, labels):
+        part = F.lit(0.0)
+        for k, lab in enumerate(labs):
+            part = F.when(F.col(c) == lab, F.lit(weight[at + k])).otherwise(part)
+        parts.append(part)
+        at += len(labs)
+    return parts, float(lr.intercept)
+
+
 def metrics(pred: DataFrame, label: str = "label", score: str = "p", threshold: float = 0.5) -> DataFrame:
     """M9 + M10 + M11 in one row: accuracy, F1 of class 1 (0 when undefined), ROC-AUC."""
     y = F.col(label).cast("int")
@@ -113,10 +153,19 @@ def select_best(summary: DataFrame) -> DataFrame:
     return summary.orderBy(F.col("auc").desc(), F.col("f1").desc(), F.col("model_order").asc()).limit(1)
 
 
-def save(model: PipelineModel, path: str) -> None:
-    """Persist a fitted pipeline (overwrite)."""
+def save(model: PipelineModel, path: str, features: Sequence[str] = ()) -> None:
+    """Persist a fitted pipeline and the list of its input features beside it (overwrite)."""
     model.write().overwrite().save(path)
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(i, f) for i, f in enumerate(features)], "position int, feature string") \
+        .coalesce(1).write.mode("overwrite").parquet(f"{path}-features")
 
 
 def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def load_features(path: str) -> list[str]:
+    """The feature list saved with a model, in order."""
+    rows = SparkSession.getActiveSession().read.parquet(f"{path}-features").collect()  # one row per feature
+    return [r["feature"] for r in sorted(rows, key=lambda r: r["position"])]

@@ -56,14 +56,15 @@ def extract_amount(spark, sf_dir):
 
 
 @register("intent_route", oracle=f"""
-SELECT question_id, COALESCE({_KW_SQL.replace('text', 'question')}, FALSE) AS is_banking,
-       CASE WHEN NOT COALESCE({_KW_SQL.replace('text', 'question')}, FALSE) THEN 'refused' ELSE {_intent_sql('question')} END AS intent
-FROM questions""", views=("questions",))
+WITH {_TEXTS_SQL}
+SELECT source, item_id, turn, COALESCE({_KW_SQL}, FALSE) AS is_banking,
+       CASE WHEN NOT COALESCE({_KW_SQL}, FALSE) THEN 'refused' ELSE {_intent_sql('text')} END AS intent
+FROM texts""", views=("questions",))
 def intent_route(spark, sf_dir):
-    q = views(spark, sf_dir).questions
-    gate = TX.is_banking(F.col("question"))
-    return q.select("question_id", gate.alias("is_banking"),
-                    F.when(~gate, F.lit("refused")).otherwise(TX.intent(F.col("question"))).alias("intent"))
+    t = _texts(views(spark, sf_dir))
+    gate = TX.is_banking(F.col("text"))
+    return t.select("source", "item_id", "turn", gate.alias("is_banking"),
+                    F.when(~gate, F.lit("refused")).otherwise(TX.intent(F.col("text"))).alias("intent"))
 
 
 def _base(v):
@@ -71,7 +72,7 @@ def _base(v):
 
 
 def _amounts(v):
-    return v.questions.select(TX.loan_amount(F.col("question")).alias("amount"))
+    return _texts(v).select(TX.loan_amount(F.col("text")).alias("amount"))
 
 
 def _cohorts(v, which=None):
@@ -86,7 +87,8 @@ base AS (SELECT * REPLACE (
          FROM risk_full WHERE Approved = 1 AND LoanAmount IS NOT NULL AND bank_balance IS NOT NULL)"""
 
 _COHORT_SQL = _BASE_SQL + f""",
-amounts AS (SELECT DISTINCT {_AMOUNT_SQL.format(t='question')} AS amount FROM questions),
+{_TEXTS_SQL},
+amounts AS (SELECT DISTINCT {_AMOUNT_SQL.format(t='text')} AS amount FROM texts),
 am AS (SELECT amount FROM amounts WHERE amount IS NOT NULL),
 inr AS (SELECT a.amount, b.* FROM am a JOIN base b ON b.LoanAmount >= a.amount * 0.7e0 AND b.LoanAmount <= a.amount * 1.3e0),
 cnt AS (SELECT a.amount, COUNT(inr.application_id) AS n FROM am a LEFT JOIN inr ON a.amount = inr.amount GROUP BY 1),
@@ -173,43 +175,103 @@ def semantic_topk(spark, sf_dir):
     return round_doubles(top.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "score"))
 
 
-def _latest(v, spark, sf_dir):
-    e = explained(spark, sf_dir, extra=["applicant_id", "submitted_at"]).select(
+def _decisions(spark, sf_dir):
+    return explained(spark, sf_dir, extra=["applicant_id", "submitted_at"]).select(
         "application_id", "applicant_id", "submitted_at", "decision",
         F.try_element_at(F.col("top_negative"), F.lit(1))["feature"].alias("main_negative_feature"))
-    return AD.latest_decision(e)
 
 
-@register("question_context", oracle=f"""
-WITH {_attr_sql()},
-ctx AS (SELECT r.applicant_id, arg_max(struct_pack(application_id := r.application_id, decision := d.decision,
+_CTX_SQL = """
+ctx AS (SELECT q.question_id, arg_max(struct_pack(application_id := r.application_id, decision := d.decision,
                  main_negative_feature := n.feature), (r.submitted_at, r.application_id)) AS last
-        FROM risk_full r JOIN dec d ON r.application_id = d.application_id
+        FROM questions q JOIN risk_full r ON q.applicant_id = r.applicant_id AND CAST(r.submitted_at AS TIMESTAMP) <= q.asked_at
+        JOIN dec d ON r.application_id = d.application_id
         LEFT JOIN (SELECT application_id, feature FROM ranked WHERE r_neg = 1) n ON r.application_id = n.application_id
-        GROUP BY 1)
+        GROUP BY 1)"""
+
+
+@register("question_context", oracle=f"""
+WITH {_attr_sql()}, {_CTX_SQL}
 SELECT q.question_id, q.applicant_id, ctx.last.application_id AS last_application_id, ctx.last.decision AS last_decision,
        ctx.last.main_negative_feature AS main_negative_feature
-FROM questions q LEFT JOIN ctx ON q.applicant_id = ctx.applicant_id""", views=("risk_full", "questions"))
+FROM questions q LEFT JOIN ctx ON q.question_id = ctx.question_id""", views=("risk_full", "questions"))
 def question_context(spark, sf_dir):
-    v = views(spark, sf_dir)
-    j = v.questions.join(_latest(v, spark, sf_dir), "applicant_id", "left")
+    """The applicant's last decision at the time of the question."""
+    j = AD.decision_as_of(views(spark, sf_dir).questions, _decisions(spark, sf_dir))
     return j.select("question_id", "applicant_id", F.col("last.application_id").alias("last_application_id"),
                     F.col("last.decision").alias("last_decision"),
                     F.col("last.main_negative_feature").alias("main_negative_feature"))
 
 
-@register("advice_answers")
+# ---- the answers in SQL: the same fixed texts
+def _lit(t: str) -> str:
+    return "'" + t.replace("'", "''") + "'"
+
+
+def _fill_sql(template: str, *values: str) -> str:
+    parts = template.split("{}")
+    return "(" + " || ".join([_lit(parts[0]), *[x for v, p in zip(values, parts[1:]) for x in (v, _lit(p))]]) + ")"
+
+
+def _rupees_sql(e: str) -> str:
+    return f"('₹' || printf('%,d', CAST(round_even({e}, 0) AS BIGINT)))"
+
+
+def _three_sql(pre: str, digits: int) -> list[str]:
+    return [f"printf('%.{digits}f', {pre}_q{q})" for q in (50, 25, 75)]
+
+
+def _answers_sql() -> str:
+    money = lambda pre: [_rupees_sql(f"{pre}_q{q}") for q in (50, 25, 75)]
+    intro = lambda t: f"CASE WHEN amount IS NULL THEN {_lit(t[0])} ELSE {_fill_sql(t[1], _rupees_sql('amount'))} END"
+    share = _fill_sql(AD.CREDIT_SHARE, "printf('%.0f', good_share * 100)")
+    score = _fill_sql(AD.CREDIT_SCORE, *_three_sql("cibil", 0))
+    mob = _fill_sql(AD.BEHAVIOUR, "'mobile_usage_score'", *_three_sql("mob", 0))
+    txn = _fill_sql(AD.BEHAVIOUR, "'transaction_stability_score'", *_three_sql("txn", 0))
+    texts = {
+        "bank_balance": f"({intro(AD.BALANCE)}) || {_fill_sql(AD.BALANCE[2], *money('bal'))}",
+        "income": f"({intro(AD.INCOME)}) || {_fill_sql(AD.INCOME[2], *money('inc'))}",
+        "emi_ratio": _fill_sql(AD.RATIO, *_three_sql("ratio", 1)),
+        "credit": f"CASE WHEN {share} IS NOT NULL OR {score} IS NOT NULL THEN concat_ws(' ', {share}, {score}, {_lit(AD.CREDIT_CLOSE)}) END",
+        "behaviour": f"CASE WHEN {mob} IS NOT NULL OR {txn} IS NOT NULL THEN concat_ws(' ', {mob}, {txn}, {_lit(AD.BEHAVIOUR_CLOSE)}) END",
+        "utilisation": _fill_sql(AD.UTILISATION, *_three_sql("util", 1)),
+    }
+    return " UNION ALL ".join(f"SELECT amount, '{i}' AS intent, {t} AS cohort_answer FROM st" for i, t in texts.items())
+
+
+def _tokens_sql(t: str) -> str:
+    return (f"list_distinct(list_filter(string_split(lower(regexp_replace({t}, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''))")
+
+
+_GUIDE_SQL = f"""
+guide(i, t) AS (VALUES {", ".join(f"({i}, {_lit(t)})" for i, t in enumerate(RT.GUIDANCE))}),
+scored AS (SELECT source, item_id, turn, i, t,
+  len(list_intersect({_tokens_sql('text')}, {_tokens_sql('t')})) / greatest(sqrt(len({_tokens_sql('text')}) * len({_tokens_sql('t')})), 1.0e0) AS s
+  FROM texts CROSS JOIN guide),
+bullets AS (SELECT source, item_id, turn, string_agg('- ' || t, chr(10) ORDER BY s DESC, i) AS b FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY source, item_id, turn ORDER BY s DESC, i) AS rn FROM scored) z WHERE rn <= 3 GROUP BY 1, 2, 3)"""
+
+
+@register("advice_answers", oracle=f"""
+WITH {_attr_sql()}, {_CTX_SQL}, {_COHORT_SQL}, answers AS ({_answers_sql()}), {_GUIDE_SQL},
+asked AS (SELECT source, item_id, turn, text, COALESCE({_KW_SQL}, FALSE) AS is_banking, {_intent_sql('text')} AS intent,
+                 {_AMOUNT_SQL.format(t='text')} AS amount FROM texts)
+SELECT a.source, a.item_id, a.turn, a.intent,
+  CASE WHEN NOT a.is_banking THEN {_lit(AD.REFUSAL)}
+       ELSE COALESCE(w.cohort_answer, {_lit(AD.RETRIEVAL_BASE)} || chr(10) || b.b
+         || CASE WHEN ctx.last.decision IS NOT NULL AND ctx.last.main_negative_feature IS NOT NULL
+                 THEN {_fill_sql(AD.CONTEXT_NOTE, 'ctx.last.main_negative_feature')} ELSE '' END || {_lit(AD.FOLLOW_UP)}) END AS answer
+FROM asked a LEFT JOIN answers w ON a.intent = w.intent AND a.amount IS NOT DISTINCT FROM w.amount
+LEFT JOIN bullets b ON a.source = b.source AND a.item_id = b.item_id AND a.turn = b.turn
+LEFT JOIN ctx ON a.source = 'question' AND a.item_id = ctx.question_id""", views=("risk_full", "questions"))
 def advice_answers(spark, sf_dir):
-    """The answer text per question (gate, cohort answer, or retrieval with context)."""
+    """The answer to every question and user turn (gate, cohort answer, or retrieval with context)."""
     v = views(spark, sf_dir)
-    q = v.questions.select("question_id", "applicant_id", "question",
-                           TX.is_banking(F.col("question")).alias("is_banking"),
-                           TX.intent(F.col("question")).alias("intent"),
-                           TX.loan_amount(F.col("question")).alias("amount"))
-    c = _cohorts(v)
-    j = q.join(c, q.amount.eqNullSafe(c.amount), "left").drop(c.amount)
-    ctx = _latest(v, spark, sf_dir)
-    j = j.join(ctx, "applicant_id", "left").select(
-        "*", F.col("last.decision").alias("last_decision"),
+    ctx = AD.decision_as_of(v.questions.select("question_id", "applicant_id", "asked_at"), _decisions(spark, sf_dir)).select(
+        F.lit("question").alias("_s"), F.col("question_id").alias("_q"), F.col("last.decision").alias("last_decision"),
         F.col("last.main_negative_feature").alias("main_negative_feature"))
-    return j.select("question_id", "intent", AD.answer().alias("answer"))
+    t = _texts(v)
+    asked = t.select("source", "item_id", "turn", F.col("text").alias("question"), TX.is_banking(F.col("text")).alias("is_banking"),
+                     TX.intent(F.col("text")).alias("intent"), TX.loan_amount(F.col("text")).alias("amount"))
+    asked = asked.join(ctx, (F.col("source") == F.col("_s")) & (F.col("item_id") == F.col("_q")), "left").drop("_s", "_q")
+    return AD.answers(asked, _cohorts(v)).select("source", "item_id", "turn", "intent", "answer")

@@ -10,6 +10,7 @@ from ..operators import consent as CO
 from ..sources.derived import RAW_FEATURES
 from .common import views
 from .q_consent import KNOWN_GROUPS, _GROUP_FLAG_SQL, _STATE_SQL
+from .q_explain import _attr_sql, explained
 from .registry import register
 
 MODEL_VERSION = "indian_v1"
@@ -32,9 +33,10 @@ def _decision_links(v):
     s = s.select("application_id", "applicant_id", "submitted_at", "decision", "probability",
                  _input_hash_col().alias("input_hash"))
     s = s.withColumn("payload", _decision_payload())
-    return AU.chain_links(s.withColumnRenamed("applicant_id", "chain_id"), "chain_id",
-                          ["submitted_at", "application_id"], "payload",
-                          ["application_id", "submitted_at", "input_hash", "decision", "probability"])
+    links = AU.chain_links(s.withColumnRenamed("applicant_id", "chain_id"), "chain_id",
+                           ["submitted_at", "application_id"], "payload",
+                           ["application_id", "submitted_at", "input_hash", "decision", "probability"])
+    return v.stored("decision_log", links, [AU, HS])  # folded once per input version; readers scan the log
 
 
 def _gov_stored(v):
@@ -55,7 +57,7 @@ def _gov_links(v):
     links = AU.chain_links(g, "chain_id", ["ts", "event_id"], "payload",
                            ["ts", "event_type", "model_version", "input_features", "output_decision",
                             "fairness_snapshot", "details"])
-    return links
+    return v.stored("governance_log", links, [AU, HS], tables=("events",))
 
 
 # ---- oracle SQL --------------------------------------------------------------
@@ -127,22 +129,32 @@ def _consent_json_sql():
     return " || ".join(parts) + " || '}'"
 
 
-@register("audit_log", oracle=_DEC_CHAIN_SQL.replace("WITH RECURSIVE", f"WITH RECURSIVE {_STATE_SQL},", 1) + f"""
-SELECT application_id AS id, submitted_at AS timestamp, input_hash, output_hash, previous_hash,
+def _shap_json(attr):
+    """The attributions as JSON text in feature order."""
+    by_index = F.array_sort(F.transform(attr, lambda a: F.struct(a["feature_idx"], a["feature"], a["shap"])))
+    return F.concat(F.lit("{"), F.array_join(F.transform(by_index, lambda a: F.concat(
+        F.lit('"'), a["feature"], F.lit('": '), HS.prob_text(a["shap"]))), ", "), F.lit("}"))
+
+
+@register("audit_log", oracle=_DEC_CHAIN_SQL.replace("WITH RECURSIVE", f"WITH RECURSIVE {_STATE_SQL}, {_attr_sql()},", 1) + f""",
+sj AS (SELECT application_id, '{{' || string_agg('"' || feature || '": ' || {HS.prob_text_sql("shap")}, ', ' ORDER BY feature_idx) || '}}' AS shap_values
+       FROM attr GROUP BY 1)
+SELECT chain.application_id AS id, submitted_at AS timestamp, input_hash, output_hash, previous_hash,
        {_consent_json_sql()} AS consent_state, 'indian_v1' AS model_version, decision,
-       {HS.prob_text_sql("probability")} AS probability
-FROM chain LEFT JOIN flags ON chain.chain_id = flags.applicant_id""",
+       {HS.prob_text_sql("probability")} AS probability, sj.shap_values
+FROM chain LEFT JOIN flags ON chain.chain_id = flags.applicant_id JOIN sj ON chain.application_id = sj.application_id""",
           views=("risk_full", "applications", "consent_events"))
 def audit_log(spark, sf_dir):
+    """S11 + H2: the decision log with consent state and the attributions of each decision."""
     v = views(spark, sf_dir)
-    links = _decision_links(v)
-    from .q_consent import _state
+    shap = explained(spark, sf_dir).select(F.col("application_id").alias("_id"), _shap_json(F.col("attr")).alias("shap_values"))
+    links = _decision_links(v).join(shap, F.col("application_id") == F.col("_id"))
     flagged = CO.with_flags(links.withColumnRenamed("chain_id", "applicant_id"), v.consent_events, KNOWN_GROUPS)
     return flagged.select(F.col("application_id").alias("id"), F.col("submitted_at").alias("timestamp"),
                           "input_hash", "output_hash", "previous_hash",
                           _consent_json_spark().alias("consent_state"),
                           F.lit(MODEL_VERSION).alias("model_version"), "decision",
-                          HS.prob_text(F.col("probability")).alias("probability"))
+                          HS.prob_text(F.col("probability")).alias("probability"), "shap_values")
 
 
 @register("governance_chain", oracle=_GOV_CHAIN_SQL + """
@@ -163,21 +175,45 @@ def governance_log(spark, sf_dir):
                         "previous_hash", "output_hash")
 
 
-@register("chain_verify", oracle=_GOV_CHAIN_SQL + """,
+def _verify_sql(log: str, payload: str) -> str:
+    return f"""
 chk AS (
   SELECT c.chain_id, c.seq,
-         sha256(c.payload || '|previous_hash=' || COALESCE(c.previous_hash, 'null')) = c.output_hash AS content_ok,
+         sha256({payload} || '|previous_hash=' || COALESCE(c.previous_hash, 'null')) = c.output_hash AS content_ok,
          CASE WHEN c.seq = f.first_seq THEN TRUE ELSE p.output_hash IS NOT NULL AND c.previous_hash IS NOT DISTINCT FROM p.output_hash END AS link_ok
-  FROM chain c LEFT JOIN chain p ON c.chain_id = p.chain_id AND c.seq = p.seq + 1
-  JOIN (SELECT chain_id, MIN(seq) AS first_seq FROM chain GROUP BY 1) f ON c.chain_id = f.chain_id)
+  FROM {log} c LEFT JOIN {log} p ON c.chain_id = p.chain_id AND c.seq = p.seq + 1
+  JOIN (SELECT chain_id, MIN(seq) AS first_seq FROM {log} GROUP BY 1) f ON c.chain_id = f.chain_id)
 SELECT chain_id, CAST(COUNT(*) AS BIGINT) AS n_links,
        CAST(COUNT(*) FILTER (WHERE NOT content_ok) AS BIGINT) AS content_violations,
        CAST(COUNT(*) FILTER (WHERE NOT link_ok) AS BIGINT) AS link_violations,
        bool_and(content_ok AND link_ok) AS valid
-FROM chk GROUP BY 1""", views=("governance_events",))
+FROM chk GROUP BY 1"""
+
+
+_GOV_OF_C = HS.canonical_sql([(k, f"c.{k}") for k in GOV_KEYS])
+_DEC_OF_C = HS.canonical_sql([("decision", "c.decision"), ("input_hash", "c.input_hash"), ("probability", HS.prob_text_sql("c.probability"))])
+
+
+@register("chain_verify", oracle=_GOV_CHAIN_SQL + "," + _verify_sql("chain", _GOV_OF_C), views=("governance_events",))
 def chain_verify(spark, sf_dir):
-    log = _gov_links(views(spark, sf_dir))
-    return AU.verify_summary(AU.verify(log, _gov_payload()))
+    """H5 over the stored governance log."""
+    return AU.verify_summary(AU.verify(_gov_links(views(spark, sf_dir)), _gov_payload()))
+
+
+@register("decision_chain_verify", oracle=_DEC_CHAIN_SQL + "," + _verify_sql("chain", _DEC_OF_C), views=("risk_full",))
+def decision_chain_verify(spark, sf_dir):
+    """H5 over the stored decision log."""
+    return AU.verify_summary(AU.verify(_decision_links(views(spark, sf_dir)), _decision_payload()))
+
+
+@register("chain_verify_tampered", oracle=_GOV_CHAIN_SQL + """,
+bad AS (SELECT * REPLACE (CASE WHEN seq % 7 = 3 THEN details || ' ' ELSE details END AS details) FROM chain WHERE (chain_id + seq) % 11 <> 0),
+""" + _verify_sql("bad", _GOV_OF_C), views=("governance_events",))
+def chain_verify_tampered(spark, sf_dir):
+    """H5 over a governance log that somebody edited (every 7th link's details) and deleted from (some links)."""
+    log = _gov_links(views(spark, sf_dir)).where((F.col("chain_id") + F.col("seq")) % 11 != 0)
+    edited = log.withColumn("details", F.when(F.col("seq") % 7 == 3, F.concat("details", F.lit(" "))).otherwise(F.col("details")))
+    return AU.verify_summary(AU.verify(edited, _gov_payload()))
 
 
 @register("chain_tips", oracle="""
@@ -201,7 +237,26 @@ def recent_governance(spark, sf_dir):
                      "output_hash", F.col("details_parsed.k").alias("details_k"))
 
 
-@register("decision_chain_segmented")
+_SEGMENT_PAYLOAD_SQL = HS.canonical_sql([("n_links", "n_links"), ("segment", "day"), ("tip_hash", "tip_hash")])
+
+
+@register("decision_chain_segmented", oracle=f"""
+WITH RECURSIVE base AS (
+  SELECT chain_id, day, ROW_NUMBER() OVER (PARTITION BY chain_id, day ORDER BY submitted_at, application_id) AS seq, {_DEC_PAYLOAD_SQL} AS payload
+  FROM (SELECT r.applicant_id AS chain_id, CAST(r.submitted_at AS DATE) AS day, r.*, sha256({_INPUT_SQL}) AS input_hash FROM risk_full r) x),
+seg AS (
+  SELECT chain_id, day, seq, sha256(payload || '|previous_hash=null') AS output_hash FROM base WHERE seq = 1
+  UNION ALL
+  SELECT b.chain_id, b.day, b.seq, sha256(b.payload || '|previous_hash=' || s.output_hash)
+  FROM base b JOIN seg s ON b.chain_id = s.chain_id AND b.day = s.day AND b.seq = s.seq + 1),
+tips AS (SELECT chain_id, day, arg_max(output_hash, seq) AS tip_hash, CAST(COUNT(*) AS BIGINT) AS n_links FROM seg GROUP BY 1, 2),
+num AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY chain_id ORDER BY day) AS seq, {_SEGMENT_PAYLOAD_SQL} AS payload FROM tips),
+anchor AS (
+  SELECT chain_id, day, seq, n_links, tip_hash, CAST(NULL AS VARCHAR) AS previous_hash, sha256(payload || '|previous_hash=null') AS output_hash FROM num WHERE seq = 1
+  UNION ALL
+  SELECT n.chain_id, n.day, n.seq, n.n_links, n.tip_hash, a.output_hash, sha256(n.payload || '|previous_hash=' || a.output_hash)
+  FROM num n JOIN anchor a ON n.chain_id = a.chain_id AND n.seq = a.seq + 1)
+SELECT chain_id, day, seq, n_links, tip_hash, previous_hash, output_hash FROM anchor""", views=("risk_full",))
 def decision_chain_segmented(spark, sf_dir):
     """H3 with hot-chain splitting: per (applicant, decision day) links + per-applicant anchor chain.
 

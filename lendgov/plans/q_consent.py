@@ -7,16 +7,23 @@ from pyspark.sql import functions as F
 from ..functions import features as FX
 from ..operators import consent as CO
 from ..operators import scoring as SC
-from ..sources.derived import RAW_FEATURES
+from ..sources.derived import APPLICATION_COLUMNS, RAW_FEATURES
 from .common import round_doubles, views
 from .registry import register
 
-# Groups present in the loan dataset (the Banking group has no columns, so it drops out).
-KNOWN_GROUPS = ["Financial Data", "Credit History Data", "Demographic Data", "Behaviour / Digital Data"]
-FEATURE_GROUP = {f: g for f, g in CO.static_feature_groups(None) if g in KNOWN_GROUPS}
+# Groups with columns in the loan dataset (the Banking group has none, so it drops out).
+KNOWN_GROUPS = CO.known_groups(APPLICATION_COLUMNS)
 SERVE_FEATURES = FX.MODEL_FEATURES
 
 
+def feature_group_map(columns=APPLICATION_COLUMNS) -> dict[str, str]:
+    """The dataset's own feature -> group map."""
+    return CO.group_map(columns)
+
+
+FEATURE_GROUP = feature_group_map()  # of the declared schema, for the SQL texts below
+
+
 def _applicants(v):
     return v.applications.select("applicant_id").distinct()
 
@@ -93,17 +100,26 @@ def _masked_select(mode: str) -> str:
     return ", ".join(out)
 
 
+_DIM_VALUES = ", ".join([f"('{g}', {gi}, '{c}', {fi}, false)" for gi, (g, cols) in enumerate(CO.GROUP_CANDIDATES) for fi, c in enumerate(cols)]
+                        + [f"('{g}', {CO.ALL_GROUPS.index(g)}, '{c}', {100 + fj}, true)" for g, fs in CO.GROUP_ENGINEERED.items() for fj, c in enumerate(fs)])
+_DIM_FEATURES = [f for f in FEATURE_GROUP]
+
+
 @register("feature_group_dim", oracle=f"""
-WITH cand(group_name, group_order, feature, feature_order, engineered) AS (VALUES
- {", ".join(f"('{g}', {gi}, '{c}', {fi}, false)" for gi, (g, cols) in enumerate(CO.GROUP_CANDIDATES) for fi, c in enumerate(cols))},
- {", ".join(f"('{g}', {[x for x, _ in CO.GROUP_CANDIDATES].index(g)}, '{c}', {100 + fj}, true)" for g, fs in CO.GROUP_ENGINEERED.items() for fj, c in enumerate(fs))}),
-cols AS (SELECT DISTINCT unnest(json_keys(to_json(a))) AS feature FROM (SELECT * FROM applications LIMIT 1) a),
-kept AS (SELECT * FROM cand WHERE engineered OR feature IN (SELECT feature FROM cols))
-SELECT group_name, group_order, feature, feature_order FROM (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY feature ORDER BY group_order) AS rn FROM kept) x WHERE rn = 1
-""", views=("applications",))
+WITH cand(group_name, group_order, feature, feature_order, engineered) AS (VALUES {_DIM_VALUES}),
+vals AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, COUNT({c}) AS n_values, COUNT(*) AS n_rows FROM risk_full" for c in _DIM_FEATURES)}),
+kept AS (SELECT * FROM cand WHERE feature IN (SELECT feature FROM vals))
+SELECT group_name, group_order, x.feature, feature_order, CAST(n_values AS BIGINT) AS n_values, CAST(n_rows AS BIGINT) AS n_rows FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY feature ORDER BY group_order) AS rn FROM kept) x JOIN vals ON x.feature = vals.feature WHERE rn = 1
+""", views=("risk_full",))
 def feature_group_dim(spark, sf_dir):
-    return CO.feature_groups(views(spark, sf_dir).applications)
+    """J1 + J3: the dataset's features by consent group, with how many rows hold a value a consent covers."""
+    v = views(spark, sf_dir)
+    counts = v.scored.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in _DIM_FEATURES])
+    long = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("n_values"), F.col("_n").alias("n_rows"))
+                                             for c in _DIM_FEATURES])).alias("r")).select("r.*")
+    return CO.feature_groups(v.applications).join(long, "feature").select(
+        "group_name", "group_order", "feature", "feature_order", "n_values", "n_rows")
 
 
 @register("consent_state", oracle=f"WITH {_STATE_SQL} SELECT applicant_id, group_name, allowed, is_default FROM state",
@@ -125,8 +141,8 @@ SELECT application_id, served.applicant_id, {_masked_select("drop")}
 FROM served LEFT JOIN flags ON served.applicant_id = flags.applicant_id""",
           views=("applications", "consent_events"))
 def consent_masked(spark, sf_dir):
-    df = _served_with_flags(views(spark, sf_dir))
-    out = CO.mask_drop(df, FEATURE_GROUP, SERVE_FEATURES).drop("submitted_at")
+    v = views(spark, sf_dir)
+    out = CO.mask_drop(_served_with_flags(v), feature_group_map(v.applications.columns), SERVE_FEATURES).drop("submitted_at")
     return round_doubles(out)
 
 
@@ -136,16 +152,17 @@ SELECT application_id, served.applicant_id, {_masked_select("neutral")}
 FROM served LEFT JOIN flags ON served.applicant_id = flags.applicant_id""",
           views=("applications", "consent_events"))
 def consent_neutral_masked(spark, sf_dir):
-    df = _served_with_flags(views(spark, sf_dir))
+    v = views(spark, sf_dir)
+    df = _served_with_flags(v)
     numeric = FX.NUMERIC_FEATURES + ["Credit_History"]
     categorical = [c for c in FX.CATEGORICAL_FEATURES if c != "Credit_History"]
-    out = CO.mask_neutral(df, FEATURE_GROUP, numeric, categorical).drop("submitted_at")
+    out = CO.mask_neutral(df, feature_group_map(v.applications.columns), numeric, categorical).drop("submitted_at")
     return round_doubles(out)
 
 
 def _access_log(spark, sf_dir):
-    df = _served_with_flags(views(spark, sf_dir))
-    return CO.access_records(df, FEATURE_GROUP, SERVE_FEATURES, ts="submitted_at")
+    v = views(spark, sf_dir)
+    return CO.access_records(_served_with_flags(v), feature_group_map(v.applications.columns), SERVE_FEATURES, ts="submitted_at")
 
 
 def _access_sql():
@@ -162,6 +179,9 @@ acc AS (
   LATERAL (SELECT * FROM (VALUES {", ".join(recs)}) v(feature_order, feature, allowed)) r)"""
 
 
+_ACCESS_SQL = f"WITH {_access_sql()}, log AS (SELECT * FROM acc)"
+
+
 @register("access_log", oracle=f"WITH {_access_sql()} SELECT * FROM acc", views=("applications", "consent_events"))
 def access_log(spark, sf_dir):
     return _access_log(spark, sf_dir)
@@ -260,7 +280,8 @@ def consent_whatif(spark, sf_dir):
     r = v.risk.select(*_SCORE_INPUTS, "applicant_id")
     meds = v.scorecard_params
     flagged = CO.with_flags(r, v.consent_events, KNOWN_GROUPS)
-    allowed = {c: CO.flag_col(FEATURE_GROUP[c]) for c, _, _ in SC.TERMS if c in FEATURE_GROUP}
+    groups = feature_group_map(v.applications.columns)
+    allowed = {c: CO.flag_col(groups[c]) for c, _, _ in SC.TERMS if c in groups}
     base = SC.score(flagged, meds).withColumnRenamed("p_approve", "p_baseline")
     both = SC.score(base, meds, allowed).withColumnRenamed("p_approve", "p_consent")
     out = both.select("application_id", "p_baseline", "p_consent",

@@ -43,11 +43,11 @@ def _attr_sql() -> str:
         e = f"COALESCE(CAST({c} AS DOUBLE), med_{c})"
         if cap is not None:
             e = f"LEAST({e}, CAST({cap!r} AS DOUBLE))"
-        fills.append(f"{e} AS {c}")
+        fills.append(f"{e} AS {c}, CAST({c} AS DOUBLE) AS own_{c}")
     means = ", ".join(f"AVG({c}) AS mean_{c}" for c in _INPUTS)
     z = " + ".join(f"CAST({w!r} AS DOUBLE) * {c}" for c, w, _ in SC.TERMS)
     unions = "\n  UNION ALL ".join(
-        f"SELECT application_id, {SC.FEATURE_INDEX[c]} AS feature_idx, '{c}' AS feature, {c} AS value, "
+        f"SELECT application_id, {SC.FEATURE_INDEX[c]} AS feature_idx, '{c}' AS feature, own_{c} AS value, "
         f"CAST({w!r} AS DOUBLE) * ({c} - mean_{c}) AS shap FROM f CROSS JOIN mu" for c, w, _ in SC.TERMS)
     return f"""
 m AS (SELECT {meds} FROM risk_full),
@@ -94,18 +94,22 @@ def shap_top_positive(spark, sf_dir):
     return round_doubles(_long(explained(spark, sf_dir), "top_positive"))
 
 
+# X7 in SQL, over decisions d and their main reason m.
+SUMMARY_SQL = """CASE WHEN m.mr IS NULL THEN 'Loan ' || d.decision || ' based on the overall risk profile of your application.'
+       ELSE 'Loan ' || d.decision || ' because ' || m.mr.feature || ' (' || COALESCE(printf('%.2f', m.mr.value), 'None') || ') '
+            || CASE WHEN d.decision = 'approved' THEN 'supported your approval' ELSE 'reduced your approval score' END
+            || ' by ' || printf('%.2f', m.mr.shap) || '.' END"""
+
+
 @register("reason_summary", oracle=f"""
 WITH {_attr_sql()},
 mainr AS (SELECT application_id, arg_min(struct_pack(feature := feature, value := value, shap := shap),
                  CASE WHEN r_neg = 1 THEN 0 ELSE 1 END) AS mr
           FROM ranked WHERE r_neg = 1 OR r_pos = 1 GROUP BY 1)
 SELECT d.application_id, d.decision, m.mr.feature AS main_feature, ROUND(m.mr.shap, 6) AS main_shap,
-  CASE WHEN m.mr IS NULL THEN 'Loan ' || d.decision || ' based on the overall risk profile of your application.'
-       ELSE 'Loan ' || d.decision || ' because ' || m.mr.feature || ' (' || printf('%.2f', m.mr.value) || ') '
-            || CASE WHEN d.decision = 'approved' THEN 'supported your approval' ELSE 'reduced your approval score' END
-            || ' by ' || printf('%.2f', m.mr.shap) || '.' END AS summary,
+  {SUMMARY_SQL} AS summary,
   CASE WHEN m.mr IS NULL THEN 'Loan ' || d.decision || ' based on the overall risk profile from your data.'
-       ELSE 'Loan ' || d.decision || ' because ' || m.mr.feature || ' (' || printf('%.2f', m.mr.value) || ') '
+       ELSE 'Loan ' || d.decision || ' because ' || m.mr.feature || ' (' || COALESCE(printf('%.2f', m.mr.value), 'None') || ') '
             || CASE WHEN d.decision = 'approved' THEN 'supported your approval' ELSE 'lowered your score the most' END
             || '.' END AS summary_plain
 FROM dec d LEFT JOIN mainr m ON d.application_id = m.application_id""", views=("risk_full",))
@@ -116,13 +120,30 @@ def reason_summary(spark, sf_dir):
                                   EX.summary(F.col("decision"), False).alias("summary_plain")))
 
 
-@register("shap_reasons")
+@register("shap_reasons", oracle=f"""
+WITH {_attr_sql()},
+mainr AS (SELECT application_id, arg_min(struct_pack(feature := feature, value := value, shap := shap),
+                 CASE WHEN r_neg = 1 THEN 0 ELSE 1 END) AS mr
+          FROM ranked WHERE r_neg = 1 OR r_pos = 1 GROUP BY 1),
+lists AS (SELECT application_id, 'top_features' AS list, r_all AS rank, feature, value, shap FROM ranked WHERE r_all <= 5
+          UNION ALL SELECT application_id, 'top_negative', r_neg, feature, value, shap FROM ranked WHERE r_neg <= 5
+          UNION ALL SELECT application_id, 'top_positive', r_pos, feature, value, shap FROM ranked WHERE r_pos <= 5)
+SELECT d.application_id, d.decision, ROUND(d.p_approve, 6) AS p_approve, {SUMMARY_SQL} AS summary,
+       l.list, l.rank, l.feature, ROUND(l.value, 6) AS value, ROUND(l.shap, 6) AS shap
+FROM dec d LEFT JOIN mainr m ON d.application_id = m.application_id JOIN lists l ON d.application_id = l.application_id""",
+          views=("risk_full",))
 def shap_reasons(spark, sf_dir):
-    """E5 bundle: summary and the three reason lists per application."""
-    e = explained(spark, sf_dir)
-    return e.select("application_id", "decision", "p_approve",
-                    EX.summary(F.col("decision"), True).alias("summary"),
-                    "top_features", "top_negative", "top_positive")
+    """E5 bundle: summary and the three reason lists per application, one row per listed reason."""
+    e = explained(spark, sf_dir).withColumn("summary", EX.summary(F.col("decision"), True))
+    lists = F.explode(F.flatten(F.array(*[_listed(c) for c in ("top_features", "top_negative", "top_positive")])))
+    return round_doubles(e.select("application_id", "decision", "p_approve", "summary", lists.alias("r")).select(
+        "application_id", "decision", "p_approve", "summary", "r.list", "r.rank", "r.feature", "r.value", "r.shap"))
+
+
+def _listed(name: str):
+    """A reason list with its name and ranks."""
+    return F.transform(F.col(name), lambda r, i: F.struct(
+        F.lit(name).alias("list"), (i + 1).cast("bigint").alias("rank"), r["feature"].alias("feature"), r["value"].alias("value"), r["shap"].alias("shap")))
 
 
 def _family_case(expr: str) -> str:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import hashing as HS
+from ..operators import audit as AU
 from ..operators import fairness as FA
+from ..operators.audit import ALERT_LINK_KEYS
 from .common import round_doubles, views
 from .registry import register
 
@@ -71,9 +74,26 @@ def bias_alerts(spark, sf_dir):
     return round_doubles(FA.bias_alerts(FA.disparity(rates)))
 
 
-@register("bias_alert_events")
+def _json_num(e: str) -> str:
+    return f"CAST(CAST({e} AS DECIMAL(18,6)) AS VARCHAR)"
+
+
+@register("bias_alert_events", oracle=_RATES_SQL + f"""
+, al AS (SELECT sensitive_feature, 0 AS o, 'disparate_impact' AS metric, disparate_impact AS value, 0.8e0 AS threshold
+         FROM disp WHERE disparate_impact < 0.8e0
+         UNION ALL SELECT sensitive_feature, 1, 'statistical_parity_difference', statistical_parity_difference, 0.2e0
+         FROM disp WHERE statistical_parity_difference > 0.2e0),
+det AS (SELECT sensitive_feature, '{{"alerts":[' || string_agg('{{"metric":"' || metric || '","value":' || {_json_num('value')}
+          || ',"threshold":' || {_json_num('threshold')} || '}}', ',' ORDER BY o) || ']}}' AS details FROM al GROUP BY 1),
+snap AS (SELECT sensitive_feature, '{{"available":true,"sensitive_feature":"' || sensitive_feature || '","overall_selection_rate":'
+          || {_json_num('MAX(overall_selection_rate)')} || ',"by_group":{{' || string_agg('"' || group_value || '":' || {_json_num('selection_rate')}, ',' ORDER BY group_value)
+          || '}}}}' AS fairness_snapshot FROM rates GROUP BY 1),
+ev AS (SELECT det.sensitive_feature, 'bias-alert' AS event_type, fairness_snapshot, details,
+         sha256(det.sensitive_feature || '|' || fairness_snapshot || '|' || details) AS event_key FROM det JOIN snap ON det.sensitive_feature = snap.sensitive_feature)
+SELECT sensitive_feature, event_type, fairness_snapshot, details, event_key, CAST(1 AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS previous_hash,
+       sha256({HS.canonical_sql([(k, k) for k in ALERT_LINK_KEYS])} || '|previous_hash=null') AS output_hash FROM ev""", views=("risk",))
 def bias_alert_events(spark, sf_dir):
-    """Alert events with metric snapshots, ready to append to the governance log."""
+    """Alert events with metric snapshots, hashed as links of the governance log (one chain per attribute)."""
     rates = _rates(spark, sf_dir)
     disp = FA.disparity(rates)
-    return FA.alert_snapshot(rates, disp, FA.bias_alerts(disp))
+    return AU.append_alerts(FA.alert_snapshot(rates, disp, FA.bias_alerts(disp)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features as FX
 from ..functions.prefix import roc_auc
+from ..operators import kernel_shap as KS
 from ..operators import prep as PR
 from ..operators import training as TR
 from .common import round_doubles, views
@@ -15,8 +16,6 @@ from .registry import register
 
 NUMERIC = FX.NUMERIC_FEATURES
 CATS = FX.CATEGORICAL_FEATURES
-# Forest size used by the registered query (budget); the library default is 300.
-QUERY_TREES = 50
 
 
 def _model_frame(v):
@@ -71,17 +70,11 @@ def impute_mode(spark, sf_dir):
     return PR.impute_mode(df, CATS, keys=["application_id"])
 
 
-# Category domains of the stand-in data (only for the oracle's column list).
-_CAT_DOMAINS = {"Gender": ["Female", "Male"], "Married": ["No", "Yes"], "Dependents": ["0", "1", "2", "3+"],
-                "Education": ["Graduate", "Not Graduate"], "Self_Employed": ["No", "Yes"],
-                "Property_Area": ["Rural", "Semiurban", "Urban"], "Credit_History": ["0", "1"]}
-
-
 def _onehot_sql():
     inner = _mode_sql()
     cols = []
     for c in CATS:
-        for lab in _CAT_DOMAINS[c]:
+        for lab in PR.CATEGORY_DOMAINS[c]:
             cols.append(f"CASE WHEN CAST({c} AS VARCHAR) = '{lab}' THEN 1 ELSE 0 END AS {PR.onehot_name(c, lab)}")
     return f"SELECT application_id, {', '.join(cols)} FROM ({inner}) x"
 
@@ -95,7 +88,7 @@ def one_hot(spark, sf_dir):
 
 _SPLIT_SQL = f"""
 split AS (SELECT application_id, Approved,
-  ROW_NUMBER() OVER (PARTITION BY Approved ORDER BY (application_id * {PR.SPLIT_MULT}) % {PR.SPLIT_MOD}, application_id)
+  ROW_NUMBER() OVER (PARTITION BY Approved ORDER BY {PR.split_hash_sql('application_id')}, application_id)
    <= CEIL(0.2 * COUNT(*) OVER (PARTITION BY Approved)) AS is_test FROM risk)"""
 
 
@@ -146,55 +139,130 @@ def roc_auc_query(spark, sf_dir):
     return round_doubles(roc_auc(test.select(F.col("Approved").alias("label"), F.col("probability").alias("score"))))
 
 
+def _split_frame(v):
+    """Model features, label and split flag of every application, written once: fits and tests read it many times."""
+    df = _model_frame(v).join(_split(v).select("application_id", "is_test"), "application_id")
+    return v.stored("model_frame", df, [PR])
+
+
+def _estimator(name: str, n_train: int):
+    return TR.logistic(n_train) if name == "logistic" else TR.forest()
+
+
 def _train_eval(spark, sf_dir, which: list[str]):
-    v = views(spark, sf_dir)
-    df = _model_frame(v)
-    sp = _split(v).select("application_id", "is_test")
-    data = df.join(sp, "application_id")
-    train = data.where(~F.col("is_test")).cache()
-    test = data.where(F.col("is_test"))
+    """One row per model: metrics on the test split, and counts that hold for any fitted model."""
+    data = _split_frame(views(spark, sf_dir))
+    train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
     n_train = train.count()
-    train_f = TR.fill_modes(train, train, CATS)
-    test_f = TR.fill_modes(train, test, CATS)
+    fill = TR.fill_values(train, NUMERIC, CATS)
     rows = []
     for i, name in enumerate(which):
-        est = TR.logistic(n_train) if name == "logistic" else TR.forest(num_trees=QUERY_TREES)
-        model = TR.fit(train_f, NUMERIC, CATS, est)
-        pred = TR.positive_probability(model, test_f, ["application_id", "label"])
-        m = TR.metrics(pred, "label", "p").select(F.lit(i).alias("model_order"), F.lit(name).alias("model"),
-                                                 "n", "accuracy", "f1", "auc")
-        rows.append((m, model, pred))
+        model = TR.fit(TR.filled(train, fill, CATS), NUMERIC, CATS, _estimator(name, n_train), n_train=n_train)
+        pred = TR.positive_probability(model, TR.filled(test, fill, CATS), ["application_id", "label"])
+        m = TR.metrics(pred, "label", "p")
+        rows.append(m.select(F.lit(i).cast("bigint").alias("model_order"), F.lit(name).alias("model"),
+                             F.lit(n_train).cast("bigint").alias("n_train"), "n", "accuracy", "f1", "auc"))
     return rows
 
 
-@register("train_logistic")
+# What SQL can say of any trained model: the split's sizes, and metrics within their ranges and better than chance.
+_INVARIANTS_SQL = f"""
+WITH {_SPLIT_SQL},
+c AS (SELECT CAST(COUNT(*) FILTER (WHERE NOT is_test) AS BIGINT) AS n_train, CAST(COUNT(*) FILTER (WHERE is_test) AS BIGINT) AS n FROM split)
+SELECT CAST(m.o AS BIGINT) AS model_order, m.model, c.n_train, c.n, TRUE AS in_range, TRUE AS beats_chance
+FROM c CROSS JOIN (VALUES {{values}}) m(o, model)"""
+
+
+def _invariants(m):
+    """The metrics reduced to what holds for every sound fit (checked against SQL)."""
+    inside = [F.col(c).between(0.0, 1.0) for c in ("accuracy", "f1", "auc")]
+    return m.select("model_order", "model", "n_train", "n", (inside[0] & inside[1] & inside[2]).alias("in_range"),
+                    (F.col("auc") > 0.5).alias("beats_chance"))
+
+
+@register("train_logistic", oracle=_INVARIANTS_SQL.format(values="(0, 'logistic')"), views=("risk",))
 def train_logistic(spark, sf_dir):
-    return _train_eval(spark, sf_dir, ["logistic"])[0][0]
+    return _invariants(_train_eval(spark, sf_dir, ["logistic"])[0])
 
 
-@register("train_forest")
+@register("train_forest", oracle=_INVARIANTS_SQL.format(values="(0, 'random_forest')"), views=("risk",))
 def train_forest(spark, sf_dir):
-    return _train_eval(spark, sf_dir, ["random_forest"])[0][0]
+    return _invariants(_train_eval(spark, sf_dir, ["random_forest"])[0])
 
 
-@register("train_summary")
+def _summary(spark, sf_dir):
+    return reduce(lambda a, b: a.unionByName(b), _train_eval(spark, sf_dir, ["logistic", "random_forest"]))
+
+
+@register("train_summary", oracle=_INVARIANTS_SQL.format(values="(0, 'logistic'), (1, 'random_forest')"), views=("risk",))
 def train_summary(spark, sf_dir):
-    rows = _train_eval(spark, sf_dir, ["logistic", "random_forest"])
-    return reduce(lambda a, b: a.unionByName(b), [r[0] for r in rows])
+    return _invariants(_summary(spark, sf_dir))
 
 
-@register("model_select")
+@register("model_select", oracle=_INVARIANTS_SQL.format(values="(0, 'logistic')").replace(
+    "CAST(m.o AS BIGINT) AS model_order, m.model, ", "CAST(1 AS BIGINT) AS n_selected, "), views=("risk",))
 def model_select(spark, sf_dir):
-    return TR.select_best(train_summary(spark, sf_dir))
+    """The one model kept (which one depends on the fit), by AUC, then F1."""
+    best = _invariants(TR.select_best(_summary(spark, sf_dir)))
+    return best.select(F.lit(1).cast("bigint").alias("n_selected"), "n_train", "n", "in_range", "beats_chance")
+
 
+@register("train_metrics")
+def train_metrics(spark, sf_dir):
+    """The metric values themselves, for both models."""
+    return _summary(spark, sf_dir)
 
-@register("score_batch")
+
+@register("score_batch", oracle="SELECT application_id, TRUE AS has_probability FROM risk", views=("risk",))
 def score_batch(spark, sf_dir):
-    """The logistic pipeline's class-1 probability for every application."""
-    v = views(spark, sf_dir)
-    df = _model_frame(v)
-    train = df.join(_split(v).where(~F.col("is_test")).select("application_id"), "application_id")
+    """The trained logistic pipeline's class-1 probability for every application.
+
+    The value depends on the fit; what SQL can check is that every application has one in [0, 1].
+    """
+    p = scored_batch(spark, sf_dir)
+    return p.select("application_id", F.coalesce(F.col("p_approve").between(0.0, 1.0), F.lit(False)).alias("has_probability"))
+
+
+@register("score_batch_values")
+def scored_batch(spark, sf_dir):
+    """application_id and p_approve of the trained logistic pipeline."""
+    model, data = trained_logistic(spark, sf_dir)
+    return TR.positive_probability(model, data, ["application_id"]).withColumnRenamed("p", "p_approve")
+
+
+def trained_logistic(spark, sf_dir):
+    """The logistic pipeline fitted on the training split, and all rows filled as it expects them."""
+    data = _split_frame(views(spark, sf_dir))
+    train = data.where(~F.col("is_test"))
     n_train = train.count()
-    model = TR.fit(TR.fill_modes(train, train, CATS), NUMERIC, CATS, TR.logistic(n_train))
-    return TR.positive_probability(model, TR.fill_modes(train, df, CATS), ["application_id"]) \
-        .withColumnRenamed("p", "p_approve")
+    fill = TR.fill_values(train, NUMERIC, CATS)
+    model = TR.fit(TR.filled(train, fill, CATS), NUMERIC, CATS, TR.logistic(n_train), n_train=n_train)
+    return model, TR.filled(data, fill, CATS)
+
+
+# ---- attributions of the trained model
+N_BACKGROUND = 100
+
+
+def _shap(spark, sf_dir):
+    model, rows = trained_logistic(spark, sf_dir)
+    parts, bias = TR.logit_parts(model, NUMERIC, CATS)
+    rows = rows.select("application_id", "is_test", F.array(*parts).alias("parts"))
+    bg = KS.background_sample(rows.where(~F.col("is_test")), "application_id", N_BACKGROUND)
+    return KS.additive_shap(rows, bg, "application_id", NUMERIC + CATS, bias)
+
+
+@register("kernel_shap", oracle=f"SELECT application_id, CAST({len(NUMERIC + CATS)} AS BIGINT) AS n_features, 0.0e0 AS additivity_gap FROM risk",
+          views=("risk",))
+def kernel_shap(spark, sf_dir):
+    """E1 + E2: Shapley values of the trained model's probability for every application, all model features against
+    100 background rows. What SQL can check of them: they add up to the prediction less its expectation."""
+    gap = F.aggregate("phi", F.lit(0.0), lambda a, x: a + x) - (F.col("fx") - F.col("expected_value"))
+    return _shap(spark, sf_dir).select("application_id", F.size("phi").cast("bigint").alias("n_features"), F.abs(F.round(gap, 6)).alias("additivity_gap"))
+
+
+@register("kernel_shap_values")
+def kernel_shap_values(spark, sf_dir):
+    """The Shapley values themselves: application_id, feature, phi."""
+    named = F.transform("phi", lambda x, i: F.struct(F.element_at(F.array(*[F.lit(f) for f in NUMERIC + CATS]), i + 1).alias("feature"), x.alias("phi")))
+    return _shap(spark, sf_dir).select("application_id", F.explode(named).alias("r")).select("application_id", "r.feature", "r.phi")

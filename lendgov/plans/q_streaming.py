@@ -13,8 +13,9 @@ from ..session import checkpoint_path
 from ..sources import files as FS
 from ..sources.derived import GOVERNANCE_TYPE_DEFAULT, GOVERNANCE_TYPE_OF_EVENT, _case_map
 from ..streaming import jobs as ST
-from .common import views
-from .q_consent import FEATURE_GROUP, SERVE_FEATURES, _served_with_flags
+from .common import round_doubles, views
+from .q_audit import _GOV_CHAIN_SQL
+from .q_consent import _ACCESS_SQL, SERVE_FEATURES, _served_with_flags, feature_group_map
 from .registry import register
 
 
@@ -25,7 +26,7 @@ def _run_dir(spark, name):
 def _decisions(v):
     r = v.risk
     return r.select(F.col("application_id").alias("id"), F.col("submitted_at").cast("timestamp").alias("ts"),
-                    "decision", "probability", "Gender", "Credit_History")
+                    "decision", "probability", "Gender", F.col("Credit_History").cast("int").alias("Credit_History"), "Property_Area")
 
 
 def _finish(q):
@@ -34,7 +35,8 @@ def _finish(q):
         raise q.exception()
 
 
-@register("stream_daily_volume")
+@register("stream_daily_volume", oracle="SELECT CAST(submitted_at AS DATE) AS day, CAST(COUNT(*) AS BIGINT) AS n FROM applications GROUP BY 1",
+          views=("applications",))
 def stream_daily_volume(spark, sf_dir):
     """G1. The stream ends with a sentinel row past the watermark so every day closes."""
     v = views(spark, sf_dir)
@@ -45,24 +47,41 @@ def stream_daily_volume(spark, sf_dir):
     last = dec.agg(F.max("ts").alias("m")).select(
         F.lit(-1).cast("long").alias("id"), (F.col("m") + F.expr("INTERVAL 3 DAYS")).alias("ts"),
         F.lit("sentinel").alias("decision"), F.lit(None).cast("double").alias("probability"),
-        F.lit(None).cast("string").alias("Gender"), F.lit(None).cast("int").alias("Credit_History"))
+        F.lit(None).cast("string").alias("Gender"), F.lit(None).cast("int").alias("Credit_History"),
+        F.lit(None).cast("string").alias("Property_Area"))
     last.write.parquet(os.path.join(src, "part=1"))
     _finish(ST.daily_volume(spark, src, sink, os.path.basename(d)))
     return spark.read.parquet(sink)
 
 
-@register("stream_bias_alerts")
+_PAIRS_SQL = " UNION ALL ".join(
+    f"SELECT time_bucket(INTERVAL 7 DAYS, CAST(submitted_at AS TIMESTAMP), TIMESTAMP '1970-01-01') AS w, '{a}' AS sensitive_feature, "
+    f"COALESCE(CAST({a} AS VARCHAR), 'nan') AS g, CASE WHEN decision = 'approved' THEN 1.0e0 ELSE 0.0e0 END AS y FROM risk" for a in ST.BIAS_ATTRIBUTES)
+
+
+@register("stream_bias_alerts", oracle=f"""
+WITH pairs AS ({_PAIRS_SQL}),
+rates AS (SELECT w, sensitive_feature, g, AVG(y) AS rate FROM pairs GROUP BY 1, 2, 3),
+d AS (SELECT w, sensitive_feature, MIN(rate) AS low, MAX(rate) AS high FROM rates GROUP BY 1, 2),
+m AS (SELECT w, sensitive_feature, 'disparate_impact' AS metric, low / high AS value, 0.8e0 AS threshold FROM d WHERE high > 0 AND low / high < 0.8e0
+      UNION ALL SELECT w, sensitive_feature, 'statistical_parity_difference', high - low, 0.2e0 FROM d WHERE high > 0 AND high - low > 0.2e0)
+SELECT CAST(w AS DATE) AS window_day, sensitive_feature, metric, ROUND(value, 6) AS value, threshold, 'bias-alert' AS event_type FROM m""",
+          views=("risk",))
 def stream_bias_alerts(spark, sf_dir):
-    """Alert events per 7-day window and attribute."""
+    """The alerts that stand per 7-day window and attribute after the stream, whatever its micro-batches were."""
     v = views(spark, sf_dir)
     d = _run_dir(spark, "bias")
     src, sink = os.path.join(d, "src"), os.path.join(d, "sink")
-    _decisions(v).write.parquet(src)
-    _finish(ST.bias_monitor(spark, src, sink, os.path.basename(d)))
-    return spark.read.parquet(sink)
+    # several files and triggers: groups of a window come in different batches
+    _decisions(v).repartition(8).write.parquet(src)
+    _finish(ST.bias_monitor(spark, src, sink, os.path.basename(d), max_files=3))
+    return round_doubles(ST.current_alerts(spark, sink).select(
+        F.to_date("window_start").alias("window_day"), "sensitive_feature", "metric", "value", "threshold", "event_type"))
 
 
-@register("stream_consent_state")
+@register("stream_consent_state", oracle="""
+SELECT applicant_id, group_name, arg_max(allowed, (ts, event_id)) AS allowed, MAX(ts) AS updated_at
+FROM consent_events GROUP BY 1, 2""", views=("consent_events",))
 def stream_consent_state(spark, sf_dir):
     """Latest consent per (applicant, group) maintained by a stateful stream."""
     v = views(spark, sf_dir)
@@ -71,10 +90,11 @@ def stream_consent_state(spark, sf_dir):
     v.consent_events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "applicant_id", "group_name",
                             "allowed").write.parquet(src)
     _finish(ST.consent_state(spark, src, sink, os.path.basename(d)))
-    return ST.latest_consent_table(spark, sink)
+    return ST.latest_consent_table(spark, sink).withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
 
 
-@register("stream_governance_chain")
+@register("stream_governance_chain", oracle=_GOV_CHAIN_SQL + """
+SELECT chain_id, seq, ts, previous_hash, output_hash FROM chain""", views=("governance_events",))
 def stream_governance_chain(spark, sf_dir):
     """Hash-chain links written by a stateful stream (state = last hash, seq per chain)."""
     v = views(spark, sf_dir)
@@ -86,16 +106,17 @@ def stream_governance_chain(spark, sf_dir):
              F.when(F.col("event_id") % 11 == 0, F.lit(None).cast("string")).otherwise(F.lit("indian_v1"))
              .alias("model_version"), F.col("props").alias("details")).write.parquet(src)
     _finish(ST.governance_chain(spark, src, sink, os.path.basename(d)))
-    return spark.read.parquet(sink)
+    return spark.read.parquet(sink).select("chain_id", "seq", F.col("ts").cast("timestamp_ntz").alias("ts"), "previous_hash", "output_hash")
 
 
-@register("stream_access_log")
+@register("stream_access_log", oracle=_ACCESS_SQL + """
+SELECT feature, allowed, model_version, CAST(ts AS TIMESTAMP) AS ts FROM log""", views=("applications", "consent_events"))
 def stream_access_log(spark, sf_dir):
     """Access-log JSON lines (written by the S9 sink) ingested by a file stream."""
     d = _run_dir(spark, "access")
     src, sink = os.path.join(d, "src"), os.path.join(d, "sink")
     df = _served_with_flags(views(spark, sf_dir))
-    log = CO.access_records(df, FEATURE_GROUP, SERVE_FEATURES, ts="submitted_at")
+    log = CO.access_records(df, feature_group_map(), SERVE_FEATURES, ts="submitted_at")
     FS.write_access_log(log, src)
     _finish(ST.access_log_ingest(spark, src, sink, os.path.basename(d)))
-    return spark.read.parquet(sink)
+    return spark.read.parquet(sink).select("feature", "allowed", "model_version", F.col("ts").cast("timestamp_ntz").alias("ts"))

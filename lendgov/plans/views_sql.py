@@ -68,7 +68,7 @@ CONSENT_EVENTS = """
 SELECT event_id, ts, user_id AS applicant_id,
  CASE event_type WHEN 'click' THEN 'Financial Data' WHEN 'view' THEN 'Credit History Data' WHEN 'signup' THEN 'Demographic Data'
   WHEN 'error' THEN 'Behaviour / Digital Data' ELSE 'Banking Behaviour Data' END AS group_name,
- CAST(json_extract_string(props, '$.k') AS INT) % 3 <> 0 AS allowed
+ TRY_CAST(json_extract_string(props, '$.k') AS INT) % 3 <> 0 AS allowed
 FROM events
 """
 
@@ -82,6 +82,7 @@ FROM events
 
 QUESTIONS = """
 SELECT c_custkey AS question_id, c_custkey AS applicant_id,
+ CAST(DATE '1992-06-01' + CAST(c_custkey * 37 % 2200 AS INT) AS TIMESTAMP) AS asked_at,
  CONCAT(CASE c_custkey % 8 WHEN 0 THEN 'What bank balance do I need' WHEN 1 THEN 'What salary is needed'
   WHEN 2 THEN 'What EMI ratio is healthy' WHEN 3 THEN 'Which CIBIL score is enough' WHEN 4 THEN 'How does mobile usage matter for credit'
   WHEN 5 THEN 'What credit utilisation is fine' WHEN 6 THEN 'Tell me a joke' ELSE 'How can I get approved' END,

@@ -47,30 +47,21 @@ _SCRATCH: dict = {}
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting names a shared folder and is used as is. When it
-    is unset (tests, local runs) the SparkContext's checkpoint folder is used,
-    or else one scratch folder per session is created; ``spark.checkpoint.dir``
-    itself is a static setting and is not modified at run time.
+    The setting is read from the session and never modified. Where it is unset the
+    SparkContext's checkpoint folder is used. A session that runs in one process
+    (``local[...]``, as in tests) without either gets a scratch folder; on a cluster a
+    machine-local folder would be wrong, so a missing setting is an error there.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    sc = None
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - no SparkContext handle (e.g. Spark Connect)
-        pass
-    if not d and sc is not None:
-        d = sc.getCheckpointDir()
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        key = id(spark)
-        d = _SCRATCH.get(key)
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        d = _SCRATCH.get(sc.applicationId)
         if d is None:
-            d = _SCRATCH[key] = tempfile.mkdtemp(prefix="lendgov-ckpt-")
-    if sc is not None:
-        try:
-            if sc.getCheckpointDir() is None:
-                sc.setCheckpointDir(d)
-        except Exception:  # noqa: BLE001
-            pass
+            d = _SCRATCH[sc.applicationId] = tempfile.mkdtemp(prefix="lendgov-ckpt-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 

@@ -2,7 +2,7 @@
 
 These turn the driver's tables into the loan-decision data model. The
 derivation rules are fixed values shared with the DuckDB oracle; see
-``plans/oracle.py`` for the SQL text of the same rules.
+``plans/views_sql.py`` for the SQL text of the same rules.
 """
 
 from __future__ import annotations
@@ -117,14 +117,19 @@ class Views:
         return [__file__, _fx.__file__, _q.__file__, *[m.__file__ for m in extra_modules]]
 
     def _materialized(self, name, code, build, extra):
-        """Read the materialized table; if the shared folder cannot be used, run the lazy plan."""
+        """Read the materialized table, building it first where it is missing; a failure is raised."""
         from . import materialize as M
-        try:
-            return M.materialized(self.spark, name, self._inputs(), code, build, extra=extra)
-        except Exception as e:  # noqa: BLE001 - storage problems must not change results
-            import warnings
-            warnings.warn(f"materialization of {name} failed ({type(e).__name__}: {e}); using the lazy plan")
-            return build()
+        return M.materialized(self.spark, name, self._inputs(), code, build, extra=extra)
+
+    def stored(self, name: str, df: DataFrame, modules=(), tables=("orders", "customer")) -> DataFrame:
+        """``df``, written once per version of the tables and modules it comes from (not written without materialization)."""
+        if not self.materialize:
+            return df
+        from . import materialize as M
+        import os as _os
+        inputs = [_os.path.join(self.sf_dir, f"{n}.parquet") for n in tables]
+        return M.materialized(self.spark, name, inputs, self._code_files(*modules), lambda: df,
+                              extra=f"acc={self.quantile_accuracy}|{df.schema.json()}")
 
     def _inputs(self):
         import os as _os
@@ -179,7 +184,7 @@ class Views:
         return e.select(
             "event_id", "ts", F.col("user_id").alias("applicant_id"),
             _case_map("event_type", CONSENT_GROUP_OF_EVENT, CONSENT_GROUP_DEFAULT).alias("group_name"),
-            (F.get_json_object("props", "$.k").cast("int") % 3 != 0).alias("allowed"))
+            (F.get_json_object("props", "$.k").try_cast("int") % 3 != 0).alias("allowed"))
 
     @cached_property
     def governance_events_unsequenced(self) -> DataFrame:
@@ -216,6 +221,7 @@ class Views:
         suffix = F.when(F.col("c_custkey") % 3 == 0, F.lit("?")).otherwise(
             F.concat(F.lit(" for a loan of "),
                      ((F.col("c_custkey") % 20 + 1) * 100000).cast("string"), F.lit("?")))
+        asked = F.date_add(F.lit("1992-06-01").cast("date"), (F.col("c_custkey") * 37 % 2200).cast("int"))
         return c.select(F.col("c_custkey").alias("question_id"),
-                        F.col("c_custkey").alias("applicant_id"),
+                        F.col("c_custkey").alias("applicant_id"), asked.cast("timestamp_ntz").alias("asked_at"),
                         F.concat(stem, suffix).alias("question"))

@@ -25,76 +25,56 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ensure_checkpoint_dir
 
 
-class _LocalFS:
-    """Local-folder stand-in for the Hadoop FileSystem calls used here (no JVM access)."""
-
-    class _St:
-        def __init__(self, path):
-            self.path = path
-
-        def getPath(self):
-            return self.path
-
-        def getLen(self):
-            return os.path.getsize(self.path)
-
-        def getModificationTime(self):
-            return int(os.path.getmtime(self.path) * 1000)
-
-        def isDirectory(self):
-            return os.path.isdir(self.path)
-
-    def exists(self, p):
-        return os.path.exists(p)
-
-    def getFileStatus(self, p):
-        return self._St(p)
-
-    def listStatus(self, p):
-        return [self._St(os.path.join(p, n)) for n in sorted(os.listdir(p))]
-
-    def rename(self, a, b):
-        try:
-            os.rename(a, b)
-            return True
-        except OSError:
-            return False
-
-    def delete(self, p, recursive):
-        import shutil
-        shutil.rmtree(p, ignore_errors=True)
-        return True
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _fs(spark: SparkSession, path: str):
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: local paths only
-        local = path[len("file:"):] if path.startswith("file:") else path
-        return _LocalFS(), local
+def _files(fs, path):
+    """Every file below a path, partition folders included (paths, lengths, times; no contents)."""
+    if not fs.exists(path):
+        return
+    it = fs.listFiles(path, True)
+    while it.hasNext():
+        st = it.next()
+        if not st.getPath().getName().startswith(("_", ".")):
+            yield f"{st.getPath()}|{st.getLen()}|{st.getModificationTime()}"
 
 
-def _signature(spark: SparkSession, inputs: Sequence[str], code_files: Sequence[str], extra: str) -> str:
+def signature(spark: SparkSession, inputs: Sequence[str], code_files: Sequence[str], extra: str) -> str:
+    """Hash of the input files (path, length, modification time), the defining modules and ``extra``."""
     h = hashlib.sha256(extra.encode())
     for path in inputs:
         fs, p = _fs(spark, path)
-        if fs.exists(p):
-            for st in fs.listStatus(p) if fs.getFileStatus(p).isDirectory() else [fs.getFileStatus(p)]:
-                h.update(f"{st.getPath()}|{st.getLen()}|{st.getModificationTime()}".encode())
-        else:
-            h.update(f"{path}|missing".encode())
+        h.update(f"{path}|".encode())
+        for f in sorted(_files(fs, p)):
+            h.update(f"{f}|".encode())
     for f in code_files:
         with open(f, "rb") as fh:
             h.update(fh.read())
     return h.hexdigest()[:20]
 
 
+def publish(fs, tmp, path) -> bool:
+    """Rename a finished folder into place; False if another builder's table is already there.
+
+    Where both rename at once, the later folder lands inside the earlier one; it is
+    found there and removed.
+    """
+    if not fs.exists(path) and fs.rename(tmp, path):
+        inside = path.suffix("/" + tmp.getName())
+        if not fs.exists(inside):
+            return True
+        fs.delete(inside, True)
+        return False
+    fs.delete(tmp, True)
+    return False
+
+
 def materialized(spark: SparkSession, name: str, inputs: Sequence[str], code_files: Sequence[str],
                  build: Callable[[], DataFrame], extra: str = "", rebuild: bool = False) -> DataFrame:
     root = os.path.join(ensure_checkpoint_dir(spark), "tables")
-    path = os.path.join(root, f"{name}-{_signature(spark, inputs, code_files, extra)}")
+    path = os.path.join(root, f"{name}-{signature(spark, inputs, code_files, extra)}")
     fs, p = _fs(spark, path)
     _, done = _fs(spark, path + "/_SUCCESS")
     if rebuild or not fs.exists(done):
@@ -103,6 +83,5 @@ def materialized(spark: SparkSession, name: str, inputs: Sequence[str], code_fil
         _, tp = _fs(spark, tmp)
         if rebuild and fs.exists(p):
             fs.delete(p, True)
-        if not fs.rename(tp, p):  # another builder won the race: keep theirs
-            fs.delete(tp, True)
+        publish(fs, tp, p)
     return spark.read.parquet(path)

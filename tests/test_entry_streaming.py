@@ -58,11 +58,11 @@ def test_daily_volume_late_data_dropped(spark):
     src, sink = os.path.join(base, "src"), os.path.join(base, "sink")
     schema = ST.DECISION_SCHEMA
     day = lambda d, h=12: dt.datetime(2024, 1, d, h)
-    first = [(i, day(1 + i % 5), "approved", 0.9, "Male", 1) for i in range(50)]
+    first = [(i, day(1 + i % 5), "approved", 0.9, "Male", 1, "Urban") for i in range(50)]
     spark.createDataFrame(first, schema).write.parquet(os.path.join(src, "b=1"))
     ST.daily_volume(spark, src, sink, run).awaitTermination()
     # late row for day 1 (watermark is already past it) + a sentinel far ahead closing day 5
-    late = [(999, day(1), "approved", 0.9, "Male", 1), (1000, day(20), "denied", 0.1, "Male", 1)]
+    late = [(999, day(1), "approved", 0.9, "Male", 1, "Urban"), (1000, day(20), "denied", 0.1, "Male", 1, "Urban")]
     spark.createDataFrame(late, schema).write.parquet(os.path.join(src, "b=2"))
     ST.daily_volume(spark, src, sink, run).awaitTermination()
     got = {r.day.day: r.n for r in spark.read.parquet(sink).collect()}
@@ -73,21 +73,44 @@ def test_bias_stream_equals_batch(spark):
     import __spark_entry__ as E
     from lendgov.operators import fairness as FA
     from lendgov.plans.common import views
+    from lendgov.streaming import jobs as ST
 
-    s = E.queries()["stream_bias_alerts"](spark, SF_SMALL).select(
-        "window_start", "sensitive_feature", "metric", F.round("value", 9).alias("value"))
-    r = views(spark, SF_SMALL).risk.select(F.col("submitted_at").cast("timestamp").alias("ts"), "decision",
-                                           "Gender", "Credit_History")
-    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), FA.group_label(a).alias("g"))
-                                for a in ("Gender", "Credit_History")]))
+    s = E.queries()["stream_bias_alerts"](spark, SF_SMALL).select("window_day", "sensitive_feature", "metric", "value")
+    r = views(spark, SF_SMALL).risk.select(F.col("submitted_at").cast("timestamp").alias("ts"), "decision", *ST.BIAS_ATTRIBUTES)
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), FA.group_label(a).alias("g")) for a in ST.BIAS_ATTRIBUTES]))
     long = r.select(F.window("ts", "7 days").start.alias("window_start"),
-                    (F.col("decision") == "approved").cast("double").alias("y"), pairs.alias("p"))
-    rates = long.groupBy("window_start", F.col("p.a").alias("sensitive_feature"), F.col("p.g").alias("g")).agg(
-        F.avg("y").alias("rate"))
-    d = rates.groupBy("window_start", "sensitive_feature").agg(F.min("rate").alias("mn"), F.max("rate").alias("mx"))
-    di = d.select("window_start", "sensitive_feature", F.lit("disparate_impact").alias("metric"),
-                  F.round(F.col("mn") / F.col("mx"), 9).alias("value")).where("mx > 0 AND value < 0.8")
-    sp = d.select("window_start", "sensitive_feature", F.lit("statistical_parity_difference").alias("metric"),
-                  F.round(F.col("mx") - F.col("mn"), 9).alias("value")).where("mx > 0 AND mx - mn > 0.2")
-    b = di.unionByName(sp)
-    assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
+                    (F.col("decision") == "approved").cast("long").alias("y"), pairs.alias("p"))
+    totals = long.groupBy("window_start", F.col("p.a").alias("sensitive_feature"), F.col("p.g").alias("group_value")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("y").alias("n_selected"))
+    b = ST.window_alerts(totals).select(F.to_date("window_start").alias("window_day"), "sensitive_feature", "metric", F.round("value", 6).alias("value"))
+    assert b.count() > 0 and s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
+
+
+def test_bias_alerts_over_batches_that_split_the_groups(spark):
+    """Groups of one window come in different batches; an alert is raised late, stands while nothing changes, and is cleared."""
+    import datetime as dt
+    import os
+    import uuid
+
+    from lendgov.session import checkpoint_path
+    from lendgov.streaming import jobs as ST
+
+    run = f"bias-{uuid.uuid4().hex[:8]}"
+    base = checkpoint_path(spark, os.path.join("tests", run))
+    src, sink = os.path.join(base, "src"), os.path.join(base, "sink")
+    at = dt.datetime(2024, 1, 5, 12)
+    rows = lambda n, decision, sex: [(i, at, decision, 0.5, sex, 1, "Urban") for i in range(n)]
+    batches = [rows(10, "approved", "Male") + rows(10, "approved", "Female"), rows(100, "denied", "Male"),
+               [(0, at + dt.timedelta(days=30), "approved", 0.5, "Male", 1, "Urban")], rows(900, "approved", "Male")]
+    standing, events = [], []
+    for k, b in enumerate(batches):
+        spark.createDataFrame(b, ST.DECISION_SCHEMA).coalesce(1).write.parquet(os.path.join(src, f"b={k}"))
+        ST.bias_monitor(spark, src, sink, run, attributes=("Gender",)).awaitTermination()
+        standing.append(sorted(r.metric for r in ST.current_alerts(spark, sink).collect()))
+        got = spark.read.parquet(os.path.join(sink, "alerts"))
+        events.append(sorted((r.metric, r.status) for r in got.where(F.col("batch_id") == got.agg(F.max("batch_id")).first()[0]).collect()))
+    both = ["disparate_impact", "statistical_parity_difference"]
+    assert standing == [[], both, both, []]
+    assert events[1] == [(m, "raised") for m in both] and events[3] == [(m, "cleared") for m in both]
+    di = spark.read.parquet(os.path.join(sink, "alerts")).where("metric = 'disparate_impact' and status = 'raised'").first()
+    assert abs(di.value - (10 / 110) / 1.0) < 1e-9

@@ -5,10 +5,10 @@ from lendgov.operators import remediation as RM
 
 
 def _attr_row(spark, shaps, decision="denied"):
-    arr = [(i, f"f{i}", float(i), float(s)) for i, s in enumerate(shaps)]
-    df = spark.createDataFrame([(1, arr, decision)],
-                               "id long, attr array<struct<feature_idx:int,feature:string,value:double,shap:double>>, decision string")
-    return EX.reasons(df.withColumn("attr", EX.sorted_attr(EX.keyed_attr(F.col("attr")))))
+    arr = [(-abs(float(s)), i, f"f{i}", float(i), float(s)) for i, s in enumerate(shaps)]
+    df = spark.createDataFrame([(1, arr, decision)], "id long, attr array<struct<sort_key:double,feature_idx:int,"
+                                                     "feature:string,value:double,shap:double>>, decision string")
+    return EX.reasons(df.withColumn("attr", EX.sorted_attr(F.col("attr"))))
 
 
 def test_ties_keep_feature_order(spark):

@@ -1,3 +1,6 @@
+import itertools
+import math
+
 import numpy as np
 
 from pyspark.sql import functions as F
@@ -5,6 +8,26 @@ from pyspark.sql import functions as F
 from lendgov.operators import kernel_shap as KS
 
 
+def exact_shapley(f, x: np.ndarray, background: np.ndarray) -> np.ndarray:
+    """Brute-force interventional Shapley values of one row (test reference, small M)."""
+    m = len(x)
+    phi = np.zeros(m)
+
+    def v(sub):
+        mixed = background.copy()
+        idx = list(sub)
+        mixed[:, idx] = x[idx]
+        return float(np.mean([f(r) for r in mixed]))
+
+    for j in range(m):
+        others = [i for i in range(m) if i != j]
+        for k in range(m):
+            for sub in itertools.combinations(others, k):
+                wgt = math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m)
+                phi[j] += wgt * (v(sub + (j,)) - v(sub))
+    return phi
+
+
 def _model(vals):
     z = 0.5 * vals["a"] - 1.0 * vals["b"] + 0.3 * vals["a"] * vals["c"] + 0.2 * vals["d"]
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
@@ -25,7 +48,7 @@ def test_exact_at_small_m(spark):
                                  "id long, a double, b double, c double, d double")
     out = KS.kernel_shap(rows, bgdf, "id", feats, _model, n_coalitions=None).toPandas()
     for i in range(len(x)):
-        want = KS.exact_shapley(_np_model, x[i], bg)
+        want = exact_shapley(_np_model, x[i], bg)
         got = out[out.id == i].sort_values("feature_idx").phi.values
         assert np.allclose(got, want, atol=1e-9)
         # additivity
@@ -49,3 +72,24 @@ def test_sampled_additivity(spark):
     for i in range(3):
         g = out[out.id == i]
         assert abs(g.phi.sum() - (g.fx.iloc[0] - g.expected_value.iloc[0])) < 1e-9
+
+
+def test_additive_equals_exact_and_sampled_is_near(spark):
+    rng = np.random.default_rng(3)
+    m = 6
+    x, bg = rng.normal(size=(4, m)), rng.normal(size=(20, m))
+    frame = lambda a, at: spark.createDataFrame([(at + i, list(map(float, r))) for i, r in enumerate(a)], "id long, parts array<double>")
+    feats = [f"f{i}" for i in range(m)]
+    exact = KS.additive_shap(frame(x, 0), frame(bg, 100), "id", feats, 0.3, n_coalitions=None).orderBy("id").collect()
+    near = KS.additive_shap(frame(x, 0), frame(bg, 100), "id", feats, 0.3, n_coalitions=2000).orderBy("id").collect()
+    for i in range(len(x)):
+        want = exact_shapley(lambda r: 1 / (1 + np.exp(-(r.sum() + 0.3))), x[i], bg)
+        assert np.allclose(exact[i].phi, want, atol=1e-9) and np.allclose(near[i].phi, want, atol=0.01)
+        assert abs(sum(near[i].phi) - (near[i].fx - near[i].expected_value)) < 1e-9
+
+
+def test_background_is_bounded(spark):
+    import pytest
+    rows = spark.range(KS.MAX_BACKGROUND + 1).select("id", F.array(F.lit(1.0)).alias("parts"))
+    with pytest.raises(ValueError):
+        KS.additive_shap(rows, rows, "id", ["a"], 0.0)

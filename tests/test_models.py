@@ -45,7 +45,7 @@ def test_mode_tie_smallest_and_all_null(spark):
 
 def test_one_hot_unseen_zero(spark):
     train = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "id long, c string")
-    out = PR.one_hot(train, ["c"], keys=["id"]).orderBy("id").collect()
+    out = PR.one_hot(train, ["c"], keys=["id"], domains={"c": ["x", "y", "z"]}).orderBy("id").collect()
     assert [tuple(r)[1:] for r in out] == [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
 
 
@@ -128,8 +128,48 @@ def test_probabilities_sum_to_one(spark):
     pdf = pd.DataFrame({"a": rng.normal(size=200), "c": rng.choice(["u", "v", None], 200)})
     pdf["label"] = (pdf.a > 0).astype(int)
     df = spark.createDataFrame(pdf)
-    df = TR.fill_modes(df, df, ["c"])
+    df = TR.filled(df, TR.fill_values(df, ["a"], ["c"]), ["c"])
     for est in (TR.logistic(200), TR.forest(num_trees=5, max_depth=3)):
         out = TR.fit(df, ["a"], ["c"], est).transform(df)
         s = out.select(F.aggregate(vector_to_array("probability"), F.lit(0.0), lambda x, y: x + y).alias("s"))
         assert all(abs(r.s - 1.0) < 1e-9 for r in s.collect())
+
+
+def test_split_hash_of_large_ids(spark):
+    from lendgov.operators import prep as PR
+    ids = [0, 1, 7, 3_470_000_000, 4_294_967_295, 10**12, 10**12 + 1, 2**62, -5]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "id long").select(PR.split_hash("id")).collect()]
+    assert got == [(i % PR.SPLIT_MOD) * PR.SPLIT_MULT % PR.SPLIT_MOD for i in ids]
+    out = PR.stratified_split(spark.range(10**12, 10**12 + 1000).selectExpr("id", "id % 2 AS y"), "id", "y", 0.2)
+    assert out.where("is_test").groupBy("y").count().collect()[0]["count"] == 100
+
+
+def test_scaled_columns_have_population_deviation(spark):
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+    from lendgov.operators import training as TR
+    df = spark.createDataFrame([(1.0, "u", 0), (2.0, "v", 1), (4.0, "u", 1)], "a double, c string, label int")
+    model = TR.fit(df, ["a"], ["c"], TR.logistic(3))
+    got = [r[0][0] for r in model.transform(df).orderBy("a").select(vector_to_array("num_std")).collect()]
+    x = np.array([1.0, 2.0, 4.0])
+    assert np.allclose(got, (x - x.mean()) / x.std())
+
+
+def test_logit_parts_add_up_to_the_models_probability(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+    from lendgov.operators import training as TR
+    rng = np.random.default_rng(5)
+    rows = [(int(i), float(a), float(b), "xyz"[i % 3], int(a + b + rng.normal() > 0)) for i, (a, b) in enumerate(rng.normal(size=(200, 2)))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c string, label int")
+    model = TR.fit(df, ["a", "b"], ["c"], TR.logistic(200))
+    parts, bias = TR.logit_parts(model, ["a", "b"], ["c"])
+    total = sum(parts[1:], parts[0]) + F.lit(bias)
+    p = TR.positive_probability(model, df.withColumn("own", 1 / (1 + F.exp(-total))), ["id", "own"]).collect()
+    assert all(abs(r.own - r.p) < 1e-9 for r in p)
+
+
+def test_modes_with_many_distinct_values(spark):
+    from lendgov.operators import prep as PR
+    df = spark.range(5000).selectExpr("CASE WHEN id < 3 THEN 'b' WHEN id < 6 THEN 'a' ELSE CAST(id AS STRING) END AS c")
+    assert [tuple(r) for r in PR.mode_table(df, ["c"]).collect()] == [("c", "a", 3)]

@@ -1,6 +1,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from lendgov.operators import explain as EX
@@ -37,7 +38,8 @@ def test_model_save_load(spark):
     df = spark.createDataFrame([(float(i), "a" if i % 2 else "b", i % 2) for i in range(40)],
                                "x double, c string, label int")
     m = TR.fit(df, ["x"], ["c"], TR.logistic(40))
-    TR.save(m, os.path.join(d, "model"))
+    TR.save(m, os.path.join(d, "model"), ["x", "c"])
+    assert TR.load_features(os.path.join(d, "model")) == ["x", "c"]
     m2 = TR.load(os.path.join(d, "model"))
     a = TR.positive_probability(m, df, ["x"]).collect()
     b = TR.positive_probability(m2, df, ["x"]).collect()
@@ -87,8 +89,11 @@ def test_checkpoint_dir_when_unset():
             raise RuntimeError("static config")
 
     class SC:
-        def __init__(self):
+        applicationId = "app-x"
+
+        def __init__(self, master="local[2]"):
             self.d = None
+            self.master = master
 
         def getCheckpointDir(self):
             return self.d
@@ -104,9 +109,12 @@ def test_checkpoint_dir_when_unset():
     d1 = S.ensure_checkpoint_dir(f)
     assert os.path.isdir(d1) and f.sparkContext.d == d1
     assert S.ensure_checkpoint_dir(f) == d1
+    f.sparkContext = SC("spark://host:7077")  # no machine-local folder on a cluster
+    with pytest.raises(ValueError):
+        S.ensure_checkpoint_dir(f)
 
 
-def test_materialize_failure_falls_back(spark, monkeypatch):
+def test_materialize_failure_is_raised(spark, monkeypatch):
     from lendgov.sources import materialize as M
     from lendgov.sources.derived import Views
 
@@ -114,5 +122,56 @@ def test_materialize_failure_falls_back(spark, monkeypatch):
         raise OSError("shared folder not writable")
 
     monkeypatch.setattr(M, "materialized", boom)
-    v = Views(spark, "/root/testdata/sf0.001")
-    assert v.scored.count() == 1500
+    with pytest.raises(OSError):
+        Views(spark, "/root/testdata/sf0.001").scored.count()
+    assert Views(spark, "/root/testdata/sf0.001", materialize=False).scored.count() == 1500
+
+
+def test_replaced_nested_file_changes_the_key(spark, tmp_path):
+    from lendgov.sources import materialize as M
+    d = str(tmp_path / "t")
+    spark.range(10).selectExpr("id", "id % 2 AS p").write.partitionBy("p").parquet(d)
+    before = M.signature(spark, [d], [], "")
+    assert before == M.signature(spark, [d], [], "")
+    spark.range(20).selectExpr("id").write.mode("overwrite").parquet(os.path.join(d, "p=1"))
+    assert M.signature(spark, [d], [], "") != before
+
+
+def test_lost_race_leaves_one_clean_table(spark, tmp_path):
+    from lendgov.sources import materialize as M
+    path, one, two = (str(tmp_path / x) for x in ("t", "t.tmp-1", "t.tmp-2"))
+    spark.range(3).write.parquet(one)
+    spark.range(5).write.parquet(two)
+    fs, p = M._fs(spark, path)
+    assert M.publish(fs, M._fs(spark, one)[1], p)
+    assert not M.publish(fs, M._fs(spark, two)[1], p)  # sees the other table
+    assert sorted(os.listdir(tmp_path)) == ["t"] and spark.read.parquet(path).count() == 3
+
+    class Blind:  # both looked before either renamed: the later rename moves the folder into the table
+        def __init__(self):
+            self.seen = 0
+
+        def exists(self, q):
+            self.seen += 1
+            return False if self.seen == 1 else fs.exists(q)
+
+        def __getattr__(self, name):
+            return getattr(fs, name)
+
+    spark.range(7).write.parquet(two)
+    assert not M.publish(Blind(), M._fs(spark, two)[1], p)
+    assert sorted(os.listdir(tmp_path)) == ["t"] and not [x for x in os.listdir(path) if "tmp" in x] and spark.read.parquet(path).count() == 3
+
+
+def test_bad_event_is_null_not_an_error(spark, tmp_path):
+    import shutil
+    from lendgov.sources.derived import Views
+    d = str(tmp_path / "sf")
+    shutil.copytree("/root/testdata/sf0.001", d)
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    shutil.rmtree(os.path.join(d, "events.parquet"), ignore_errors=True)
+    ev.limit(20).withColumn("props", F.when(F.col("event_id") % 2 == 0, F.lit('{"k": "x"}')).otherwise(F.col("props"))) \
+        .write.mode("overwrite").parquet(os.path.join(d, "bad.parquet"))
+    v = Views(spark, d)
+    v.t.__dict__["events"] = spark.read.parquet(os.path.join(d, "bad.parquet"))
+    assert v.consent_events.count() == 20
