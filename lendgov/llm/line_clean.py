@@ -37,7 +37,7 @@ MAX_SYMBOLS = 0.5
 _BLANK = b" \t\n\x0b\x0c\r"
 #: Characters that may end a line of prose.
 _ENDS = tuple(".!?:;…\"'”’»)]。！？")
-_SEPARATORS = re.compile(r"[|»›·•>→]")
+_SEPARATORS = re.compile(r"[|·•→]|(?<=\s)[»›>](?=\s)")
 _SYMBOLS = re.compile(r"[#*$%&|<>^~{}=\\]")
 #: Phrases of boilerplate lines.
 _BOILERPLATE = re.compile("|".join((

@@ -1,8 +1,7 @@
 """Operator 4: a quality classifier from weak labels.
 
 1. Labellers: heuristics on a document's length, symbols, capitals, exclamation marks, repeated words and
-   lines, separators, line ends, word lengths and letters object to it or abstain; one more votes for documents that are well on the good side
-   of all limits.
+   lines, separators, line ends, word lengths and letters object to it or abstain; one more votes for documents that nobody objects to.
 2. Expectation-maximisation over the counts of all documents' vote patterns (a bounded number: one bit for each
    labeller) estimates how often each labeller votes in either class. It starts from documents
    without an objection as the good ones; no label is read.
@@ -32,7 +31,7 @@ SHAPE = 4
 BUCKETS = 8
 SEED = 4
 
-#: name, limit below which a text votes one way, limit above which it votes the other way, and whether high is good.
+#: name, limits, and whether high is good: objects at or below the first limit where high is good, else at or above the second.
 LABELLERS = (
     ("words", 2.0, 20.0, True),
     ("symbols_per_word", 0.05, 0.3, False),
@@ -77,12 +76,10 @@ def measures(text: str | None) -> list[float]:
 
 
 def votes(m: np.ndarray) -> np.ndarray:
-    """Which labellers object, and lastly whether none does and all measures are on the good side; rows are documents."""
+    """Which labellers object, and lastly whether none does; rows are documents."""
     low, high = (np.array([x[i] for x in LABELLERS]) for i in (1, 2))
-    up = np.array([x[3] for x in LABELLERS])
-    bad = np.where(up, m <= low, m >= high)
-    good = np.where(up, m >= high, m <= low)
-    return np.column_stack((bad, good.all(1))).astype(np.int64)
+    bad = np.where(np.array([x[3] for x in LABELLERS]), m <= low, m >= high)
+    return np.column_stack((bad, ~bad.any(1))).astype(np.int64)
 
 
 def _pattern(v: np.ndarray) -> np.ndarray:

@@ -112,17 +112,18 @@ class ToxicityModel:
         return C.sigmoid(np.bincount(doc, self.weight[term] * np.log1p(n), len(texts)) + self.bias)
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, weight: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, dict]:
+def label_model(votes: np.ndarray, labels: np.ndarray, weight: np.ndarray, n_signs: int, rounds: int = 25) -> tuple[np.ndarray, dict]:
     """Posterior of class 1 from 0/1 votes (rows: documents), and the estimated rates, prior and correlations.
 
     A voter that does not fire abstains: only fired voters speak, each with the ratio of its
-    rates in the two classes, so that a document with one sure sign is not outvoted by silence.
+    rates in the two classes, so that a document with one sure sign is not outvoted by silence. One
+    voter is added that fires where none of the first ``n_signs``, the signs of class 1, does.
     The given label is one more voter, which always votes, with a hit and a false-alarm rate of its own
     to be estimated: where many sure voters contradict it, the posterior does too.
     ``weight``: labelled rows that a row of the sample stands for.
     """
     y = labels.astype(float)
-    all_votes = np.column_stack((votes, y))
+    all_votes = np.column_stack((votes, ~votes[:, :n_signs].any(1), y))
     label = all_votes.shape[1] - 1
     prior, own = float(np.average(y, weights=weight)), np.ones(label + 1)
     corr, rate = np.eye(label + 1), [np.zeros(0), np.zeros(0)]
@@ -209,15 +210,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, ma
     tier = np.searchsorted(np.sort(LIFT_TIERS), [lift_of[int(k)] for k in lexicon.keys])
     voter = tier * VOTERS_A_TIER + (lexicon.keys % np.uint64(VOTERS_A_TIER)).astype(np.int64)
     listed, n_lexicon = np.isin(lexicon.keys, public), (len(LIFT_TIERS) + 1) * VOTERS_A_TIER
-    votes = np.zeros((len(rows), n_lexicon + 2 + len(_PATTERNS)))
+    votes = np.zeros((len(rows), n_lexicon + 1 + len(_PATTERNS)))
     votes[doc, voter[term]] = 1.0
     votes[doc[listed[term]], n_lexicon] = 1.0
-    votes[:, n_lexicon + 1] = ~votes[:, :n_lexicon + 1].any(1)  # no term at all
-    votes[:, n_lexicon + 2:] = np.array(rows["patterns"].tolist())
+    votes[:, n_lexicon + 1:] = np.array(rows["patterns"].tolist())
     stands = np.array([picked_of[c][0] / picked_of[c][1] for c in (0, 1)])[y]  # labelled rows for each sampled one
     order = np.lexsort((*votes.T, y))  # sums must not depend on the order in which tasks ended
     q = np.empty(len(rows))
-    q[order] = label_model(votes[order], y[order], stands[order])[0]
+    q[order] = label_model(votes[order], y[order], stands[order], n_lexicon + 1)[0]
     weight, bias = C.fit_logistic(doc, term, np.log1p(times), len(rows), len(lexicon.keys), q, stands, l2=1e-5, steps=500)
     return ToxicityModel(lexicon, weight, bias)
 
