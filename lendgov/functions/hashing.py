@@ -3,7 +3,7 @@
 Canonical text: ``key=value`` pairs in a fixed key order joined by ``|``;
 values are text with backslash and ``|`` escaped, ``null`` for a missing
 value, probabilities as DECIMAL(18,6) text. Both Spark and the DuckDB
-oracle produce it byte for byte.
+oracle produce it byte for byte. Sorted-key JSON is the other payload format.
 """
 
 from __future__ import annotations
@@ -32,9 +32,45 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def link_text(payload: Column, previous_hash: Column) -> Column:
+# Characters with a short escape in JSON strings.
+JSON_ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
+def json_string(value: Column) -> Column:
+    """A JSON string in printable ASCII, other characters escaped as \\uXXXX (lower-case hex, UTF-16); null for null."""
+    s = value.cast("string")
+    quoted = F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+
+    def escaped(c: Column) -> Column:
+        units = F.lower(F.hex(F.encode(c, "UTF-16BE")))
+        wide = F.array_join(F.transform(F.sequence(F.lit(1), F.length(units), F.lit(4)),
+                                        lambda i: F.concat(F.lit("\\u"), F.substr(units, i, F.lit(4)))), "")
+        out = F.when((c >= " ") & (c <= "~"), c).otherwise(wide)
+        for k, v in JSON_ESCAPES.items():
+            out = F.when(c == F.lit(k), F.lit(v)).otherwise(out)
+        return out
+
+    spelled = F.array_join(F.transform(F.split(s, ""), escaped), "")
+    text = F.when(s.rlike("[^ -~]"), spelled).otherwise(quoted)
+    return F.coalesce(F.concat(F.lit('"'), text, F.lit('"')), F.lit("null"))
+
+
+def sorted_json(pairs: Sequence[tuple[str, Column]]) -> Column:
+    """A JSON object with sorted keys and the separators ``", "`` and ``": "``, open at its end; values are JSON texts.
+
+    With ``link_text(..., "json")`` this is the second payload format: logs hashed over sorted-key JSON verify with it.
+    """
+    return F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{k}": '), v) for k, v in sorted(pairs, key=lambda p: p[0])]))
+
+
+#: Text before and after the previous hash in a link, and what stands for none, by payload format.
+LINK_FORMATS = {"text": ("|previous_hash=", "", "null", ""), "json": (', "previous_hash": ', '"', "null", "}")}
+
+
+def link_text(payload: Column, previous_hash: Column, link: str = "text") -> Column:
     """Text hashed for one chain link: payload plus the previous link's hash."""
-    return F.concat(payload, F.lit("|previous_hash="), F.coalesce(previous_hash, F.lit("null")))
+    before, quote, none, after = LINK_FORMATS[link]
+    return F.concat(payload, F.lit(before), F.coalesce(F.concat(F.lit(quote), previous_hash, F.lit(quote)), F.lit(none)), F.lit(after))
 
 
 # DuckDB spellings of the same rules, for the oracle SQL.

@@ -6,20 +6,20 @@ x[floor(pos)] + (x[ceil(pos)] - x[floor(pos)]) * frac(pos).
 
 Spark's exact ``percentile`` keeps a map of every distinct value of a group in
 one aggregation buffer, which does not survive a hot group or a global
-quantile of a continuous column at cluster scale. Here instead:
+quantile of a continuous column at cluster scale. Here instead, for groups of every size alike:
 
 1. ``percentile_approx`` (mergeable sketch, map-side partial aggregation)
    brackets each target rank: its rank error is at most n / accuracy, so the
-   values at p -/+ 3/accuracy enclose the exact answer once n >= accuracy;
-   smaller groups (n <= accuracy) use the whole group as the bracket.
-   The bracket holds about 6 n / accuracy distinct values: raise
-   ``accuracy`` with the group size (e.g. 1e6 for 1e11-row groups).
-2. One more pass maps every value to its bracket or to a "below" sentinel and
-   counts per distinct value (partial aggregation collapses the sentinel), so
-   what reaches one reducer is bounded by the bracket width, not the group.
-3. A running count over the (small) bracket picks the exact order statistics.
-
-A bracket that misses its rank (sketch guarantee broken) raises an error
+   values at p -/+ 3/accuracy enclose the answer's ranks but for the rank next to either end.
+2. Each further round (``rounds``) lays a grid of sketched cut points over the bracket and keeps the cells
+   around the target rank. A bracket holds about 6 n / accuracy distinct values after the first round, and
+   about (6 / accuracy) * (6 / GRID) * n after the second: choose the rounds for the largest group.
+3. One more pass counts per distinct value inside the bracket (everything below and everything above
+   collapses map-side to a count and its nearest value), so what reaches one reducer is
+   bounded by the bracket, not the group. A running count picks the exact order statistics; a rank just
+   outside the bracket is the nearest value below or above it.
+
+A bracket that misses its rank by more (sketch guarantee broken) raises an error
 instead of returning a wrong number.
 """
 
@@ -45,9 +45,23 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], keys: Sequence[st
                            accuracy=accuracy, method=method)
 
 
+#: Cut points of a refinement round.
+GRID = 1000
+
+
+def _with_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """Join per-group statistics to rows; a null key is a group of its own. Without keys the right side is one row per spec."""
+    on = [*keys, *extra]
+    r = right.select(*[F.col(k).alias(f"_k_{k}") for k in on], *[c for c in right.columns if c not in on])
+    if not on:
+        return left.crossJoin(F.broadcast(r))  # one row
+    r = F.broadcast(r) if not keys else r  # one row for each spec
+    return left.join(r, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in on], "inner").drop(*[f"_k_{k}" for k in on])
+
+
 def multi_quantiles(df: DataFrame, specs: Sequence[tuple[str, float, str]], keys: Sequence[str] = (),
-                    accuracy: int = 10000, method: str = "exact") -> DataFrame:
-    """Several (column, prob, output name) quantiles per ``keys`` group in two passes.
+                    accuracy: int = 10000, method: str = "exact", rounds: int = 1) -> DataFrame:
+    """Several (column, prob, output name) quantiles per ``keys`` group in ``rounds + 1`` passes.
 
     Nulls are skipped per column. ``method="approx"`` returns the sketch
     answer directly (one pass). Returns ``keys + names``; a group appears if
@@ -63,54 +77,48 @@ def multi_quantiles(df: DataFrame, specs: Sequence[tuple[str, float, str]], keys
         aggs = [F.percentile_approx(f"_x{cidx[c]}", F.lit(p), accuracy).alias(n) for c, p, n in specs]
         return base.groupBy(*keys).agg(*aggs)
 
-    # Sketch rank error <= n/accuracy; 3/accuracy leaves >= 2 ranks of slack once
-    # n >= accuracy. Groups up to accuracy rows take the whole group as bracket.
     margin = 3.0 / accuracy + 1e-12
-    full = accuracy
-    aggs = []
+    aggs, where = [], {}
     for i, c in enumerate(cols):
         mine = [(j, p) for j, (cc, p, _) in enumerate(specs) if cc == c]
+        where.update({j: (k, k + len(mine)) for k, (j, _) in enumerate(mine)})
         edges = [max(p - margin, 0.0) for _, p in mine] + [min(p + margin, 1.0) for _, p in mine]
         aggs += [F.count(f"_x{i}").alias(f"_n{i}"),
                  F.percentile_approx(f"_x{i}", F.array(*[F.lit(e) for e in edges]), accuracy).alias(f"_a{i}")]
-    st = base.groupBy(*keys).agg(*aggs)
-    # Per spec j: its column's count, and its lower / upper bracket values.
-    spec_cols = []
-    for j, (c, p, _) in enumerate(specs):
-        i = cidx[c]
-        mine = [jj for jj, (cc, _, _) in enumerate(specs) if cc == c]
-        pos = mine.index(j)
-        spec_cols.append(F.struct(
-            F.lit(j).alias("j"), F.col(f"_x{i}").alias("x"), F.col(f"_n{i}").alias("n"),
-            F.col(f"_a{i}")[pos].alias("lo"), F.col(f"_a{i}")[pos + len(mine)].alias("hi")))
-    if keys:
-        # null-safe key match: a null key is a group of its own
-        stk = st.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in st.columns if c not in keys])
-        cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-        joined = base.join(stk, cond, "inner").drop(*[f"_k_{k}" for k in keys])
-    else:
-        joined = base.crossJoin(F.broadcast(st))  # one row: size bound proven
-    tagged = joined.select(*keys, F.explode(F.array(*spec_cols)).alias("_s")).select(
-        *keys, F.col("_s.j").alias("_j"), F.col("_s.n").alias("_n"),
-        F.when(F.col("_s.n") <= full, F.col("_s.x"))
-         .when(F.col("_s.x") < F.col("_s.lo"), F.lit(float("-inf")))
-         .when(F.col("_s.x") <= F.col("_s.hi"), F.col("_s.x")).alias("_v"))
-    tagged = tagged.where(F.col("_v").isNotNull())
-    counts = tagged.groupBy(*keys, "_j", "_n", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys, "_j").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("_cum", F.sum("_c").over(w))
-    prob_arr = F.array(*[F.lit(p) for _, p, _ in specs])
-    counts = counts.withColumn("_pos", F.element_at(prob_arr, F.col("_j") + 1) * (F.col("_n") - 1))
-    counts = counts.withColumn("_rlo", F.floor("_pos")).withColumn("_rhi", F.ceil("_pos"))
-    real = F.col("_v") > F.lit(float("-inf"))
-    per = counts.groupBy(*keys, "_j").agg(
-        F.first("_pos").alias("_pos"), F.first("_rlo").alias("_rlo"),
-        F.min(F.when(real & (F.col("_cum") > F.col("_rlo")), F.col("_v"))).alias("_vlo"),
-        F.min(F.when(real & (F.col("_cum") > F.col("_rhi")), F.col("_v"))).alias("_vhi"),
-        F.coalesce(F.max(F.when(~real, F.col("_cum"))), F.lit(0)).alias("_below"))
-    ok = (F.col("_below") <= F.col("_rlo")) & F.col("_vlo").isNotNull() & F.col("_vhi").isNotNull()
-    val = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_pos") - F.col("_rlo"))
-    per = per.select(*keys, "_j", F.when(ok, val).otherwise(
-        F.raise_error(F.lit("quantile bracket missed its rank; raise accuracy"))).cast("double").alias("_q"))
+    joined = _with_keys(base, base.groupBy(*keys).agg(*aggs), keys)
+    spec_rows = [F.struct(F.lit(j).alias("_j"), F.lit(p).alias("_p"), F.col(f"_x{cidx[c]}").alias("_x"), F.col(f"_n{cidx[c]}").alias("_n"),
+                          F.col(f"_a{cidx[c]}")[where[j][0]].alias("_lo"), F.col(f"_a{cidx[c]}")[where[j][1]].alias("_hi"))
+                 for j, (c, p, _) in enumerate(specs)]
+    rows = joined.select(*keys, F.explode(F.array(*spec_rows)).alias("_s")).select(*keys, "_s.*").where("_x is not null")
+    x, lo, hi = F.col("_x"), F.col("_lo"), F.col("_hi")
+
+    for _ in range(rounds - 1):
+        inside = F.when((x >= lo) & (x <= hi), x)
+        cells = F.array(*[F.lit(k / GRID) for k in range(GRID + 1)])
+        seen = rows.groupBy(*keys, "_j").agg(F.count_if(x < lo).alias("_b"), F.count(inside).alias("_m"), F.percentile_approx(inside, cells, accuracy).alias("_g"))
+        slack = int(3 * GRID / accuracy) + 2
+        rows = _with_keys(rows, seen, keys, ["_j"])
+        cell = F.floor((F.col("_p") * (F.col("_n") - 1) - F.col("_b")) / F.col("_m") * GRID)
+        at = lambda k: F.element_at("_g", F.greatest(F.lit(0), F.least(F.lit(GRID), k)).cast("int") + 1)
+        rows = rows.withColumns({"_lo": at(cell - slack), "_hi": at(cell + slack)}).drop("_b", "_m", "_g")
+
+    # below and above the bracket one row each: how many, and the value nearest to it
+    side = F.when(x < lo, F.lit(-1)).when(x > hi, F.lit(1)).otherwise(F.lit(0))
+    counts = rows.groupBy(*keys, "_j", "_p", "_n", side.alias("_side"), F.when(side == 0, x).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c"), F.max("_x").alias("_top"), F.min("_x").alias("_low"))
+    w = Window.partitionBy(*keys, "_j").orderBy("_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_cum", F.sum("_c").over(w)).withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
+    first = F.col("_cum") - F.col("_c")
+
+    def value_at(rank):
+        """The row's value if it holds this rank; of the rows outside the bracket only the nearest rank is known."""
+        return F.max(F.when((F.col("_side") == 0) & (first <= rank) & (rank < F.col("_cum")), F.col("_v"))
+                     .when((F.col("_side") == -1) & (rank == F.col("_cum") - 1), F.col("_top"))
+                     .when((F.col("_side") == 1) & (rank == first), F.col("_low")))
+
+    per = counts.groupBy(*keys, "_j").agg(F.first("_pos").alias("_pos"), value_at(F.floor("_pos")).alias("_vlo"), value_at(F.ceil("_pos")).alias("_vhi"))
+    value = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_pos") - F.floor("_pos"))
+    missed = F.raise_error(F.lit("quantile bracket missed its rank; raise accuracy")).cast("double")
+    per = per.select(*keys, "_j", F.when(F.col("_vlo").isNotNull() & F.col("_vhi").isNotNull(), value).otherwise(missed).alias("_q"))
     return per.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_j") == j, F.col("_q"))).alias(n) for j, (_, _, n) in enumerate(specs)])

@@ -20,20 +20,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import canonical, link_text, sha256
+from ..functions.hashing import LINK_FORMATS, canonical, link_text, sha256
 from .monitoring import iso_text
 
 
 def chain_links(df: DataFrame, chain_col: str, order_cols: Sequence[str], payload_col: str,
                 carry_cols: Sequence[str], num_partitions: int | None = None,
-                seed: DataFrame | None = None) -> DataFrame:
+                seed: DataFrame | None = None, link: str = "text") -> DataFrame:
     """Emit every link: carry columns + seq (1-based) + previous_hash + output_hash.
 
     ``payload_col`` is the canonical text of the link without the previous hash.
     ``seed`` (chain_col, tip_hash, last_seq), e.g. ``chain_tips`` of the stored
     log, continues existing chains when a new batch is appended; chains absent
-    from it start fresh.
+    from it start fresh. ``link`` names the payload format (``hashing.LINK_FORMATS``).
     """
+    before, quote, none, after = LINK_FORMATS[link]
     carry = [c for c in carry_cols if c not in (chain_col,)]
     fields = [df.schema[chain_col]] + [df.schema[c] for c in carry] + [
         T.StructField("seq", T.LongType()), T.StructField("previous_hash", T.StringType()),
@@ -60,7 +61,7 @@ def chain_links(df: DataFrame, chain_col: str, order_cols: Sequence[str], payloa
                     last_hash = sh if isinstance(sh, str) else None
                     seq = int(ss) if ss == ss and ss is not None else 0
                 seq += 1
-                text = pl + "|previous_hash=" + (last_hash if last_hash is not None else "null")
+                text = pl + before + (quote + last_hash + quote if last_hash is not None else none) + after
                 h = hashlib.sha256(text.encode("utf-8")).hexdigest()
                 prev.append(last_hash)
                 outs.append(h)
@@ -100,7 +101,7 @@ def chain_tips(links: DataFrame, chain_col: str = "chain_id") -> DataFrame:
                                          F.count(F.lit(1)).alias("n_links"))
 
 
-def verify(log: DataFrame, payload: Column, chain_col: str = "chain_id", strict: bool = False) -> DataFrame:
+def verify(log: DataFrame, payload: Column, chain_col: str = "chain_id", strict: bool = False, link: str = "text") -> DataFrame:
     """H5: per-link violations. Returns chain_id, seq, content_ok, link_ok.
 
     content_ok: the stored hash equals the recomputed one.
@@ -110,7 +111,7 @@ def verify(log: DataFrame, payload: Column, chain_col: str = "chain_id", strict:
     must be null).
     """
     rows = log.select(chain_col, "seq", "previous_hash", "output_hash",
-                      (sha256(link_text(payload, F.col("previous_hash"))) == F.col("output_hash"))
+                      (sha256(link_text(payload, F.col("previous_hash"), link)) == F.col("output_hash"))
                       .alias("content_ok"))
     pred = rows.select(F.col(chain_col).alias("_c"), (F.col("seq") + 1).alias("_s"),
                        F.col("output_hash").alias("_ph"))

@@ -216,6 +216,22 @@ def chain_verify_tampered(spark, sf_dir):
     return AU.verify_summary(AU.verify(edited, _gov_payload()))
 
 
+def _gov_json():
+    return HS.sorted_json([(k, HS.json_string(F.col(k))) for k in GOV_KEYS])
+
+
+_GOV_JSON_SQL = "'{' || " + " || ', ' || ".join(f"'\"{k}\": ' || COALESCE(CAST(to_json({k}) AS VARCHAR), 'null')" for k in sorted(GOV_KEYS))
+
+
+@register("governance_chain_json", oracle=_GOV_CHAIN_SQL.replace(f"{_GOV_PAYLOAD_SQL} AS payload", f"{_GOV_JSON_SQL} AS payload")
+          .replace("'|previous_hash=null'", "', \"previous_hash\": null}'").replace("'|previous_hash=' || c.output_hash", "', \"previous_hash\": \"' || c.output_hash || '\"}'")
+          + " SELECT chain_id, seq, previous_hash, output_hash FROM chain", views=("governance_events",))
+def governance_chain_json(spark, sf_dir):
+    """H4 + X9: the governance chain hashed over sorted-key JSON payloads."""
+    g = _gov_stored(views(spark, sf_dir)).withColumn("payload", _gov_json())
+    return AU.chain_links(g, "chain_id", ["ts", "event_id"], "payload", ["ts"], link="json").select("chain_id", "seq", "previous_hash", "output_hash")
+
+
 @register("chain_tips", oracle="""
 WITH RECURSIVE x AS (SELECT 1) """ + _GOV_CHAIN_SQL.replace("WITH RECURSIVE", ",", 1) + """
 SELECT chain_id, CAST(MAX(seq) AS BIGINT) AS last_seq, arg_max(output_hash, seq) AS tip_hash,

@@ -111,3 +111,47 @@ def test_append_continues_from_tips(spark):
     a = sorted((r.chain_id, r.k, r.seq, r.previous_hash, r.output_hash) for r in full.collect())
     b = sorted((r.chain_id, r.k, r.seq, r.previous_hash, r.output_hash) for r in both.collect())
     assert a == b
+
+
+def test_json_payload_equals_sorted_key_json(spark):
+    import hashlib
+    import json
+
+    from pyspark.sql import functions as F
+
+    from lendgov.functions import hashing as HS
+    from lendgov.operators import audit as AU
+
+    texts = ["plain", 'q"b\\s/', "n\nt\tr\r\b\f\x01\x7f", "é ₹ \U0001f600", "", None]
+    rows = [(1, i, t, "decision") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "chain_id long, n int, details string, event_type string")
+    payload = HS.sorted_json([("event_type", HS.json_string(F.col("event_type"))), ("details", HS.json_string(F.col("details")))])
+    links = AU.chain_links(df.withColumn("payload", payload), "chain_id", ["n"], "payload", ["n", "details", "event_type"], link="json")
+    previous = None
+    for r in links.orderBy("seq").collect():
+        text = json.dumps({"previous_hash": previous, "details": texts[r.n], "event_type": "decision"}, sort_keys=True)
+        assert r.previous_hash == previous and r.output_hash == hashlib.sha256(text.encode()).hexdigest()
+        previous = r.output_hash
+    checks = AU.verify(links, payload, link="json")
+    assert checks.where("content_ok and link_ok").count() == len(texts)
+
+
+def test_alert_events_are_appended_once(spark):
+    from lendgov.operators import audit as AU
+    rows = [("Gender", "bias-alert", "{}", '{"a":1}', "k1"), ("Area", "bias-alert", "{}", '{"a":2}', "k2")]
+    cols = "sensitive_feature string, event_type string, fairness_snapshot string, details string, event_key string"
+    log = AU.append_alerts(spark.createDataFrame(rows, cols))
+    assert AU.append_alerts(spark.createDataFrame(rows, cols), log).count() == 0
+    more = AU.append_alerts(spark.createDataFrame([*rows, ("Gender", "bias-alert", "{}", '{"a":3}', "k3")], cols), log).collect()
+    first = {r.sensitive_feature: r.output_hash for r in log.collect()}
+    assert [(r.seq, r.previous_hash) for r in more] == [(2, first["Gender"])]
+
+
+def test_credit_g_file_has_typed_columns(spark, tmp_path):
+    from lendgov.operators import prep as PR
+    from lendgov.sources import files as FS
+    p = str(tmp_path / "credit.csv")
+    with open(p, "w") as f:
+        f.write("duration,checking_status,credit_amount,class\n6,'<0',1169,good\n48,'no checking',5951.5,bad\n")
+    df = FS.read_credit_g(spark, p)
+    assert PR.split_by_dtype(df, exclude=["class"]) == (["duration", "credit_amount"], ["checking_status"])

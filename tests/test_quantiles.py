@@ -58,3 +58,26 @@ def test_spark_percentile_agrees(spark):
     ours = quantiles(df, "x", [0.9], accuracy=100).collect()[0][0]
     ref = df.selectExpr("percentile(x, 0.9)").collect()[0][0]
     assert abs(ours - ref) < 1e-9
+
+
+def test_many_distinct_values_with_a_coarse_sketch(spark):
+    """1e6 distinct values, accuracy 100: one round and two rounds give the exact answer; two leave a small bracket."""
+    import numpy as np
+    from pyspark.sql import functions as F
+    df = spark.range(1_000_000, numPartitions=8).select(((F.col("id") * 7919) % 1_000_003).cast("double").alias("x"))
+    x = (np.arange(1_000_000) * 7919 % 1_000_003).astype(float)
+    for rounds in (1, 2):
+        got = multi_quantiles(df, [("x", p, f"q{i}") for i, p in enumerate((0.1, 0.5, 0.9))], accuracy=100, rounds=rounds).first()
+        assert [got.q0, got.q1, got.q2] == [np.quantile(x, p) for p in (0.1, 0.5, 0.9)]
+
+
+def test_small_groups_at_every_size(spark):
+    import numpy as np
+    rows = [(n, float(v)) for n in range(1, 40) for v in np.random.default_rng(n).permutation(n) ** 2]
+    probs = (0.0, 0.05, 0.25, 0.5, 0.9, 0.99, 1.0)
+    df = spark.createDataFrame(rows, "k int, x double")
+    for rounds in (1, 2):
+        out = multi_quantiles(df, [("x", p, f"q{i}") for i, p in enumerate(probs)], ["k"], accuracy=50, rounds=rounds)
+        for r in out.collect():
+            x = [v for n, v in rows if n == r.k]
+            assert np.allclose([r[f"q{i}"] for i in range(len(probs))], np.quantile(x, probs)), r.k

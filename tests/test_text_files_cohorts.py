@@ -63,7 +63,7 @@ def _loans(spark, n, seed):
     loans = np.concatenate((rng.integers(50000, 3000000, n), [70000, 130000, 0, 233333.1], [100000 * 0.7, 100000 * 1.3])).astype(float)
     stats = {c: np.where(rng.random(len(loans)) < 0.05, np.nan, rng.lognormal(3, 2, len(loans)).round(1)) for _, c in CH.STATS}
     stats["bank_balance"] = np.full(len(loans), 7.0)  # a statistic with one value
-    rows = [(i, v, int(i % 3 == 0), *[None if np.isnan(stats[c][i]) else float(stats[c][i]) for _, c in CH.STATS]) for i, v in enumerate(loans)]
+    rows = [(i, float(v), int(i % 3 == 0), *[None if np.isnan(stats[c][i]) else float(stats[c][i]) for _, c in CH.STATS]) for i, v in enumerate(loans)]
     names = ", ".join(f"{c} double" for _, c in CH.STATS)
     return spark.createDataFrame(rows, f"application_id long, LoanAmount double, Credit_History int, {names}"), loans, stats
 
