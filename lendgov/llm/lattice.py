@@ -7,8 +7,8 @@ Vectors with the same label that share a cell are candidates; the cosine of the
 in double precision decides.
 
 Equal vectors with equal labels are one vertex with a multiplicity. Only cells with
-two or more vertices are gathered. Within a cell a block of vectors is compared by matrix products
-and gives counts and a spanning forest, never its pairs; a pair that meets in several cells counts in the
+two or more vertices are gathered. Within a cell vectors are compared in numpy, many small cells at once,
+and give counts and a spanning forest, never their pairs; a pair that meets in several cells counts in the
 first one only. A cell of more than ``BLOCK`` vertices is split into blocks, and each
 two blocks meet in a task of their own, so no task holds more than two blocks whatever the cell's size.
 
@@ -26,7 +26,6 @@ from __future__ import annotations
 from itertools import combinations, product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -36,10 +35,10 @@ from . import common as C
 from .components import connected_components
 
 MIN_COSINE = 0.98
-TABLES = 4
-PROBES = 5
-#: Edge of the lattice in units of the projected distance at the threshold.
-SCALE = 10.0
+TABLES = 6
+PROBES = 3
+#: Edge of the lattice in units of the distance of two unit vectors at the threshold.
+SCALE = 4.0
 BLOCK = 1024
 SEED = 8
 
@@ -102,7 +101,7 @@ def cells(unit: np.ndarray, tables: int, probes: int, scale: float, min_cosine:
 
 def _unit(values: list) -> np.ndarray:
     """Unit vectors in double precision; inputs are finite and not zero."""
-    m = np.array(values, np.float64)
+    m = np.asarray(values, np.float64)
     m = m / np.abs(m).max(axis=1, keepdims=True)
     return m / np.sqrt((m * m).sum(1, keepdims=True))
 
@@ -110,44 +109,102 @@ def _unit(values: list) -> np.ndarray:
 _CELLS_ARROW = pa.list_(pa.int64())
 
 
-def _local_roots(linked: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each row of a symmetric boolean matrix."""
-    n = len(linked)
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root, np.where(linked, root[None, :], n).min(1, initial=n))
-        low = np.minimum(low, low[low])
-        if (low == root).all():
-            return root
-        root = low
-
-
-def _compare(cell: int, pdf: pd.DataFrame, min_cosine: float) -> pd.DataFrame:
-    """Links of one cell block: per vertex its new links, and the vertex that a spanning forest ties it to."""
-    pdf = pdf.sort_values("v", kind="stable")
-    unit = _unit(pdf["embedding"].tolist())
-    side = pdf["block"].to_numpy()
-    of = np.array(pdf["cells"].tolist(), np.int64).view(np.uint64)
-    cos = unit @ unit.T
-    ok = cos >= min_cosine
-    if (pdf["block_a"] != pdf["block_b"]).any():
-        ok &= side[:, None] != side[None, :]
-    ok = np.triu(ok, 1)
-    a, b = np.nonzero(ok)
-    ok |= ok.T
+#: Groups of this many vectors are compared by one matrix product, smaller ones pair by pair.
+_MATRIX = 64
+_PAIRS = 1 << 15
+_ROWS = 8192
+
+
+def _pairs(start: np.ndarray, size: np.ndarray):
+    """All pairs of rows (a < b) of each group, some groups at a time."""
+    last = np.repeat(start + size, size)  # end of each row's group
+    row = np.concatenate([np.arange(s, s + n) for s, n in zip(start, size)]) if len(start) else np.zeros(0, np.int64)
+    more = last - row - 1
+    upto = np.cumsum(more)
+    at = 0
+    while at < len(row):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _PAIRS, side="right")))
+        n = more[at:end]
+        a = np.repeat(row[at:end], n)
+        yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        at = end
+
+
+def _compared(unit: np.ndarray, key: np.ndarray, min_cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with the same key (rows are sorted by it) whose cosine reaches the limit."""
+    start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1))))
+    size = np.diff(np.append(start, len(key)))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for s, n in zip(start[size >= _MATRIX], size[size >= _MATRIX]):
+        a, b = np.nonzero(np.triu(unit[s:s + n] @ unit[s:s + n].T >= min_cosine, 1))
+        found.append((a + s, b + s))
+    for a, b in _pairs(start[size < _MATRIX], size[size < _MATRIX]):
+        near = np.einsum("ij,ij->i", unit[a], unit[b]) >= min_cosine
+        found.append((a[near], b[near]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _links(key: np.ndarray, side: np.ndarray, v: np.ndarray, copies: np.ndarray, of: np.ndarray, unit: np.ndarray, min_cosine: float):
+    """For each row (sorted by key: cell and its two blocks): its new links, and the vertex that a spanning forest ties it to."""
+    a, b = _compared(unit, key, min_cosine)
+    across = key[a, 1] == key[a, 2]  # within one block, or from one block to the other
+    met = across | (side[a] != side[b])
+    a, b = a[met], b[met]
     # a pair counts in the smallest cell that both have
-    first = np.ones(len(a), bool)
-    here = np.uint64(cell & 0xFFFFFFFFFFFFFFFF)
+    first, here = np.ones(len(a), bool), key[a, 0].view(np.uint64)
     for i in range(of.shape[1]):
         mine = of[a, i]
-        open_ = first & (mine < here)
-        if not open_.any():
-            continue
-        first[open_] &= ~(of[b[open_]] == mine[open_][:, None]).any(1)
-    copies = pdf["copies"].to_numpy()
-    links = np.bincount(a[first], copies[b[first]], len(pdf)) + np.bincount(b[first], copies[a[first]], len(pdf))
-    v = pdf["v"].to_numpy()
-    return pd.DataFrame({"v": v, "links": links.astype(np.int64), "tie": v[_local_roots(ok)]})
+        earlier = np.flatnonzero(first & (mine < here))
+        first[earlier] = ~(of[b[earlier]] == mine[earlier, None]).any(1)
+    links = np.bincount(a[first], copies[b[first]], len(v)) + np.bincount(b[first], copies[a[first]], len(v))
+    root = np.arange(len(v))
+    while len(a):
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    return links.astype(np.int64), v[root]
+
+
+_COMPARED = ["cell", "block_a", "block_b", "block", "v", "copies", "embedding", "cells"]
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Flat values and lengths of a list column."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+
+
+def _compare_sorted(batches, min_cosine: float):
+    """Rows sorted by (cell, block_a, block_b, v): whole groups are compared, many small ones at once."""
+    def done(table: pa.Table):
+        cols = [table.column(c).combine_chunks() for c in _COMPARED]
+        key = np.stack([c.to_numpy().astype(np.int64) for c in cols[:3]], axis=1)
+        side, v, copies = (c.to_numpy() for c in cols[3:6])
+        values, length = _lists(cols[6])
+        cell_values, n_cells = _lists(cols[7])
+        first, first_cell = np.cumsum(length) - length, np.cumsum(n_cells) - n_cells
+        for n in np.unique(length):  # a cell belongs to one length of vector
+            r = np.flatnonzero(length == n)
+            unit = _unit(values[first[r][:, None] + np.arange(n)])
+            of = cell_values[first_cell[r][:, None] + np.arange(n_cells[r][0])].view(np.uint64)
+            links, tie = _links(key[r], side[r], v[r], copies[r], of, unit, min_cosine)
+            yield pa.record_batch([pa.array(v[r]), pa.array(links), pa.array(tie)], names=["v", "links", "tie"])
+
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        if held.num_rows >= _ROWS:
+            key = np.stack([held.column(c).to_numpy() for c in _COMPARED[:3]], axis=1)
+            cut = int(np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1))))[-1])  # the last group may go on
+            if cut:
+                yield from done(held.slice(0, cut))
+                held = held.slice(cut)
+    if held is not None and held.num_rows:
+        yield from done(held)
 
 
 def linked(vectors: DataFrame, min_cosine: float = MIN_COSINE, tables: int = TABLES, probes: int = PROBES,
@@ -186,12 +243,10 @@ def linked(vectors: DataFrame, min_cosine: float = MIN_COSINE, tables: int = TAB
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .select("v", "cell", "block", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b")))
     member = C.written(member, "lattice-members")
-    gathered = member.join(vertex.select("v", "copies", "embedding", "cells"), "v")
-
-    def compare(key, pdf):
-        return _compare(int(key[0]), pdf, min_cosine)
-
-    found = C.written(gathered.groupBy("cell", "block_a", "block_b").applyInPandas(compare, "v bigint, links bigint, tie bigint"), "lattice-links")
+    group = ["cell", "block_a", "block_b"]
+    gathered = (member.join(vertex.select("v", "copies", "embedding", "cells"), "v").select(*_COMPARED)
+                .repartition(*group).sortWithinPartitions(*group, "v"))
+    found = C.written(gathered.mapInArrow(lambda batches: _compare_sorted(batches, min_cosine), "v bigint, links bigint, tie bigint"), "lattice-links")
     links = found.groupBy("v").agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("v <> tie").select(F.col("v").alias("a"), F.col("tie").alias("b")))
     vertex = (vertex.select("v", "first_id", "copies").join(links, "v", "left")

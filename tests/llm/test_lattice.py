@@ -94,3 +94,28 @@ def test_edges(spark):
     assert got == brute(rows)
     assert lattice.linked(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [tuple(r) for r in lattice.linked(spark.createDataFrame([(None, None, None)], SCHEMA)).collect()] == [(None, 0, None, False)]
+
+
+def test_pairs_at_the_threshold_meet():
+    """Pairs with a cosine of just 0.98, the hardest to find, share a cell."""
+    rng = np.random.default_rng(5)
+    for dim in (16, 64, 256):
+        a = rng.standard_normal((3000, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        o = rng.standard_normal((3000, dim))
+        o -= (o * a).sum(1, keepdims=True) * a
+        o /= np.linalg.norm(o, axis=1, keepdims=True)
+        b = 0.98 * a + np.sqrt(1 - 0.98 ** 2) * o
+        cells = [lattice.cells(x, lattice.TABLES, lattice.PROBES, lattice.SCALE, 0.98) for x in (a, b)]
+        met = np.array([np.intersect1d(x, y).size > 0 for x, y in zip(*cells)])
+        assert met.mean() > 0.99
+
+
+def test_many_small_groups_and_a_large_one():
+    rng = np.random.default_rng(6)
+    key = np.array([(g, 0, 0) for g in range(300) for _ in range(rng.integers(1, 6))] + [(999, 0, 0)] * 150, np.int64)
+    unit = lattice._unit(rng.standard_normal((len(key), 4)))
+    a, b = lattice._compared(unit, key, 0.5)
+    got = set(zip(a.tolist(), b.tolist()))
+    want = {(i, j) for i in range(len(key)) for j in range(i + 1, len(key)) if (key[i] == key[j]).all() and unit[i] @ unit[j] >= 0.5}
+    assert got == want
