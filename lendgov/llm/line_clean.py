@@ -45,6 +45,9 @@ _BOILERPLATE = re.compile("|".join((
     r"privacy policy", r"cookie (?:policy|settings|notice)", r"we use cookies", r"enable javascript", r"lorem ipsum",
     r"\b(?:sign|log) in\b", r"subscribe (?:to|now)", r"click here", r"share (?:this|on)", r"skip to (?:content|main)",
 )), re.IGNORECASE)
+#: What every phrase above holds one of, in lower case.
+_ANCHORS = ("rights", "licensed", "license", "copyright", "©", "terms of", "privacy", "cookie", "javascript", "lorem", "sign in", "log in",
+            "subscribe", "click", "share", "skip to")
 
 
 @dataclass
@@ -77,14 +80,28 @@ def repeat_words(words: list[bytes], window: int = WINDOW) -> int:
     return covered
 
 
-def line_fault(line: str) -> str | None:
+@dataclass(frozen=True)
+class Held:
+    """What a whole text holds at all; rules for what it does not hold need not look at its lines."""
+
+    boilerplate: bool = True
+    separators: bool = True
+    symbols: bool = True
+
+    @staticmethod
+    def by(text: str) -> "Held":
+        low = text.lower()
+        return Held(any(a in low for a in _ANCHORS), any(c in text for c in "|·•→»›>"), any(c in text for c in "#*$%&|<>^~{}=\\"))
+
+
+def line_fault(line: str, held: Held = Held()) -> str | None:
     """The rule that a line with a word fails, if any."""
-    words = line.split()
-    if _BOILERPLATE.search(line):
+    if held.boilerplate and _BOILERPLATE.search(line):
         return "boilerplate"
-    if len(_SEPARATORS.findall(line)) > MAX_SEPARATORS * len(words):
+    n = len(line.split()) if held.separators or held.symbols else 0
+    if held.separators and len(_SEPARATORS.findall(line)) > MAX_SEPARATORS * n:
         return "navigation"
-    if not line.rstrip().endswith(_ENDS) or len(_SYMBOLS.findall(line)) > MAX_SYMBOLS * len(words):
+    if not line.rstrip().endswith(_ENDS) or held.symbols and len(_SYMBOLS.findall(line)) > MAX_SYMBOLS * n:
         return "punctuation"
     return None
 
@@ -97,12 +114,12 @@ def clean(text: str | None, max_lost: float = MAX_LOST, min_words: int = MIN_WOR
     repeated = repeat_words(words)
     failed = len(words) < min_words or 100 * repeated > MAX_REPEAT_PCT * len(words)
 
-    lost = Counter()
+    lost, held = Counter(), Held.by(text or "")
     left, total, gone = [], 0, 0
     for line in (text or "").split("\n"):
         if line.strip():
             total += len(line)
-            if fault := line_fault(line):
+            if fault := line_fault(line, held):
                 lost[fault] += 1
                 gone += len(line)
                 continue
