@@ -132,27 +132,33 @@ def linked_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS, segments: i
     return pairs.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
-    """doc_id, fp (signed), component_id of every row of ``docs``; near-duplicates share a component."""
+def _grouped(docs: DataFrame, shingle: int, max_bits: int, segments: int) -> DataFrame:
+    """doc_id, fp and root (the smallest fingerprint of the component) of every row, and the component's smallest id."""
     prints = C.written(docs.select("doc_id", fingerprint_column(F.col("text"), shingle).alias("fp")), "simhash-prints")
     vertex = C.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-vertices")
     roots = connected_components(linked_fingerprints(vertex, max_bits, segments))
     vertex = vertex.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     vertex = C.written(vertex, "simhash-roots")
     smallest = vertex.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_print = vertex.join(smallest, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(vertex.join(smallest, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
+    """doc_id, fp (signed), component_id of every row of ``docs``; near-duplicates share a component."""
+    return _grouped(docs, shingle, max_bits, segments).select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, **how) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id.
 
-    Rows with a null id are kept only where their whole group has null ids; of
-    repeated rows with the group's smallest id one stays.
+    Of repeated rows with that id one stays. A group whose ids are all null keeps one row with its smallest fingerprint.
     """
-    tag = C.scratch_name("row")
-    found = near_duplicates(docs.select("doc_id", "text"), **how)
-    kept = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy("doc_id", "component_id").agg(F.min("fp").alias(tag)).select("doc_id"))
-    out = docs.join(kept.select(F.col("doc_id").alias(tag)), F.col("doc_id").eqNullSafe(F.col(tag)), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    found = C.written(_grouped(docs.select("doc_id", "text"), shingle, max_bits, segments), "simhash-groups")
+    tag = C.scratch_name("fp")
+    # the texts are moved once: the join and the removal of repeated ids share a partitioning
+    ids = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    prints = found.where(F.col("component_id").isNull()).groupBy("root").agg(F.min("fp").alias(tag)).select(tag)
+    unnamed = docs.where(F.col("doc_id").isNull()).withColumn(tag, fingerprint_column(F.col("text"), shingle))
+    unnamed = unnamed.join(prints, tag, "left_semi").dropDuplicates([tag]).drop(tag)
+    return named.select(*docs.columns).unionByName(unnamed.select(*docs.columns))

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lendgov.llm import simhash
 from lendgov.llm.components import connected_components
@@ -108,4 +109,6 @@ def test_edges(edge, empty, nulls):
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
     assert ids.count(7) == 1 and ids.count(1) == 1 and 2 not in ids
     assert ids.count(None) == 1  # the null id whose text is near no other
-    assert simhash.keep_first(empty).count() == 0
+    assert simhash.keep_first(empty).count() == 0 and simhash.keep_first(nulls).count() == 1
+    unnamed = edge.where("doc_id = 4 or doc_id > 210").withColumn("doc_id", F.lit(None).cast("long"))
+    assert simhash.keep_first(unnamed.union(unnamed)).count() == unnamed.count()
