@@ -30,8 +30,8 @@ from . import common as C
 
 SEED = 5
 MAX_EPOCHS = 3
-#: Key buckets of each source: a bucket is the unit of the range sort.
-BUCKET_BITS = 12
+#: Key buckets of each source (16 to that power): a bucket is the unit of the range sort.
+BUCKET_DIGITS = 3
 WEIGHTS = (1, 2, 3)
 
 
@@ -40,13 +40,14 @@ def n_words(text: Column) -> Column:
 
 
 def random_key(seed: int = SEED) -> Column:
-    """A hash-random 64-bit key of a row's id and text."""
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")), F.lit(seed))
+    """A hash-random key of a row's id and text: 64 bits as hex digits (MD5, so that plain SQL can repeat it)."""
+    return F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+                                         F.coalesce(F.col("text"), F.lit("")))), 1, 16)
 
 
 def _bucket(key: Column) -> Column:
-    """Order-preserving: the key's leading bits."""
-    return F.shiftright(key, 64 - BUCKET_BITS)
+    """Order-preserving: the key's leading digits."""
+    return F.substring(key, 1, BUCKET_DIGITS)
 
 
 def source_order(sources: DataFrame) -> DataFrame:
@@ -94,7 +95,7 @@ def cuts(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = MA
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint"))
         .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size")), "mix-budgets")
 
-    # prefix sums over the key buckets, at most 2 ** BUCKET_BITS rows a source, tell which bucket holds the cut
+    # prefix sums over the key buckets, at most 16 ** BUCKET_DIGITS rows a source, tell which bucket holds the cut
     in_source = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = (sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
                .withColumn("offset", F.coalesce(F.sum("bucket_size").over(in_source), F.lit(0))))

@@ -33,7 +33,36 @@ def op1_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repair_turns(_table(spark, sf_dir, "conversations"))
 
 
-@query("op2_line_cleaning")
+#: The rules of ``line_clean`` over one line x in SQL.
+_N_SPLIT = "len(regexp_extract_all(x, '[^\\s\\x0B\\x1C-\\x1F\\x85\\xA0]+'))"
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+_OP2_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, {_WORDS} AS w FROM documents),
+g AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS gram FROM d, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i) WHERE len(w) >= 5),
+often AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM often, (SELECT unnest(range(5)) AS k) GROUP BY r),
+l AS (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM d),
+dup AS (SELECT r, count(*) - count(DISTINCT x) AS n_dup_lines FROM l WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+j AS (SELECT r, x, CASE WHEN regexp_matches(x, '(?i){line_clean._BOILERPLATE.pattern}') THEN 'b'
+        WHEN len(regexp_extract_all(x, '[|·•→]')) + len(regexp_extract_all(regexp_replace(x, '(\\s)', '\\1\\1', 'g'), '\\s[»›>]\\s')) > 0.3 * {_N_SPLIT} THEN 'n'
+        WHEN NOT regexp_matches(x, '[.!?:;…"''”’»)\\]。！？][\\s\\x0B\\x1C-\\x1F\\x85\\xA0]*$')
+          OR len(regexp_extract_all(x, '[#*$%&|<>^~{{}}=\\\\]')) > 0.5 * {_N_SPLIT} THEN 'p' END AS fault
+      FROM l WHERE {_N_SPLIT} > 0),
+v AS (SELECT r, count(*) FILTER (WHERE fault = 'p') AS lost_punctuation, count(*) FILTER (WHERE fault = 'n') AS lost_navigation,
+        count(*) FILTER (WHERE fault = 'b') AS lost_boilerplate, coalesce(sum(length(x)) FILTER (WHERE fault IS NOT NULL), 0) AS gone, sum(length(x)) AS total
+      FROM j GROUP BY r),
+b AS (SELECT d.r, d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        CAST(len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN dup ON d.r = dup.r LEFT JOIN rep ON d.r = rep.r),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(gone / total, 0.0e0) <= 0.5e0 AS kept, CAST(coalesce(lost_punctuation, 0) AS BIGINT) AS lost_punctuation,
+  CAST(coalesce(lost_navigation, 0) AS BIGINT) AS lost_navigation, CAST(coalesce(lost_boilerplate, 0) AS BIGINT) AS lost_boilerplate,
+  coalesce(gone / total, 0.0e0) AS lost_share
+FROM f LEFT JOIN v ON f.r = v.r"""
+
+
+@query("op2_line_cleaning", oracle=_OP2_SQL)
 def op2_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_clean.assess(C.documents(spark, sf_dir))
 
@@ -48,7 +77,20 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(C.documents(spark, sf_dir))
 
 
-@query("op8_embedding_dedup")
+_OP8_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS n FROM e
+      WHERE label IS NOT NULL AND v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(v, v) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+          AND list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.98e0),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+root AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1),
+deg AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM e JOIN root ON e.vec_id = root.vec_id LEFT JOIN deg ON e.vec_id = deg.vec_id"""
+
+
+@query("op8_embedding_dedup", oracle=_OP8_SQL)
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.linked(_table(spark, sf_dir, "embeddings"))
 
@@ -69,7 +111,26 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(C.documents(spark, sf_dir)))
 
 
-@query("op5_mix_sources")
+_OP5_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+        substr(md5('5:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 16) AS k FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight FROM d GROUP BY 1),
+-- sources in the order in which they reach three times their size, and the level at which the rest stays open
+o AS (SELECT *, 3.0e0 * source_size AS cap, sum(source_size) OVER () AS total,
+        coalesce(sum(3.0e0 * source_size) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+        sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM s),
+lv AS (SELECT max((total - capped) / open_weight) AS level FROM o WHERE (total - capped) / open_weight * weight <= cap),
+t AS (SELECT o.source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * weight) END AS target FROM o CROSS JOIN lv),
+b AS (SELECT *, CAST(round(target) AS BIGINT) AS budget, CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS epochs FROM t),
+r AS (SELECT d.doc_id, d.size, b.source_size, b.target, b.epochs, b.budget - b.epochs * b.source_size AS rest,
+        sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k) AS upto, sum(d.size) OVER (PARTITION BY d.source, d.k) AS here,
+        count(*) FILTER (WHERE d.size > 0) OVER (PARTITION BY d.source, d.k) AS same
+      FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, CAST(size * epochs + CASE WHEN size = 0 THEN 0 WHEN upto <= rest THEN size WHEN upto - here >= rest THEN 0
+         ELSE least(size, (rest - (upto - here)) // same) END AS BIGINT) AS taken FROM r"""
+
+
+@query("op5_mix_sources", oracle=_OP5_SQL)
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(C.documents(spark, sf_dir))
 
