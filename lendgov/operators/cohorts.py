@@ -21,7 +21,7 @@ LOW, HIGH = 0.7, 1.3
 #: Width of the log-scale buckets in which a loan looks up its slot.
 BUCKET_WIDTH = 0.01
 #: Value bins of each statistic.
-BINS = 4096
+BINS = 512
 PROBS = [0.25, 0.5, 0.75]
 # (output prefix, column) of every quartile statistic.
 STATS = [("bal", "bank_balance"), ("inc", "total_income"), ("ratio", "income_to_emi_ratio"),
@@ -102,10 +102,10 @@ def _nodes(lo: Column, hi: Column, levels: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at))
 
 
-def _up(slot: Column, levels: int) -> Column:
-    """All nodes above a slot; the topmost is one node: everything."""
-    return F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(
-        k.alias("level"), F.floor(slot / _size(k)).cast("bigint").alias("node")))
+def _up(df: DataFrame, levels: int) -> DataFrame:
+    """Each row once for every node above its slot; the topmost node is everything."""
+    return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")) \
+        .withColumn("node", F.call_function("shiftright", F.col("slot"), F.col("level"))).drop("slot")
 
 
 def _ranges(amounts: DataFrame, ends: DataFrame, levels: int) -> DataFrame:
@@ -140,8 +140,7 @@ def _quartiles(ranges: DataFrame, base: DataFrame, stats: list[tuple[str, str]],
     """Exact quartiles of each statistic per amount: counts per bin first, then the values of the bins that hold a rank."""
     binned = _with_bin(_values(base, stats), base, stats)
     counts = binned.groupBy("slot", "stat", "bin").agg(F.count(F.lit(1)).alias("n"))
-    by_node = counts.select("stat", "bin", "n", F.explode(_up(F.col("slot"), levels)).alias("u")).groupBy("u.level", "u.node", "stat", "bin").agg(F.sum("n").alias("n"))
-    per = ranges.join(by_node, ["level", "node"]).groupBy("amount", "stat", "bin").agg(F.sum("n").alias("n"))
+    per = _up(counts, levels).join(ranges, ["level", "node"]).groupBy("amount", "stat", "bin").agg(F.sum("n").alias("n"))
     # at most BINS rows per amount and statistic
     w = Window.partitionBy("amount", "stat")
     run = per.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
@@ -149,13 +148,12 @@ def _quartiles(ranges: DataFrame, base: DataFrame, stats: list[tuple[str, str]],
     ranks = [(p, f((F.col("total") - 1) * F.lit(p)).cast("bigint")) for p in PROBS for f in (F.floor, F.ceil)]
     held = F.array_compact(F.array(*[F.when((r >= before) & (r < F.col("upto")), F.struct(F.lit(p).alias("p"), r.alias("rank"))) for p, r in ranks]))
     wanted = run.select("amount", "stat", "bin", before.alias("before"), "total", F.explode(F.array_distinct(held)).alias("r")) \
-        .select("amount", "stat", "bin", "before", "total", "r.p", "r.rank")
-    # the second look: loans in a wanted bin, counted per value, reach the amounts through their nodes
+        .select("amount", "stat", "bin", "before", "total", "r.p", "r.rank").checkpoint()
+    # the second look: loans in a wanted bin reach the amounts through their nodes and are counted per value
     bins = wanted.select("stat", "bin").distinct()
-    again = binned.join(F.broadcast(bins), ["stat", "bin"], "left_semi").groupBy("slot", "stat", "bin", "v").agg(F.count(F.lit(1)).alias("n"))
+    again = binned.join(F.broadcast(bins), ["stat", "bin"], "left_semi")  # at most BINS rows a statistic
     need = wanted.select("amount", "stat", "bin").distinct().join(ranges.withColumnRenamed("amount", "_a"), F.col("amount").eqNullSafe(F.col("_a"))).drop("_a")
-    up = again.select("stat", "bin", "v", "n", F.explode(_up(F.col("slot"), levels)).alias("u")).groupBy("u.level", "u.node", "stat", "bin", "v").agg(F.sum("n").alias("n"))
-    found = need.join(up, ["level", "node", "stat", "bin"]).groupBy("amount", "stat", "bin", "v").agg(F.sum("n").alias("n"))
+    found = _up(again, levels).join(need, ["level", "node", "stat", "bin"]).groupBy("amount", "stat", "bin", "v").agg(F.count(F.lit(1)).alias("n"))
     inner = Window.partitionBy("amount", "stat", "bin").orderBy("v")
     found = found.withColumn("in_bin", F.sum("n").over(inner))
     j = wanted.withColumnRenamed("amount", "_a").join(
@@ -177,17 +175,19 @@ def cohort_stats(amounts: DataFrame, base: DataFrame, which=None) -> DataFrame:
     """
     chosen = [(pre, c) for pre, c in STATS if which is None or pre in which]
     amounts = amounts.where(F.col("amount").isNotNull()).select("amount").distinct()
-    ends = _ends(amounts)
-    slotted = with_slot(base, ends)
+    # each of these is read several times: written once to the shared folder
+    amounts = amounts.checkpoint()
+    ends = _ends(amounts).checkpoint()
+    slotted = with_slot(base.select("LoanAmount", "Credit_History", *[c for _, c in chosen]), ends).checkpoint()
     levels = (2 * ends.count() + 2).bit_length()  # depth of the dyadic tree over the slots
-    ranges = _ranges(amounts, ends, levels)
+    ranges = _ranges(amounts, ends, levels).checkpoint()
     rows = slotted.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("Credit_History") == 1).alias("good"))
-    per = ranges.join(rows.select("n", "good", F.explode(_up(F.col("slot"), levels)).alias("u")).groupBy("u.level", "u.node")
-                      .agg(F.sum("n").alias("n"), F.sum("good").alias("good")), ["level", "node"]) \
+    per = _up(rows, levels).join(ranges, ["level", "node"]) \
         .groupBy("amount").agg(F.sum("n").alias("cohort_rows"), (F.sum("good") / F.greatest(F.sum("n"), F.lit(1))).alias("good_share"))
     if chosen:
         q = _quartiles(ranges, slotted, chosen, levels).withColumnRenamed("amount", "_a")
         per = per.join(q, F.col("amount").eqNullSafe(F.col("_a")), "left").drop("_a")
+    per = per.checkpoint()
     cols = [c for c in per.columns if c != "amount"]
     # no loans at all: one row with nothing in it
     none = amounts.sparkSession.range(1).select(F.lit(None).cast("double").alias("_x"))

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import text as TX
 from ..operators import advice as AD
 from ..operators import cohorts as CH
+from ..operators import explain as EX
 from ..operators import retrieval as RT
+from ..operators import scoring as SC
 from .common import round_doubles, views
+from . import q_explain as QE
 from .q_explain import _attr_sql, explained
 from .registry import register
 
@@ -175,10 +178,12 @@ def semantic_topk(spark, sf_dir):
     return round_doubles(top.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "score"))
 
 
-def _decisions(spark, sf_dir):
-    return explained(spark, sf_dir, extra=["applicant_id", "submitted_at"]).select(
+def _decisions(v):
+    """What answers need of each decision, written once per input version (the original reads it from its log)."""
+    build = lambda: explained(v.spark, v.sf_dir, extra=["applicant_id", "submitted_at"]).select(
         "application_id", "applicant_id", "submitted_at", "decision",
         F.try_element_at(F.col("top_negative"), F.lit(1))["feature"].alias("main_negative_feature"))
+    return v.stored("explained_decisions", build, [SC, EX, QE])
 
 
 _CTX_SQL = """
@@ -197,7 +202,8 @@ SELECT q.question_id, q.applicant_id, ctx.last.application_id AS last_applicatio
 FROM questions q LEFT JOIN ctx ON q.question_id = ctx.question_id""", views=("risk_full", "questions"))
 def question_context(spark, sf_dir):
     """The applicant's last decision at the time of the question."""
-    j = AD.decision_as_of(views(spark, sf_dir).questions, _decisions(spark, sf_dir))
+    v = views(spark, sf_dir)
+    j = AD.decision_as_of(v.questions, _decisions(v))
     return j.select("question_id", "applicant_id", F.col("last.application_id").alias("last_application_id"),
                     F.col("last.decision").alias("last_decision"),
                     F.col("last.main_negative_feature").alias("main_negative_feature"))
@@ -267,7 +273,7 @@ LEFT JOIN ctx ON a.source = 'question' AND a.item_id = ctx.question_id""", views
 def advice_answers(spark, sf_dir):
     """The answer to every question and user turn (gate, cohort answer, or retrieval with context)."""
     v = views(spark, sf_dir)
-    ctx = AD.decision_as_of(v.questions.select("question_id", "applicant_id", "asked_at"), _decisions(spark, sf_dir)).select(
+    ctx = AD.decision_as_of(v.questions.select("question_id", "applicant_id", "asked_at"), _decisions(v)).select(
         F.lit("question").alias("_s"), F.col("question_id").alias("_q"), F.col("last.decision").alias("last_decision"),
         F.col("last.main_negative_feature").alias("main_negative_feature"))
     t = _texts(v)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import functions as F
 
 from ..functions import hashing as HS
@@ -28,15 +30,18 @@ def _decision_payload():
 
 
 def _decision_links(v):
-    s = v.scored.select("application_id", "applicant_id", "submitted_at", "decision", "probability",
-                        *RAW_FEATURES)
-    s = s.select("application_id", "applicant_id", "submitted_at", "decision", "probability",
-                 _input_hash_col().alias("input_hash"))
-    s = s.withColumn("payload", _decision_payload())
-    links = AU.chain_links(s.withColumnRenamed("applicant_id", "chain_id"), "chain_id",
-                           ["submitted_at", "application_id"], "payload",
-                           ["application_id", "submitted_at", "input_hash", "decision", "probability"])
-    return v.stored("decision_log", links, [AU, HS])  # folded once per input version; readers scan the log
+    """The stored decision log: folded once per input version, scanned by every reader."""
+    def build():
+        s = v.scored.select("application_id", "applicant_id", "submitted_at", "decision", "probability",
+                            *RAW_FEATURES)
+        s = s.select("application_id", "applicant_id", "submitted_at", "decision", "probability",
+                     _input_hash_col().alias("input_hash"))
+        s = s.withColumn("payload", _decision_payload())
+        return AU.chain_links(s.withColumnRenamed("applicant_id", "chain_id"), "chain_id",
+                              ["submitted_at", "application_id"], "payload",
+                              ["application_id", "submitted_at", "input_hash", "decision", "probability"])
+
+    return v.stored("decision_log", build, [AU, HS, sys.modules[__name__]])
 
 
 def _gov_stored(v):
@@ -53,11 +58,14 @@ def _gov_payload():
 
 
 def _gov_links(v):
-    g = _gov_stored(v).withColumn("payload", _gov_payload())
-    links = AU.chain_links(g, "chain_id", ["ts", "event_id"], "payload",
-                           ["ts", "event_type", "model_version", "input_features", "output_decision",
-                            "fairness_snapshot", "details"])
-    return v.stored("governance_log", links, [AU, HS], tables=("events",))
+    """The stored governance log."""
+    def build():
+        g = _gov_stored(v).withColumn("payload", _gov_payload())
+        return AU.chain_links(g, "chain_id", ["ts", "event_id"], "payload",
+                              ["ts", "event_type", "model_version", "input_features", "output_decision",
+                               "fairness_snapshot", "details"])
+
+    return v.stored("governance_log", build, [AU, HS, sys.modules[__name__]], tables=("events",))
 
 
 # ---- oracle SQL --------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -141,8 +142,8 @@ def roc_auc_query(spark, sf_dir):
 
 def _split_frame(v):
     """Model features, label and split flag of every application, written once: fits and tests read it many times."""
-    df = _model_frame(v).join(_split(v).select("application_id", "is_test"), "application_id")
-    return v.stored("model_frame", df, [PR])
+    build = lambda: _model_frame(v).join(_split(v).select("application_id", "is_test"), "application_id")
+    return v.stored("model_frame", build, [PR, sys.modules[__name__]])
 
 
 def _estimator(name: str, n_train: int):

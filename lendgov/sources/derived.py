@@ -121,15 +121,15 @@ class Views:
         from . import materialize as M
         return M.materialized(self.spark, name, self._inputs(), code, build, extra=extra)
 
-    def stored(self, name: str, df: DataFrame, modules=(), tables=("orders", "customer")) -> DataFrame:
-        """``df``, written once per version of the tables and modules it comes from (not written without materialization)."""
+    def stored(self, name: str, build, modules=(), tables=("orders", "customer")) -> DataFrame:
+        """The table that ``build()`` plans, written once per version of the tables and modules it comes from
+        (not written without materialization; not even planned where it is there already)."""
         if not self.materialize:
-            return df
+            return build()
         from . import materialize as M
         import os as _os
         inputs = [_os.path.join(self.sf_dir, f"{n}.parquet") for n in tables]
-        return M.materialized(self.spark, name, inputs, self._code_files(*modules), lambda: df,
-                              extra=f"acc={self.quantile_accuracy}|{df.schema.json()}")
+        return M.materialized(self.spark, name, inputs, self._code_files(*modules), build, extra=f"acc={self.quantile_accuracy}")
 
     def _inputs(self):
         import os as _os
