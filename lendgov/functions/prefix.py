@@ -108,3 +108,24 @@ def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     # a key that fills whole ranges is the last key of each of them, so the range just before carries it
     j = local.join(F.broadcast(carry), (F.col("_rid") == F.col("_next")) & key.eqNullSafe(F.col("_k")), "left")
     return j.select(*df.columns, F.coalesce("_local", "_carried").alias(out))
+
+
+def distributed_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rank", num_ranges: int | None = None) -> DataFrame:
+    """``row_number()`` over (partition by keys order by order) without a per-key task.
+
+    Rows are numbered inside each range; only a range's first key can have rows before it, and what it has there
+    is the sum of its rows in the ranges that it ends (one row per range). (keys, order) must be unique per row.
+    """
+    from ..session import ensure_checkpoint_dir
+    n = num_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(df.sparkSession)
+    sort_cols = list(keys) + list(order)
+    ranged = df.repartitionByRange(n, *sort_cols).withColumn("_rid", F.spark_partition_id()).checkpoint(eager=True)
+    key = F.struct(*[F.col(k) for k in keys])
+    local = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_rid", *keys).orderBy(*order)))
+    last = local.groupBy("_rid").agg(F.max_by(F.struct(key.alias("k"), F.col("_rn").alias("n")), F.struct(*sort_cols)).alias("e"))
+    upto = Window.partitionBy("_k").orderBy("_rid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = last.select("_rid", F.col("e.k").alias("_k"), F.col("e.n").alias("_n")).select(
+        (F.col("_rid") + 1).alias("_next"), "_k", F.sum("_n").over(upto).alias("_before"))
+    j = local.join(F.broadcast(before), (F.col("_rid") == F.col("_next")) & key.eqNullSafe(F.col("_k")), "left")
+    return j.select(*df.columns, (F.col("_rn") + F.coalesce("_before", F.lit(0))).cast("bigint").alias(out))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import LINK_FORMATS, canonical, link_text, sha256
+from ..functions.prefix import distributed_rank
 from .monitoring import iso_text
 
 
@@ -167,6 +168,15 @@ def segmented_chain(df: DataFrame, chain_col: str, segment_col: str, order_cols:
     return links.drop("_seg_chain"), anchors
 
 
+def row_segments(df: DataFrame, chain_col: str, order_cols: Sequence[str], rows: int, out: str = "segment") -> DataFrame:
+    """Adds a segment number that changes every ``rows`` links of a chain, for ``segmented_chain``: no fold is longer.
+
+    The places come from a distributed rank, so a chain with a third of all rows is cut evenly too.
+    """
+    ranked = distributed_rank(df, [chain_col], order_cols, "_place")
+    return ranked.withColumn(out, F.floor((F.col("_place") - 1) / F.lit(rows)).cast("bigint")).drop("_place")
+
+
 def verify_segmented(links: DataFrame, anchors: DataFrame, payload: Column, chain_col: str,
                      segment_col: str) -> DataFrame:
     """Per chain: link and anchor checks; the anchor's tips must equal the segments' recomputed tips."""

@@ -296,3 +296,34 @@ def decision_chain_segmented(spark, sf_dir):
     links, anchors = AU.segmented_chain(s, "chain_id", "day", ["submitted_at", "application_id"], "payload",
                                         ["application_id", "submitted_at", "input_hash"])
     return anchors.select("chain_id", "day", "seq", "n_links", "tip_hash", "previous_hash", "output_hash")
+
+
+#: Links that are folded one after another in a segment of the governance log.
+SEGMENT_ROWS = 16
+_GOV_SEGMENT_SQL = HS.canonical_sql([("n_links", "n_links"), ("segment", "segment"), ("tip_hash", "tip_hash")])
+
+
+@register("governance_chain_segmented", oracle=f"""
+WITH RECURSIVE stored AS (
+  SELECT chain_id, seq AS place, event_type, COALESCE(model_version, 'unknown') AS model_version,
+         '{{}}' AS input_features, '{{}}' AS output_decision, '{{}}' AS fairness_snapshot, COALESCE(details, '{{}}') AS details FROM governance_events),
+base AS (SELECT chain_id, (place - 1) // {SEGMENT_ROWS} AS segment, (place - 1) % {SEGMENT_ROWS} + 1 AS seq, {_GOV_PAYLOAD_SQL} AS payload FROM stored),
+seg AS (
+  SELECT chain_id, segment, seq, sha256(payload || '|previous_hash=null') AS output_hash FROM base WHERE seq = 1
+  UNION ALL
+  SELECT b.chain_id, b.segment, b.seq, sha256(b.payload || '|previous_hash=' || s.output_hash)
+  FROM base b JOIN seg s ON b.chain_id = s.chain_id AND b.segment = s.segment AND b.seq = s.seq + 1),
+tips AS (SELECT chain_id, segment, arg_max(output_hash, seq) AS tip_hash, CAST(COUNT(*) AS BIGINT) AS n_links FROM seg GROUP BY 1, 2),
+num AS (SELECT *, segment + 1 AS seq, {_GOV_SEGMENT_SQL} AS payload FROM tips),
+anchor AS (
+  SELECT chain_id, segment, seq, n_links, tip_hash, CAST(NULL AS VARCHAR) AS previous_hash, sha256(payload || '|previous_hash=null') AS output_hash FROM num WHERE seq = 1
+  UNION ALL
+  SELECT n.chain_id, n.segment, n.seq, n.n_links, n.tip_hash, a.output_hash, sha256(n.payload || '|previous_hash=' || a.output_hash)
+  FROM num n JOIN anchor a ON n.chain_id = a.chain_id AND n.seq = a.seq + 1)
+SELECT chain_id, segment, seq, n_links, tip_hash, previous_hash, output_hash FROM anchor""", views=("governance_events",))
+def governance_chain_segmented(spark, sf_dir):
+    """H4 with hot chains cut by number of rows: segments are folded in parallel, an anchor chain joins their tips."""
+    g = _gov_stored(views(spark, sf_dir)).withColumn("payload", _gov_payload()).select("chain_id", "ts", "event_id", "payload")
+    cut = AU.row_segments(g, "chain_id", ["ts", "event_id"], SEGMENT_ROWS)
+    _, anchors = AU.segmented_chain(cut, "chain_id", "segment", ["ts", "event_id"], "payload", ["event_id"])
+    return anchors.select("chain_id", "segment", "seq", "n_links", "tip_hash", "previous_hash", "output_hash")

@@ -155,3 +155,20 @@ def test_credit_g_file_has_typed_columns(spark, tmp_path):
         f.write("duration,checking_status,credit_amount,class\n6,'<0',1169,good\n48,'no checking',5951.5,bad\n")
     df = FS.read_credit_g(spark, p)
     assert PR.split_by_dtype(df, exclude=["class"]) == (["duration", "credit_amount"], ["checking_status"])
+
+
+def test_distributed_rank_equals_a_window(spark):
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from lendgov.functions.prefix import distributed_rank
+
+    rng = random.Random(1)
+    rows = [("hot" if rng.random() < 0.6 else rng.choice("abc") if rng.random() < 0.9 else None, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, o long")
+    for n in (1, 3, 16):
+        got = {(r.k, r.o): r["rank"] for r in distributed_rank(df, ["k"], ["o"], num_ranges=n).collect()}
+        want = {(r.k, r.o): r.rn for r in df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("o"))).collect()}
+        assert got == want
