@@ -38,9 +38,9 @@ def reasons(df: DataFrame, attr_col: str = "attr", k: int = TOP_K) -> DataFrame:
              .withColumn("top_positive", F.slice(F.filter(a, lambda x: x["shap"] > 0), 1, k))
 
 
-def value_text(v):
-    """Display text of a reason value: fixed 2 decimals, None where the row has none."""
-    return F.coalesce(fixed(v, 2), F.lit("None"))
+def value_text(v, is_text: bool = False):
+    """Display text of a reason value: fixed 2 decimals (``is_text``: as it is), None where the row has none."""
+    return F.coalesce(v if is_text else fixed(v, 2), F.lit("None"))
 
 
 # The sentences of a decision, with and without the number.
@@ -50,14 +50,14 @@ SENTENCES = {
 }
 
 
-def summary(decision, with_number: bool = True):
+def summary(decision, with_number: bool = True, text_values: bool = False):
     """W4 + X7: sentence from the primary reason (first negative, else first positive)."""
     main = F.coalesce(F.try_element_at(F.col("top_negative"), F.lit(1)),
                       F.try_element_at(F.col("top_positive"), F.lit(1)))
     supported, reduced, overall = SENTENCES[with_number]
     direction = F.when(decision == "approved", F.lit(supported)).otherwise(F.lit(reduced))
     by = [F.lit(" by "), fixed(main["shap"], 2)] if with_number else []
-    text = F.concat(F.lit("Loan "), decision, F.lit(" because "), main["feature"], F.lit(" ("), value_text(main["value"]), F.lit(") "),
+    text = F.concat(F.lit("Loan "), decision, F.lit(" because "), main["feature"], F.lit(" ("), value_text(main["value"], text_values), F.lit(") "),
                     direction, *by, F.lit("."))
     fallback = F.concat(F.lit("Loan "), decision, F.lit(overall))
     return F.when(main.isNotNull(), text).otherwise(fallback)

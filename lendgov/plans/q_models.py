@@ -227,18 +227,18 @@ def score_batch(spark, sf_dir):
 @register("score_batch_values")
 def scored_batch(spark, sf_dir):
     """application_id and p_approve of the trained logistic pipeline."""
-    model, data = trained_logistic(spark, sf_dir)
-    return TR.positive_probability(model, data, ["application_id"]).withColumnRenamed("p", "p_approve")
+    model, fill, data = trained_logistic(spark, sf_dir)
+    return TR.positive_probability(model, TR.filled(data, fill, CATS), ["application_id"]).withColumnRenamed("p", "p_approve")
 
 
 def trained_logistic(spark, sf_dir):
-    """The logistic pipeline fitted on the training split, and all rows filled as it expects them."""
+    """The logistic pipeline fitted on the training split, its fill values, and all rows with ``is_test``."""
     data = _split_frame(views(spark, sf_dir))
     train = data.where(~F.col("is_test"))
     n_train = train.count()
     fill = TR.fill_values(train, NUMERIC, CATS)
     model = TR.fit(TR.filled(train, fill, CATS), NUMERIC, CATS, TR.logistic(n_train), n_train=n_train)
-    return model, TR.filled(data, fill, CATS)
+    return model, fill, data
 
 
 # ---- attributions of the trained model
@@ -246,9 +246,9 @@ N_BACKGROUND = 100
 
 
 def _shap(spark, sf_dir):
-    model, rows = trained_logistic(spark, sf_dir)
+    model, fill, data = trained_logistic(spark, sf_dir)
     parts, bias = TR.logit_parts(model, NUMERIC, CATS)
-    rows = rows.select("application_id", "is_test", F.array(*parts).alias("parts"))
+    rows = TR.filled(data, fill, CATS).select("application_id", "is_test", F.array(*parts).alias("parts"))
     bg = KS.background_sample(rows.where(~F.col("is_test")), "application_id", N_BACKGROUND)
     return KS.additive_shap(rows, bg, "application_id", NUMERIC + CATS, bias)
 
