@@ -65,7 +65,7 @@ rates AS (SELECT w, sensitive_feature, g, AVG(y) AS rate FROM pairs GROUP BY 1,
 d AS (SELECT w, sensitive_feature, MIN(rate) AS low, MAX(rate) AS high FROM rates GROUP BY 1, 2),
 m AS (SELECT w, sensitive_feature, 'disparate_impact' AS metric, low / high AS value, 0.8e0 AS threshold FROM d WHERE high > 0 AND low / high < 0.8e0
       UNION ALL SELECT w, sensitive_feature, 'statistical_parity_difference', high - low, 0.2e0 FROM d WHERE high > 0 AND high - low > 0.2e0)
-SELECT CAST(w AS DATE) AS window_day, sensitive_feature, metric, ROUND(value, 6) AS value, threshold, 'bias-alert' AS event_type FROM m""",
+SELECT CAST(w AS DATE) AS window_day, sensitive_feature, metric, ROUND(value, 9) AS value, threshold, 'bias-alert' AS event_type FROM m""",
           views=("risk",))
 def stream_bias_alerts(spark, sf_dir):
     """The alerts that stand per 7-day window and attribute after the stream, whatever its micro-batches were."""
@@ -76,7 +76,7 @@ def stream_bias_alerts(spark, sf_dir):
     _decisions(v).repartition(8).write.parquet(src)
     _finish(ST.bias_monitor(spark, src, sink, os.path.basename(d), max_files=3))
     return round_doubles(ST.current_alerts(spark, sink).select(
-        F.to_date("window_start").alias("window_day"), "sensitive_feature", "metric", "value", "threshold", "event_type"))
+        F.to_date("window_start").alias("window_day"), "sensitive_feature", "metric", "value", "threshold", "event_type"), 9)
 
 
 @register("stream_consent_state", oracle="""

@@ -82,7 +82,7 @@ def test_bias_stream_equals_batch(spark):
                     (F.col("decision") == "approved").cast("long").alias("y"), pairs.alias("p"))
     totals = long.groupBy("window_start", F.col("p.a").alias("sensitive_feature"), F.col("p.g").alias("group_value")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("y").alias("n_selected"))
-    b = ST.window_alerts(totals).select(F.to_date("window_start").alias("window_day"), "sensitive_feature", "metric", F.round("value", 6).alias("value"))
+    b = ST.window_alerts(totals).select(F.to_date("window_start").alias("window_day"), "sensitive_feature", "metric", F.round("value", 9).alias("value"))
     assert b.count() > 0 and s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
 
 
