@@ -1,7 +1,8 @@
 """Operator 3: toxicity by weak supervision.
 
-1. Terms: word beginnings of 4 to 7 bytes and whole words that labelled toxic documents hold
-   much more often than others; counted in Spark, at most ``MAX_TERMS`` of them are kept.
+1. Terms: word beginnings of 4 to 7 bytes, in words of more than 8 bytes (a word is a run of letters: a clause in
+   scripts without spaces) such windows from every character on, and whole words, hashed over their full length, that
+   labelled toxic documents hold much more often than others; counted in Spark, at most ``MAX_TERMS`` of them are kept.
 2. Voters: the terms are dealt over many lexicon voters by lift, beside a public word list, text
    patterns and a voter for documents without any term. Each fires or abstains on the documents of a bounded
    sample of labelled rows.
@@ -22,7 +23,6 @@ decides; repeated rows and null ids keep their rows; an empty table gives no row
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,9 +46,12 @@ WORDS = ("idiot", "moron", "stupid", "scum", "loser", "trash", "pathetic", "wort
          "dumpfbacke", "trottel", "arschloch", "abschaum", "connard", "salaud", "crétin", "ordure", "cabrón", "estúpido", "imbécil", "basura")
 _PATTERNS = (re.compile(r"(?i)\b(?:you(?:'re| are)|du bist|tu es|eres)\b"), re.compile(r"!{2,}"), re.compile(r"(?i)\b(?:hate|kill|shut up)\b"))
 
-_PREFIXES = (4, 5, 6, 7)
-_WHOLE = 8
+#: Bytes of the windows; with its size a window fills 64 bits at most, so that different windows have different keys.
+_SIZES = (4, 5, 6, 7)
+#: Longer words have windows inside them too.
+_SHORT = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_POWER = np.uint64(0xC2B2AE3D27D4EB4F)
 _CLEAN = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
 _FILTER_BITS = 20
 
@@ -58,20 +61,35 @@ def _bytes(text: str | None) -> bytes:
 
 
 def _terms(texts: list[bytes]):
-    """(owner, key) arrays: the keys of the word beginnings and words of each piece of text."""
+    """(owner, key) arrays of each piece of text: the windows of one size after the other, then the words. Owners ascend in each."""
     for buf, owner in C.chunks(texts, None):
         b = np.where(buf == 32, 0, buf).astype(np.uint64)
         inside = np.concatenate(([False], b != 0, [False]))
         starts = np.flatnonzero(inside[1:-1] & ~inside[:-2])
         lens = np.flatnonzero(inside[1:-1] & ~inside[2:]) - starts + 1
-        b = np.concatenate((b, np.zeros(_WHOLE, np.uint64)))
-        value = np.zeros(len(starts), np.uint64)
-        for i in range(_WHOLE):
-            if i in _PREFIXES:
-                long = lens >= i
-                yield owner[starts[long]], (value[long] + np.uint64(i)) * _MIX
-            value |= np.where(lens > i, b[starts + i], 0).astype(np.uint64) << np.uint64(8 * i)
-        yield owner[starts], (value + np.minimum(lens, 15).astype(np.uint64) + np.uint64(_WHOLE)) * _MIX
+        letters = np.flatnonzero(b)
+        whole = np.repeat(lens, lens)
+        left = np.repeat(starts + lens, lens) - letters  # bytes up to the word's end
+        on = (left >= _SIZES[0]) & ((left == whole) | (whole > _SHORT)) & (b[letters] & np.uint64(0xC0) != 0x80)
+        at, rest, value = letters[on], left[on], np.zeros(on.sum(), np.uint64)
+        for i in range(_SIZES[0] - 1):
+            value |= b[at + i] << np.uint64(8 * i)
+        for n in _SIZES:
+            on = rest >= n
+            at, rest = at[on], rest[on]
+            value = value[on] | b[at + n - 1] << np.uint64(8 * (n - 1))
+            yield owner[at], (value | np.uint64(n << 56)) * _MIX
+        yield owner[starts], _hashed(b[letters], whole - left, np.cumsum(lens) - lens)
+
+
+def _hashed(b: np.ndarray, place: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash of all bytes of each word: a polynomial over their places in the word, modulo 2^64."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    power = np.cumprod(np.full(int(place.max()) + 1, _POWER), dtype=np.uint64)
+    h = np.add.reduceat(b * power[place], starts)
+    h = (h ^ h >> np.uint64(32)) * _MIX
+    return h ^ h >> np.uint64(29)
 
 
 def word_keys(words) -> np.ndarray:
@@ -154,18 +172,24 @@ def _sample(labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int
 
 
 def _count_terms(batches):
-    """Per partition: in how many documents of each class a term occurs."""
-    counts: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+    """Per batch: in how many documents of each class a term occurs."""
     for batch in batches:
         labels = np.array(batch.column(1).to_pylist(), np.int64)
-        pairs = [np.stack((o.astype(np.uint64), k)) for o, k in _terms([_bytes(t) for t in batch.column(0).to_pylist()])]
-        pair = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), np.uint64)
-        for c in (0, 1):
-            key, n = np.unique(pair[1][labels[pair[0].astype(np.int64)] == c], return_counts=True)
-            for k, v in zip(key.view(np.int64).tolist(), n.tolist()):
-                counts[k][c] += v
-    yield pa.record_batch([pa.array(list(counts), pa.int64()), pa.array([v[0] for v in counts.values()], pa.int64()),
-                           pa.array([v[1] for v in counts.values()], pa.int64())], names=["key", "clean", "toxic"])
+        docs, keys = [], []
+        for owner, key in _terms([_bytes(t) for t in batch.column(0).to_pylist()]):
+            order = np.argsort(key, kind="stable")  # owners ascend, so equal pairs are neighbours
+            owner, key = owner[order], key[order]
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])))[:len(key)]
+            docs.append(owner[new])
+            keys.append(key[new])
+        doc, key = np.concatenate(docs or [np.zeros(0, np.int64)]), np.concatenate(keys or [np.zeros(0, np.uint64)])
+        order = np.lexsort((doc, key))  # a long text's pieces repeat its pairs
+        doc, key = doc[order], key[order]
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))[:len(key)]
+        doc, key = doc[new], key[new]
+        key, first, n = np.unique(key, return_index=True, return_counts=True)
+        toxic = np.add.reduceat(labels[doc], first) if len(first) else first
+        yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(n - toxic), pa.array(toxic)], names=["key", "clean", "toxic"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, max_terms: int = MAX_TERMS,

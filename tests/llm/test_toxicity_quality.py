@@ -51,6 +51,30 @@ def test_term_keys_are_those_of_plain_words():
     assert sorted(zip(doc.tolist(), n.tolist())) == [(0, 2), (2, 1), (2, 1)]
 
 
+def test_term_keys_read_whole_words():
+    keys = lambda t: {int(k) for _, ks in toxicity._terms([toxicity._bytes(t)]) for k in ks}
+    assert keys("Vollidiot") & keys("idiot") and keys("Riesendepp") & keys("depp")
+    assert keys("你们大家今天真是一群傻瓜") != keys("你们大家今天真是一群好人")
+    same_start = ["donaudampfschiff", "donaudampfschaff", "donaudam", "donaudampfschifffahrt"]
+    assert len(toxicity.word_keys(same_start)) == 4
+    long = [bytes([97 + i % 7]) * i for i in range(1, 300)]  # in one text or in many, the keys are the same
+    apart = {int(k) for t in long for _, ks in toxicity._terms([t]) for k in ks}
+    assert {int(k) for _, ks in toxicity._terms([b" ".join(long)]) for k in ks} == apart
+
+
+def test_toxicity_in_compounds_and_unspaced_text(spark):
+    def rows(at, insult, plain, build):
+        return [(at + i, build(i, insult if i % 2 else plain), i % 2) for i in range(400)]
+
+    heads, chars = ("Häuser", "Garten", "Küchen", "Riesen", "Meister", "Schulen", "Wetter"), "天地人山水火木金土日月星风雨"
+    german = rows(0, "depp", "werk", lambda i, w: f"Der Nachbar war ein {heads[i // 2 % 7]}{w} und kam {heads[i // 3 % 7]}spät")
+    chinese = rows(1000, "傻瓜", "朋友", lambda i, w: "你们大家" + "".join(chars[(i // 2 * k + k) % 14] for k in (1, 2, 3, 5)) + w + chars[i // 2 % 14] + "啊")
+    docs = spark.createDataFrame([r[:2] for r in german + chinese], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in german + chinese], "doc_id bigint, toxic int")
+    got = toxicity.score_documents(docs, labels).where("held_out").join(labels, "doc_id").toPandas()
+    assert len(got) > 100 and (got.predicted == got.toxic).all()
+
+
 def test_toxicity_edges(spark, edge, empty, nulls):
     labels = spark.createDataFrame([(i, i % 2) for i in range(100, 200)] + [(7, None), (None, 1), (8, 1), (8, 0)], "doc_id bigint, toxic int")
     got = toxicity.score_documents(edge, labels).toPandas()
