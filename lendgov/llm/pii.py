@@ -13,7 +13,9 @@ Kinds the method adds, reported where base score plus context reaches ``MIN_SCOR
 A context word of the kind within ``WINDOW`` characters raises a span's score by ``RAISE``, a
 contrary word (order, version, ...) lowers it by as much. Every span carries its score.
 Matches are leftmost and not overlapping within a kind; a match that fails its check is
-dropped without a second try. An added span that overlaps a base span is left out.
+dropped without a second try. An IBAN is tried at each word end from 15 to 34 characters on: the length
+of its country counts first, then the longest that passes; the search goes on behind it, or behind
+its first word if none passes. An added span that overlaps a base span is left out.
 
 Edge cases: a null text counts as empty, no spans; rows are independent, ids are not looked at;
 texts are read whole, in time linear in their length, whatever runs of digits or @ they hold.
@@ -57,7 +59,14 @@ _DIGIT = re.compile(r"[0-9]")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+_WORD_END = re.compile(r"(?<=[A-Z0-9])(?![A-Za-z0-9])")
+#: Characters of an IBAN by country (the registry's).
+_IBAN_CHARS = {c: n for n, codes in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}.items() for c in codes.split()}
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+)-])(?:\([2-9][0-9]{2}\)\x20?|[2-9][0-9]{2}-)[0-9]{3}-[0-9]{4}(?![0-9-])")
 _NOT_DIGITS = {ord(c): None for c in " ().-+"}
@@ -93,6 +102,20 @@ def _emails(text: str):
         at = text.find("@", max(at + 1, end))
 
 
+def _ibans(text: str):
+    """Every IBAN ends with a word; what follows it is looked at on its own."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        start, at = m.start(), m.start() + 4
+        flat = {e.start(): text[start:e.start()].replace(" ", "") for e in _WORD_END.finditer(text, start, m.end() + 1) if e.start() <= m.end()}
+        own = _IBAN_CHARS.get(text[start:start + 2])
+        for end in sorted(flat, key=lambda e: (len(flat[e]) == own, e), reverse=True):
+            if len(flat[end]) >= 15 and mod97(flat[end]):
+                yield start, end
+                at = end
+                break
+
+
 def _issued(area: str, group: str, serial: str) -> bool:
     return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
 
@@ -116,9 +139,7 @@ def _proposed(text: str) -> list[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 9 <= len(m[0].translate(_NOT_DIGITS)) <= 15:
                 out.append(("phone", *m.span()))
-    for m in _IBAN.finditer(text):
-        if 15 <= len(flat := m[0].replace(" ", "")) <= 34 and mod97(flat):
-            out.append(("iban", *m.span()))
+    out += [("iban", a, b) for a, b in _ibans(text)]
     if "-" in text:
         out += [("ssn", *m.span()) for m in _SSN.finditer(text) if _issued(*m.groups())]
         out += [("local_phone", *m.span()) for m in _LOCAL_PHONE.finditer(text)]

@@ -57,6 +57,22 @@ def test_checks_and_context():
     assert near[0] == far[0] == "card" and near[3] > far[3]
 
 
+def test_iban_before_other_words():
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"
+    ibans = lambda t: [t[a:b] for k, a, b, _ in pii.find_spans(t) if k == "iban"]
+    flat = de.replace(" ", "")
+    for one in (de, flat, gb, no):
+        for after in ("", ".", " BIC COBADEFF", " BIC: COBADEFFXXX", " 2024", " EUR 100", " A", ", BIC X", "\n2024", " and more"):
+            assert ibans(one + after) == [one] == ibans(f"AB12 {one}{after}"), (one, after)
+    assert ibans(f"{de} {gb} {no} {flat} {flat}") == [de, gb, no, flat, flat]
+    assert ibans("DE89 3704 0044 0532 0130 01 BIC COBADEFF") == ibans(flat + "X") == ibans(flat + "x") == ibans("X" + flat) == []
+    text = f"Bank: {flat} BIC COBADEFF"
+    assert pii.redact(text, pii.find_spans(text)) == "Bank: [IBAN] BIC COBADEFF"
+    t = time.time()
+    assert ibans("AB12 " * 40_000) == [] and len(ibans(f"{flat} " * 4000)) == 4000
+    assert time.time() - t < 5
+
+
 def test_redaction():
     text = "mail a@b.co or +1 415 555 0100 é"
     assert pii.redact(text, pii.find_spans(text)) == "mail [EMAIL] or [PHONE] é"
