@@ -151,13 +151,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id.
 
-    Of repeated rows with that id one stays. A group whose ids are all null keeps one row with its smallest fingerprint.
+    Of its rows with that id the one with the smallest fingerprint stays; an id may stay once in each of several groups. A group whose ids are all null keeps one row with its smallest fingerprint.
     """
     found = C.written(_grouped(docs.select("doc_id", "text"), shingle, max_bits, segments), "simhash-groups")
     tag = C.scratch_name("fp")
-    # the texts are moved once: the join and the removal of repeated ids share a partitioning
-    ids = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # the texts are moved once: the join and the removal of repeated rows share a partitioning
+    first = (found.where(F.col("doc_id") == F.col("component_id")).groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias(tag))
+             .select("doc_id", tag))
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn(tag, fingerprint_column(F.col("text"), shingle))
+    named = named.join(first, ["doc_id", tag], "left_semi").dropDuplicates(["doc_id", tag])
     prints = found.where(F.col("component_id").isNull()).groupBy("root").agg(F.min("fp").alias(tag)).select(tag)
     unnamed = docs.where(F.col("doc_id").isNull()).withColumn(tag, fingerprint_column(F.col("text"), shingle))
     unnamed = unnamed.join(prints, tag, "left_semi").dropDuplicates([tag]).drop(tag)

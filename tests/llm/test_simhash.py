@@ -112,3 +112,10 @@ def test_edges(edge, empty, nulls):
     assert simhash.keep_first(empty).count() == 0 and simhash.keep_first(nulls).count() == 1
     unnamed = edge.where("doc_id = 4 or doc_id > 210").withColumn("doc_id", F.lit(None).cast("long"))
     assert simhash.keep_first(unnamed.union(unnamed)).count() == unnamed.count()
+
+
+def test_repeated_id_over_different_groups(spark, edge):
+    rng = random.Random(11)
+    a, b, c = (" ".join(rng.choices("qwertyuiopasdfgh", k=60)) for _ in range(3))
+    docs = spark.createDataFrame([(5, a), (6, a), (5, b), (8, b), (3, c), (5, c), (5, a)], "doc_id bigint, text string").repartition(3)
+    assert sorted(map(tuple, simhash.keep_first(docs).collect())) == sorted([(5, a), (5, b), (3, c)])
