@@ -102,14 +102,13 @@ def cuts(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = MA
     held = (offsets.alias("o").join(budget.where("rest > 0").alias("b"), F.col("o.source").eqNullSafe(F.col("b.source")))
             .where("o.offset < b.rest and b.rest <= o.offset + o.bucket_size")
             .select(F.col("o.source").alias("cut_source"), F.col("o.bucket").alias("cut_bucket"), "o.offset", "b.rest"))
-    # the rows of those buckets, range-partitioned and sorted by key; equal keys are one step of the running sum
+    # the keys of those buckets, range-partitioned and sorted; rows with equal keys are one row, a step of the running sum
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     in_bucket = W.partitionBy("cut_source", "cut_bucket").orderBy("key")
-    at_key = W.partitionBy("cut_source", "cut_bucket", "key")
     found = (sized.join(held, F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("bucket") == F.col("cut_bucket")))
+             .groupBy("cut_source", "cut_bucket", "offset", "rest", "key").agg(F.sum("size").alias("here"), F.count(F.lit(1)).alias("cut_rows"))
              .repartitionByRange(parts, "cut_source", "cut_bucket")
-             .select("cut_source", "key", "rest", (F.col("offset") + F.sum("size").over(in_bucket)).alias("upto"),
-                     F.sum("size").over(at_key).alias("here"), F.count(F.lit(1)).over(at_key).alias("cut_rows"))
+             .select("cut_source", "key", "rest", (F.col("offset") + F.sum("here").over(in_bucket)).alias("upto"), "here", "cut_rows")
              .where("upto >= rest and upto - here < rest")
              .groupBy("cut_source").agg(F.max("key").alias("cut_key"), F.max("cut_rows").alias("cut_rows"),
                                         F.max(F.expr("rest - (upto - here)")).alias("cut_words")))

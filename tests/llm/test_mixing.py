@@ -103,3 +103,16 @@ def test_edges(edge, empty, nulls):
     assert mixing.taken(empty).count() == 0
     assert mixing.taken(nulls).toPandas()[["size", "taken"]].eq(0).all().all()
     assert mixing.repeated(edge).columns == edge.columns and mixing.repeated(empty).count() == 0 and mixing.repeated(nulls).count() == 0
+
+
+def test_repeated_rows_reach_the_window_as_one(spark, edge, monkeypatch):
+    plans, written = {}, mixing.C.written
+    monkeypatch.setattr(mixing.C, "written", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()), written(df, name))[1])
+    docs = edge.where("doc_id > 99").unionByName(spark.range(500).crossJoin(edge.where("doc_id = 100")).select(*edge.columns))
+    got = mixing.taken(docs).toPandas()
+    for _, g in got.groupby(["source_size", "target"]):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 501
+    lines = plans["mix-cuts"].splitlines()
+    at = next(i for i, x in enumerate(lines) if "Window" in x and "cut_bucket" in x)
+    before_join = lines[at + 1:next(i for i, x in enumerate(lines) if i > at and "Join" in x)]
+    assert any("Aggregate [" in x and "key#" in x.split("]")[0] for x in before_join)
