@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import chat, langid, lattice, line_clean, mixing, packing, pii, quality, simhash, toxicity
+from . import chat, importance, langid, lattice, line_clean, manifest, mixing, packing, pii, quality, sequence_dp, simhash, toxicity
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -138,3 +138,84 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_best_fit_packing")
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(C.documents(spark, sf_dir)))
+
+
+#: H of a value of a leaf, and of a leaf's columns, in SQL.
+def _h(text: str) -> str:
+    def part(c: str) -> str:
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+    return "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: crc32 in SQL: ``crc_table`` is one row with the list t of 256 numbers; ``_crc(x)`` is the crc32 of text x beside it.
+_CRC_TABLE = """crc_bits(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL
+  SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM crc_bits WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc_bits WHERE k = 8)"""
+
+
+def _crc(x: str) -> str:
+    one = f"CAST(('0x' || substr(hex(encode({x})), 2 * CAST(i AS INTEGER) + 1, 2)) AS BIGINT)"
+    every = f"list_transform(range(strlen({x})), lambda i: {one})"
+    return f"xor(list_reduce(list_prepend(4294967295, {every}), lambda a, b: xor(a // 256, t[CAST(xor(a, b) % 256 AS INTEGER) + 1])), 4294967295)"
+
+
+_LOW = f"translate(text, '{manifest.UPPER}', '{manifest.LOWER}')"
+_OP11_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+leaves AS (SELECT row_number() OVER () AS r, CASE WHEN lang IS NULL THEN '' ELSE ':' || lang END AS tree, doc_id, {_h('text')} AS leaf,
+  CASE WHEN {_crc("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {_h(_LOW)} ELSE {_h('text')} END AS changed FROM documents, crc_table),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+nodes(tree, lvl, pos, digest, n) AS (SELECT tree, 0, pos, leaf, n FROM placed UNION ALL
+  SELECT tree, lvl + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY tree, lvl, pos // 8, n),
+subroots AS (SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper_nodes(lvl, pos, digest, n) AS (SELECT 0, pos, digest, n FROM subroots UNION ALL
+  SELECT lvl + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (n + 7) // 8 FROM upper_nodes WHERE n > 1 GROUP BY lvl, pos // 8, n),
+root AS (SELECT digest AS root FROM upper_nodes WHERE n = 1),
+up(r, tree, lvl, pos, digest) AS (SELECT r, tree, 0, pos, changed FROM placed UNION ALL
+  SELECT r, u.tree, u.lvl + 1, u.pos // 8, sha256(string_agg(CASE WHEN n.pos = u.pos THEN u.digest ELSE n.digest END, '' ORDER BY n.pos))
+  FROM up u JOIN nodes n ON u.tree = n.tree AND u.lvl = n.lvl AND u.pos // 8 = n.pos // 8 WHERE n.n > 1 GROUP BY r, u.tree, u.lvl, u.pos // 8),
+top(r, lvl, pos, digest) AS (SELECT r, 0, s.pos, u.digest FROM up u JOIN subroots s ON u.tree = s.tree
+  WHERE u.lvl = (SELECT max(lvl) FROM nodes n WHERE n.tree = u.tree) UNION ALL
+  SELECT r, t.lvl + 1, t.pos // 8, sha256(string_agg(CASE WHEN n.pos = t.pos THEN t.digest ELSE n.digest END, '' ORDER BY n.pos))
+  FROM top t JOIN upper_nodes n ON t.lvl = n.lvl AND t.pos // 8 = n.pos // 8 WHERE n.n > 1 GROUP BY r, t.lvl, t.pos // 8),
+beside AS (SELECT u.r, 0 AS part, u.lvl, n.pos, n.digest FROM up u JOIN nodes n ON u.tree = n.tree AND u.lvl = n.lvl AND u.pos // 8 = n.pos // 8 AND u.pos <> n.pos
+  UNION ALL SELECT t.r, 1, t.lvl, n.pos, n.digest FROM top t JOIN upper_nodes n ON t.lvl = n.lvl AND t.pos // 8 = n.pos // 8 AND t.pos <> n.pos),
+proofs AS (SELECT r, sha256(string_agg(digest, '' ORDER BY part, lvl, pos)) AS proof FROM beside GROUP BY r),
+folded AS (SELECT r, digest AS folded_root FROM top WHERE lvl = (SELECT max(lvl) FROM upper_nodes))
+SELECT doc_id, leaf, s.digest AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed p JOIN subroots s ON p.tree = s.tree CROSS JOIN root JOIN folded f ON p.r = f.r LEFT JOIN proofs q ON p.r = q.r"""
+
+
+@query("op11_merkle_manifest", oracle=_OP11_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.digest(manifest.of_documents(C.documents(spark, sf_dir)).folded("changed"))
+
+
+_READ = f"regexp_extract_all(coalesce({_LOW}, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_OP12_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, {_READ} AS w FROM documents),
+own AS (SELECT r, unnest(w) AS x FROM d), aim AS (SELECT unnest({_READ}) AS x FROM benchmark),
+words AS (SELECT x, {_crc('x')} % 10000 AS bucket FROM (SELECT x FROM own UNION SELECT x FROM aim), crc_table),
+b AS (SELECT range AS bucket FROM range(10000)),
+s AS (SELECT bucket, count(*) AS s FROM own JOIN words USING (x) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM aim JOIN words USING (x) GROUP BY 1),
+st AS (SELECT bucket, coalesce(s, 0) AS s, coalesce(t, 0) AS t, (SELECT coalesce(sum(s), 0) FROM s) AS s_all, (SELECT coalesce(sum(t), 0) FROM t) AS t_all
+  FROM b LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+g AS (SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(s_all + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(t_all + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM st),
+sums AS (SELECT r, CAST(sum(gain) AS BIGINT) AS weight FROM own JOIN words USING (x) JOIN g USING (bucket) GROUP BY r),
+u AS (SELECT d.r, doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+  (CAST(('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) + 0.5e0) / 4294967296e0 AS h FROM d LEFT JOIN sums ON d.r = sums.r),
+sc AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln(h))) AS BIGINT) AS score FROM u),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, n_features, r) AS place, count(*) OVER () AS n FROM sc WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM sc LEFT JOIN o ON sc.r = o.r"""
+
+
+@query("op12_importance_resampling", oracle=_OP12_SQL)
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.documents(spark, sf_dir)
+    return importance.digest(importance.scored(importance.placed(docs), _table(spark, sf_dir, "benchmark")))
+
+
+@query("op13_sequence_packing")
+def op13_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence_dp.digest(sequence_dp.pack(C.documents(spark, sf_dir)))
