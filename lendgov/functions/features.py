@@ -66,9 +66,9 @@ def with_cibil_train(feat: DataFrame, stats: DataFrame) -> DataFrame:
     return feat.crossJoin(F.broadcast(stats)).withColumn("cibil_proxy_score", F.expr(CIBIL_TRAIN))
 
 
-def with_risk(feat: DataFrame, accuracy: int = 10000) -> DataFrame:
-    """F6 + F8 + F9 + P5 + the deterministic label."""
-    stats = global_stats(feat, accuracy)
+def with_risk(feat: DataFrame, accuracy: int = 10000, stats: DataFrame | None = None) -> DataFrame:
+    """F6 + F8 + F9 + P5 + the deterministic label. ``stats``: the row of ``global_stats``, where it is known already."""
+    stats = global_stats(feat, accuracy) if stats is None else stats
     c = with_cibil_train(feat, stats)
     r = c.withColumn("risk_score", F.expr(RISK_SCORE))
     mm = r.agg(F.min("risk_score").alias("mn"), F.max("risk_score").alias("mx"))

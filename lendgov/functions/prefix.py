@@ -83,31 +83,33 @@ def distributed_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], va
     return j.select(*df.columns, F.coalesce(F.col("_lag"), carried, F.lit(default)).alias(out))
 
 
-def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str = "last_known",
+def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str | Sequence[str], out: str | Sequence[str] = "last_known",
                num_ranges: int | None = None) -> DataFrame:
     """``last(value, ignorenulls)`` over (partition by keys order by order), up to and with the row, without a per-key task.
 
-    As in ``distributed_lag`` a key may span several ranges; a range without a value before
-    a row takes the last value of the nearest earlier range of the same key (one row per range).
+    ``value`` and ``out`` may be lists of the same length. As in ``distributed_lag`` a key may span several ranges; a range without a
+    value before a row takes the last value of the nearest earlier range of the same key (one row per range).
     """
     from ..session import ensure_checkpoint_dir
+    values, outs = ([value], [out]) if isinstance(value, str) else (list(value), list(out))
     n = num_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ensure_checkpoint_dir(df.sparkSession)
     sort_cols = list(keys) + list(order)
     ranged = df.repartitionByRange(n, *sort_cols).withColumn("_rid", F.spark_partition_id()).checkpoint(eager=True)
     upto = Window.partitionBy("_rid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.select("*", F.last(value, ignorenulls=True).over(upto).alias("_local"))
+    local = ranged.select("*", *[F.last(v, ignorenulls=True).over(upto).alias(f"_local{i}") for i, v in enumerate(values)])
     key = F.struct(*[F.col(k) for k in keys])
-    # per range: its last key, and the last value that key has in it
-    ends = ranged.groupBy("_rid").agg(F.max_by(key, F.struct(*sort_cols)).alias("_k"))
-    values = local.where(F.col(value).isNotNull()).groupBy("_rid", *keys).agg(F.max_by(value, F.struct(*sort_cols)).alias("_v"))
-    tail = ends.select("_rid", "_k").join(values.select(F.col("_rid").alias("_r"), key.alias("_vk"), "_v"),
+    # per range: its last key, and the last values that key has in it
+    place = F.struct(*sort_cols)
+    ends = ranged.groupBy("_rid").agg(F.max_by(key, place).alias("_k"))
+    held = ranged.groupBy("_rid", *keys).agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), place)).alias(f"_v{i}") for i, v in enumerate(values)])
+    tail = ends.select("_rid", "_k").join(held.select(F.col("_rid").alias("_r"), key.alias("_vk"), *[f"_v{i}" for i in range(len(values))]),
                                           (F.col("_rid") == F.col("_r")) & F.col("_k").eqNullSafe(F.col("_vk")), "left")
     before = Window.partitionBy("_k").orderBy("_rid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carry = tail.select((F.col("_rid") + 1).alias("_next"), "_k", F.last("_v", ignorenulls=True).over(before).alias("_carried"))
+    carry = tail.select((F.col("_rid") + 1).alias("_next"), "_k", *[F.last(f"_v{i}", ignorenulls=True).over(before).alias(f"_carried{i}") for i in range(len(values))])
     # a key that fills whole ranges is the last key of each of them, so the range just before carries it
     j = local.join(F.broadcast(carry), (F.col("_rid") == F.col("_next")) & key.eqNullSafe(F.col("_k")), "left")
-    return j.select(*df.columns, F.coalesce("_local", "_carried").alias(out))
+    return j.select(*df.columns, *[F.coalesce(f"_local{i}", f"_carried{i}").alias(o) for i, o in enumerate(outs)])
 
 
 def distributed_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rank", num_ranges: int | None = None) -> DataFrame:

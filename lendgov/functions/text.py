@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .patterns import Rule, RuleTable
+
 # Banking keywords; plain substring match on lower-cased text
 # (so "rd" also hits "card", "emi" hits "premium").
 BANK_KEYWORDS = ["loan", "credit", "emi", "interest", "bank", "savings", "fixed deposit", "fd", "rd",
@@ -25,9 +30,20 @@ def is_banking(text: Column) -> Column:
     return F.coalesce(any_contains(F.lower(text), BANK_KEYWORDS), F.lit(False))
 
 
+def script_digits() -> tuple[str, str]:
+    """The decimal digits of all scripts but ASCII, and the ASCII digits of the same values."""
+    other = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
+    return "".join(other), "".join(str(unicodedata.decimal(c)) for c in other)
+
+
+def ascii_digits(text: Column) -> Column:
+    """``text`` with the decimal digits of every script written in ASCII."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, *script_digits())).otherwise(text)
+
+
 def loan_amount(text: Column) -> Column:
-    """First number >= 50,000 after removing commas, else null (ASCII digits)."""
-    nums = F.regexp_extract_all(F.replace(text, F.lit(","), F.lit("")), F.lit("([0-9]+)"), 1)
+    """First number >= 50,000 after removing commas, else null; digits of any script."""
+    nums = F.regexp_extract_all(F.replace(ascii_digits(text), F.lit(","), F.lit("")), F.lit("([0-9]+)"), 1)
     vals = F.filter(F.transform(nums, lambda x: x.cast("double")), lambda x: x >= MIN_AMOUNT)
     return F.try_element_at(vals, F.lit(1))
 
@@ -55,6 +71,12 @@ def intent(text: Column) -> Column:
     return routed.otherwise(F.lit("retrieval"))
 
 
+def question_rules() -> tuple[RuleTable, RuleTable]:
+    """X1 and X3 as rule tables: the topic gate, and the intents in routing order."""
+    return (RuleTable([Rule.any_of("banking", BANK_KEYWORDS)]),
+            RuleTable([Rule(name, tuple(tuple(words) for words in groups)) for name, groups in INTENT_WORDS]))
+
+
 def rupees(x: Column) -> Column:
     """Currency text with thousands separators and no decimals."""
     return F.concat(F.lit("₹"), F.format_number(x, 0))

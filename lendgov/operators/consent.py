@@ -124,6 +124,24 @@ def with_flags(df: DataFrame, events: DataFrame, groups: Sequence[str]) -> DataF
     return j.select(*df.columns, *[F.coalesce(F.col(flag_col(g)), F.lit(True)).alias(flag_col(g)) for g in groups])
 
 
+def with_flags_as_of(df: DataFrame, events: DataFrame, groups: Sequence[str], at: str, id_col: str = "application_id") -> DataFrame:
+    """Per-group allowed flags as they stood when each row was submitted (``at``): the last event of the applicant and group
+    at or before that time decides, and a group without one is allowed.
+
+    Events and rows lie in one range-partitioned order, so an applicant with many of both is spread over tasks and nothing is
+    joined on the applicant. ``id_col`` is unique.
+    """
+    from ..functions.prefix import last_known
+    flags = [flag_col(g) for g in groups]
+    said = events.select(F.col("applicant_id").alias("_who"), F.col("ts").alias("_at"), F.lit(0).alias("_kind"), F.col("event_id").alias("_tie"),
+                         *[F.when(F.col("group_name") == g, F.col("allowed")).alias(f"_said_{i}") for i, g in enumerate(groups)])
+    asked = df.select(F.col("applicant_id").alias("_who"), F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.col(id_col).alias("_tie"),
+                      F.struct(*df.columns).alias("_row"))
+    both = said.unionByName(asked, allowMissingColumns=True)
+    found = last_known(both, ["_who"], ["_at", "_kind", "_tie"], [f"_said_{i}" for i in range(len(groups))], flags)
+    return found.where(F.col("_kind") == 1).select("_row.*", *[F.coalesce(c, F.lit(True)).alias(c) for c in flags])
+
+
 def mask_drop(df: DataFrame, feature_group: dict[str, str], features: Sequence[str]) -> DataFrame:
     """Null out features whose group is denied; ungrouped features pass."""
     out = []

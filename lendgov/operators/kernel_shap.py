@@ -1,18 +1,15 @@
-"""KernelSHAP as one aggregation.
+"""KernelSHAP (E1, E2, J11): Shapley estimates by weighted least squares over coalitions.
 
-Coalitions and weights are shared by every row, so the weighted least
-squares solve is a constant matrix P, computed once on the driver (size
+Coalitions and weights are shared by every row, so the solve is a constant matrix P, computed once on the driver (size
 (M-1) x C). With the last feature eliminated by the efficiency constraint:
 
   phi_j = sum_c P[j,c] * v_c(x) - E[f] * s_j - (f(x) - E[f]) * t_j,  j < M
   phi_M = f(x) - E[f] - sum_{j<M} phi_j
 
-with s_j = sum_c P[j,c], t_j = sum_c P[j,c] z_cM, and v_c(x) the mean model
-output over background rows b of the row mixing x on coalition c with b
-elsewhere. The first term is linear in the model outputs, so all of it is
-one ``groupBy(id)`` sum over the mixed rows (rows x coalitions x background),
-combined map-side; no per-row Python. ``additive_shap`` is the vectorised form for models
-with additive log-odds, for many features and background rows.
+with s_j = sum_c P[j,c], t_j = sum_c P[j,c] z_cM, and v_c(x) the mean model output over background rows b of the
+row mixing x on coalition c with b elsewhere. ``kernel_shap`` takes any model that is a numpy function of columns,
+``additive_shap`` models with additive log-odds, for many features and background rows. In both, what does not depend
+on the row is sent with the tasks and rows are explained where they lie: no shuffle, no join with the background.
 """
 
 from __future__ import annotations
@@ -23,7 +20,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .prep import split_hash
@@ -70,7 +67,7 @@ def background_sample(df: DataFrame, id_col: str, n: int) -> DataFrame:
     return df.orderBy(split_hash(id_col), id_col).limit(n)
 
 
-def additive_shap(rows: DataFrame, background: DataFrame, id_col: str, features: Sequence[str], bias: float,
+def additive_shap(rows: DataFrame, background: DataFrame, id_col: str | Sequence[str], features: Sequence[str], bias: float,
                   n_coalitions: int = 2048, seed: int = 42) -> DataFrame:
     """E1 for models whose log-odds are a sum of one part for each feature (``parts``: array in feature order).
 
@@ -104,60 +101,44 @@ def additive_shap(rows: DataFrame, background: DataFrame, id_col: str, features:
         phi[:, -1] = fx - expected - phi[:, :-1].sum(1)
         return pa.StructArray.from_arrays([pa.array(fx), pa.array(phi.tolist(), pa.list_(pa.float64()))], ["fx", "phi"])
 
-    return rows.select(id_col, explain.asNondeterministic()("parts").alias("r")).select(
-        id_col, "r.fx", F.lit(expected).alias("expected_value"), "r.phi")
+    keys = [id_col] if isinstance(id_col, str) else list(id_col)
+    return rows.select(*keys, explain.asNondeterministic()("parts").alias("r")).select(
+        *keys, "r.fx", F.lit(expected).alias("expected_value"), "r.phi")
+
+
+#: Model outputs that a task computes at once.
+BLOCK_OUTPUTS = 1 << 18
 
 
 def kernel_shap(rows: DataFrame, background: DataFrame, id_col: str, features: Sequence[str],
-                model: Callable[[dict], Column], n_coalitions: int | None = None, seed: int = 42) -> DataFrame:
-    """Shapley estimates of ``model`` for every row, long form (id, feature_idx, feature, phi).
+                model: Callable[[np.ndarray], np.ndarray], n_coalitions: int | None = None, seed: int = 42) -> DataFrame:
+    """Shapley estimates of ``model`` for every row: id, fx, expected_value, phi (array in feature order).
 
-    ``model`` maps {feature: Column} to the model output Column (JVM expression).
-    ``background`` has at most ``MAX_BACKGROUND`` rows (e.g. from ``background_sample``).
+    ``model`` maps values (features, n) to n outputs; with ``n_coalitions`` None all coalitions are used and the values are exact.
+    ``background`` has at most ``MAX_BACKGROUND`` rows (e.g. from ``background_sample``). Features are read as doubles, null as NaN.
     """
     m = len(features)
-    z, w = coalitions(m, n_coalitions, seed)
-    p = solve_matrix(z, w)
-    s = p.sum(1)
-    t = p @ z[:, -1]
-    bg = background.select(*features).limit(MAX_BACKGROUND + 1).collect()
+    values = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in features]).alias("x")
+    bg = np.array([r["x"] for r in background.select(values).limit(MAX_BACKGROUND + 1).collect()], float).reshape(-1, m)
     if not 0 < len(bg) <= MAX_BACKGROUND:
         raise ValueError(f"the background needs 1 to {MAX_BACKGROUND} rows")
-    nb = len(bg)
-    c_full = len(z)
-    # (coalition, background) grid: masks, background values and the P column of the
-    # coalition; at most (C + 1) * B rows, so broadcasting it is bounded by the budget.
-    grid_rows = []
-    for c in range(c_full + 1):
-        mask = [True] * m if c == c_full else [bool(v) for v in z[c]]
-        pc = [0.0] * (m - 1) if c == c_full else [float(p[j, c]) for j in range(m - 1)]
-        for b in bg:
-            grid_rows.append((c == c_full, *mask, *[float(v) if v is not None else None for v in b], *pc))
-    schema = ("full boolean, " + ", ".join(f"m{j} boolean" for j in range(m)) + ", " +
-              ", ".join(f"b{j} double" for j in range(m)) +
-              ("" if m == 1 else ", " + ", ".join(f"p{j} double" for j in range(m - 1))))
-    grid = rows.sparkSession.createDataFrame(grid_rows, schema)
-    x = rows.select(id_col, *[F.col(f).cast("double").alias(f"x{j}") for j, f in enumerate(features)])
-    mixed = x.crossJoin(F.broadcast(grid))
-    vals = {f: F.when(F.col(f"m{j}"), F.col(f"x{j}")).otherwise(F.col(f"b{j}")) for j, f in enumerate(features)}
-    out = model(vals)
-    per = mixed.select(id_col, "full", *[f"p{j}" for j in range(m - 1)], out.alias("_o")).groupBy(id_col).agg(
-        (F.sum(F.when(F.col("full"), F.col("_o"))) / nb).alias("_fx"),
-        *[(F.sum(F.col(f"p{j}") * F.col("_o")) / nb).alias(f"_a{j}") for j in range(m - 1)])
-    # E[f] over the background, from the same model expression on literals.
-    ef_terms = [model({f: F.lit(float(b[j]) if b[j] is not None else None).cast("double")
-                       for j, f in enumerate(features)}) for b in bg]
-    ef = ef_terms[0]
-    for e_ in ef_terms[1:]:
-        ef = ef + e_
-    ef = ef / nb
-    delta = F.col("_fx") - ef
-    phis = [F.col(f"_a{j}") - ef * float(s[j]) - delta * float(t[j]) for j in range(m - 1)]
-    last = delta
-    for ph in phis:
-        last = last - ph
-    phis.append(last)
-    recs = [F.struct(F.lit(j).alias("feature_idx"), F.lit(f).alias("feature"), phis[j].alias("phi"))
-            for j, f in enumerate(features)]
-    return per.select(id_col, F.col("_fx").alias("fx"), ef.alias("expected_value"),
-                      F.explode(F.array(*recs)).alias("r")).select(id_col, "fx", "expected_value", "r.*")
+    z, w = coalitions(m, n_coalitions, seed)
+    p = solve_matrix(z, w) if m > 1 else np.zeros((0, len(z)))
+    s, t, member = p.sum(1), p @ z[:, -1], z.astype(bool)
+    expected = float(model(bg.T).mean())
+    at_once = max(1, BLOCK_OUTPUTS // max(1, len(z) * len(bg)))
+
+    @F.arrow_udf("struct<fx: double, phi: array<double>>")
+    def explain(given: pa.Array) -> pa.Array:
+        x = given.flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
+        fx, phi = model(x.T), np.empty((len(x), m))
+        for i in range(0, len(x), at_once):
+            own = x[i:i + at_once]
+            mixed = np.where(member[None, :, None, :], own[:, None, None, :], bg[None, None])
+            v = model(mixed.reshape(-1, m).T).reshape(len(own), len(z), len(bg)).mean(2)
+            phi[i:i + at_once, :-1] = v @ p.T - expected * s - (fx[i:i + at_once, None] - expected) * t
+        phi[:, -1] = fx - expected - phi[:, :-1].sum(1)
+        return pa.StructArray.from_arrays([pa.array(fx), pa.array(phi.tolist(), pa.list_(pa.float64()))], ["fx", "phi"])
+
+    return rows.select(id_col, explain.asNondeterministic()(values).alias("r")).select(
+        id_col, "r.fx", F.lit(expected).alias("expected_value"), "r.phi")

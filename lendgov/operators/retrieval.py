@@ -1,5 +1,6 @@
 """Vector and lexical retrieval.
 
+Vectors are found through an exact index of balls around pivots, so that a query is not compared with every document.
 Top-k per query uses ``row_number() <= k`` over a window by query: Spark
 plans a partial WindowGroupLimit before the shuffle, so each map task keeps
 at most k candidates per query and a hot query never gathers all documents
@@ -8,6 +9,11 @@ in one task.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,30 +33,128 @@ def normalized(df: DataFrame, vec: str = "embedding", out: str = "unit") -> Data
     return df.withColumn(out, F.transform(v, lambda x: x / n))
 
 
-#: Queries that stand together in one row of the query table.
-QUERY_BLOCK = 64
+#: Pivots of an index, and the width of its shells (distances of unit vectors lie between 0 and 2).
+PIVOTS = 256
+SHELL = 0.1
+#: Vectors of one block that one task scores together; a larger block is dealt over several.
+BLOCK_ROWS = 10_000
+#: Queries whose distances to all pivots a task holds at once.
+QUERY_ROWS = 64
+#: What rounding may add to a distance.
+SLACK = 1e-6
 
 
-def topk_inner_product(queries: DataFrame, docs: DataFrame, k: int = 3, exclude_self: bool = True) -> DataFrame:
-    """Top-k documents per query by cosine similarity (inner product of unit vectors).
+@dataclass
+class BallIndex:
+    """An exact index for inner products of unit vectors.
 
-    queries: (query_id, unit); docs: (doc_id, unit). Ties -> smaller doc_id. A stated query set against
-    all documents: queries are packed ``QUERY_BLOCK`` to a row and written once, each block meets every document once, and
-    ``row_number() <= k`` keeps at most k documents of each query and map task (WindowGroupLimit) before the shuffle.
+    Every vector belongs to its nearest pivot and there to a shell of distances from it: a block. ``members`` (doc_id, unit, block,
+    part) is stored; ``blocks`` holds block, pivot, least and greatest distance, vectors and parts of each block, at most
+    pivots x 2 / shell width rows. By the triangle inequality a query at distance d from the pivot is no nearer to any vector of the
+    block than max(d - greatest, least - d), so whole blocks are passed over.
     """
-    pairs = docs.select("doc_id", F.col("unit").alias("d")).crossJoin(_blocks(queries))
-    each = pairs.select("doc_id", "d", F.explode("block").alias("q"))
-    if exclude_self:
-        each = each.where(F.col("doc_id") != F.col("q.query_id"))
-    scored = each.select(F.col("q.query_id").alias("query_id"), "doc_id", dot(F.col("q.unit"), F.col("d")).alias("score"))
+
+    pivots: np.ndarray
+    blocks: pd.DataFrame
+    members: DataFrame
+
+    @staticmethod
+    def build(docs: DataFrame, n_pivots: int = PIVOTS, shell: float = SHELL, block_rows: int = BLOCK_ROWS) -> "BallIndex":
+        """``docs``: (doc_id, unit). The pivots are ``n_pivots`` of its vectors, picked by a hash of the id."""
+        spark = docs.sparkSession
+        picked = docs.where("unit is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_pivots).select("unit").collect()
+        pivots = np.array([r["unit"] for r in picked], float)
+        if not len(picked):
+            return BallIndex(pivots, pd.DataFrame(columns=["block", "pivot", "least", "greatest", "n", "parts"]), docs.limit(0))
+        shared = spark.sparkContext.broadcast(pivots)
+
+        @F.arrow_udf("struct<pivot: int, distance: double>")
+        def nearest(unit: pa.Array) -> pa.Array:
+            x = unit.flatten().to_numpy(zero_copy_only=False).reshape(len(unit), -1)
+            score = x @ shared.value.T
+            best = score.argmax(1)
+            far = np.sqrt(((x - shared.value[best]) ** 2).sum(1))
+            return pa.StructArray.from_arrays([pa.array(best.astype(np.int32)), pa.array(far)], ["pivot", "distance"])
+
+        shells = int(2 / shell) + 2
+        found = docs.where("unit is not null").withColumn("at", nearest("unit"))
+        block = F.col("at.pivot") * shells + F.floor(F.col("at.distance") / shell).cast("int")
+        placed = found.select("doc_id", "unit", F.col("at.pivot").alias("pivot"), F.col("at.distance").alias("distance"), block.alias("block")).checkpoint()
+        blocks = placed.groupBy("block").agg(F.first("pivot").alias("pivot"), F.min("distance").alias("least"), F.max("distance").alias("greatest"),
+                                             F.count(F.lit(1)).alias("n")).orderBy("block").toPandas()
+        blocks["parts"] = -(-blocks["n"] // block_rows)
+        parts = spark.createDataFrame(blocks[["block", "parts"]])
+        members = placed.join(F.broadcast(parts), "block").select("doc_id", "unit", "block", F.pmod(F.xxhash64("doc_id"), "parts").alias("part"))
+        return BallIndex(pivots, blocks, members)
+
+    def topk(self, queries: DataFrame, k: int = 3, exclude_self: bool = True) -> DataFrame:
+        """query_id, doc_id, score, rank: the k documents with the greatest inner product with each query (query_id, unit).
+
+        Ties -> smaller doc_id. The blocks with the greatest bounds that hold k vectors are scored first; then only those whose
+        bound is not below the k-th score found.
+        """
+        scored, _ = self.scored(queries, k, exclude_self)
+        return _best(scored, k)
+
+    def scored(self, queries: DataFrame, k: int, exclude_self: bool) -> tuple[DataFrame, DataFrame]:
+        """All (query_id, doc_id, score) that had to be computed, and how many blocks each query went into."""
+        spark = queries.sparkSession
+        if not len(self.pivots):
+            none = queries.select("query_id", F.lit(None).cast(self.members.schema["doc_id"].dataType).alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
+            return none, queries.select("query_id", F.lit(0).alias("blocks"))
+        q = queries.where("unit is not null").select("query_id", "unit").checkpoint()
+        shared = spark.sparkContext.broadcast((self.pivots, *[self.blocks[c].to_numpy() for c in ("pivot", "least", "greatest", "n", "block", "parts")]))
+        kind = q.schema["query_id"].dataType.simpleString()
+        need = k + int(exclude_self)
+
+        def visits(first: bool):
+            """Per batch of queries (query_id, unit, k-th score found): the blocks to go into."""
+            def run(batches):
+                pivots, pivot, least, greatest, n, block, parts = shared.value
+                for batch in (b.slice(i, QUERY_ROWS) for b in batches for i in range(0, b.num_rows, QUERY_ROWS)):
+                    x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                    far = np.sqrt(np.maximum(((x[:, None, :] - pivots[None]) ** 2).sum(2), 0.0))[:, pivot]
+                    near = np.maximum(np.maximum(far - greatest, least - far) - SLACK, 0.0)
+                    bound = 1.0 - near * near / 2.0
+                    order = np.argsort(-bound, axis=1, kind="stable")
+                    upto = np.cumsum(n[order], axis=1) - n[order]
+                    early = np.zeros(bound.shape, bool)
+                    np.put_along_axis(early, order, upto < need, axis=1)  # until k vectors are in
+                    if first:
+                        go = early
+                    else:
+                        kth = batch.column(2).to_numpy(zero_copy_only=False)
+                        go = ~early & (bound >= np.where(np.isnan(kth), -np.inf, kth)[:, None])
+                    row, col = np.nonzero(go)
+                    each = parts[col]
+                    row, col = np.repeat(row, each), np.repeat(col, each)
+                    part = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+                    yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(block[col], pa.int32()), pa.array(part, pa.int64())],
+                                          names=["query_id", "block", "part"])
+            return run
+
+        def scores(given: DataFrame, first: bool) -> DataFrame:
+            went = given.mapInArrow(visits(first), f"query_id {kind}, block int, part bigint").join(q, "query_id")
+            pairs = went.withColumnRenamed("unit", "q").join(self.members, ["block", "part"])
+            if exclude_self:
+                pairs = pairs.where(F.col("doc_id") != F.col("query_id"))
+            return pairs.select("query_id", "doc_id", dot(F.col("q"), F.col("unit")).alias("score"), "block")
+
+        one = scores(q.withColumn("kth", F.lit(float("nan"))), True).checkpoint()
+        kth = _best(one, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+        two = scores(q.join(kth, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(float("nan")))), False)
+        both = one.unionByName(two).checkpoint()
+        return both.drop("block"), both.groupBy("query_id").agg(F.count_distinct("block").alias("blocks"))
+
+
+def _best(scored: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc())
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.select("query_id", "doc_id", "score").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame) -> DataFrame:
-    """Queries in rows of ``QUERY_BLOCK``, cut from their lineage so that they are computed once."""
-    numbered = queries.withColumn("_b", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / QUERY_BLOCK))
-    return numbered.groupBy("_b").agg(F.collect_list(F.struct("query_id", "unit")).alias("block")).drop("_b").checkpoint()
+def topk_inner_product(queries: DataFrame, docs: DataFrame, k: int = 3, exclude_self: bool = True) -> DataFrame:
+    """Top-k documents per query by cosine similarity, through an index built for the call."""
+    return BallIndex.build(docs).topk(queries, k, exclude_self)
 
 
 def centroids(df: DataFrame, key: str = "label", vec: str = "embedding") -> DataFrame:

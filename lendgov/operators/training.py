@@ -8,10 +8,11 @@ checkpoint folder.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import (ElementwiseProduct, OneHotEncoder, StandardScaler, StandardScalerModel, StringIndexer,
                                 StringIndexerModel, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
@@ -20,7 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.prefix import roc_auc
+from ..session import checkpoint_path
 from .prep import medians, mode_table
+from .tree_shap import Forest, fitted_forest
 
 
 def fill_values(train: DataFrame, numeric: Sequence[str], cats: Sequence[str]) -> dict:
@@ -64,10 +67,23 @@ def preprocessing(numeric: Sequence[str], cats: Sequence[str], passthrough: bool
 
 def logistic(n_train: int) -> LogisticRegression:
     """M6: L2, C = 1 in the summed-loss form = regParam 1/n in Spark's mean-loss form."""
-    return LogisticRegression(featuresCol="features", labelCol="label", maxIter=1000,
+    return LogisticRegression(featuresCol="features", labelCol="label", maxIter=1000, tol=1e-10,
                               regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False)
 
 
+def loss_gradient(df: DataFrame, parts: Sequence[tuple[Column, float]], bias: float, label: str = "label") -> DataFrame:
+    """M6: one row with the gradient of the L2-regularised mean loss for each weight (g0, g1, ...) and the intercept (``g``).
+
+    ``parts``: (column value, its weight). All are 0 at the optimum and only there, as the loss is strictly convex.
+    """
+    z = F.lit(bias)
+    for x, w in parts:
+        z = z + x * F.lit(w)
+    rows = df.select((F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) - F.col(label)).alias("miss"), *[x.alias(f"x{i}") for i, (x, _) in enumerate(parts)])
+    return rows.agg(*[((F.sum(F.col("miss") * F.col(f"x{i}")) + F.lit(w)) / F.count(F.lit(1))).alias(f"g{i}") for i, (_, w) in enumerate(parts)],
+                    F.avg("miss").alias("g"))
+
+
 def forest(num_trees: int = 300, max_depth: int = 8, seed: int = 42) -> RandomForestClassifier:
     """M7: bagged trees; binned splits (so parity with exact splitters is metric-level)."""
     return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=num_trees,
@@ -132,6 +148,45 @@ def logit_parts(model: PipelineModel, numeric: Sequence[str], cats: Sequence[str
     return parts, float(lr.intercept)
 
 
+def is_forest(model: PipelineModel) -> bool:
+    return isinstance(model.stages[-1], RandomForestClassificationModel)
+
+
+def levels(model: PipelineModel) -> list[list[str]]:
+    """The levels of each categorical feature, in the order of its dummies."""
+    return [list(x) for x in next(st for st in model.stages if isinstance(st, StringIndexerModel)).labelsArray]
+
+
+def scaling(model: PipelineModel) -> list[tuple[float, float]]:
+    """(mean, population deviation) of each numeric feature."""
+    sc = next(st for st in model.stages if isinstance(st, StandardScalerModel))
+    to_population = next((float(st.getScalingVec()[0]) for st in model.stages if isinstance(st, ElementwiseProduct)), 1.0)
+    return [(float(m), float(s) / to_population) for m, s in zip(sc.mean, sc.std)]
+
+
+def column_features(model: PipelineModel, numeric: Sequence[str], cats: Sequence[str]) -> list[int]:
+    """For every column of the feature vector the number of the feature it comes from (numeric first)."""
+    out = list(range(len(numeric)))
+    labels = next(st for st in model.stages if isinstance(st, StringIndexerModel)).labelsArray if cats else []
+    for i, labs in enumerate(labels):
+        out += [len(numeric) + i] * len(labs)
+    return out
+
+
+def forest_of(model: PipelineModel, numeric: Sequence[str], cats: Sequence[str]) -> Forest:
+    """The fitted forest's nodes (M7), read from where Spark saves them."""
+    spark = SparkSession.getActiveSession()
+    path = checkpoint_path(spark, f"forest-nodes-{uuid.uuid4().hex}")
+    model.stages[-1].save(path)
+    return fitted_forest(spark.read.parquet(f"{path}/data"), column_features(model, numeric, cats))
+
+
+def vectors(model: PipelineModel, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys`` and the feature vector of every (filled) row as ``columns``: array<double>."""
+    out = PipelineModel(model.stages[:-1]).transform(df)
+    return out.select(*keys, vector_to_array("features").alias("columns"))
+
+
 def metrics(pred: DataFrame, label: str = "label", score: str = "p", threshold: float = 0.5) -> DataFrame:
     """M9 + M10 + M11 in one row: accuracy, F1 of class 1 (0 when undefined), ROC-AUC."""
     y = F.col(label).cast("int")

@@ -7,8 +7,10 @@ from . import (  # noqa: F401
     q_explain,
     q_fairness,
     q_features,
+    q_files,
     q_models,
     q_monitoring,
     q_pipeline,
+    q_requests,
     q_streaming,
 )

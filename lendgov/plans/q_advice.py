@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import patterns as PT
 from ..functions import text as TX
 from ..operators import advice as AD
 from ..operators import cohorts as CH
@@ -58,6 +59,43 @@ def extract_amount(spark, sf_dir):
     return t.select("source", "item_id", "turn", TX.loan_amount(F.col("text")).alias("amount"))
 
 
+#: Digits of four scripts in which questions are asked.
+_SCRIPTS = ["०१२३४५६७८९", "٠١٢٣٤٥٦٧٨٩", "௦௧௨௩௪௫௬௭௮௯", "０１２３４５６７８９"]
+_IN_SCRIPT_SQL = "CASE question_id % 4 " + " ".join(f"WHEN {i} THEN translate(question, '0123456789', '{d}')" for i, d in enumerate(_SCRIPTS)) + " END"
+
+
+@register("rule_routes", oracle=f"""
+WITH {_TEXTS_SQL} SELECT source, item_id, turn, COALESCE({_KW_SQL}, FALSE) AS is_banking, {_intent_sql('text')} AS intent FROM texts""", views=("questions",))
+def rule_routes(spark, sf_dir):
+    """X1 + X3 through rule tables: one pass over a text for all words of the gate and the intents."""
+    gate, intents = TX.question_rules()
+    t = _texts(views(spark, sf_dir)).withColumn("low", F.lower("text"))
+    return t.select("source", "item_id", "turn", (PT.matched(F.col("low"), gate)["n"] > 0).alias("is_banking"),
+                    F.coalesce(PT.matched(F.col("low"), intents)["first"], F.lit("retrieval")).alias("intent"))
+
+
+@register("vocabulary_rules", oracle="""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]{4,}')) AS word FROM benchmark),
+t AS (SELECT row_number() OVER () AS r, conv_id, turn, role, lower(text) AS text FROM conversations)
+SELECT conv_id, turn, role, min(word) AS first_rule, CAST(count(word) AS INT) AS n_rules FROM t LEFT JOIN w ON contains(t.text, w.word) GROUP BY r, conv_id, turn, role""")
+def vocabulary_rules(spark, sf_dir):
+    """J7 with a large rule table: every word of the benchmark is a rule, and each turn is told which come up in it and which is first."""
+    t = views(spark, sf_dir).t
+    words = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-zà-ÿ]{4,})"), 1)).alias("w")).distinct().orderBy("w").limit(PT.MAX_RULES + 1)
+    table = PT.RuleTable([PT.Rule.any_of(r["w"], [r["w"]]) for r in words.collect()])
+    return t.conversations.select("conv_id", "turn", "role", PT.matched(F.lower("text"), table).alias("m")).select(
+        "conv_id", "turn", "role", F.col("m.first").alias("first_rule"), F.col("m.n").alias("n_rules"))
+
+
+@register("extract_amount_scripts", oracle=f"""
+SELECT question_id, {_IN_SCRIPT_SQL} AS question, {_AMOUNT_SQL.format(t='question')} AS amount FROM questions""", views=("questions",))
+def extract_amount_scripts(spark, sf_dir):
+    """X2 over questions whose numbers are written in Devanagari, Arabic-Indic, Tamil or full-width digits; SQL reads the ASCII form."""
+    q = views(spark, sf_dir).questions
+    told = q.select("question_id", F.expr(_IN_SCRIPT_SQL).alias("question"))
+    return told.select("question_id", "question", TX.loan_amount(F.col("question")).alias("amount"))
+
+
 @register("intent_route", oracle=f"""
 WITH {_TEXTS_SQL}
 SELECT source, item_id, turn, COALESCE({_KW_SQL}, FALSE) AS is_banking,
@@ -178,6 +216,22 @@ def semantic_topk(spark, sf_dir):
     return round_doubles(top.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "score"))
 
 
+@register("nearest_documents", oracle="""
+WITH d AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_dot_product(q.v, d.v) / (q.n * d.n) AS score FROM d q JOIN d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank, ROUND(score, 6) AS score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) x WHERE rank <= 3""")
+def nearest_documents(spark, sf_dir):
+    """J9 + W8 for a question's own vector: the three nearest other documents of every vector whose id is divisible by 20.
+
+    (The scores of a query's ranks, as equal vectors tie within rounding.)
+    """
+    e = views(spark, sf_dir).t.embeddings.select("vec_id", "embedding")
+    docs = RT.normalized(e).select(F.col("vec_id").alias("doc_id"), "unit").checkpoint()
+    queries = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "unit")
+    top = RT.topk_inner_product(queries, docs, k=3)
+    return round_doubles(top.select("query_id", F.col("rank").cast("bigint").alias("rank"), "score"))
+
+
 def _decisions(v):
     """What answers need of each decision, written once per input version (the original reads it from its log)."""
     build = lambda: explained(v.spark, v.sf_dir, extra=["applicant_id", "submitted_at"]).select(

@@ -98,21 +98,35 @@ _CHECKING_LABEL = (
 _HISTORY_LABEL = ("CASE WHEN Credit_History = 1 THEN 'Good (no major defaults)' ELSE 'Weak / past defaults' END")
 
 
+def _option_label(mapping: dict, at: str) -> str:
+    """A label picked by ``at`` modulo one more than there are options (the last: a label that no form offers)."""
+    options = [*mapping, "Something else"]
+    return f"CASE CAST(({at}) % {len(options)} AS INT) " + " ".join(f"WHEN {i} THEN '{o}'" for i, o in enumerate(options)) + " END"
+
+
+_RECODED = {
+    "checking": (_CHECKING_LABEL, QA.CHECKING_OPTIONS),
+    "purpose": (_option_label(QA.PURPOSE_OPTIONS, "application_id"), QA.PURPOSE_OPTIONS),
+    "savings": (_option_label(QA.SAVINGS_OPTIONS, "applicant_id"), QA.SAVINGS_OPTIONS),
+    "employment": (_option_label(QA.EMPLOYMENT_OPTIONS, "application_id + applicant_id"), QA.EMPLOYMENT_OPTIONS),
+}
+
+
+def _code_sql(name: str) -> str:
+    return f"CASE {name}_label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _RECODED[name][1].items()) + " END"
+
+
 @register("label_recode", oracle=f"""
-SELECT application_id, checking_label,
-  CASE checking_label WHEN 'No current account' THEN 'no checking' WHEN 'Current balance < ₹25,000' THEN '<0'
-    WHEN '₹25,000 – ₹1,00,000' THEN '0<=X<200' WHEN '> ₹1,00,000' THEN '>=200' END AS checking_code,
+SELECT application_id, {', '.join(f'{n}_label, {_code_sql(n)} AS {n}_code' for n in _RECODED)},
   credit_history_label, CASE WHEN credit_history_label LIKE '%Good%' THEN 1 ELSE 0 END AS credit_history_code
-FROM (SELECT application_id, {_CHECKING_LABEL} AS checking_label, {_HISTORY_LABEL} AS credit_history_label
+FROM (SELECT application_id, {', '.join(f'{label} AS {n}_label' for n, (label, _) in _RECODED.items())}, {_HISTORY_LABEL} AS credit_history_label
       FROM applications) x""", views=("applications",))
 def label_recode(spark, sf_dir):
+    """The form's labels for account, purpose, savings and employment as the model's codes; a label that is not offered has none."""
     a = views(spark, sf_dir).applications
-    lab = a.select("application_id", F.expr(_CHECKING_LABEL).alias("checking_label"),
-                   F.expr(_HISTORY_LABEL).alias("credit_history_label"))
-    return lab.select("application_id", "checking_label",
-                      QA.recode(F.col("checking_label"), QA.CHECKING_OPTIONS).alias("checking_code"),
-                      "credit_history_label",
-                      QA.credit_history_code(F.col("credit_history_label")).alias("credit_history_code"))
+    lab = a.select("application_id", *[F.expr(label).alias(f"{n}_label") for n, (label, _) in _RECODED.items()], F.expr(_HISTORY_LABEL).alias("credit_history_label"))
+    codes = [c for n, (_, options) in _RECODED.items() for c in (F.col(f"{n}_label"), QA.recode(F.col(f"{n}_label"), options).alias(f"{n}_code"))]
+    return lab.select("application_id", *codes, "credit_history_label", QA.credit_history_code(F.col("credit_history_label")).alias("credit_history_code"))
 
 
 def _dv_sql():

@@ -64,6 +64,10 @@ SELECT application_id, applicant_id, submitted_at, Gender, Credit_History, Prope
 FROM risk_full
 """
 
+REQUESTS = """
+SELECT *, TIMESTAMP '2024-01-01 00:00:00' + CAST((application_id * 7919) % 43200 AS INT) * INTERVAL 1 MINUTE AS requested_at FROM risk_full
+"""
+
 CONSENT_EVENTS = """
 SELECT event_id, ts, user_id AS applicant_id,
  CASE event_type WHEN 'click' THEN 'Financial Data' WHEN 'view' THEN 'Credit History Data' WHEN 'signup' THEN 'Demographic Data'
@@ -96,6 +100,7 @@ VIEWS = {
     "features": (FEATURES, ["applications"]),
     "risk_full": (RISK_FULL, ["features"]),
     "risk": (RISK, ["risk_full"]),
+    "requests": (REQUESTS, ["risk_full"]),
     "consent_events": (CONSENT_EVENTS, []),
     "governance_events": (GOVERNANCE_EVENTS, []),
     "questions": (QUESTIONS, []),

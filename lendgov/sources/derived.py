@@ -56,6 +56,31 @@ GOVERNANCE_TYPE_OF_EVENT = {"click": "decision", "view": "model-update", "signup
                             "error": "bias-alert"}
 GOVERNANCE_TYPE_DEFAULT = "consent-change"
 
+# Applications as requests of the month whose events change consent.
+REQUEST_START, REQUEST_STEP, REQUEST_MINUTES = "2024-01-01 00:00:00", 7919, 43200
+
+# The members of a request body. A null income is sent as null by some callers and left out by others; some give an EMI.
+_BODY_MEMBERS = {
+    "income": "CASE WHEN ApplicantIncome IS NOT NULL THEN concat('\"ApplicantIncome\": ', CAST(ApplicantIncome AS STRING), ', ')"
+              " WHEN application_id % 2 = 0 THEN '\"ApplicantIncome\": null, ' ELSE '' END",
+    "emi": "CASE WHEN application_id % 7 = 0 THEN '\"emi\": null, ' WHEN application_id % 7 = 1 THEN '\"emi\": 4321.50, ' ELSE '' END",
+    "loan": "concat('\"LoanAmount\":', CAST(LoanAmount AS STRING), ',\"Loan_Amount_Term\" : ', CAST(Loan_Amount_Term AS STRING), ', ')",
+    "device": "concat('\"device\": {\"os\": \"x', CAST(application_id % 4 AS STRING), '\", \"app\": {\"version\": [1, ', CAST(application_id % 5 AS STRING),"
+              " ', null], \"name\": \"r\\u00e9f\"}}, ')",
+    "property": "concat('\"Property_Area\": \"', Property_Area, '\", ')",
+}
+_BODY_LAST = "concat('\"CoapplicantIncome\": ', CAST(CoapplicantIncome AS STRING), '}')"
+
+
+def _body_expr() -> str:
+    orders = [list(_BODY_MEMBERS), list(_BODY_MEMBERS)[::-1], sorted(_BODY_MEMBERS)]
+    cases = " ".join(f"WHEN {i} THEN concat('{{', {', '.join(_BODY_MEMBERS[m] for m in o)}, {_BODY_LAST})" for i, o in enumerate(orders))
+    # one body in 41 is cut off, as by a broken connection
+    return f"CASE WHEN application_id % 41 = 0 THEN '{{\"LoanAmount\": ' ELSE CASE CAST(application_id % 3 AS INT) {cases} END END"
+
+
+BODY_EXPR = _body_expr()
+
 # Question texts by intent (customer key modulo 8).
 QUESTION_STEMS = ["What bank balance do I need", "What salary is needed",
                   "What EMI ratio is healthy", "Which CIBIL score is enough",
@@ -131,6 +156,16 @@ class Views:
         inputs = [_os.path.join(self.sf_dir, f"{n}.parquet") for n in tables]
         return M.materialized(self.spark, name, inputs, self._code_files(*modules), build, extra=f"acc={self.quantile_accuracy}")
 
+    def stored_model(self, name: str, fit, modules=()):
+        """The pipeline that ``fit()`` trains, saved once per version of the loan data and modules."""
+        if not self.materialize:
+            return fit()
+        from pyspark.ml import PipelineModel
+        from . import materialize as M
+        path = M.published(self.spark, f"model-{name}", self._inputs(), self._code_files(*modules), lambda tmp: fit().save(tmp),
+                           extra=f"acc={self.quantile_accuracy}", marker="metadata/_SUCCESS")
+        return PipelineModel.load(path)
+
     def _inputs(self):
         import os as _os
         return [_os.path.join(self.sf_dir, f"{n}.parquet") for n in ("orders", "customer")]
@@ -186,6 +221,17 @@ class Views:
             _case_map("event_type", CONSENT_GROUP_OF_EVENT, CONSENT_GROUP_DEFAULT).alias("group_name"),
             (F.get_json_object("props", "$.k").try_cast("int") % 3 != 0).alias("allowed"))
 
+    @cached_property
+    def requests(self) -> DataFrame:
+        """The scored applications as requests of the month in which consent changes: ``requested_at``."""
+        minutes = F.expr(f"make_dt_interval(0, 0, cast((application_id * {REQUEST_STEP}) % {REQUEST_MINUTES} as int), 0)")
+        return self.scored.withColumn("requested_at", F.lit(REQUEST_START).cast("timestamp_ntz") + minutes)
+
+    @cached_property
+    def request_bodies(self) -> DataFrame:
+        """Each application as the JSON text that a caller might send: keys in any order, white space, nested parts, absent and null keys."""
+        return self.applications.select("application_id", F.expr(BODY_EXPR).alias("body"))
+
     @cached_property
     def governance_events_unsequenced(self) -> DataFrame:
         """Governance events without the per-chain sequence number (chain folds number them)."""

@@ -71,17 +71,25 @@ def publish(fs, tmp, path) -> bool:
     return False
 
 
-def materialized(spark: SparkSession, name: str, inputs: Sequence[str], code_files: Sequence[str],
-                 build: Callable[[], DataFrame], extra: str = "", rebuild: bool = False) -> DataFrame:
+def published(spark: SparkSession, name: str, inputs: Sequence[str], code_files: Sequence[str],
+              write: Callable[[str], None], extra: str = "", rebuild: bool = False, marker: str = "_SUCCESS") -> str:
+    """The folder that ``write(path)`` fills, written once per version of the inputs and modules.
+
+    ``marker``: the file below it that is written last."""
     root = os.path.join(ensure_checkpoint_dir(spark), "tables")
     path = os.path.join(root, f"{name}-{signature(spark, inputs, code_files, extra)}")
     fs, p = _fs(spark, path)
-    _, done = _fs(spark, path + "/_SUCCESS")
+    _, done = _fs(spark, f"{path}/{marker}")
     if rebuild or not fs.exists(done):
         tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
-        build().write.mode("overwrite").parquet(tmp)
+        write(tmp)
         _, tp = _fs(spark, tmp)
         if rebuild and fs.exists(p):
             fs.delete(p, True)
         publish(fs, tp, p)
-    return spark.read.parquet(path)
+    return path
+
+
+def materialized(spark: SparkSession, name: str, inputs: Sequence[str], code_files: Sequence[str],
+                 build: Callable[[], DataFrame], extra: str = "", rebuild: bool = False) -> DataFrame:
+    return spark.read.parquet(published(spark, name, inputs, code_files, lambda tmp: build().write.mode("overwrite").parquet(tmp), extra, rebuild))
