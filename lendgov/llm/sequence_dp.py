@@ -20,7 +20,8 @@ empty table gives no rows; a long text is tokenised whole and cut like any other
 
 from __future__ import annotations
 
-import re
+import base64
+import json
 from collections import deque
 from dataclasses import dataclass
 
@@ -52,26 +53,60 @@ class Costs:
     inside: int = 6
 
 
-#: A sentence ends after one of these (and what closes it) before white space, or at a line's end.
-_SENTENCE = re.compile("(?:[.!?…]|[。！？।؟۔])[\"'”’»)\\]]*(?=\\s)|[。！？]|\\n+".encode())
-
-
-def sentence_ends(text: bytes, token_ends: np.ndarray) -> np.ndarray:
-    """How many tokens lie before each sentence end that is a token's end too."""
-    stops = np.fromiter((m.end() for m in _SENTENCE.finditer(text)), np.int64)
-    at = np.searchsorted(token_ends, stops)
-    ok = at < len(token_ends)
-    return np.unique(at[ok][token_ends[at[ok]] == stops[ok]]) + 1
-
-
-def open_cuts(n_tokens: int, boundaries: np.ndarray) -> list[tuple[int, bool]]:
-    """(position, whether inside a sentence) where a document of ``n_tokens`` may be cut, its end not included."""
+#: A sentence ends after one of these, and what closes it, before white space; after one of the wide marks; or at a line's end.
+_MARKS, _CLOSERS, _SPACE = b".!?", b"\"')]", b" \t\n\r\x0b\x0c"
+_WIDE = "…。！？।؟۔"
+
+
+class Vocabulary:
+    """What the ids' bytes say about sentences: bytes of each id, whether it ends with a mark, is made of closers, begins with white space, ends a line."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.width = np.array([len(t) for t in tokens], np.int64)
+        self.mark = np.array([t.rstrip(_CLOSERS).endswith(tuple(bytes([c]) for c in _MARKS)) for t in tokens])
+        self.closer = np.array([bool(t) and not t.strip(_CLOSERS) for t in tokens])
+        self.space = np.array([t[:1] != b"" and t[0] in _SPACE for t in tokens])
+        self.line = np.array([t.endswith(b"\n") for t in tokens])
+
+    def sentence_ends(self, text: str, ids: np.ndarray) -> np.ndarray:
+        """How many tokens lie before each sentence end but the text's own end; ``ids`` are the text's."""
+        if not len(ids):
+            return np.zeros(0, np.int64)
+        ends, closers = self.mark[ids], self.closer[ids]
+        for _ in range(2):  # closers that are tokens of their own
+            ends[1:] |= closers[1:] & ends[:-1]
+        ends[:-1] &= self.space[ids[1:]]
+        ends |= self.line[ids]
+        out = np.flatnonzero(ends) + 1
+        marks = [m.encode() for m in _WIDE if m in text]
+        if marks:  # their bytes may be dealt over tokens
+            raw = text.encode()
+            wide = np.array([i + len(m) for m in marks for i in _places(raw, m)])
+            upto = np.cumsum(self.width[ids])
+            at = np.searchsorted(upto, wide)
+            out = np.union1d(out, at[upto[at] == wide] + 1)
+        return out[out < len(ids)]
+
+
+def _places(text: bytes, mark: bytes):
+    at = text.find(mark)
+    while at >= 0:
+        yield at
+        at = text.find(mark, at + 1)
+
+
+def open_cuts(n_tokens: int, boundaries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (ascending) where a document of ``n_tokens`` may be cut, its end not included, and whether each lies inside a sentence."""
     inner = boundaries[(boundaries > 0) & (boundaries < n_tokens)]
     edges = np.concatenate([[0], inner, [n_tokens]])
-    cuts = dict.fromkeys(inner.tolist(), False)
-    for a in np.flatnonzero(np.diff(edges) > STRETCH):
-        cuts.update(dict.fromkeys(range(int(edges[a]) + STRIDE, int(edges[a + 1]), STRIDE), True))
-    return sorted(cuts.items())
+    wide = np.flatnonzero(np.diff(edges) > STRETCH)
+    if not len(wide):
+        return inner, np.zeros(len(inner), bool)
+    each = (edges[wide + 1] - edges[wide] - 1) // STRIDE  # cuts in each stretch
+    extra = np.repeat(edges[wide], each) + STRIDE * (np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + 1)
+    both = np.concatenate([inner, extra])
+    order = np.argsort(both, kind="stable")
+    return both[order], order >= len(inner)
 
 
 class Cutter:
@@ -81,30 +116,44 @@ class Cutter:
         if length < STRIDE:
             raise ValueError(f"sequences of fewer than {STRIDE} tokens")
         self.length, self.costs = length, costs
-        self.powers = [1 << k for k in range(length.bit_length()) if 1 << k <= length]
+        # bit d of ``behind`` says that there is a position d before the latest one; bits of the powers of two
+        self.behind, self.reach = 0, (1 << length + 1) - 1
+        self.powers = sum(1 << (1 << k) for k in range(length.bit_length()) if 1 << k <= length)
         self.position, self.least, self.came = [0], [0], [-1]
         self.at = {0: 0}                      # position -> its number
-        self.queue: deque[tuple[int, int]] = deque([(0, 0)])  # (least + position, number), rising
-
-    def add(self, p: int, penalty: int) -> None:
-        queue, position, least, at = self.queue, self.position, self.least, self.at
-        while position[queue[0][1]] < p - self.length:
-            queue.popleft()
-        key, best = queue[0]
-        cost = key + self.length - p
-        for power in self.powers:
-            i = at.get(p - power)
-            if i is not None and least[i] < cost:
-                cost, best = least[i], i
-        cost += self.costs.window + penalty
-        j = len(position)
-        position.append(p)
-        least.append(cost)
-        self.came.append(best)
-        at[p] = j
-        while queue and queue[-1][0] >= cost + p:
-            queue.pop()
-        queue.append((cost + p, j))
+        self.queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # (least + position, number, position), rising
+
+    def add(self, positions: list[int], penalties: list[int]) -> None:
+        """The next positions, ascending, and what a cut there costs beside padding."""
+        queue, position, least, came, at = self.queue, self.position, self.least, self.came, self.at
+        length, powers, window, known = self.length, self.powers, self.costs.window, self.at.get
+        behind, reach, j, last = self.behind, self.reach, len(position), position[-1]
+        for p, penalty in zip(positions, penalties):
+            oldest = p - length
+            behind = (behind << p - last | 1 << p - last) & reach
+            last = p
+            while queue[0][2] < oldest:
+                queue.popleft()
+            key, best, _ = queue[0]
+            cost = key - oldest
+            found = behind & powers
+            while found:
+                power = found.bit_length() - 1
+                found ^= 1 << power
+                i = known(p - power)
+                if i is not None and least[i] < cost:
+                    cost, best = least[i], i
+            cost += window + penalty
+            position.append(p)
+            least.append(cost)
+            came.append(best)
+            at[p] = j
+            key = cost + p
+            while queue and queue[-1][0] >= key:
+                queue.pop()
+            queue.append((key, j, p))
+            j += 1
+        self.behind = behind
 
     def _way(self, j: int) -> list[int]:
         out = []
@@ -137,7 +186,7 @@ class Cutter:
         self.position, self.least = self.position[first:], [c - base for c in self.least[first:]]
         self.came = [-1, *(max(c - first, 0) for c in self.came[first + 1:])]
         self.at = {p: j for j, p in enumerate(self.position)}
-        self.queue = deque((key - base, j - first) for key, j in self.queue if j >= first)
+        self.queue = deque((key - base, j - first, p) for key, j, p in self.queue if j >= first)
 
 
 _OUT = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -158,9 +207,9 @@ class Stream:
         """Takes a document and yields the pieces that are decided."""
         self.pending.append((doc_id, self.end, ids))
         begin, self.end = self.end, self.end + len(ids)
-        for p, inside in open_cuts(len(ids), boundaries):
-            self.cutter.add(begin + p, self.costs.inside if inside else self.costs.sentence)
-        self.cutter.add(self.end, 0)
+        cuts, inside = open_cuts(len(ids), boundaries)
+        penalties = np.where(inside, self.costs.inside, self.costs.sentence)
+        self.cutter.add([*(cuts + begin).tolist(), self.end], [*penalties.tolist(), 0])
         if self.end - self.settled > self.horizon:
             yield from self.finish(False)
             # a stream whose ways stay apart is looked at less and less often
@@ -184,27 +233,19 @@ class Stream:
                 return
 
 
-def token_widths(encoder) -> np.ndarray:
-    """Bytes of every id of the vocabulary, those of special tokens included."""
-    import base64
-    import json
-
+def vocabulary(encoder) -> Vocabulary:
+    """The bytes of every id of the encoder's vocabulary, those of special tokens included."""
     table, described = encoder.parts[:2]
-    pairs = [line.split() for line in table.splitlines()]
-    special = json.loads(described)["added_tokens"]
-    out = np.zeros(max(max(int(r) for _, r in pairs), *(t["id"] for t in special)) + 1, np.int64)
-    for token, rank in pairs:
-        out[int(rank)] = len(base64.b64decode(token))
-    for t in special:
-        out[t["id"]] = len(t["content"].encode())
-    return out
+    tokens = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, table.splitlines())}
+    tokens |= {t["id"]: t["content"].encode() for t in json.loads(described)["added_tokens"]}
+    return Vocabulary([tokens.get(i, b"") for i in range(max(tokens) + 1)])
 
 
 def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, costs: Costs = Costs(), encode=None) -> DataFrame:
     """The pieces of every document of ``docs`` (doc_id, text): doc_id, start, length, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset."""
     encoder = encode or packing.load_encoder()
-    shared, widths = C.broadcast(encoder), C.broadcast(token_widths(encoder))
+    shared, known = C.broadcast(encoder), C.broadcast(vocabulary(encoder))
 
     def cut(batches):
         stream = Stream(length, costs, TaskContext.get().partitionId() * SEQUENCES)
@@ -212,8 +253,7 @@ def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, costs: Cos
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.array(shared.value(text or "") + [end_id], "<u4")
-                ends = np.cumsum(widths.value[ids[:-1]])
-                rows += stream.add(doc_id, ids, sentence_ends((text or "").encode(), ends))
+                rows += stream.add(doc_id, ids, known.value.sentence_ends(text or "", ids[:-1]))
             yield _batch(rows)
         yield _batch(list(stream.finish()))
 

@@ -70,7 +70,7 @@ def test_the_cost_is_the_least_of_all_ways_also_when_settled_on_the_way(steps, s
     penalties = [0, *(p for _, p in steps)]
     cutter, cuts, paid = sequence_dp.Cutter(32, costs), [0], 0
     for i, (p, pen) in enumerate(zip(positions[1:], penalties[1:])):
-        cutter.add(p, pen)
+        cutter.add([p], [pen])
         if i == settle_at:
             cuts += cutter.settle(False)[1:]
     cuts += cutter.settle(True)[1:]
@@ -95,17 +95,21 @@ def test_settling_often_gives_the_same_cuts(monkeypatch):
     assert run() == whole
 
 
-def test_cuts_fall_on_sentence_ends_of_any_script():
+def sentences(text):
     encoder = packing.load_encoder()
-    widths = sequence_dp.token_widths(encoder)
-    text = 'One. "Two!" Three? no.stop\nनमस्ते। फिर 日本。語 سلام؟ نعم <|endoftext|> End.'
-    ids = np.array(encoder(text) + [0])
-    ends = np.cumsum(widths[ids[:-1]])
-    assert ends[-1] == len(text.encode())
-    cuts = sequence_dp.sentence_ends(text.encode(), ends)
-    at = [0, *ends[cuts - 1].tolist()]
-    parts = [text.encode()[a:b].decode() for a, b in zip(at, at[1:])]
-    assert parts == ['One.', ' "Two!"', ' Three?', ' no.stop\n', 'नमस्ते।', ' फिर 日本。', '語 سلام؟']
+    known = sequence_dp.vocabulary(encoder)
+    ids = np.array(encoder(text), np.int64)
+    ends = np.cumsum(known.width[ids])
+    assert not len(ids) or ends[-1] == len(text.encode())
+    at = [0, *ends[known.sentence_ends(text, ids) - 1].tolist()]
+    return [text.encode()[a:b].decode() for a, b in zip(at, at[1:])]
+
+
+def test_cuts_fall_on_sentence_ends_of_any_script():
+    assert sentences('One. "Two!" (Three?) no.stop\nनमस्ते। फिर 日本。語 سلام؟ نعم <|endoftext|> End.') == [
+        "One.", ' "Two!"', " (Three?)", " no.stop\n", "नमस्ते।", " फिर 日本。", "語 سلام؟"]
+    assert sentences("Ein Mädchen à la carte, ça va ¤ ¡ ¢ ä ё। x") == ["Ein Mädchen à la carte, ça va ¤ ¡ ¢ ä ё।"]  # bytes of a mark alone are none
+    assert sentences("") == [] and sentences("no end") == []
 
 
 @pytest.mark.parametrize("text", ["x" * 100_000, "word " * 40_000, "", None, "<|endoftext|>" * 3000])
