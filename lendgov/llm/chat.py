@@ -7,14 +7,15 @@ inserted before it. Dynamic programming over the automaton's states finds the ch
 reading (costs: ``COSTS``); it is rendered as marked-up text, one piece per input turn, whose concatenation in
 order is the conversation.
 
-Scale: turns are range-partitioned by (conversation, turn), so a conversation with a third of all turns is spread over many tasks.
+Scale: turns are range-partitioned in their order, tied and repeated ones by where they are stored, so a conversation (or one
+repeated turn) with a third of all turns is spread over many tasks.
 Costs of a run of turns form a small matrix (state before, state after) and matrices of consecutive
 runs combine by (min, +). A first pass gives the matrix of each partition's first and last run;
 only these, two rows a partition, are combined on the driver, for the states at the partition borders. A second
 pass traces each run back between its known states and renders it.
 
 Edge cases: roles are compared trimmed and in lower case with common aliases; an unknown or null role is
-relabelled; a null text is empty; turns are ordered by turn (null first), then role and text, so repeated rows are
+relabelled; a null text is empty; turns are ordered by turn (null first), then role and a hash of the text, so repeated rows are
 consecutive turns of one role; null conversation ids form one conversation; an empty table gives no rows.
 """
 
@@ -218,10 +219,13 @@ def repair_turns(turns: DataFrame, costs: dict[str, int] | None = None) -> DataF
     """
     spark = turns.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["conv_id", "turn", "role", "text"]
-    rows = turns.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
+    # equal texts are told apart by where they are stored, so that any number of tied turns is split over tasks
+    digest, place = C.scratch_name("digest"), C.scratch_name("place")
+    keys = ["conv_id", "turn", "role", digest, place]
+    rows = turns.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text",
+                        F.md5("text").alias(digest), F.monotonically_increasing_id().alias(place))
     # checkpoint() keeps the partitions as they are, which both passes rely on
-    sorted_turns = rows.repartitionByRange(parts, "conv_id", "turn").sortWithinPartitions(*keys).checkpoint()
+    sorted_turns = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop(digest, place).checkpoint()
 
     def edges(batches):
         repair, part, ends = Repair(costs), TaskContext.get().partitionId(), []

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-#: Rows of text per Arrow batch: whole texts can be long, so batches stay small.
+#: Rows and bytes of an Arrow batch: whole texts can be long, so batches stay small.
 TEXT_BATCH_ROWS = 1000
+TEXT_BATCH_BYTES = 1 << 25
 #: Bytes of text that the vectorised scorers hold as numpy arrays at once.
 CHUNK_BYTES = 1 << 20
 #: ASCII white space of the word pattern ``[^\x20\x09-\x0D]+`` (what ``bytes.split`` splits at).
@@ -24,6 +25,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Settings the operators rely on: UTC, a checkpoint folder, small Arrow batches."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BATCH_BYTES))
     ensure_checkpoint_dir(spark)
     return spark
 

@@ -12,8 +12,9 @@ which side of its source's cut it is on. A source with a third of all rows is sp
 over its key buckets.
 
 The document on the cut gives just the words that are missing. Rows with the same
-source and key as the cut (repeated rows) share them evenly, so a source may miss its
-budget by fewer words than it has such rows.
+source and key as the cut (repeated rows) share them evenly; what does not divide goes, a word
+each, to those that are stored first, so that a source's words are its budget exactly.
+(Stored first: ``docs`` must read the same each time, as a stored table does.)
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order;
 a source of size 0 has target 0; equal ids with equal text are repeated rows and are all
@@ -80,7 +81,8 @@ def cuts(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = MA
 
     ``weights`` (source, weight) defaults to ``WEIGHTS`` repeating over the sources in order.
     """
-    rows = C.written(docs.select("source", random_key(seed).alias("key"), n_words(F.col("text")).alias("size")), "mix-sizes")
+    rows = C.written(docs.select("source", random_key(seed).alias("key"), n_words(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("place")),
+                     "mix-sizes")
     sized = rows.where("size > 0").withColumn("bucket", _bucket(F.col("key")))
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     if weights is None:
@@ -112,8 +114,29 @@ def cuts(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = MA
              .where("upto >= rest and upto - here < rest")
              .groupBy("cut_source").agg(F.max("key").alias("cut_key"), F.max("cut_rows").alias("cut_rows"),
                                         F.max(F.expr("rest - (upto - here)")).alias("cut_words")))
-    return C.written(budget.join(found, F.col("source").eqNullSafe(F.col("cut_source")), "left")
+    plan = C.written(budget.join(found, F.col("source").eqNullSafe(F.col("cut_source")), "left")
                      .select("source", "source_size", "target", "epochs", "cut_key", "cut_words", "cut_rows"), "mix-cuts")
+    last = _last_with_one_more(rows.where("size > 0").select("source", "key", "place"), plan)
+    return C.written(plan.join(last, F.col("source").eqNullSafe(F.col("one_more_source")), "left").drop("one_more_source"), "mix-plan")
+
+
+def _last_with_one_more(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """(one_more_source, one_more): the rows on a cut share its words evenly, and those up to the place ``one_more`` take one more.
+
+    Counts per stored partition tell in which one that place lies; only its rows on the cut are ordered.
+    """
+    odd = (plan.where("cut_words % cut_rows > 0")
+           .select(F.col("source").alias("one_more_source"), "cut_key", F.expr("cut_words % cut_rows").alias("extra")))
+    part = F.shiftright("place", 33)  # of monotonically_increasing_id
+    tied = (rows.join(odd, F.col("source").eqNullSafe(F.col("one_more_source")) & (F.col("key") == F.col("cut_key")))
+            .select("one_more_source", "extra", part.alias("part"), "place"))
+    before = W.partitionBy("one_more_source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    held = (tied.groupBy("one_more_source", "extra", "part").agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("need", F.col("extra") - F.coalesce(F.sum("n").over(before), F.lit(0)))
+            .where("need > 0 and need <= n").select(F.col("one_more_source").alias("s"), F.col("part").alias("p"), "need"))
+    own = tied.join(held, F.col("one_more_source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+    return (own.withColumn("nth", F.row_number().over(W.partitionBy("one_more_source", "part").orderBy("place")))
+            .where("nth = need").select("one_more_source", F.col("place").alias("one_more")))
 
 
 def mixed(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
@@ -122,13 +145,14 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = M
     ``epochs`` whole repeats are taken, then the first ``last`` words.
     """
     plan = cuts(docs, weights, max_epochs, seed)
-    names = {c: C.scratch_name(c) for c in ("src", "key", "size", *plan.columns)}
+    names = {c: C.scratch_name(c) for c in ("src", "key", "size", "place", *plan.columns)}
     plan = plan.select(*[F.col(c).alias(names[c]) for c in plan.columns])
-    d = docs.withColumns({names["key"]: random_key(seed), names["size"]: n_words(F.col("text"))})
+    d = docs.withColumns({names["key"]: random_key(seed), names["size"]: n_words(F.col("text")), names["place"]: F.monotonically_increasing_id()})
     joined = d.join(plan, d["source"].eqNullSafe(F.col(names["source"])))
     key, size, cut = (F.col(names[c]) for c in ("key", "size", "cut_key"))
+    one_more = F.coalesce((F.col(names["place"]) <= F.col(names["one_more"])).cast("bigint"), F.lit(0))
     last = (F.when(cut.isNull() | (key > cut), F.lit(0)).when(key < cut, size)
-            .otherwise(F.least(size, F.floor(F.col(names["cut_words"]) / F.col(names["cut_rows"])))).cast("bigint"))
+            .otherwise(F.least(size, F.expr(f"{names['cut_words']} div {names['cut_rows']}") + one_more)).cast("bigint"))
     mix = F.struct(size.alias("size"), F.col(names["source_size"]).alias("source_size"), F.col(names["target"]).alias("target"),
                    F.col(names["epochs"]).alias("epochs"), last.alias("last"))
     tag = names["src"]

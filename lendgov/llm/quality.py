@@ -7,7 +7,8 @@
    without an objection as the good ones; no label is read.
 3. The posterior of its pattern is a document's label. A linear scorer over hashed features (shapes of
    four characters, by character class, and buckets of the labellers' measures) is trained on a bounded
-   sample, at most ``SAMPLE_DOCS`` of each posterior class, and scores every document's whole text.
+   sample, at most ``SAMPLE_DOCS`` of each posterior class, and scores every document's whole text. Rows with equal id and text
+   are one row of the sample with their number as its weight.
 
 Edge cases: null and empty texts have no characters and get the lowest length bucket; if all documents vote alike
 there is one class to learn and scores are its share; rows are independent, so repeated rows and null ids keep
@@ -177,10 +178,10 @@ def _features(batches):
         doc, f = pair // N_FEATURES, pair % N_FEATURES
         share = n / np.maximum(np.bincount(doc, n, len(texts)), 1)[doc] * _SHAPE_SCALE
         cut = np.searchsorted(doc, np.arange(len(texts) + 1))
-        yield pa.record_batch([batch.column(1),
+        yield pa.record_batch([batch.column(1), batch.column(2), batch.column(3),
                                pa.array([f[a:b].tolist() + own[i].tolist() for i, (a, b) in enumerate(zip(cut, cut[1:]))], pa.list_(pa.int32())),
                                pa.array([share[a:b].tolist() + [1.0] * own.shape[1] for a, b in zip(cut, cut[1:])], pa.list_(pa.float32()))],
-                              names=["posterior", "features", "shares"])
+                              names=["key", "posterior", "copies", "features", "shares"])
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[LabelModel | None, QualityModel]:
@@ -196,21 +197,24 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[LabelModel |
     share = {c: min(1.0, float(sample_docs) / max(float(n[good == c].sum()), 1.0)) for c in (True, False)}
     labels = docs.sparkSession.createDataFrame([(int(p), float(x), share[bool(g)]) for p, x, g in zip(pattern, q, good)],
                                                "pattern int, posterior double, share double")
-    picked = C.written(voted.join(F.broadcast(labels), "pattern").where(F.pmod("key", F.lit(1 << 32)) < F.col("share") * float(1 << 32))
-                       .groupBy("key").agg(F.max("posterior").alias("posterior")), "quality-sample")
+    chosen = (voted.join(F.broadcast(labels), "pattern").where(F.pmod("key", F.lit(1 << 32)) < F.col("share") * float(1 << 32))
+              .groupBy("key").agg(F.max("posterior").alias("posterior"), F.count(F.lit(1)).alias("copies")))
+    classes = [chosen.where(c).orderBy(F.pmod("key", F.lit(1 << 32)), "key").limit(sample_docs) for c in ("posterior >= 0.5", "posterior < 0.5")]
+    picked = C.written(classes[0].unionByName(classes[1]), "quality-sample")
     keyed = docs.select("text", F.xxhash64("doc_id", "text", F.lit(SEED)).alias("key"))
-    rows = (keyed.join(F.broadcast(picked), "key").select("text", "posterior")
-            .mapInArrow(_features, "posterior double, features array<int>, shares array<float>").toPandas())
+    texts = keyed.join(F.broadcast(picked), "key").groupBy("key").agg(*[F.first(c).alias(c) for c in ("text", "posterior", "copies")])
+    rows = texts.select("text", "key", "posterior", "copies").mapInArrow(
+        _features, "key bigint, posterior double, copies bigint, features array<int>, shares array<float>").toPandas()
     if rows.empty or rows["posterior"].ge(0.5).nunique() < 2:
         p = float(np.clip((q * n).sum() / n.sum(), 1e-6, 1 - 1e-6))
         return model, QualityModel(np.zeros(N_FEATURES), float(np.log(p) - np.log1p(-p)))
-    rows["first"] = rows["shares"].map(lambda s: float(np.sum(s)))
-    rows = rows.assign(size=rows["features"].map(len)).sort_values(["posterior", "size", "first"], kind="stable").reset_index(drop=True)
+    rows = rows.assign(size=rows["features"].map(len)).sort_values("key").reset_index(drop=True)  # sums must not depend on the order of tasks
     doc = np.repeat(np.arange(len(rows)), rows["size"])
     f = np.concatenate([np.asarray(x, np.int64) for x in rows["features"]])
     s = np.concatenate([np.asarray(x, float) for x in rows["shares"]])
     y = rows["posterior"].to_numpy()
-    halves = np.where(y >= 0.5, 0.5 / max((y >= 0.5).sum(), 1), 0.5 / max((y < 0.5).sum(), 1))
+    copies = rows["copies"].to_numpy(float)
+    halves = copies * np.where(y >= 0.5, 0.5 / max(copies[y >= 0.5].sum(), 1), 0.5 / max(copies[y < 0.5].sum(), 1))
     weight, bias = C.fit_logistic(doc, f, s, len(rows), N_FEATURES, y, halves)
     return model, QualityModel(weight, bias)
 

@@ -124,10 +124,11 @@ t AS (SELECT o.source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(
 b AS (SELECT *, CAST(round(target) AS BIGINT) AS budget, CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS epochs FROM t),
 r AS (SELECT d.doc_id, d.size, b.source_size, b.target, b.epochs, b.budget - b.epochs * b.source_size AS rest,
         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k) AS upto, sum(d.size) OVER (PARTITION BY d.source, d.k) AS here,
-        count(*) FILTER (WHERE d.size > 0) OVER (PARTITION BY d.source, d.k) AS same
+        count(*) FILTER (WHERE d.size > 0) OVER (PARTITION BY d.source, d.k) AS same,
+        row_number() OVER (PARTITION BY d.source, d.k, d.size > 0) AS nth
       FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target, CAST(size * epochs + CASE WHEN size = 0 THEN 0 WHEN upto <= rest THEN size WHEN upto - here >= rest THEN 0
-         ELSE least(size, (rest - (upto - here)) // same) END AS BIGINT) AS taken FROM r"""
+         ELSE least(size, (rest - (upto - here)) // same + CASE WHEN nth <= (rest - (upto - here)) % same THEN 1 ELSE 0 END) END AS BIGINT) AS taken FROM r"""
 
 
 @query("op5_mix_sources", oracle=_OP5_SQL)

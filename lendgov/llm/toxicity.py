@@ -12,11 +12,12 @@
 4. A linear classifier over the terms' counts is trained on the posterior labels and scores every
    document's whole text.
 
-Only rows of ``labels`` that the caller passes are learned from: at most ``SAMPLE_DOCS`` of each
-class, picked by a hash of the id. Scores depend on the text alone.
+Only rows of ``labels`` that the caller passes are learned from: at most ``SAMPLE_DOCS`` ids of each
+class, picked by a hash of the id. A sampled id is one row of the sample, with the number of its document rows as its weight,
+so at most twice ``SAMPLE_DOCS`` rows reach the driver. Scores depend on the text alone.
 
 Edge cases: null and empty texts get the score of a text without terms; a missing or null label
-is no label, of repeated labels the highest counts; without labelled rows of both classes the public list alone
+is no label, of repeated labels the highest counts; of different texts under one id the one with the least hash stands for all; without labelled rows of both classes the public list alone
 decides; repeated rows and null ids keep their rows; an empty table gives no rows.
 """
 
@@ -164,17 +165,19 @@ def label_model(votes: np.ndarray, labels: np.ndarray, weight: np.ndarray, n_sig
 
 
 def _sample(labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """At most about ``per_class`` labelled ids of each class, picked by hash (labelled_id, label), and each class's size."""
-    one = labels.groupBy(F.col("doc_id").alias("labelled_id")).agg(F.max("toxic").cast("int").alias("label")).where("label in (0, 1) and labelled_id is not null")
+    """At most ``per_class`` labelled ids of each class, those with the least hashes (labelled_id, label), and each class's size."""
+    one = C.written(labels.groupBy(F.col("doc_id").alias("labelled_id")).agg(F.max("toxic").cast("int").alias("label"))
+                    .where("label in (0, 1) and labelled_id is not null"), "toxic-labels")
     n = {r["label"]: r["n"] for r in one.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.when(F.col("label") == 1, F.lit(min(1.0, per_class / n.get(1, 1)))).otherwise(F.lit(min(1.0, per_class / n.get(0, 1))))
-    return C.written(one.where(C.hash_share("labelled_id", SEED) < share), "toxic-sample"), n
+    least = [one.where(F.col("label") == c).orderBy(C.hash_share("labelled_id", SEED), "labelled_id").limit(per_class) for c in (0, 1)]
+    return C.written(least[0].unionByName(least[1]), "toxic-sample"), n
 
 
 def _count_terms(batches):
-    """Per batch: in how many documents of each class a term occurs."""
+    """Per batch (text, label, rows that the text stands for): in how many documents of each class a term occurs."""
     for batch in batches:
-        labels = np.array(batch.column(1).to_pylist(), np.int64)
+        copies = np.array(batch.column(2).to_pylist(), np.int64)
+        labels = np.array(batch.column(1).to_pylist(), np.int64) * copies
         docs, keys = [], []
         for owner, key in _terms([_bytes(t) for t in batch.column(0).to_pylist()]):
             order = np.argsort(key, kind="stable")  # owners ascend, so equal pairs are neighbours
@@ -187,8 +190,8 @@ def _count_terms(batches):
         doc, key = doc[order], key[order]
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))[:len(key)]
         doc, key = doc[new], key[new]
-        key, first, n = np.unique(key, return_index=True, return_counts=True)
-        toxic = np.add.reduceat(labels[doc], first) if len(first) else first
+        key, first = np.unique(key, return_index=True)
+        n, toxic = (np.add.reduceat(x[doc], first) if len(first) else first for x in (copies, labels))
         yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(n - toxic), pa.array(toxic)], names=["key", "clean", "toxic"])
 
 
@@ -197,8 +200,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, ma
     """Fit on the rows of ``labels`` (doc_id, toxic); the driver gets the terms and the sampled documents' counts of them."""
     picked, labelled = _sample(labels, sample_docs)
     sample = C.written(docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("labelled_id"))
-                       .select("text", "label"), "toxic-texts")
-    n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+                       .groupBy("labelled_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("label").alias("label"),
+                                                   F.count(F.lit(1)).alias("copies")), "toxic-texts").select("text", "label", "copies")
+    n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.sum("copies").alias("n")).collect()}
     public = word_keys(WORDS)
     if not (n.get(0) and n.get(1)):
         return ToxicityModel(Lexicon(public), np.full(len(public), 4.0), -2.0)
@@ -218,13 +222,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, ma
             doc, term, times = shared.value.counts([_bytes(t) for t in texts])
             cut = np.searchsorted(doc, np.arange(len(texts) + 1))
             rows = [(slice(a, b)) for a, b in zip(cut, cut[1:])]
-            yield pa.record_batch([pa.array(batch.column(1).to_pylist(), pa.int32()),
+            yield pa.record_batch([pa.array(batch.column(1).to_pylist(), pa.int32()), batch.column(2),
                                    pa.array([term[r].tolist() for r in rows], pa.list_(pa.int32())),
                                    pa.array([times[r].tolist() for r in rows], pa.list_(pa.int32())),
                                    pa.array([[int(bool(p.search(t or ""))) for p in _PATTERNS] for t in texts], pa.list_(pa.int32()))],
-                                  names=["label", "terms", "times", "patterns"])
+                                  names=["label", "copies", "terms", "times", "patterns"])
 
-    rows = sample.mapInArrow(found, "label int, terms array<int>, times array<int>, patterns array<int>").toPandas()
+    rows = sample.mapInArrow(found, "label int, copies bigint, terms array<int>, times array<int>, patterns array<int>").toPandas()
     y = rows["label"].to_numpy()
     doc = np.repeat(np.arange(len(rows)), rows["terms"].map(len))
     term = np.concatenate([np.asarray(t, np.int64) for t in rows["terms"]]) if len(doc) else np.zeros(0, np.int64)
@@ -238,7 +242,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, ma
     votes[doc, voter[term]] = 1.0
     votes[doc[listed[term]], n_lexicon] = 1.0
     votes[:, n_lexicon + 1:] = np.array(rows["patterns"].tolist())
-    stands = np.array([picked_of[c][0] / picked_of[c][1] for c in (0, 1)])[y]  # labelled rows for each sampled one
+    # labelled rows for each sampled one
+    stands = np.array([picked_of[c][0] / picked_of[c][1] for c in (0, 1)])[y] * rows["copies"].to_numpy(float)
     order = np.lexsort((*votes.T, y))  # sums must not depend on the order in which tasks ended
     q = np.empty(len(rows))
     q[order] = label_model(votes[order], y[order], stands[order], n_lexicon + 1)[0]

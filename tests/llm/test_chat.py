@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lendgov.llm import chat
@@ -110,3 +111,20 @@ def test_edges(spark):
     assert out[2][1] == 2 and out[3][1] == 2 and rendered_roles(out[None][0]) == ["user", "assistant"]
     assert chat.repair_turns(spark.createDataFrame([], COLUMNS)).count() == 0
     assert chat.conversations(chat.repair_turns(spark.createDataFrame(rows, COLUMNS))).count() == 5
+
+
+def test_tied_turns_are_split_over_tasks(spark):
+    # 30,000 equal turns, and as many that tie on conversation and turn only
+    turns = spark.range(0, 60_000, 1, 6).selectExpr("7L as conv_id", "3L as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "if(id % 2 = 0, 'same', cast(id as string)) as text")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        got = chat.repair_turns(turns)
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        rows = got.select("position", "action", "new_role", "inserted", "cost", "is_last").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(sizes) == 8 and max(sizes) < 15_000
+    assert sorted(r.position for r in rows) == list(range(60_000)) and sum(r.is_last for r in rows) == 1
+    roles = ["assistant"] * 30_000 + ["user"] * 30_000
+    assert sum(r.cost for r in rows) == sum(s.cost for _, s in chat.Repair().trace([chat.role_number(r) for r in roles], chat.START, None))

@@ -1,3 +1,5 @@
+from collections import Counter
+import re
 import zlib
 
 import numpy as np
@@ -38,14 +40,53 @@ def test_bit_slices_equal_plain_sets():
         assert ((mask[:, 0] >> np.uint64(i)) & np.uint64(1)).all()  # a Bloom filter forgets nothing
 
 
-def test_grams_of_long_text_are_those_of_the_whole(monkeypatch):
-    text = langid._bytes("abc defg  hij " * 50)
-    whole = sorted(g for _, x in langid._grams([text]) for g in x.tolist())
+def plain_grams(text):
+    """The windows of four bytes over the text in lower case, every run of other characters than letters as one space."""
+    raw = re.sub(b"[\x00-\x40\x5b-\x60\x7b-\x7f]+", b" ", b" " + text.lower().encode() + b" ")
+    return [int.from_bytes(raw[i:i + 4], "little") for i in range(len(raw) - 3)]
+
+
+def test_grams_are_those_of_plain_windows(monkeypatch):
+    text = "Abc, defg -- hij 12 \xe9\u65e5\u672c! " * 50
+    got = sorted(g for _, x in langid._grams([langid._bytes(text)]) for g in x.tolist())
+    assert got == sorted(plain_grams(text))
+    # cut into pieces, whose cuts may fall into a run of blanks: no window of letters is lost or new
     import lendgov.llm.common as C
     monkeypatch.setattr(C.chunks, "__defaults__", (7,))
-    cut = sorted(g for _, x in langid._grams([text]) for g in x.tolist())
-    assert abs(len(cut) - len(whole)) <= len(text) // 7  # a run of blanks may be seen from both sides of a cut
-    assert set(whole) <= set(cut) | set(whole)
+    cut = Counter(g for _, x in langid._grams([langid._bytes("abc defg hij " * 50)]) for g in x.tolist())
+    assert cut == Counter(plain_grams("abc defg hij " * 50))
+
+
+def test_query_agrees_with_sets_in_place_of_filters(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    counts = {}
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.lang is not None and r.text is not None:
+            counts.setdefault(r.lang, Counter()).update(plain_grams(r.text))
+    counts = {la: {g: n for g, n in c.items() if n >= langid.MIN_COUNT} for la, c in counts.items()}
+    share = {la: {g: n / sum(c.values()) for g, n in c.items()} for la, c in counts.items()}
+    most = Counter()
+    for c in share.values():
+        for g, v in c.items():
+            most[g] = max(most[g], v)
+    sets = {la: {g for g in sorted((g for g, v in c.items() if v >= langid.MIN_RELATIVE * most[g]), key=lambda g: (-counts[la][g], g))[:langid.PROFILE]}
+            for la, c in share.items()}
+    got = {r.doc_id: r for r in QUERIES["op7_language_id"](spark, SF).collect()}
+    assert len(got) == len(rows)
+    same = 0
+    for r in rows:
+        letters = r.text is not None and any(c.isalpha() for c in r.text)
+        if not letters:
+            assert got[r.doc_id].lang_pred == "und" and got[r.doc_id].score == 0
+            same += 1
+            continue
+        grams = plain_grams(r.text)
+        held = {la: sum(g in s for g in grams) / len(grams) for la, s in sets.items()}
+        best = max(held, key=lambda la: held[la])
+        same += best == got[r.doc_id].lang_pred
+        # false positives are corrected in the mean: a share of n windows is off by their deviation
+        assert abs(held[got[r.doc_id].lang_pred] - got[r.doc_id].score) < 0.02 + 0.5 / len(grams) ** 0.5
+    assert same >= 0.995 * len(rows)
 
 
 def test_edges(edge, empty, nulls):

@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -117,3 +119,82 @@ def test_quality_edges(spark, edge, empty, nulls):
     assert len(got) == edge.count() and got.score.between(0, 1).all()
     assert got[got.doc_id == 7].score.nunique() == 1
     assert quality.score_documents(empty).count() == 0 and quality.score_documents(nulls).count() == 3
+
+
+def captured_fit(monkeypatch, module):
+    """What the classifier is fitted on: number of rows and their weights."""
+    seen, fit = {}, module.C.fit_logistic
+
+    def spy(rows, cols, vals, n_rows, n_cols, target, weight, **how):
+        seen.update(rows=n_rows, weight=weight)
+        return fit(rows, cols, vals, n_rows, n_cols, target, weight, **how)
+
+    monkeypatch.setattr(module.C, "fit_logistic", spy)
+    return seen
+
+
+def test_copies_of_a_sampled_row_are_one_row_of_the_sample(spark, monkeypatch):
+    # 30,000 copies of one row, and under one id as many different texts
+    docs = spark.range(0, 62_000, 1, 8).selectExpr(
+        "case when id < 30000 then 1 when id < 60000 then 2 else id end as doc_id",
+        """case when id < 30000 then 'You are such an idiot and scum, all of you here.' when id < 60000 then concat('A calm day number ', id, ' in the green valley.')
+           when id % 2 = 0 then concat('You moron and idiot, number ', id, ' of the worthless scum.') else concat('The valley was calm on day ', id, '.') end as text""")
+    labels = spark.createDataFrame([(1, 1), (2, 0)] + [(i, 1 - i % 2) for i in range(60_000, 62_000)], "doc_id bigint, toxic int")
+    seen = captured_fit(monkeypatch, toxicity)
+    model = toxicity.learn(docs, labels, sample_docs=500)
+    assert seen["rows"] <= 1000
+    assert model.score(["You idiot and scum"])[0] > 0.5 > model.score(["The valley was calm"])[0]
+    assert seen["weight"].max() >= 30_000 or not {1, 2} & {r.labelled_id for r in toxicity._sample(labels, 500)[0].collect()}
+    whole = toxicity.learn(docs, labels)
+    assert seen["rows"] == 2002 and seen["weight"].max() == 30_000 and whole.score(["You are such an idiot and scum"])[0] > 0.5
+
+    seen = captured_fit(monkeypatch, quality)
+    mixed = docs.withColumn("text", F.when(F.col("doc_id") == 1, F.lit("### BUY!!! NOW!!! $$$ " * 5)).when(F.col("doc_id") % 2 == 0, F.lit("| * | # |")).otherwise(F.repeat("text", 4)))
+    _, fitted = quality.learn(mixed, sample_docs=400)
+    assert 0 < seen["rows"] <= 800
+
+
+def plain_term_keys(text):
+    """Windows of 4 to 7 bytes from word beginnings, inside words of more than 8 bytes from every character, and whole words."""
+    m64, out = (1 << 64) - 1, []
+    for word in toxicity._bytes(text).split(b" "):
+        for at in range(len(word) if len(word) > 8 else min(len(word), 1)):
+            if word[at] & 0xC0 != 0x80:
+                out += [(int.from_bytes(word[at:at + n], "little") | n << 56) * int(toxicity._MIX) & m64 for n in (4, 5, 6, 7) if at + n <= len(word)]
+        if word:
+            h, power = 0, int(toxicity._POWER)
+            for i, c in enumerate(word):
+                h = h + c * pow(power, i + 1, 1 << 64) & m64
+            h = (h ^ h >> 32) * int(toxicity._MIX) & m64
+            out.append(h ^ h >> 29)
+    return out
+
+
+def test_toxicity_scores_are_the_plain_sums(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.learn(docs, labels.select("doc_id", "toxic").where(~toxicity.held_out_column()))
+    weight = dict(zip(model.lexicon.keys.tolist(), model.weight.tolist()))
+    got = {r.doc_id: r.score for r in QUERIES["op3_toxicity"](spark, sf).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    for r in rows:
+        n = Counter(k for k in plain_term_keys(r.text or "") if k in weight)
+        z = sum(weight[k] * math.log1p(c) for k, c in n.items()) + model.bias
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-max(min(z, 35.0), -35.0)))) < 1e-9
+    assert len(got) == len(rows)
+
+
+def test_quality_scores_are_the_plain_sums(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    _, model = quality.learn(docs.select("doc_id", "text"))
+    got = {r.doc_id: r.score for r in QUERIES["op4_quality"](spark, "/root/testdata/sf0.01").collect()}
+    high = [x[2] for x in quality.LABELLERS]
+    for r in docs.select("doc_id", "text").collect():
+        kinds = [int(quality._CLASS[c]) for c in (r.text or "").encode().replace(b"\0", b" ")]
+        grams = [sum(k << 7 * i for i, k in enumerate(kinds[j:j + 4])) & 0xFFFFFFFF for j in range(len(kinds) - 3)]
+        at = [(g * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - quality.HASH_BITS for g in grams]
+        z = sum(model.weight[a] for a in at) / max(len(at), 1) * quality._SHAPE_SCALE + model.bias
+        for i, m in enumerate(quality.measures(r.text)):
+            bucket = sum(m / high[i] > e for e in quality._EDGES.tolist())
+            z += model.weight[(1 << quality.HASH_BITS) + i * quality.BUCKETS + bucket]
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-max(min(z, 35.0), -35.0)))) < 1e-6
