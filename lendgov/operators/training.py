@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import (ElementwiseProduct, OneHotEncoder, StandardScaler, StandardScalerModel, StringIndexer,
+from pyspark.ml.feature import (ElementwiseProduct, OneHotEncoder, OneHotEncoderModel, StandardScaler, StandardScalerModel, StringIndexer,
                                 StringIndexerModel, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -71,17 +71,19 @@ def logistic(n_train: int) -> LogisticRegression:
                               regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False)
 
 
-def loss_gradient(df: DataFrame, parts: Sequence[tuple[Column, float]], bias: float, label: str = "label") -> DataFrame:
-    """M6: one row with the gradient of the L2-regularised mean loss for each weight (g0, g1, ...) and the intercept (``g``).
+def loss_gradient(df: DataFrame, columns: Sequence[Column], weights: Sequence[float], bias: float, label: str = "label") -> DataFrame:
+    """M6: the gradient of the L2-regularised mean loss for each weight (position, mean of the column, gradient), and for the intercept (last position).
 
-    ``parts``: (column value, its weight). All are 0 at the optimum and only there, as the loss is strictly convex.
+    All are 0 at the optimum and only there, as the loss is strictly convex.
     """
-    z = F.lit(bias)
-    for x, w in parts:
-        z = z + x * F.lit(w)
-    rows = df.select((F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) - F.col(label)).alias("miss"), *[x.alias(f"x{i}") for i, (x, _) in enumerate(parts)])
-    return rows.agg(*[((F.sum(F.col("miss") * F.col(f"x{i}")) + F.lit(w)) / F.count(F.lit(1))).alias(f"g{i}") for i, (_, w) in enumerate(parts)],
-                    F.avg("miss").alias("g"))
+    x = F.array(*columns, F.lit(1.0))
+    w = F.array(*[F.lit(float(v)) for v in weights], F.lit(float(bias)))
+    z = F.aggregate(F.zip_with("x", w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    miss = F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) - F.col("y")
+    each = df.select(x.alias("x"), F.col(label).alias("y")).select(miss.alias("miss"), F.posexplode("x").alias("position", "value"))
+    of_penalty = F.element_at(F.array(*[F.lit(float(v)) for v in weights], F.lit(0.0)), F.col("position") + 1)
+    return each.groupBy("position").agg(F.avg("value").alias("mean"), F.sum(F.col("miss") * F.col("value")).alias("s"), F.count(F.lit(1)).alias("n")).select(
+        "position", "mean", ((F.col("s") + of_penalty) / F.col("n")).alias("gradient"))
 
 
 def forest(num_trees: int = 300, max_depth: int = 8, seed: int = 42) -> RandomForestClassifier:
@@ -138,13 +140,12 @@ def logit_parts(model: PipelineModel, numeric: Sequence[str], cats: Sequence[str
             x = (x - F.lit(float(scaler.mean[i]))) * F.lit(by_population / sd if sd else 0.0)
         parts.append(x * F.lit(weight[i]))
     at = len(numeric)
-    labels = next(st for st in model.stages if isinstance(st, StringIndexerModel)).labelsArray if cats else []
-    for c, labs in zip(cats, labels):
+    for c, labs, width in zip(cats, levels(model) if cats else [], dummies(model)):
         part = F.lit(0.0)
         for k, lab in enumerate(labs):
             part = F.when(F.col(c) == lab, F.lit(weight[at + k])).otherwise(part)
         parts.append(part)
-        at += len(labs)
+        at += width
     return parts, float(lr.intercept)
 
 
@@ -157,6 +158,11 @@ def levels(model: PipelineModel) -> list[list[str]]:
     return [list(x) for x in next(st for st in model.stages if isinstance(st, StringIndexerModel)).labelsArray]
 
 
+def dummies(model: PipelineModel) -> list[int]:
+    """How many dummies each categorical feature has: one for each level and, last, one for levels never seen."""
+    return [int(n) for st in model.stages if isinstance(st, OneHotEncoderModel) for n in st.categorySizes]
+
+
 def scaling(model: PipelineModel) -> list[tuple[float, float]]:
     """(mean, population deviation) of each numeric feature."""
     sc = next(st for st in model.stages if isinstance(st, StandardScalerModel))
@@ -167,9 +173,8 @@ def scaling(model: PipelineModel) -> list[tuple[float, float]]:
 def column_features(model: PipelineModel, numeric: Sequence[str], cats: Sequence[str]) -> list[int]:
     """For every column of the feature vector the number of the feature it comes from (numeric first)."""
     out = list(range(len(numeric)))
-    labels = next(st for st in model.stages if isinstance(st, StringIndexerModel)).labelsArray if cats else []
-    for i, labs in enumerate(labels):
-        out += [len(numeric) + i] * len(labs)
+    for i, width in enumerate(dummies(model)):
+        out += [len(numeric) + i] * width
     return out
 
 

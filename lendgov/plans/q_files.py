@@ -123,11 +123,11 @@ WITH {_SPLIT_FULL},
 rows AS (SELECT r.*, r.Approved AS label, s.is_test FROM risk_full r JOIN split s ON r.application_id = s.application_id),
 train AS (SELECT * FROM rows WHERE NOT is_test), test AS (SELECT * FROM rows WHERE is_test),
 m AS (SELECT {_MED_SQL} FROM train), s AS (SELECT {_MU_SD} FROM train t CROSS JOIN m), modes AS (SELECT {_MODES}),
-lv AS (SELECT DISTINCT o, feature, level FROM ({_LEVELS_SQL}) q),
-at AS (SELECT feature, level, {len(NUMERIC)} + ROW_NUMBER() OVER (ORDER BY o, level) - 1 AS position FROM lv),
+lv AS (SELECT DISTINCT o, feature, level FROM ({_LEVELS_SQL}) q UNION ALL SELECT DISTINCT o, feature, CAST(NULL AS VARCHAR) FROM ({_LEVELS_SQL}) q),
+slot AS (SELECT feature, level, {len(NUMERIC)} + ROW_NUMBER() OVER (ORDER BY o, level NULLS LAST) - 1 AS position FROM lv),
 own AS ({_TEXTS})
 SELECT application_id, label, CAST(position AS INT) AS position, ROUND(value, 6) + 0.0e0 AS value FROM ({_NUMBERS}) n
-UNION ALL SELECT application_id, label, CAST(position AS INT), CASE WHEN own = level THEN 1.0e0 ELSE 0.0e0 END FROM own JOIN at ON own.feature = at.feature""",
+UNION ALL SELECT application_id, label, CAST(position AS INT), CASE WHEN own = level THEN 1.0e0 ELSE 0.0e0 END FROM own JOIN slot ON own.feature = slot.feature""",
           views=("risk_full",))
 def feature_vectors(spark, sf_dir):
     """P1 + M5: label and assembled vector of every row of the test split, position by position, as the fitted preprocessing makes it."""

@@ -249,17 +249,19 @@ def train_logistic(spark, sf_dir):
     model, fill, data = trained(spark, sf_dir, "logistic")
     lr, labels, scaler = model.stages[-1], TR.levels(model), TR.scaling(model)
     rows = TR.filled(data.where(~F.col("is_test")), fill, CATS)
-    weight = [float(x) for x in lr.coefficients]
+    weight = [float(x) for x in lr.coefficients][:len(NUMERIC)]
     about = [(c, None, fill[c], *scaler[i]) for i, c in enumerate(NUMERIC)]
+    at = len(NUMERIC)
     columns = [(F.col(c).cast("double") - F.lit(mean)) / F.lit(sd if sd else 1.0) for c, _, _, mean, sd in about]
-    for c, labs in zip(CATS, labels):
+    for c, labs, width in zip(CATS, labels, TR.dummies(model)):
+        weight += [float(x) for x in lr.coefficients[at:at + len(labs)]]
+        at += width
         about += [(c, lab, None, None, None) for lab in labs]
         columns += [(F.col(c) == lab).cast("double") for lab in labs]
-    shares = [F.avg(x).alias(f"s{i}") for i, x in enumerate(columns[len(NUMERIC):])]
-    found = TR.loss_gradient(rows, list(zip(columns, weight)), float(lr.intercept)).crossJoin(rows.agg(*shares)).first()
-    out = [(c, lev, fl, round(mean, 4) if lev is None else round(found[f"s{i - len(NUMERIC)}"], 4), sd and round(sd, 4), abs(round(found[f"g{i}"], 5)))
+    found = {r["position"]: r for r in TR.loss_gradient(rows, columns, weight, float(lr.intercept)).collect()}  # one row for each weight
+    out = [(c, lev, fl, round(mean if lev is None else found[i]["mean"], 4), sd and round(sd, 4), abs(round(found[i]["gradient"], 5)))
            for i, (c, lev, fl, mean, sd) in enumerate(about)]
-    out.append(("intercept", None, None, None, None, abs(round(found["g"], 5))))
+    out.append(("intercept", None, None, None, None, abs(round(found[len(about)]["gradient"], 5))))
     return spark.createDataFrame(out, "feature string, level string, fill double, center double, scale double, gradient double")
 
 

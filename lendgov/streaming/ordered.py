@@ -42,6 +42,9 @@ def state_store(spark: SparkSession):
 class InEventOrder(StatefulProcessor):
     """``step`` sees the rows of a key one by one, ordered by (time, rank, id)."""
 
+    #: Names and types of the output after key, ts and id.
+    columns: tuple[tuple[str, str], ...] = ()
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "due bigint", "found string")
@@ -51,13 +54,13 @@ class InEventOrder(StatefulProcessor):
         raise NotImplementedError
 
     def step(self, state, us: int, rank: int, row_id: int, body: str):
-        """(the new state, the output's values after key, ts and id, or None)"""
+        """(the new state, the output's values in ``columns`` or None)"""
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         new: dict[int, list] = {}
-        for r in rows:
-            new.setdefault(r["at_us"] // 1000 + 1, []).append([r["at_us"], r["rank"], r["id"], r["body"]])
+        for r in rows:  # due when the watermark is at the row's time or past it: from then on, rows of that time are late
+            new.setdefault(-(-r["at_us"] // 1000), []).append([r["at_us"], r["rank"], r["id"], r["body"]])
         for due, found in new.items():
             held = json.loads(self.waiting.getValue((due,))[0]) if self.waiting.containsKey((due,)) else []
             self.waiting.updateValue((due,), (json.dumps(held + found),))
@@ -69,11 +72,11 @@ class InEventOrder(StatefulProcessor):
         found = json.loads(self.waiting.getValue((due,))[0])
         self.waiting.removeKey((due,))
         state = json.loads(self.kept.get()[0]) if self.kept.exists() else self.first()
-        out = []
+        out, row = [], Row("key", "ts", "id", *[name for name, _ in self.columns])
         for us, rank, row_id, body in sorted(found, key=lambda r: r[:3]):
             state, values = self.step(state, us, rank, row_id, body)
             if values is not None:
-                out.append(Row(key[0], _time(us), row_id, *values))
+                out.append(row(key[0], _time(us), row_id, *values))
         self.kept.update((json.dumps(state),))
         return iter(out)
 
@@ -84,6 +87,8 @@ class InEventOrder(StatefulProcessor):
 class Flags(InEventOrder):
     """Consent events (rank 0, body: JSON of group and allowed) and requests (rank 1): each request with the flags of its time."""
 
+    columns = (("flags", "string"), ("body", "string"))
+
     def first(self):
         return {}
 
@@ -99,6 +104,8 @@ class Flags(InEventOrder):
 class Links(InEventOrder):
     """Hash-chain links; body: JSON of ``payload`` and ``carry`` (text that goes along)."""
 
+    columns = (("seq", "bigint"), ("previous_hash", "string"), ("output_hash", "string"), ("carry", "string"))
+
     def __init__(self, link: str = "text"):
         self.format = LINK_FORMATS[link]
 
@@ -114,18 +121,18 @@ class Links(InEventOrder):
         return [h, seq + 1], (seq + 1, previous, h, given.get("carry"))
 
 
-def in_event_order(stream: DataFrame, processor: InEventOrder, columns: str) -> DataFrame:
-    """``stream`` (key, ts, rank, id, body), watermarked on ts, through the processor: key, ts (still the event time), id and ``columns``."""
+def in_event_order(stream: DataFrame, processor: InEventOrder) -> DataFrame:
+    """``stream`` (key, ts, rank, id, body), watermarked on ts, through the processor: key, ts (still the event time), id and its columns."""
     rows = stream.select("key", "ts", F.unix_micros("ts").alias("at_us"), F.col("rank").cast("int").alias("rank"), F.col("id").cast("bigint").alias("id"), "body")
-    return rows.groupBy("key").transformWithState(processor, f"key {stream.schema['key'].dataType.simpleString()}, ts timestamp, id bigint, {columns}",
-                                                  "append", "EventTime", eventTimeColumnName="ts")
+    names = [("key", stream.schema["key"].dataType.simpleString()), ("ts", "timestamp"), ("id", "bigint"), *processor.columns]
+    return rows.groupBy("key").transformWithState(processor, ", ".join(f"{n} {t}" for n, t in names), "append", "EventTime", eventTimeColumnName="ts")
 
 
 def with_flags(stream: DataFrame) -> DataFrame:
     """Requests with ``flags`` (JSON of the groups that events have spoken of) and their ``body``."""
-    return in_event_order(stream, Flags(), "flags string, body string")
+    return in_event_order(stream, Flags())
 
 
 def links(stream: DataFrame, link: str = "text") -> DataFrame:
     """Links in event-time order: key, ts, id, seq, previous_hash, output_hash, carry."""
-    return in_event_order(stream, Links(link), "seq bigint, previous_hash string, output_hash string, carry string")
+    return in_event_order(stream, Links(link))
