@@ -41,7 +41,7 @@ def test_exact_at_small_m(spark):
     rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double, c double, d double")
     bgdf = spark.createDataFrame([(100 + i, *map(float, r)) for i, r in enumerate(bg)],
                                  "id long, a double, b double, c double, d double")
-    out = KS.kernel_shap(rows, bgdf, "id", feats, _np_model, n_coalitions=None).toPandas()
+    out = KS.kernel_shap(rows, bgdf, "id", feats, lambda r: 1 / (1 + np.exp(-(0.5 * r[0] - r[1] + 0.3 * r[0] * r[2] + 0.2 * r[3]))), n_coalitions=None).toPandas()
     for i in range(len(x)):
         want = exact_shapley(_np_model, x[i], bg)
         got = np.array(out[out.id == i].phi.iloc[0])
