@@ -132,9 +132,16 @@ def linked_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS, segments: i
     return pairs.unionByName(stars).distinct()
 
 
-def _grouped(docs: DataFrame, shingle: int, max_bits: int, segments: int) -> DataFrame:
-    """doc_id, fp and root (the smallest fingerprint of the component) of every row, and the component's smallest id."""
-    prints = C.written(docs.select("doc_id", fingerprint_column(F.col("text"), shingle).alias("fp")), "simhash-prints")
+def _row_key() -> Column:
+    """128 bits of a row's id and text: rows with one key are repeated rows."""
+    return F.struct(F.xxhash64("doc_id", "text", F.lit(1)).alias("k1"), F.xxhash64("doc_id", "text", F.lit(2)).alias("k2"))
+
+
+def _grouped(docs: DataFrame, shingle: int, max_bits: int, segments: int, with_key: bool = False) -> DataFrame:
+    """doc_id, fp, root (the smallest fingerprint of the component) of every row, and the component's smallest id (and k1, k2, the row's key)."""
+    key = [_row_key().alias("k")] if with_key else []
+    prints = C.written(docs.select("doc_id", fingerprint_column(F.col("text"), shingle).alias("fp"), *key).select("doc_id", "fp", *(["k.k1", "k.k2"] if key else [])),
+                       "simhash-prints")
     vertex = C.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-vertices")
     roots = connected_components(linked_fingerprints(vertex, max_bits, segments))
     vertex = vertex.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
@@ -153,14 +160,14 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS
 
     Of its rows with that id the one with the smallest fingerprint stays; an id may stay once in each of several groups. A group whose ids are all null keeps one row with its smallest fingerprint.
     """
-    found = C.written(_grouped(docs.select("doc_id", "text"), shingle, max_bits, segments), "simhash-groups")
-    tag = C.scratch_name("fp")
+    found = _grouped(docs.select("doc_id", "text"), shingle, max_bits, segments, with_key=True)
+    # each text is read once for its fingerprint; after that a row is known by its key, which the JVM computes again
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "k1", "k2")).alias("first")
+    kept = C.written(found.groupBy("root").agg(first).select("first.k1", "first.k2"), "simhash-kept")
+    tag = C.scratch_name("key")
+    keyed = docs.withColumn(tag, _row_key())
+    k1, k2 = F.col(tag)["k1"], F.col(tag)["k2"]
     # the texts are moved once: the join and the removal of repeated rows share a partitioning
-    first = (found.where(F.col("doc_id") == F.col("component_id")).groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias(tag))
-             .select("doc_id", tag))
-    named = docs.where(F.col("doc_id").isNotNull()).withColumn(tag, fingerprint_column(F.col("text"), shingle))
-    named = named.join(first, ["doc_id", tag], "left_semi").dropDuplicates(["doc_id", tag])
-    prints = found.where(F.col("component_id").isNull()).groupBy("root").agg(F.min("fp").alias(tag)).select(tag)
-    unnamed = docs.where(F.col("doc_id").isNull()).withColumn(tag, fingerprint_column(F.col("text"), shingle))
-    unnamed = unnamed.join(prints, tag, "left_semi").dropDuplicates([tag]).drop(tag)
-    return named.select(*docs.columns).unionByName(unnamed.select(*docs.columns))
+    left = keyed.withColumns({f"{tag}1": k1, f"{tag}2": k2}).drop(tag)
+    right = kept.select(F.col("k1").alias(f"{tag}1"), F.col("k2").alias(f"{tag}2"))
+    return left.join(right, [f"{tag}1", f"{tag}2"], "left_semi").dropDuplicates([f"{tag}1", f"{tag}2"]).select(*docs.columns)
