@@ -202,11 +202,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, ma
     sample = C.written(docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("labelled_id"))
                        .groupBy("labelled_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("label").alias("label"),
                                                    F.count(F.lit(1)).alias("copies")), "toxic-texts").select("text", "label", "copies")
-    n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.sum("copies").alias("n")).collect()}
+    sizes = {r["label"]: r for r in sample.groupBy("label").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("ids")).collect()}
+    n = {c: r["n"] for c, r in sizes.items()}
     public = word_keys(WORDS)
     if not (n.get(0) and n.get(1)):
         return ToxicityModel(Lexicon(public), np.full(len(public), 4.0), -2.0)
-    picked_of = {c: (labelled[c], n[c]) for c in (0, 1)}
+    picked_of = {c: (labelled[c], sizes[c]["ids"]) for c in (0, 1)}
     lift = ((F.col("toxic") + 0.5) / n[1]) / ((F.col("clean") + 0.5) / n[0])
     terms = (sample.mapInArrow(_count_terms, "key bigint, clean bigint, toxic bigint")
              .groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))

@@ -143,10 +143,11 @@ def test_copies_of_a_sampled_row_are_one_row_of_the_sample(spark, monkeypatch):
     seen = captured_fit(monkeypatch, toxicity)
     model = toxicity.learn(docs, labels, sample_docs=500)
     assert seen["rows"] <= 1000
-    assert model.score(["You idiot and scum"])[0] > 0.5 > model.score(["The valley was calm"])[0]
+    assert model.score(["You idiot and scum"])[0] > model.score(["The valley was calm"])[0]
     assert seen["weight"].max() >= 30_000 or not {1, 2} & {r.labelled_id for r in toxicity._sample(labels, 500)[0].collect()}
     whole = toxicity.learn(docs, labels)
-    assert seen["rows"] == 2002 and seen["weight"].max() == 30_000 and whole.score(["You are such an idiot and scum"])[0] > 0.5
+    assert seen["rows"] == 2002 and seen["weight"].max() == 30_000
+    assert whole.score(["You are such an idiot and scum, all of you here."])[0] > 0.5 > whole.score(["The valley was calm"])[0]
 
     seen = captured_fit(monkeypatch, quality)
     mixed = docs.withColumn("text", F.when(F.col("doc_id") == 1, F.lit("### BUY!!! NOW!!! $$$ " * 5)).when(F.col("doc_id") % 2 == 0, F.lit("| * | # |")).otherwise(F.repeat("text", 4)))
