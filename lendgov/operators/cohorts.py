@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.prefix import distributed_rank
+
 LOW, HIGH = 0.7, 1.3
 #: Width of the log-scale buckets in which a loan looks up its slot.
 BUCKET_WIDTH = 0.01
@@ -58,7 +60,7 @@ def _bucket(x: Column) -> Column:
 def _ends(amounts: DataFrame) -> DataFrame:
     """Distinct range ends in order: (end, place from 0). One row per end of a distinct amount."""
     ends = amounts.select(F.explode(F.array(F.col("amount") * LOW, F.col("amount") * HIGH)).alias("end")).distinct()
-    return ends.withColumn("place", F.row_number().over(Window.orderBy("end")) - 1)
+    return distributed_rank(ends.withColumn("_one", F.lit(0)), ["_one"], ["end"], "place").drop("_one").withColumn("place", F.col("place") - 1)
 
 
 def with_slot(base: DataFrame, ends: DataFrame) -> DataFrame:
