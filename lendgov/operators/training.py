@@ -72,7 +72,7 @@ def logistic(n_train: int) -> LogisticRegression:
 
 
 def loss_gradient(df: DataFrame, columns: Sequence[Column], weights: Sequence[float], bias: float, label: str = "label") -> DataFrame:
-    """M6: the gradient of the L2-regularised mean loss for each weight (position, mean of the column, gradient), and for the intercept (last position).
+    """M6: the gradient of the L2-regularised mean loss for each weight (position, sum of the column, gradient), and for the intercept (last position).
 
     All are 0 at the optimum and only there, as the loss is strictly convex.
     """
@@ -82,8 +82,8 @@ def loss_gradient(df: DataFrame, columns: Sequence[Column], weights: Sequence[fl
     miss = F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) - F.col("y")
     each = df.select(x.alias("x"), F.col(label).alias("y")).select(miss.alias("miss"), F.posexplode("x").alias("position", "value"))
     of_penalty = F.element_at(F.array(*[F.lit(float(v)) for v in weights], F.lit(0.0)), F.col("position") + 1)
-    return each.groupBy("position").agg(F.avg("value").alias("mean"), F.sum(F.col("miss") * F.col("value")).alias("s"), F.count(F.lit(1)).alias("n")).select(
-        "position", "mean", ((F.col("s") + of_penalty) / F.col("n")).alias("gradient"))
+    return each.groupBy("position").agg(F.sum("value").alias("total"), F.sum(F.col("miss") * F.col("value")).alias("s"), F.count(F.lit(1)).alias("n")).select(
+        "position", "total", ((F.col("s") + of_penalty) / F.col("n")).alias("gradient"))
 
 
 def forest(num_trees: int = 300, max_depth: int = 8, seed: int = 42) -> RandomForestClassifier:

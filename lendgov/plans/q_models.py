@@ -234,14 +234,13 @@ m AS (SELECT {_MED_SQL} FROM train),
 i AS (SELECT {', '.join(f'COALESCE(CAST({c} AS DOUBLE), med_{c}) AS {c}' for c in NUMERIC)} FROM train CROSS JOIN m),
 s AS (SELECT {', '.join(f'AVG({c}) AS mu_{c}, STDDEV_POP({c}) AS sd_{c}' for c in NUMERIC)} FROM i),
 lv AS ({_LEVELS_SQL}),
-n AS (SELECT COUNT(*) AS n FROM train),
 out AS (SELECT * FROM (VALUES {', '.join(f"({j}, '{c}', CAST(NULL AS VARCHAR))" for j, c in enumerate(NUMERIC))}) v(o, feature, level)),
 num AS ({' UNION ALL '.join(f"SELECT {j} AS o, med_{c} AS fill, mu_{c} AS center, sd_{c} AS scale FROM m CROSS JOIN s" for j, c in enumerate(NUMERIC))})
 SELECT feature, level, ROUND(fill, 6) AS fill, ROUND(center, 4) AS center, ROUND(scale, 4) AS scale, 0.0e0 AS gradient FROM out JOIN num ON out.o = num.o
-UNION ALL SELECT feature, level, CAST(NULL AS DOUBLE), ROUND(COUNT(*) * 1.0e0 / (SELECT n FROM n), 4), CAST(NULL AS DOUBLE), 0.0e0 FROM lv GROUP BY o, feature, level
+UNION ALL SELECT feature, level, CAST(NULL AS DOUBLE), CAST(COUNT(*) AS DOUBLE), CAST(NULL AS DOUBLE), 0.0e0 FROM lv GROUP BY o, feature, level
 UNION ALL SELECT 'intercept', NULL, NULL, NULL, NULL, 0.0e0""", views=("risk_full",))
 def train_logistic(spark, sf_dir):
-    """M6: for every weight of the fit the statistics of its column in the training split, and the gradient of the regularised loss there.
+    """M6: for every weight of the fit what its column holds in the training split (fill, mean and deviation, or a level's number of rows), and the gradient of the regularised loss there.
 
     The gradient is taken from the data with the model's weights, means and deviations, without the model's own transform; SQL
     says that it is 0, which holds at the one optimum only (five decimals of the mean loss's gradient).
@@ -259,7 +258,7 @@ def train_logistic(spark, sf_dir):
         about += [(c, lab, None, None, None) for lab in labs]
         columns += [(F.col(c) == lab).cast("double") for lab in labs]
     found = {r["position"]: r for r in TR.loss_gradient(rows, columns, weight, float(lr.intercept)).collect()}  # one row for each weight
-    out = [(c, lev, fl, round(mean if lev is None else found[i]["mean"], 4), sd and round(sd, 4), abs(round(found[i]["gradient"], 5)))
+    out = [(c, lev, fl and round(fl, 6), round(mean, 4) if lev is None else float(round(found[i]["total"])), sd and round(sd, 4), abs(round(found[i]["gradient"], 5)))
            for i, (c, lev, fl, mean, sd) in enumerate(about)]
     out.append(("intercept", None, None, None, None, abs(round(found[len(about)]["gradient"], 5))))
     return spark.createDataFrame(out, "feature string, level string, fill double, center double, scale double, gradient double")
