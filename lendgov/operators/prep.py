@@ -10,6 +10,25 @@ from pyspark.sql import functions as F
 from ..functions.quantiles import multi_quantiles
 
 
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Rows dealt evenly over tasks, for work that costs far more than moving a row.
+
+    A compact table is read by a few tasks however much work its rows are. Several tasks for each core, and no fewer than the shuffle
+    partitions that the session is sized by. Given the number of ``rows``, one task for each core, and none for less than ``SPREAD_ROWS``
+    rows: what each task of a fit holds and sends (statistics of all nodes) grows with the number of tasks.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if rows is None:
+        return df.repartition(max(SPREAD_TASKS * cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    tasks = min(cores, -(-rows // SPREAD_ROWS))
+    return df.repartition(tasks) if tasks > 1 else df
+
+
+#: Tasks for each core, and the rows for which a task of a fit is worth it.
+SPREAD_TASKS, SPREAD_ROWS = 4, 10_000
+
+
 def split_by_dtype(df: DataFrame, exclude: Sequence[str] = ()) -> tuple[list[str], list[str]]:
     """Numeric and categorical column names from the schema (no job)."""
     from pyspark.sql.types import NumericType

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prefix import roc_auc
 from ..session import checkpoint_path
-from .prep import medians, mode_table
+from .prep import medians, mode_table, spread
 from .tree_shap import Forest, fitted_forest
 
 
@@ -95,8 +95,13 @@ def forest(num_trees: int = 300, max_depth: int = 8, seed: int = 42) -> RandomFo
 
 def fit(train: DataFrame, numeric: Sequence[str], cats: Sequence[str], estimator,
         passthrough: bool = False, n_train: int | None = None) -> PipelineModel:
-    """Fit on filled rows (``filled``); ``n_train`` is their number, counted here where it is not given."""
+    """Fit on filled rows (``filled``); ``n_train`` is their number, counted here where it is not given.
+
+    A forest's passes are spread over all cores: their work for a row is hundreds of trees, however few files the rows are read from.
+    """
     n = n_train if n_train is not None or passthrough else train.count()
+    if isinstance(estimator, RandomForestClassifier):
+        train = spread(train, train.count() if n is None else n)
     return Pipeline(stages=preprocessing(numeric, cats, passthrough, n) + [estimator]).fit(train)
 
 
@@ -118,8 +123,8 @@ def train_credit_g(df: DataFrame, id_col: str, target: str = "class", test_fract
 
 
 def positive_probability(model: PipelineModel, df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Class-1 probability per row."""
-    out = model.transform(df)
+    """Class-1 probability per row; a forest's rows are dealt over all cores first, as each goes down hundreds of trees."""
+    out = model.transform(spread(df) if is_forest(model) else df)
     return out.select(*keys, vector_to_array("probability")[1].alias("p"))
 
 

@@ -173,3 +173,20 @@ def test_modes_with_many_distinct_values(spark):
     from lendgov.operators import prep as PR
     df = spark.range(5000).selectExpr("CASE WHEN id < 3 THEN 'b' WHEN id < 6 THEN 'a' ELSE CAST(id AS STRING) END AS c")
     assert [tuple(r) for r in PR.mode_table(df, ["c"]).collect()] == [("c", "a", 3)]
+
+
+def test_a_forest_is_fitted_by_several_tasks_from_one_file(spark, monkeypatch):
+    from lendgov.operators import prep as PR
+    from lendgov.operators import training as TR
+
+    monkeypatch.setattr(PR, "SPREAD_ROWS", 50)
+    df = spark.range(200, numPartitions=1).selectExpr("id % 7 * 1.0d AS x", "CAST(id % 3 AS STRING) AS c", "CAST(id % 7 > 3 AS INT) AS label")
+    tasks = []
+    real = TR.RandomForestClassifier._fit
+    monkeypatch.setattr(TR.RandomForestClassifier, "_fit", lambda self, rows: tasks.append(rows.rdd.getNumPartitions()) or real(self, rows))
+    model = TR.fit(df, ["x"], ["c"], TR.forest(num_trees=3, max_depth=2))
+    assert tasks == [min(4, spark.sparkContext.defaultParallelism)]
+    p = TR.positive_probability(model, df, ["x", "label"]).collect()
+    assert len(p) == 200 and all((r["p"] >= 0.5) == (r["label"] == 1) for r in p)
+    monkeypatch.setattr(PR, "SPREAD_ROWS", 200)  # a small table stays as it is
+    assert PR.spread(df, 200).rdd.getNumPartitions() == 1
