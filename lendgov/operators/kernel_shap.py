@@ -9,7 +9,7 @@ Coalitions and weights are shared by every row, so the solve is a constant matri
 with s_j = sum_c P[j,c], t_j = sum_c P[j,c] z_cM, and v_c(x) the mean model output over background rows b of the
 row mixing x on coalition c with b elsewhere. ``kernel_shap`` takes any model that is a numpy function of columns,
 ``additive_shap`` models with additive log-odds, for many features and background rows. In both, what does not depend
-on the row is sent with the tasks and rows are explained where they lie: no shuffle, no join with the background.
+on the row is sent with the tasks; rows are dealt evenly over all cores (``prep.spread``), without a join with the background.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .prep import split_hash
+from .prep import split_hash, spread
 
 
 def coalitions(m: int, n_samples: int | None = None, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
@@ -60,6 +60,8 @@ def solve_matrix(z: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 #: Background rows that an explanation may use: they are held by every task.
 MAX_BACKGROUND = 1000
+#: Log-odds up to which exponentials are multiplied; a product of two stays within a double.
+EXP_LIMIT = 300.0
 
 
 def background_sample(df: DataFrame, id_col: str, n: int) -> DataFrame:
@@ -83,12 +85,26 @@ def additive_shap(rows: DataFrame, background: DataFrame, id_col: str | Sequence
     z, w = coalitions(m, n_coalitions, seed)
     p = solve_matrix(z, w)
     s, t = p.sum(1), p @ z[:, -1]
+    # a coalition that was drawn several times is worth the same each time
+    z, drawn = np.unique(z, axis=0, return_inverse=True)
+    p = np.stack([np.bincount(drawn.ravel(), row, len(z)) for row in p])
     rest = (1 - z) @ bg.T + bias
 
     def prob(x):
         return 1.0 / (1.0 + np.exp(-x))
 
     expected = float(prob(bg.sum(1) + bias).mean())
+    # exp(-(rest + own)) is a product, so a row takes an exponential for each coalition and none for each background row
+    factors = np.exp(-np.clip(rest, -EXP_LIMIT, EXP_LIMIT))
+    bounded = bool((np.abs(rest) <= EXP_LIMIT).all())
+
+    def worth(own):
+        """The mean probability of every coalition over the background; ``own``: what the row gives to each."""
+        if not bounded or not (np.abs(own) <= EXP_LIMIT).all():
+            return prob(rest + own[:, None]).mean(1)
+        odds = factors * np.exp(-own)[:, None]
+        odds += 1.0
+        return np.divide(1.0, odds, out=odds).mean(1)
 
     @F.arrow_udf("struct<fx: double, phi: array<double>>")
     def explain(parts: pa.Array) -> pa.Array:
@@ -96,13 +112,12 @@ def additive_shap(rows: DataFrame, background: DataFrame, id_col: str | Sequence
         fx = prob(x.sum(1) + bias)
         phi = np.empty((len(x), m))
         for i, row in enumerate(x):
-            v = prob(rest + (z @ row)[:, None]).mean(1)
-            phi[i, :-1] = p @ v - expected * s - (fx[i] - expected) * t
+            phi[i, :-1] = p @ worth(z @ row) - expected * s - (fx[i] - expected) * t
         phi[:, -1] = fx - expected - phi[:, :-1].sum(1)
         return pa.StructArray.from_arrays([pa.array(fx), pa.array(phi.tolist(), pa.list_(pa.float64()))], ["fx", "phi"])
 
     keys = [id_col] if isinstance(id_col, str) else list(id_col)
-    return rows.select(*keys, explain.asNondeterministic()("parts").alias("r")).select(
+    return spread(rows.select(*keys, "parts")).select(*keys, explain.asNondeterministic()("parts").alias("r")).select(
         *keys, "r.fx", F.lit(expected).alias("expected_value"), "r.phi")
 
 
@@ -140,5 +155,5 @@ def kernel_shap(rows: DataFrame, background: DataFrame, id_col: str, features: S
         phi[:, -1] = fx - expected - phi[:, :-1].sum(1)
         return pa.StructArray.from_arrays([pa.array(fx), pa.array(phi.tolist(), pa.list_(pa.float64()))], ["fx", "phi"])
 
-    return rows.select(id_col, explain.asNondeterministic()(values).alias("r")).select(
+    return spread(rows.select(id_col, values)).select(id_col, explain.asNondeterministic()("x").alias("r")).select(
         id_col, "r.fx", F.lit(expected).alias("expected_value"), "r.phi")

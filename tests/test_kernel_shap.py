@@ -87,3 +87,26 @@ def test_background_is_bounded(spark):
     rows = spark.range(KS.MAX_BACKGROUND + 1).select("id", F.array(F.lit(1.0)).alias("parts"))
     with pytest.raises(ValueError):
         KS.additive_shap(rows, rows, "id", ["a"], 0.0)
+
+
+def _additive(x, bg, bias, z, w):
+    """Reference: every drawn coalition, one exponential for each background row."""
+    prob = lambda v: 1 / (1 + np.exp(-v))
+    p, fx, base = KS.solve_matrix(z, w), prob(x.sum() + bias), prob(bg.sum(1) + bias).mean()
+    v = prob((1 - z) @ bg.T + bias + (z @ x)[:, None]).mean(1)
+    phi = p @ v - base * p.sum(1) - (fx - base) * (p @ z[:, -1])
+    return np.append(phi, fx - base - phi.sum())
+
+
+def test_additive_shap_spreads_one_file_and_keeps_its_values(spark):
+    rng = np.random.default_rng(3)
+    x, bg = rng.normal(size=(400, 6)) * 3, rng.normal(size=(9, 6))
+    x[0, 1], x[1, 2] = 900.0, -900.0  # beyond what exponentials can be multiplied for
+    frame = lambda v: spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(v)], "id long, parts array<double>")
+    out = KS.additive_shap(frame(x).coalesce(1), frame(bg), "id", list("abcdef"), 0.3, n_coalitions=200)
+    got = out.withColumn("task", F.spark_partition_id()).collect()
+    assert len({r["task"] for r in got}) > 1
+    z, w = KS.coalitions(6, 200)
+    assert len(got) == 400
+    for r in got:
+        assert np.allclose(r["phi"], _additive(x[r["id"]], bg, 0.3, z, w), atol=1e-10)
