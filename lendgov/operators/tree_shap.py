@@ -12,7 +12,8 @@ summed for each of the 2^k patterns that a row can have (subset sums over bits);
 The work for a row does not grow with the background. Columns that belong to one feature (its dummies) are one player.
 
 What is sent with the tasks is the forest's nodes and the background, both bounded by parameters (trees, depth, ``MAX_BACKGROUND``);
-tables exist for one tree at a time. Rows are explained where they lie: no shuffle.
+tables exist for one tree at a time. Rows are dealt evenly over all cores first (``prep.spread``): a small file read by one task would
+be explained by that task alone.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel_shap import MAX_BACKGROUND
+from .prep import spread
 
 #: Rows that a task explains at once: tables are built once for each block and tree.
 BLOCK_ROWS = 1 << 15
@@ -64,6 +66,11 @@ class Forest:
     players: list[int]
     n_players: int
 
+    @staticmethod
+    def goes_left(tree: Tree, at: int, values: np.ndarray) -> np.ndarray:
+        test = tree.test[at]
+        return np.isin(values, test) if isinstance(test, tuple) else values <= test
+
     def leaves(self, tree: Tree, root: int, x: np.ndarray) -> Iterator[tuple[float, list[int], np.ndarray]]:
         """(value, features on the path, the ones that each row of ``x`` (columns, rows) violates as bits), leaf by leaf."""
         stack: list[tuple[int, list[int], np.ndarray]] = [(root, [], np.zeros(x.shape[1], np.uint16))]
@@ -72,8 +79,7 @@ class Forest:
             if tree.left[at] < 0:
                 yield tree.value[at], path, bits
                 continue
-            test, v = tree.test[at], x[tree.column[at]]
-            goes_left = np.isin(v, test) if isinstance(test, tuple) else v <= test
+            goes_left = self.goes_left(tree, at, x[tree.column[at]])
             player = self.players[tree.column[at]]
             longer = path if player in path else [*path, player]
             if len(longer) > MAX_PATH:
@@ -83,11 +89,20 @@ class Forest:
             stack.append((tree.left[at], longer, np.where(goes_left, bits, bits | bit)))
 
     def output(self, x: np.ndarray) -> np.ndarray:
-        """The forest's value of every row of ``x`` (columns, rows)."""
+        """The forest's value of every row of ``x`` (columns, rows): each row goes down its own path only."""
         out = np.zeros(x.shape[1])
         for tree, root in self.trees:
-            for value, _, bits in self.leaves(tree, root, x):
-                out[bits == 0] += value
+            stack = [(root, np.arange(x.shape[1]))]
+            while stack:
+                at, rows = stack.pop()
+                if not len(rows):
+                    continue
+                if tree.left[at] < 0:
+                    out[rows] += tree.value[at]
+                    continue
+                goes_left = self.goes_left(tree, at, x[tree.column[at]][rows])
+                stack.append((tree.right[at], rows[~goes_left]))
+                stack.append((tree.left[at], rows[goes_left]))
         return out / len(self.trees)
 
     def explain(self, x: np.ndarray, background: np.ndarray) -> np.ndarray:
@@ -101,8 +116,9 @@ class Forest:
                 made = shares(k, np.array([known[i][0] for i in own]), np.stack([known[i][2] for i in own]))
                 tables.update(zip(own, made))
             for i, (_, path, bits) in enumerate(self.leaves(tree, root, x)):
+                at = bits.astype(np.intp)  # once, not for each feature
                 for j, player in enumerate(path):
-                    phi[player] += tables[i][j][bits]
+                    phi[player] += tables[i][j].take(at)
         return phi / len(self.trees)
 
 
@@ -193,5 +209,5 @@ def tree_shap(rows: DataFrame, background: DataFrame, keys: Sequence[str], fores
             yield block(waiting)
 
     given = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.select(*keys, "columns").mapInArrow(run, f"{given}, fx double, phi array<double>").select(
+    return spread(rows.select(*keys, "columns")).mapInArrow(run, f"{given}, fx double, phi array<double>").select(
         *keys, "fx", F.lit(expected).alias("expected_value"), "phi")

@@ -82,3 +82,18 @@ def test_long_paths_are_refused():
     forest = TS.Forest([(t, at)], list(range(TS.MAX_PATH + 1)), TS.MAX_PATH + 1)
     with pytest.raises(ValueError):
         forest.output(np.zeros((TS.MAX_PATH + 1, 1)))
+
+
+def test_rows_of_one_file_are_explained_by_several_tasks(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    f = random_forest(rng, 4, 4, 5, [0, 1, 2, 3, 3], 3)
+    rows = [(i, [rng.choice([-2.0, -0.5, 0.2, 1.0]) for _ in range(3)] + [float(rng.randrange(2)) for _ in range(2)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, columns array<double>")
+    out = TS.tree_shap(df.coalesce(1), df.limit(7), ["id"], f).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r["task"] for r in out}) > 1
+    assert sorted(r["id"] for r in out) == list(range(300))
+    for r in out:
+        assert r["fx"] == pytest.approx(value(f, rows[r["id"]][1]), abs=1e-12)
+        assert sum(r["phi"]) == pytest.approx(r["fx"] - r["expected_value"], abs=1e-12)
