@@ -131,3 +131,21 @@ def test_every_line_is_accepted_blank_or_rejected(spark):
     assert [(r.line, r.reason) for r in ST.rejected(spark, sink).orderBy("line").collect()] == [
         (4, "not JSON"), (5, "not an object"), (6, "no feature"), (7, "allowed is not boolean"), (9, "no feature")]
     assert [(r.feature, r.allowed) for r in ST.accepted(spark, sink).orderBy("feature", "allowed").collect()] == [("emi", True), ("x", None), ("x", None)]
+
+
+def test_judged_lines_parse_a_line_once_and_judge_as_before(spark, tmp_path):
+    from lendgov.sources import files as FS
+    from lendgov.streaming import jobs as ST
+
+    given = {'{"timestamp":"t","feature":"f","allowed":true,"model_version":"m"}': ("accepted", None),
+             '{"feature":"f","allowed":null}': ("accepted", None), '{"feature":"f","more":{"a":[1]}}': ("accepted", None),
+             '{"timestamp":"t","feature":"f","allowed":"yes","model_version":"m"}': ("rejected", "allowed is not boolean"),
+             '{"timestamp":1,"feature":"f","allowed":"yes","model_version":"m"}': ("rejected", "timestamp is not string"),
+             '{"feat":"f"}': ("rejected", "no feature"), '[1]': ("rejected", "not an object"), 'null': ("rejected", "not an object"),
+             '{"feature":': ("rejected", "not JSON"), '  ': ("blank", None)}
+    (tmp_path / "a.txt").write_text("\n".join(given) + "\n")
+    out = FS.judged_lines(spark.read.text(str(tmp_path / "a.txt")), ST.ACCESS_SCHEMA)
+    assert {r["value"]: (r["status"], r["reason"]) for r in out.collect()} == given
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json(") + plan.count("ParseJson") + plan.count("parseJson") == 1 and plan.count("from_json(") <= 1
+    assert all((r["record"] is not None) == (r["status"] == "accepted") for r in out.collect())
