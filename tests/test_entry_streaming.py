@@ -114,3 +114,87 @@ def test_bias_alerts_over_batches_that_split_the_groups(spark):
     assert events[1] == [(m, "raised") for m in both] and events[3] == [(m, "cleared") for m in both]
     di = spark.read.parquet(os.path.join(sink, "alerts")).where("metric = 'disparate_impact' and status = 'raised'").first()
     assert abs(di.value - (10 / 110) / 1.0) < 1e-9
+
+
+def test_one_task_does_not_aggregate_all_state_partitions_of_a_bias_batch(spark, tmp_path, monkeypatch):
+    import datetime as dt
+    import uuid
+
+    from pyspark.sql import DataFrameWriter
+
+    from lendgov.streaming import jobs as ST
+
+    rows = [(i, dt.datetime(2024, 1, 1 + i % 20), "approved" if i % 2 else "rejected", 0.5, "Male" if i % 2 else "Female", i % 3 % 2, "Urban") for i in range(300)]
+    src, sink = str(tmp_path / "src"), str(tmp_path / "sink")
+    spark.createDataFrame(rows, ST.DECISION_SCHEMA).repartition(2).write.parquet(src)
+    plans, real = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: plans.append(self._df._jdf.queryExecution().logical().toString()) or real(self, path, *a, **k))
+    ST.bias_monitor(spark, src, sink, f"bias-{uuid.uuid4().hex}", max_files=1).awaitTermination()
+    assert len(plans) == 4 and all(p.startswith("Repartition 1, true") for p in plans)  # an exchange between the aggregate and the one file
+    assert ST.current_alerts(spark, sink).count() > 0
+
+
+class _Handle:
+    """State in memory that counts the calls."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def getMapState(self, *_):
+        return _State(self)
+
+    getValueState = getMapState
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.calls += 1
+        self.timers.discard(ms)
+
+
+class _State:
+    def __init__(self, handle):
+        self.handle, self.held = handle, {}
+
+    def __getattr__(self, name):
+        def call(*a):
+            self.handle.calls += 1
+            key = a[0] if name in ("getValue", "updateValue", "removeKey") else ()
+            if name == "exists":
+                return () in self.held
+            if name in ("update", "updateValue"):
+                self.held[key] = a[-1]
+                return None
+            return self.held.pop(key) if name == "removeKey" else self.held[key]
+        return call
+
+
+def test_waiting_rows_take_few_state_calls_and_keep_their_order():
+    from types import SimpleNamespace
+
+    from lendgov.streaming import ordered as OR
+
+    def run(cuts, marks):
+        h = _Handle()
+        p = OR.Links()
+        p.init(h)
+        out = []
+        for cut, mark in zip(cuts, marks):
+            list(p.handleInputRows((1,), iter([{"at_us": us, "rank": 0, "id": i, "body": '{"payload": "%d"}' % i} for us, i in cut]), None))
+            for t in sorted(t for t in h.timers if t <= mark):
+                h.timers.discard(t)
+                out += list(p.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: mark), SimpleNamespace(getExpiryTimeInMs=lambda: t)))
+        return out, h
+
+    hour = 3_600_000_000
+    rows = [(i * hour // 10 + i, i) for i in range(500)]  # a little over two days
+    whole, h = run([rows[::-1]], [10**12])
+    assert [r.id for r in whole] == list(range(500)) and [r.seq for r in whole] == list(range(1, 501))
+    assert not h.timers and h.calls < 50
+    mark = rows[250][0] // 1000 + 1  # the watermark is at row 250's millisecond
+    cut, h = run([rows[260:] + rows[:100], rows[100:260], []], [-1, mark, 10**12])
+    assert cut == whole and not h.timers
+    first, _ = run([rows[260:] + rows[:100], rows[100:260]], [-1, mark])
+    assert [r.id for r in first] == list(range(251))
