@@ -94,9 +94,9 @@ WHERE application_id % 29 NOT IN (0, 1)""", views=("applications", "consent_even
 def access_log_read(spark, sf_dir):
     """The access log read from JSON lines of which some are cut off or blank."""
     src = os.path.join(_run_dir(spark, "log"), "src")
-    log = CO.access_records(_served_with_flags(views(spark, sf_dir)), feature_group_map(), SERVE_FEATURES, ts="submitted_at")
+    log = CO.access_records(PR.spread(_served_with_flags(views(spark, sf_dir))), feature_group_map(), SERVE_FEATURES, ts="submitted_at")
     lines = log.select("application_id", F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), "feature", "allowed", "model_version")).alias("value"))
-    lines.select(F.expr(f"CASE WHEN application_id % 29 IN (0, 1) THEN {_LINE_EXPR} ELSE value END").alias("value")).write.text(src)
+    FS.write_log_lines(lines.select(F.expr(f"CASE WHEN application_id % 29 IN (0, 1) THEN {_LINE_EXPR} ELSE value END").alias("value")), src)
     return FS.read_access_log(spark, src).select("feature", "allowed", "model_version", "timestamp")
 
 

@@ -143,3 +143,18 @@ def test_last_access_local_ist(spark):
                                 "applicant_id long, ts timestamp_ntz")
     r = CO.last_access_local(log).collect()[0]
     assert r.last_access_local == "2024-01-02 05:15:10 IST"
+
+
+def test_access_logs_are_written_compressed_and_read_whole(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lendgov.sources import files as FS
+    df = spark.range(20000, numPartitions=2).select(F.timestamp_seconds("id").alias("ts"), F.concat(F.lit("f"), F.col("id") % 9).alias("feature"),
+                                                    (F.col("id") % 2 == 0).alias("allowed"), F.lit("m").alias("model_version"))
+    records, text = str(tmp_path / "records"), str(tmp_path / "text")
+    FS.write_access_log(df, records)
+    FS.write_log_lines(df.select(F.to_json(F.struct(F.col("ts").cast("string").alias("timestamp"), "feature", "allowed", "model_version"))), text)
+    for path in (records, text):
+        got = FS.read_access_log(spark, path)
+        assert got.count() == 20000 and got.select("timestamp").distinct().count() == 20000
+        assert sum(f.stat().st_size for f in (tmp_path / path.rsplit("/", 1)[1]).glob("part-*")) < 20000 * 70 / 4
