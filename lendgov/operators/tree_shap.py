@@ -71,6 +71,14 @@ class Forest:
         test = tree.test[at]
         return np.isin(values, test) if isinstance(test, tuple) else values <= test
 
+    @staticmethod
+    def longer(path: list[int], player: int) -> list[int]:
+        """The path with the player on it; one that is too long is refused."""
+        out = path if player in path else [*path, player]
+        if len(out) > MAX_PATH:
+            raise ValueError(f"a path of more than {MAX_PATH} features")
+        return out
+
     def leaves(self, tree: Tree, root: int, x: np.ndarray) -> Iterator[tuple[float, list[int], np.ndarray]]:
         """(value, features on the path, the ones that each row of ``x`` (columns, rows) violates as bits), leaf by leaf."""
         stack: list[tuple[int, list[int], np.ndarray]] = [(root, [], np.zeros(x.shape[1], np.uint16))]
@@ -81,9 +89,7 @@ class Forest:
                 continue
             goes_left = self.goes_left(tree, at, x[tree.column[at]])
             player = self.players[tree.column[at]]
-            longer = path if player in path else [*path, player]
-            if len(longer) > MAX_PATH:
-                raise ValueError(f"a path of more than {MAX_PATH} features")
+            longer = self.longer(path, player)
             bit = np.uint16(1 << longer.index(player))
             stack.append((tree.right[at], longer, np.where(goes_left, bits | bit, bits)))
             stack.append((tree.left[at], longer, np.where(goes_left, bits, bits | bit)))
@@ -92,17 +98,16 @@ class Forest:
         """The forest's value of every row of ``x`` (columns, rows): each row goes down its own path only."""
         out = np.zeros(x.shape[1])
         for tree, root in self.trees:
-            stack = [(root, np.arange(x.shape[1]))]
+            stack: list[tuple[int, list[int], np.ndarray]] = [(root, [], np.arange(x.shape[1]))]
             while stack:
-                at, rows = stack.pop()
-                if not len(rows):
-                    continue
+                at, path, rows = stack.pop()
                 if tree.left[at] < 0:
                     out[rows] += tree.value[at]
                     continue
-                goes_left = self.goes_left(tree, at, x[tree.column[at]][rows])
-                stack.append((tree.right[at], rows[~goes_left]))
-                stack.append((tree.left[at], rows[goes_left]))
+                path = self.longer(path, self.players[tree.column[at]])
+                goes_left = self.goes_left(tree, at, x[tree.column[at]][rows]) if len(rows) else np.zeros(0, bool)
+                stack.append((tree.right[at], path, rows[~goes_left]))
+                stack.append((tree.left[at], path, rows[goes_left]))
         return out / len(self.trees)
 
     def explain(self, x: np.ndarray, background: np.ndarray) -> np.ndarray:
