@@ -32,6 +32,17 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def short_hash(text: Column) -> Column:
+    """A hash's text as its 32 bytes, for shuffles; any other text as its UTF-8 bytes and 33 zeros, so that no two texts become equal."""
+    return F.when(text.rlike(r"\A[0-9a-f]{64}\z"), F.unhex(text)).otherwise(F.concat(text.cast("binary"), F.lit(bytearray(33))))
+
+
+def long_hash(short: Column) -> Column:
+    """The text that ``short_hash`` shortened."""
+    return F.when(F.length(short) == 32, F.lower(F.hex(short))).otherwise(
+        F.substring(short, F.lit(1), F.length(short) - F.lit(33)).cast("string"))
+
+
 # Characters with a short escape in JSON strings.
 JSON_ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
 

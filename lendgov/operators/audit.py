@@ -50,6 +50,8 @@ def chain_links(df: DataFrame, chain_col: str, order_cols: Sequence[str], payloa
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = d.repartition(n, chain_col).sortWithinPartitions(chain_col, *order_cols)
     out_cols = [chain_col] + carry
+    if spelled:
+        d = d.withColumns(spelled).select(*out_cols, payload_col, "_seed_hash", "_seed_seq")
 
     def fold(batches):
         last_chain, last_hash, seq = object(), None, 0

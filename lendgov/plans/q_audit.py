@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from ..functions import hashing as HS
 from ..operators import audit as AU
 from ..operators import consent as CO
+from ..operators import scoring as SC
 from ..sources.derived import RAW_FEATURES
 from .common import views
 from .q_consent import KNOWN_GROUPS, _GROUP_FLAG_SQL, _STATE_SQL
-from .q_explain import _attr_sql, explained
+from .q_explain import _attr_sql
+from .q_explain import _INPUTS as SC_INPUTS
 from .registry import register
 
 MODEL_VERSION = "indian_v1"
@@ -24,8 +26,8 @@ def _input_hash_col():
     return HS.sha256(HS.canonical([(k, F.col(k)) for k in INPUT_KEYS]))
 
 
-def _decision_payload():
-    return HS.canonical([("decision", F.col("decision")), ("input_hash", F.col("input_hash")),
+def _decision_payload(input_hash=None):
+    return HS.canonical([("decision", F.col("decision")), ("input_hash", F.col("input_hash") if input_hash is None else input_hash),
                          ("probability", HS.prob_text(F.col("probability")))])
 
 
@@ -35,11 +37,12 @@ def _decision_links(v):
         s = v.scored.select("application_id", "applicant_id", "submitted_at", "decision", "probability",
                             *RAW_FEATURES)
         s = s.select("application_id", "applicant_id", "submitted_at", "decision", "probability",
-                     _input_hash_col().alias("input_hash"))
-        s = s.withColumn("payload", _decision_payload())
+                     F.unhex(_input_hash_col()).alias("_hash"))
+        text = F.lower(F.hex("_hash"))
         return AU.chain_links(s.withColumnRenamed("applicant_id", "chain_id"), "chain_id",
                               ["submitted_at", "application_id"], "payload",
-                              ["application_id", "submitted_at", "input_hash", "decision", "probability"])
+                              ["application_id", "submitted_at", "input_hash", "decision", "probability"],
+                              spelled={"input_hash": text, "payload": _decision_payload(text)})
 
     return v.stored("decision_log", build, [AU, HS, sys.modules[__name__]])
 
@@ -155,14 +158,20 @@ FROM chain LEFT JOIN flags ON chain.chain_id = flags.applicant_id JOIN sj ON cha
 def audit_log(spark, sf_dir):
     """S11 + H2: the decision log with consent state and the attributions of each decision."""
     v = views(spark, sf_dir)
-    shap = explained(spark, sf_dir).select(F.col("application_id").alias("_id"), _shap_json(F.col("attr")).alias("shap_values"))
-    links = _decision_links(v).join(shap, F.col("application_id") == F.col("_id"))
-    flagged = CO.with_flags(links.withColumnRenamed("chain_id", "applicant_id"), v.consent_events, KNOWN_GROUPS)
-    return flagged.select(F.col("application_id").alias("id"), F.col("submitted_at").alias("timestamp"),
-                          "input_hash", "output_hash", "previous_hash",
-                          _consent_json_spark().alias("consent_state"),
-                          F.lit(MODEL_VERSION).alias("model_version"), "decision",
-                          HS.prob_text(F.col("probability")).alias("probability"), "shap_values")
+    hashes = ["input_hash", "output_hash", "previous_hash"]
+    links = _decision_links(v).select(F.col("chain_id").alias("applicant_id"), "application_id", "submitted_at", "decision", "probability",
+                                      *[HS.short_hash(F.col(c)).alias(c) for c in hashes])
+    # the flags are joined first, as they are narrow; hashes go through both joins as bytes, and the texts are written after them
+    flagged = CO.with_flags(links, v.consent_events, KNOWN_GROUPS)
+    shap = v.scored.select(F.col("application_id").alias("_id"), *SC_INPUTS)
+    both = flagged.join(shap, F.col("application_id") == F.col("_id")).drop("_id")
+    rows = SC.attribution_rows(both, [c for c in both.columns if c not in SC_INPUTS], fitted=v.scorecard_params)
+    rows = rows.withColumn("shap_values", _shap_json(F.col("attr")))
+    return rows.select(F.col("application_id").alias("id"), F.col("submitted_at").alias("timestamp"),
+                       *[HS.long_hash(F.col(c)).alias(c) for c in hashes],
+                       _consent_json_spark().alias("consent_state"),
+                       F.lit(MODEL_VERSION).alias("model_version"), "decision",
+                       HS.prob_text(F.col("probability")).alias("probability"), "shap_values")
 
 
 @register("governance_chain", oracle=_GOV_CHAIN_SQL + """

@@ -129,13 +129,15 @@ class Views:
 
     @cached_property
     def applications_from_raw(self) -> DataFrame:
+        return self._orders_with_customers().selectExpr(*_APPLICATION_EXPRS)
+
+    def _orders_with_customers(self) -> DataFrame:
         o = self.t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice",
                                  "o_orderpriority")
         c = self.t.customer.select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment")
         # Fact x dimension equi join; Catalyst/AQE pick broadcast only when the
         # customer side measures under the broadcast threshold at run time.
-        j = o.join(c, o.o_custkey == c.c_custkey, "inner")
-        return j.selectExpr(*_APPLICATION_EXPRS)
+        return o.join(c, o.o_custkey == c.c_custkey, "inner")
 
     def _code_files(self, *extra_modules):
         from ..functions import features as _fx, quantiles as _q
@@ -176,20 +178,22 @@ class Views:
 
         Materialized first: the statistics passes of the scored table then scan
         three columns of this table instead of recomputing the join.
+
+        Written sorted by decision time within each task (a local sort, no
+        shuffle), and the scored table keeps that order, so Parquet row-group
+        min/max statistics let time-window filters (trailing-days dashboards)
+        skip most of it. The eight raw columns are sorted, before the features
+        are computed: the wide rows of a large file do not fit a task's memory.
         """
-        build = lambda: FX.with_train_features(self.applications_from_raw)
+        build = lambda: FX.with_train_features(
+            self._orders_with_customers().sortWithinPartitions("o_orderdate").selectExpr(*_APPLICATION_EXPRS))
         if not self.materialize:
             return build()
         return self._materialized("features", self._code_files(), build, "")
 
     def build_scored(self) -> DataFrame:
-        """The scored loan dataset from the features table.
-
-        Written sorted by decision time within each file (a local sort, no
-        shuffle), so Parquet row-group min/max statistics let time-window
-        filters (trailing-days dashboards) skip most of the table.
-        """
-        return FX.with_risk(self.features, accuracy=self.quantile_accuracy).sortWithinPartitions("submitted_at")
+        """The scored loan dataset from the features table, row by row in its order."""
+        return FX.with_risk(self.features, accuracy=self.quantile_accuracy)
 
     @cached_property
     def scored(self) -> DataFrame:

@@ -92,4 +92,4 @@ def published(spark: SparkSession, name: str, inputs: Sequence[str], code_files:
 
 def materialized(spark: SparkSession, name: str, inputs: Sequence[str], code_files: Sequence[str],
                  build: Callable[[], DataFrame], extra: str = "", rebuild: bool = False) -> DataFrame:
-    return spark.read.parquet(published(spark, name, inputs, code_files, lambda tmp: build().write.mode("overwrite").parquet(tmp), extra, rebuild))
+    return spark.read.parquet(published(spark, name, inputs, code_files, lambda tmp: build().write.mode("overwrite").parquet(tmp, compression="zstd"), extra, rebuild))
