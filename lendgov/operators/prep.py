@@ -150,3 +150,12 @@ def stratified_split(df: DataFrame, id_col: str, label: str, test_fraction: floa
     rest = j.where(F.col("bstar").isNull() | (F.col("_b") != F.col("bstar"))) \
         .withColumn("is_test", F.coalesce(F.col("_b") < F.col("bstar"), F.lit(False)))
     return inside.unionByName(rest).drop("_h", "_b", "bstar", "need")
+
+
+def with_split(df: DataFrame, id_col: str, label: str, test_fraction: float = 0.2) -> DataFrame:
+    """M8 on wide rows with distinct ids: ``is_test`` by each class's greatest test hash, so that only ids and labels are shuffled."""
+    test = stratified_split(df.select(id_col, label), id_col, label, test_fraction).where("is_test")
+    key = F.struct(split_hash(id_col).alias("h"), F.col(id_col).alias("id"))
+    last = test.groupBy(label).agg(F.max(key).alias("_last"))
+    j = df.join(F.broadcast(last), label, "left")  # one row per class
+    return j.select(*df.columns, F.coalesce(key <= F.col("_last"), F.lit(False)).alias("is_test"))

@@ -145,7 +145,13 @@ def roc_auc_query(spark, sf_dir):
 
 def _split_frame(v):
     """Model features, label and split flag of every application, written once: fits and tests read it many times."""
-    build = lambda: _model_frame(v).join(_split(v).select("application_id", "is_test"), "application_id")
+    def build():
+        frame = _model_frame(v)
+        apart = frame.groupBy("application_id").count().where("count > 1 OR application_id IS NULL").isEmpty()
+        if apart:  # every id names one row: the flag is decided where the row lies
+            return PR.with_split(frame, "application_id", "label", 0.2).select(*frame.columns, "is_test")
+        return frame.join(_split(v).select("application_id", "is_test"), "application_id")
+
     return v.stored("model_frame", build, [PR, sys.modules[__name__]])
 
 
