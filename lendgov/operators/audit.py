@@ -20,28 +20,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import LINK_FORMATS, canonical, link_text, sha256
+from ..functions.hashing import LINK_FORMATS, canonical, link_text, sha256, short_hash
 from ..functions.prefix import distributed_rank
 from .monitoring import iso_text
 
 
 def chain_links(df: DataFrame, chain_col: str, order_cols: Sequence[str], payload_col: str,
                 carry_cols: Sequence[str], num_partitions: int | None = None,
-                seed: DataFrame | None = None, link: str = "text") -> DataFrame:
+                seed: DataFrame | None = None, link: str = "text", spelled: dict[str, Column] | None = None) -> DataFrame:
     """Emit every link: carry columns + seq (1-based) + previous_hash + output_hash.
 
     ``payload_col`` is the canonical text of the link without the previous hash.
     ``seed`` (chain_col, tip_hash, last_seq), e.g. ``chain_tips`` of the stored
     log, continues existing chains when a new batch is appended; chains absent
     from it start fresh. ``link`` names the payload format (``hashing.LINK_FORMATS``).
+    ``spelled``: payload or carry columns that are computed from those of ``df`` once its rows are in order, so that long texts
+    are not shuffled.
     """
     before, quote, none, after = LINK_FORMATS[link]
     carry = [c for c in carry_cols if c not in (chain_col,)]
-    fields = [df.schema[chain_col]] + [df.schema[c] for c in carry] + [
+    spelled = spelled or {}
+    schema_of = df.withColumns(spelled).schema
+    fields = [schema_of[chain_col]] + [schema_of[c] for c in carry] + [
         T.StructField("seq", T.LongType()), T.StructField("previous_hash", T.StringType()),
         T.StructField("output_hash", T.StringType())]
     schema = T.StructType(fields)
-    d = df.select(chain_col, *order_cols, payload_col, *[c for c in carry if c not in order_cols])
+    d = df if spelled else df.select(chain_col, *order_cols, payload_col, *[c for c in carry if c not in order_cols])
     if seed is not None:
         d = d.join(seed.select(chain_col, F.col("tip_hash").alias("_seed_hash"),
                                F.col("last_seq").cast("long").alias("_seed_seq")), chain_col, "left")
@@ -113,19 +117,19 @@ def verify(log: DataFrame, payload: Column, chain_col: str = "chain_id", strict:
     of its chain, whose previous_hash is unchecked (unless ``strict``: then it
     must be null).
     """
-    rows = log.select(chain_col, "seq", "previous_hash", "output_hash",
+    rows = log.select(chain_col, "seq", short_hash(F.col("previous_hash")).alias("_previous"), short_hash(F.col("output_hash")).alias("_output"),
                       (sha256(link_text(payload, F.col("previous_hash"), link)) == F.col("output_hash"))
                       .alias("content_ok"))
     pred = rows.select(F.col(chain_col).alias("_c"), (F.col("seq") + 1).alias("_s"),
-                       F.col("output_hash").alias("_ph"))
-    first = rows.groupBy(chain_col).agg(F.min("seq").alias("_first"))
-    j = rows.join(pred, (F.col(chain_col) == F.col("_c")) & (F.col("seq") == F.col("_s")), "left") \
-        .join(first, chain_col)
+                       F.col("_output").alias("_ph"))
+    first = log.groupBy(chain_col).agg(F.min("seq").alias("_first"))
+    # what is left of the hashes are two flags, before rows move on to their chain's first place
+    j = rows.join(pred, (F.col(chain_col) == F.col("_c")) & (F.col("seq") == F.col("_s")), "left").select(
+        chain_col, "seq", "content_ok", F.col("_previous").isNull().alias("_head"),
+        (F.col("_ph").isNotNull() & F.col("_previous").eqNullSafe(F.col("_ph"))).alias("_follows")).join(first, chain_col)
     is_first = F.col("seq") == F.col("_first")
-    head_ok = F.col("previous_hash").isNull() if strict else F.lit(True)
-    link_ok = F.when(is_first, head_ok).otherwise(
-        F.col("_ph").isNotNull() & F.col("previous_hash").eqNullSafe(F.col("_ph")))
-    return j.select(chain_col, "seq", "content_ok", link_ok.alias("link_ok"))
+    head_ok = F.col("_head") if strict else F.lit(True)
+    return j.select(chain_col, "seq", "content_ok", F.when(is_first, head_ok).otherwise(F.col("_follows")).alias("link_ok"))
 
 
 def verify_summary(checks: DataFrame, chain_col: str = "chain_id") -> DataFrame:
