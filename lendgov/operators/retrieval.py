@@ -119,7 +119,9 @@ class BallIndex:
         if not len(self.pivots):
             none = queries.select("query_id", F.lit(None).cast(doc_type).alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).alias("block")).limit(0)
             return none, none
-        q = queries.where("unit is not null and query_id is not null").select("query_id", "unit").checkpoint()
+        q = queries.where("unit is not null").select("query_id", "unit")
+        # rows of a repeated query id share what they go into: each row's vector is scored where each row goes
+        q = q.withColumnRenamed("unit", "seen").join(q, "query_id").checkpoint()
         groups = max(1, -(-q.count() // QUERY_GROUP))
         of_chunk: dict[int, list[int]] = {}
         for i, chunks in enumerate(self.blocks["chunks"]):
@@ -131,7 +133,7 @@ class BallIndex:
         need = k + int(exclude_self)
 
         def visits(first: bool):
-            """Per batch of queries (query_id, unit, k-th score found): the chunks to go into, and their blocks (``go``)."""
+            """Per batch of queries (query_id, vector for the bounds, unit, k-th score found): the chunks to go into, and their blocks (``go``)."""
             def run(batches):
                 pivots, pivot, least, greatest, n, _, chunk_blocks = shared.value
                 for batch in (b.slice(i, QUERY_ROWS) for b in batches for i in range(0, b.num_rows, QUERY_ROWS)):
@@ -146,14 +148,14 @@ class BallIndex:
                     if first:
                         go = early
                     else:
-                        kth = batch.column(2).to_numpy(zero_copy_only=False)
+                        kth = batch.column(3).to_numpy(zero_copy_only=False)
                         go = ~early & (bound >= np.where(np.isnan(kth), -np.inf, kth)[:, None])
                     for chunk, cols in enumerate(chunk_blocks):
                         inside = go[:, cols]
                         rows = np.flatnonzero(inside.any(1))
                         if len(rows):
                             at = pa.array(rows)
-                            yield pa.record_batch([pa.array(np.full(len(rows), chunk, np.int32)), *[batch.column(c).take(at) for c in range(3)],
+                            yield pa.record_batch([pa.array(np.full(len(rows), chunk, np.int32)), *[batch.column(c).take(at) for c in (0, 2, 3)],
                                                    pa.array([r.tobytes() for r in inside[rows]], pa.binary())], names=["chunk", "query_id", "unit", "kth", "go"])
             return run
 
@@ -172,7 +174,7 @@ class BallIndex:
 
         one = scores(q.withColumn("kth", F.lit(float("nan"))), True).checkpoint()
         kth = _best(one, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
-        two = scores(q.join(kth, "query_id", "left").select("query_id", "unit", F.coalesce("kth", F.lit(float("nan"))).alias("kth")), False)
+        two = scores(q.join(kth, "query_id", "left").select("query_id", "seen", "unit", F.coalesce("kth", F.lit(float("nan"))).alias("kth")), False)
         return one, two
 
 
