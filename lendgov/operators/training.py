@@ -22,9 +22,13 @@ from pyspark.sql import functions as F
 
 from ..functions.prefix import roc_auc
 from ..session import checkpoint_path
+from .forest_fit import fit_forest, suits
 from .prep import medians, mode_table, spread
 from .tree_shap import Forest, fitted_forest
 
+#: Pairs of row and tree from which on a forest is not fitted by Spark's own classifier, which keeps eight bytes for each of them.
+GROWN_PAIRS = 20_000_000
+
 
 def fill_values(train: DataFrame, numeric: Sequence[str], cats: Sequence[str]) -> dict:
     """M1 + M3 of the training rows: exact median of each numeric, mode of each categorical (ties -> smallest).
@@ -98,10 +102,15 @@ def fit(train: DataFrame, numeric: Sequence[str], cats: Sequence[str], estimator
     """Fit on filled rows (``filled``); ``n_train`` is their number, counted here where it is not given.
 
     A forest's passes are spread over all cores: their work for a row is hundreds of trees, however few files the rows are read from.
+    From ``GROWN_PAIRS`` pairs of row and tree on it is fitted by ``forest_fit``, which does not hold something for each pair.
     """
     n = n_train if n_train is not None or passthrough else train.count()
     if isinstance(estimator, RandomForestClassifier):
-        train = spread(train, train.count() if n is None else n)
+        rows = train.count() if n is None else n
+        if rows * estimator.getNumTrees() >= GROWN_PAIRS and suits(estimator):
+            first = Pipeline(stages=preprocessing(numeric, cats, passthrough, n)).fit(train)
+            return PipelineModel([*first.stages, fit_forest(first.transform(train), estimator, rows)])
+        train = spread(train, rows)
     return Pipeline(stages=preprocessing(numeric, cats, passthrough, n) + [estimator]).fit(train)
 
 

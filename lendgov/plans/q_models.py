@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features as FX
 from ..functions.prefix import roc_auc
+from ..operators import forest_fit as FF
 from ..operators import kernel_shap as KS
 from ..operators import prep as PR
 from ..operators import training as TR
@@ -174,7 +175,7 @@ def trained(spark, sf_dir, name: str):
         n_train = train.count()
         return TR.fit(TR.filled(train, fill, CATS), NUMERIC, CATS, _estimator(name, n_train), n_train=n_train)
 
-    return v.stored_model(name, fit, [PR, TR, sys.modules[__name__]]), fill, data
+    return v.stored_model(name, fit, [PR, TR, FF, sys.modules[__name__]]), fill, data
 
 
 def _fill(v, train) -> dict:
@@ -191,7 +192,8 @@ def _fill(v, train) -> dict:
 def _metrics_of(spark, sf_dir, name: str):
     model, fill, data = trained(spark, sf_dir, name)
     test = data.where(F.col("is_test"))
-    m = TR.metrics(TR.positive_probability(model, TR.filled(test, fill, CATS), ["application_id", "label"]), "label", "p")
+    # read twice by the metrics: each tree of a forest is walked once
+    m = TR.metrics(TR.positive_probability(model, TR.filled(test, fill, CATS), ["label"]).checkpoint(), "label", "p")
     n_train = data.where(~F.col("is_test")).agg(F.count(F.lit(1)).alias("n_train"))
     return m.crossJoin(n_train).select(F.lit(MODELS.index(name)).cast("bigint").alias("model_order"), F.lit(name).alias("model"),
                                        "n_train", "n", "accuracy", "f1", "auc")
@@ -200,7 +202,7 @@ def _metrics_of(spark, sf_dir, name: str):
 def _summary(spark, sf_dir):
     """One row per model with its metrics on the test split, stored once per input version."""
     build = lambda: reduce(lambda a, b: a.unionByName(b), [_metrics_of(spark, sf_dir, name) for name in MODELS])
-    return views(spark, sf_dir).stored("model_metrics", build, [PR, TR, sys.modules[__name__]])
+    return views(spark, sf_dir).stored("model_metrics", build, [PR, TR, FF, sys.modules[__name__]])
 
 
 def selected(spark, sf_dir) -> str:
