@@ -8,8 +8,9 @@ never reached). The Shapley value of such a term has a closed form in the sizes
 
 One pass down a tree gives each leaf a bit pattern of the features that a row violates, for all rows of a block at once, and the same
 pass gives the patterns of the background. For a leaf with k features on its path, the terms of all background rows are
-summed for each of the 2^k patterns that a row can have (subset sums over bits); a row then reads its sums from that table.
-The work for a row does not grow with the background. Columns that belong to one feature (its dummies) are one player.
+summed for each of the 2^k patterns that a row can have (subset sums over bits). Leaves that lie below one node are read as one: the
+tables of all of them are added up for each pattern at that node and each outcome of the tests below it, and a row reads its sums from there, once for
+each feature and node instead of for each leaf. The work for a row does not grow with the background. Columns that belong to one feature (its dummies) are one player.
 
 What is sent with the tasks is the forest's nodes and the background, both bounded by parameters (trees, depth, ``MAX_BACKGROUND``);
 tables exist for one tree at a time. Rows are dealt evenly over all cores first (``prep.spread``): a small file read by one task would
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 from .kernel_shap import MAX_BACKGROUND
 from .prep import spread
 
-#: Rows that a task explains at once: tables are built once for each block and tree.
-BLOCK_ROWS = 1 << 15
+#: Rows that a task explains at once: tables are built once for each block and tree. Rows of a block that go down a tree together.
+BLOCK_ROWS, CHUNK_ROWS = 1 << 17, 1 << 14
+#: Features on the path to a node and tests below it, up to which the leaves below are read as one: a table has two to this power entries for each feature.
+GROUP_BITS = 12
 #: Features on one path; a table has two to this power entries for each.
 MAX_PATH = 14
 
@@ -68,8 +71,13 @@ class Forest:
 
     @staticmethod
     def goes_left(tree: Tree, at: int, values: np.ndarray) -> np.ndarray:
-        test = tree.test[at]
-        return np.isin(values, test) if isinstance(test, tuple) else values <= test
+        return Forest.passes(tree.test[at], values)
+
+    @staticmethod
+    def passes(test: float | tuple[float, ...], values: np.ndarray) -> np.ndarray:
+        if not isinstance(test, tuple):
+            return values <= test
+        return values == test[0] if len(test) == 1 else np.isin(values, test)
 
     @staticmethod
     def longer(path: list[int], player: int) -> list[int]:
@@ -110,20 +118,71 @@ class Forest:
                 stack.append((tree.left[at], path, rows[goes_left]))
         return out / len(self.trees)
 
+    def grouped(self, tree: Tree, root: int, background: np.ndarray):
+        """The tree as nested parts: (None, column, test, bit of its player, left, right) of a test, (features on the path, tests below, players, sums) of leaves read as one."""
+        known = list(self.leaves(tree, root, background))
+        tables: list[np.ndarray] = [np.empty(0)] * len(known)
+        for k in {len(path) for _, path, _ in known}:
+            own = [i for i, (_, path, _) in enumerate(known) if len(path) == k]
+            for i, made in zip(own, shares(k, np.array([known[i][0] for i in own]), np.stack([known[i][2] for i in own]))):
+                tables[i] = made
+        leaf = iter(tables)  # in the order in which leaves are met below
+        inner: dict[int, int] = {}
+
+        def count(at: int) -> int:
+            if at not in inner:
+                inner[at] = 0 if tree.left[at] < 0 else 1 + count(tree.left[at]) + count(tree.right[at])
+            return inner[at]
+
+        def part(at: int, path: list[int]):
+            if tree.left[at] >= 0 and len(path) + count(at) > GROUP_BITS:
+                player = self.players[tree.column[at]]
+                longer = self.longer(path, player)
+                return None, tree.column[at], tree.test[at], np.uint16(1 << longer.index(player)), part(tree.left[at], longer), part(tree.right[at], longer)
+            tests: list[tuple[int, float | tuple[float, ...]]] = []
+            pattern = np.arange(1 << (len(path) + count(at)))  # what the path violates, then the tests below that fail
+            sums: dict[int, np.ndarray] = {}
+
+            def below(at: int, known: list[int], violated: np.ndarray) -> None:
+                if tree.left[at] < 0:
+                    for player, t in zip(known, next(leaf)):
+                        sums[player] = sums[player] + t[violated] if player in sums else t[violated]
+                    return
+                player = self.players[tree.column[at]]
+                longer = self.longer(known, player)
+                bit, fails = 1 << longer.index(player), pattern >> (len(path) + len(tests)) & 1
+                tests.append((tree.column[at], tree.test[at]))
+                below(tree.left[at], longer, violated | fails * bit)
+                below(tree.right[at], longer, violated | (1 - fails) * bit)
+
+            below(at, path, pattern & ((1 << len(path)) - 1))
+            return len(path), tests, list(sums), list(sums.values())
+
+        return part(root, [])
+
     def explain(self, x: np.ndarray, background: np.ndarray) -> np.ndarray:
         """Shapley values (features, rows) of the rows of ``x`` against those of ``background`` (both: columns, rows)."""
         phi = np.zeros((self.n_players, x.shape[1]))
+        x = np.ascontiguousarray(x)
         for tree, root in self.trees:
-            known = list(self.leaves(tree, root, background))
-            tables = {}
-            for k in {len(path) for _, path, _ in known}:
-                own = [i for i, (_, path, _) in enumerate(known) if len(path) == k]
-                made = shares(k, np.array([known[i][0] for i in own]), np.stack([known[i][2] for i in own]))
-                tables.update(zip(own, made))
-            for i, (_, path, bits) in enumerate(self.leaves(tree, root, x)):
-                at = bits.astype(np.intp)  # once, not for each feature
-                for j, player in enumerate(path):
-                    phi[player] += tables[i][j].take(at)
+            whole = self.grouped(tree, root, background)
+            for start in range(0, x.shape[1], CHUNK_ROWS):
+                own, out = x[:, start:start + CHUNK_ROWS], phi[:, start:start + CHUNK_ROWS]
+                stack = [(whole, np.zeros(own.shape[1], np.uint16))]
+                while stack:
+                    (k, *about), bits = stack.pop()
+                    if k is None:
+                        column, test, bit, left, right = about
+                        goes_left = self.passes(test, own[column])
+                        stack.append((right, bits | goes_left * bit))
+                        stack.append((left, bits | ~goes_left * bit))
+                        continue
+                    tests, players, sums = about
+                    for i, (column, test) in enumerate(tests):
+                        bits = bits | ~self.passes(test, own[column]) * np.uint16(1 << (k + i))
+                    at = bits.astype(np.intp)  # once, not for each feature
+                    for player, t in zip(players, sums):
+                        out[player] += t.take(at)
         return phi / len(self.trees)
 
 
